@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,12 +131,23 @@ class WaveletMatrix:
         return now
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next from 256."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, encoding each distinct piece of text once.
 
     A byte-level pre-tokenizer never joins text across a single space between two other characters (the
-    space begins the next word), so a text's ids are those of its pieces, one after the other. No cut is
-    made beside other white space."""
+    space begins the next word), nor a letter and a stop or comma, nor white space that ends a text and what
+    stands before it. So a text's ids are those of its pieces, one after the other. Pieces that touch other
+    white space at a cut are not trusted: their texts are cut only at single spaces and not remembered."""
 
     def __init__(self, path: str):
         import regex
@@ -143,33 +155,66 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.beside, self.cut = regex.compile(r"\s | \s|^ | $"), regex.compile(r"(?<=\S) (?=\S)")
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if self.beside.search(text) else text.split(" ")
-        return parts[:1] + [" " + x for x in parts[1:]]
+        self.cut = regex.compile(r"(?<=\S) (?=\S)")
+        # A run of letters is one word to such a pre-tokenizer, so the library's model can take it as it is.
+        plain = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+        self.word = self.tokenizer.model.tokenize if plain and not any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()) else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        if self.word:
+            easy = [x for x in pieces if x.removeprefix(" ").isalpha()]
+            if easy:
+                own = {x: array("I", [t.id for t in self.word(x.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes() for x in easy}
+                rest = [x for x in pieces if x not in own]
+                own.update(zip(rest, self._by_library(rest), strict=True))
+                return [own[x] for x in pieces]
+        return self._by_library(pieces)
+
+    def _by_library(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces, each without white space at its ends but the one space before it."""
+        found, old, todo = self.young, self.old, []
+        for x in pieces:
+            ids = old.get(x)
+            if ids is None:
+                todo.append(x)
+            else:
+                found[x] = ids
+        ended = [x for x in todo if x[-1] in ".," and x[-2:-1].isalpha()]
+        fresh = {x[:-1] for x in ended if x[:-1] not in found}.union(x for x in todo if not (x[-1] in ".," and x[-2:-1].isalpha())) | {".", ","}
+        fresh = list(fresh)
+        found.update(zip(fresh, self._encode(fresh), strict=True))
+        for x in ended:
+            found[x] = found[x[:-1]] + found[x[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(x) if x else [] for x in texts]
-        young, old, new = self.young, self.old, set()
-        for parts in cut:
-            new.update(x for x in parts if x not in young)
-        if len(young) + len(new) > KEPT_PIECES:
-            self.old = old = young
-            self.young = young = {}
-            new = {x for parts in cut for x in parts}
-        missing = []
-        for x in new:
-            got = old.get(x)
-            if got is None:
-                missing.append(x)
+        cut, tails = [], []
+        for x in texts:
+            body = x.rstrip(" \t\n\r")
+            first, *rest = body.split(" ")
+            cut.append([first, *[" " + p for p in rest]] if body else [])
+            tails.append(x[len(body) :])
+        every = set().union(*cut)
+        if len(self.young) + len(every) > KEPT_PIECES:
+            self.old, self.young = self.young, {}
+        new = every - self.young.keys()
+        odd = {x for x in new if not x or x == " " or x[1:2].isspace() or x[-1].isspace()}
+        self._learn(new - odd)
+        get, out = self.young.__getitem__, []
+        for x, parts, tail in zip(texts, cut, tails, strict=True):
+            if odd and not odd.isdisjoint(parts):
+                first, *rest = self.cut.split(x)
+                raw = b"".join(self._encode([first, *[" " + p for p in rest]]))
             else:
-                young[x] = got
-        for x, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            young[x] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([young[x] for x in parts]), np.uint32) for parts in cut]
+                raw = b"".join(map(get, parts))
+                if tail:
+                    raw += self._encode([tail])[0]
+            out.append(np.frombuffer(raw, np.uint32))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
