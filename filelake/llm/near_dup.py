@@ -1,9 +1,9 @@
 """MinHash near-dedup: universal hash minima, bands, signature check, full-set check, components.
 
 Work on classes of equal shingle sets, so thousands of exact copies cost one class. Within a band's
-bucket every member is first tried against the bucket's least class; only members that this leaves in
-different components are paired, so a bucket of n near copies costs n pairs and no link between
-different sets of a shared bucket is lost.
+bucket every member is first tried against the bucket's hub; members that this leaves in different
+components are joined exactly, by the prefixes of their sets. So a bucket of n near copies costs n pairs,
+and no link between different sets of a shared bucket is lost.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bloom, bloom_spots, prepare, slices, text_bytes, written
@@ -92,20 +92,46 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (u, v) of classes those with 100 * intersection >= 75 * union: first by signature, then on full sets."""
-    spark, log2 = pairs.sparkSession, 22
     sig = classes.select("cls", "sig")
     tried = pairs.join(sig.toDF("u", "one"), "u").join(sig.toDF("v", "two"), "v").select("u", "v", "one", "two")
     near = written(tried.mapInArrow(_agree, "u long, v long").distinct(), "near")
     ends = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
-    bits = spark.sparkContext.broadcast(bloom(ends, "doc_id", log2))
-    found = docs.select("doc_id", "text").mapInArrow(_sets(bits, log2), "doc_id long, keys array<long>")
-    sets = written(found.join(ends, "doc_id", "left_semi").select(F.col("doc_id"), "keys"), "sets")
+    sets = _whole(ends, docs)
     both = near.join(sets.toDF("u", "one"), "u").join(sets.toDF("v", "two"), "v")
     shared = F.size(F.array_intersect("one", "two"))
     linked = both.select("u", "v", shared.alias("n"), (F.size("one") + F.size("two")).alias("total"))
     return linked.where("n > 0 and 100L * n >= 75L * (total - n)").select("u", "v").distinct()
 
 
+def _whole(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, keys: the sets of the documents in ids (doc_id)."""
+    spark, log2 = ids.sparkSession, 22
+    bits = spark.sparkContext.broadcast(bloom(ids, "doc_id", log2))
+    found = docs.select("doc_id", "text").mapInArrow(_sets(bits, log2), "doc_id long, keys array<long>")
+    return written(found.join(ids, "doc_id", "left_semi").select("doc_id", "keys"), "sets")
+
+
+def _apart(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes in different components that can have similarity 0.75: they share a shingle
+    of their prefixes, rarest first, under length and positional filters. Passages that many documents
+    share are no one's rarest shingles, so documents that have only those in common are not paired."""
+    sets = _whole(open_.select(F.col("cls").alias("doc_id")), docs).withColumn("n", F.size("keys"))
+    held = written(sets.select(F.col("doc_id").alias("cls"), "n", F.explode("keys").alias("key")), "held")
+    df = written(held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "df")
+    ranked = held.join(df, "key", "left").select("cls", "n", "key", F.coalesce("df", F.lit(1)).alias("df"))
+    own = Window.partitionBy("cls", "n")
+    at = F.row_number().over(own.orderBy("df", "key")) - 1
+    # A shingle that no other of these sets has is shared with none: it cannot be part of an intersection.
+    ranked = ranked.withColumns({"at": at, "open": F.col("n") - F.count_if(F.col("df") == 1).over(own)})
+    prefix = ranked.where("at <= n - ceil(0.75 * n) and df > 1 and 4 * open >= 3 * n").join(open_, "cls")
+    prefix = written(prefix.select("key", "cls", "component", "n", "at", "open"), "prefix")
+    other = prefix.toDF("key", "cls2", "component2", "n2", "at2", "open2")
+    fits = "cls > cls2 and component <> component2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n"
+    reach = "7 * least(open, open2, least(n - at, n2 - at2) + least(at, at2)) >= 3 * (n + n2)"
+    pairs = prefix.join(other, "key").where(f"{fits} and {reach}")
+    return written(pairs.select(F.col("cls").alias("u"), F.col("cls2").alias("v")).distinct(), "rest")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
@@ -124,20 +150,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = some.select("k1", "k2", "doc_id").join(classes.select("k1", "k2", "cls"), ["k1", "k2"]).where("doc_id <> cls").select(F.col("doc_id").alias("u"), F.col("cls").alias("v"))
 
     members = written(classes.select("cls", F.explode("bands").alias("bucket")).distinct(), "members")
-    hubs = written(members.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
-    shared = written(members.join(hubs, "bucket"), "shared")
+    # A bucket's hub is its member with most company over all its buckets: of copies that were each changed
+    # on their own it is the text they were made from, which links them when they do not link each other.
+    size = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    company = written(members.join(size, "bucket"), "company")
+    weight = written(company.groupBy("cls").agg(F.sum("n").alias("weight")), "weights")
+    weighed = written(company.join(weight, "cls").select("bucket", "cls", "weight"), "weighed")
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("cls")).alias("neg"))).alias("top")).select("bucket", (-F.col("top.neg")).alias("hub"))
+    shared = written(weighed.drop("weight").join(written(hubs, "hubs"), "bucket"), "shared")
     star = shared.where("cls <> hub").select(F.col("cls").alias("u"), F.col("hub").alias("v")).distinct()
     first = written(_links(star, classes, docs), "links")
 
-    # Members of one bucket that the stars leave apart: all their pairs but those tried already.
+    # Members of buckets that the stars leave in several components.
     part = written(components(first), "part")
     placed = shared.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "hub", F.coalesce("component", "cls").alias("component"))
     placed = written(placed, "placed")
     split = written(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket"), "split")
-    open_ = written(placed.join(split, "bucket", "left_semi"), "open")
-    other = open_.select("bucket", F.col("cls").alias("cls2"), F.col("component").alias("component2"))
-    rest = open_.join(other, "bucket").where("cls > cls2 and component <> component2 and cls2 <> hub")
-    second = _links(written(rest.select(F.col("cls").alias("u"), F.col("cls2").alias("v")).distinct(), "rest"), classes, docs)
+    open_ = written(placed.join(split, "bucket", "left_semi").select("cls", "component").distinct(), "open")
+    second = _links(_apart(open_, docs), classes, docs)
 
     found = written(components(copies.union(first).union(second)), "components")
     out = base.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
