@@ -212,10 +212,10 @@ def deobfuscated(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """(base spans, base spans and those that deobfuscation adds). An added span overlaps no base span of its kind."""
+    """(base spans, base spans and those that deobfuscation adds). An added span lies in no base span of its kind."""
     base, more = find(text), {}
     for kind, spans in deobfuscated(text).items():
-        more[kind] = [s for s in spans if not any(a < s[1] and s[0] < b for a, b in base[kind])]
+        more[kind] = [s for s in spans if not any(a <= s[0] and s[1] <= b for a, b in base[kind])]
     return base, {k: sorted(base[k] + more.get(k, [])) for k in KINDS}
 
 
