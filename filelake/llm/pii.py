@@ -93,8 +93,7 @@ def _alike() -> dict[int, str]:
 
 
 ALIKE = _alike()
-_ALIKE_CLASS = "[" + "".join(re.escape(chr(c)) for c in sorted(ALIKE)) + _INVISIBLE + "]"
-_HAS_ALIKE = re.compile(_ALIKE_CLASS)
+_ODD = frozenset(map(chr, ALIKE)) | frozenset(_INVISIBLE)
 _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 
 # How "at", "dot", "plus" and digits are spelled in the languages covered.
@@ -130,8 +129,34 @@ _RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ,.-]{{0,2}})?(?:(?:{_NAMES}|[0-9]+)(
 _NAME = re.compile(rf"(?<![^\W\d_])(?:{_NAMES})(?![^\W\d_])", re.IGNORECASE)
 _PLUS = re.compile(r"plus[ ,.-]{0,2}", re.IGNORECASE)
 #: Cheap tests that a text must pass before the costly patterns are tried.
-_MAY_MAIL = re.compile(rf"(?:[\[({{<][ \t]*(?:{_AT}|@|{_DOT}|\.)[ \t]*[\])}}>])|[ \t](?:{_DOT})[ \t]", re.IGNORECASE)
-_MAY_RUN = re.compile(rf"(?<!\w)(?:{_NAMES}|[0-9]+)[ ,.()-]{{1,3}}(?:{_NAMES})[ ,.()-]{{1,3}}(?:{_NAMES}|[0-9])", re.IGNORECASE)
+_BRACKETS = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|@|{_DOT}|\.)[ \t]*[\])}}>]", re.IGNORECASE)
+_DOT_WORDS = [f" {x} ".encode() for x in _DOT.split("|")]
+_SPACED = bytes.maketrans(b"\t\r\n,.()-", b"        ")
+_NAME_BYTES = frozenset(x.encode() for w in SPELLED for x in (w, w.upper()))
+
+
+def _may_mail(text: str, low: bytes) -> bool:
+    if any(x in low for x in _DOT_WORDS):
+        return True
+    return ("[" in text or "(" in text or "{" in text or "<" in text) and _BRACKETS.search(text) is not None
+
+
+def _may_run(low: bytes) -> bool:
+    """Four pieces in a row that are digits or their names, three of them names."""
+    pieces = low.split()
+    if _NAME_BYTES.isdisjoint(pieces):
+        return False
+    run = names = 0
+    for x in pieces:
+        if x in _NAME_BYTES:
+            run, names = run + 1, names + 1
+            if run >= 4 and names >= 3:
+                return True
+        elif x.isdigit():
+            run += 1
+        else:
+            run = names = 0
+    return False
 
 
 @dataclass
@@ -166,13 +191,13 @@ def rewrite(text: str, changes: list[tuple[int, int, str]]) -> Written:
 
 
 def _disguises(text: str) -> list[tuple[int, int, str]]:
-    found = []
-    if _MAY_MAIL.search(text):
+    found, low = [], text.encode().lower().translate(_SPACED)
+    if _may_mail(text, low):
         for m in _MAIL.finditer(text):
             at, domain = ("at", "domain") if m["at"] else ("at2", "domain2")
             spans = [(*m.span(at), "@")] + [(d.start() + m.start(p), d.end() + m.start(p), ".") for p in ("local", domain) for d in _DOT_IN.finditer(m[p])]
             found += spans
-    if _MAY_RUN.search(text):
+    if _may_run(low):
         for m in _RUN.finditer(text):
             names = list(_NAME.finditer(m[0]))
             digits = sum(c.isdigit() for c in _NAME.sub("0", m[0]))
@@ -194,8 +219,8 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
 
 def deobfuscated(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans, in the source, of what the transducers bring to light; empty for texts without disguises."""
-    alike = [] if text.isascii() or not _HAS_ALIKE.search(text) else [(m.start(), m.end(), "") for m in _HIDDEN.finditer(text)]
-    first = rewrite(text.translate(ALIKE) if not text.isascii() else text, alike)
+    odd = not text.isascii() and not _ODD.isdisjoint(set(text))
+    first = rewrite(text.translate(ALIKE), [(m.start(), m.end(), "") for m in _HIDDEN.finditer(text)]) if odd else rewrite(text, [])
     changes = _disguises(first.text)
     if not changes and first.text == text:
         return {}
