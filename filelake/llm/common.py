@@ -76,15 +76,25 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def xxhash64(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long (seed 42; fixed constants of the algorithm)."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42) + five + np.uint64(8)) ^ (turn(x.astype(np.uint64) * two, 31) * one)
+        h = turn(h, 27) * one + four
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        return h ^ (h >> np.uint64(32))
+
+
 def bloom_spots(ids: np.ndarray, log2: int) -> np.ndarray:
     """Spot of each id in a filter of 2**log2 bits; the same rule as bloom_column()."""
-    x = ids.astype(np.uint64)
-    return ((x ^ (x >> np.uint64(log2)) ^ (x >> np.uint64(41))) & np.uint64((1 << log2) - 1)).astype(np.int64)
+    return (xxhash64(ids) & np.uint64((1 << log2) - 1)).astype(np.int64)
 
 
 def bloom_column(c: Column, log2: int) -> Column:
-    mixed = c.bitwiseXOR(F.shiftrightunsigned(c, log2)).bitwiseXOR(F.shiftrightunsigned(c, 41))
-    return mixed.bitwiseAND(F.lit((1 << log2) - 1).cast("long"))
+    return F.xxhash64(c).bitwiseAND(F.lit((1 << log2) - 1).cast("long"))
 
 
 def bloom(ids: DataFrame, column: str, log2: int = 22) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Line dedup as an exact set-similarity join.
 
 Lines of equal word sets form a class; classes are joined by the words of their prefixes, rarest first,
-under length and positional filters, and verified on whole sets. A line goes if an earlier one, in order
+under length, positional and bitmap filters, and verified on whole sets. A line goes if an earlier one, in order
 of (doc_id, line number), has a set of similarity SIMILARITY or more.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from .words import NOT_SPACE, U, Words, as_long, mix, words
 #: Jaccard similarity in hundredths from which lines match.
 SIMILARITY = 80
 #: Counters that rarity is read from: words share them by hash, so the table has one fixed size.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 21
+#: Binary logarithm of the bits of the filter for shared prefix words.
+WORD_BITS = 23
 _SLOT = U(COUNTERS - 1)
 
 
@@ -82,7 +85,15 @@ def _prefix(size: int) -> int:
     return size - -(-SIMILARITY * size // 100) + 1
 
 
-_PREFIXED = "doc_id long, line int, k1 long, k2 long, size int, prefix array<long>"
+MAP = ["map0", "map1", "map2", "map3"]
+_PREFIXED = "doc_id long, line int, k1 long, k2 long, size int, prefix array<long>, " + ", ".join(f"{m} long" for m in MAP)
+
+
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """Four words of 64 bits in which each element of a set sets one."""
+    bits = np.zeros(256, bool)
+    bits[((own >> U(40)) & U(255)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def _prefixed(shared):
@@ -97,7 +108,7 @@ def _prefixed(shared):
                 w = words(raw, cut, NOT_SPACE)
                 doc = np.repeat(np.arange(i, j), np.diff(first))
                 line = np.arange(len(doc)) - np.repeat(first[:-1], np.diff(first))
-                k1, k2, size, prefix, keep = [], [], [], [], []
+                k1, k2, size, prefix, keep, maps = [], [], [], [], [], []
                 with np.errstate(over="ignore"):
                     for n, own in enumerate(_sets(w)):
                         if not len(own):
@@ -106,6 +117,7 @@ def _prefixed(shared):
                         k1.append(own.sum(dtype=U))
                         k2.append(mix(own + U(77)).sum(dtype=U))
                         size.append(len(own))
+                        maps.append(_bitmap(own))
                         # No set of three words or fewer has a match but its equals.
                         take = _prefix(len(own)) if len(own) * (100 - SIMILARITY) >= SIMILARITY else 0
                         if take:
@@ -114,13 +126,31 @@ def _prefixed(shared):
                         else:
                             prefix.append(np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d in doc[keep]], pa.int64()), pa.array(line[keep].astype(np.int32)), pa.array(as_long(np.array(k1, U))), pa.array(as_long(np.array(k2, U))), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "line", "k1", "k2", "size", "prefix"],
+                    [pa.array([ids[d] for d in doc[keep]], pa.int64()), pa.array(line[keep].astype(np.int32)), pa.array(as_long(np.array(k1, U))), pa.array(as_long(np.array(k2, U))), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), *map(pa.array, np.array(maps, np.int64).reshape(-1, 4).T.copy())],
+                    names=["doc_id", "line", "k1", "k2", "size", "prefix", *MAP],
                 )
 
     return run
 
 
+def _shared_words(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            lists = batch.column(3)
+            word, have = lists.flatten().to_numpy(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), have)
+            at = np.arange(len(word)) - np.repeat(np.cumsum(have) - have, have)
+            hit = bits[bloom_spots(word, WORD_BITS)]
+            before = np.cumsum(hit) - hit
+            first = np.cumsum(have) - have
+            seen = before - np.repeat(before[np.minimum(first, max(0, len(before) - 1))] if len(before) else first, have)
+            picked = batch.select([0, 1, 2, 4, 5, 6, 7]).take(pa.array(row[hit]))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(at[hit].astype(np.int32)), pa.array(seen[hit].astype(np.int32)), pa.array(word[hit])], names=["doc_id", "line", "size", *MAP, "at", "seen", "word"])
+
+    return run
+
+
 def _whole_sets(shared, log2: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -150,18 +180,24 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     shared = spark.sparkContext.broadcast(rarity(docs))
     base = written(docs.mapInArrow(_prefixed(shared), _PREFIXED), "lines")
-    classes = base.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = base.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *[F.first(m).alias(m) for m in MAP])
     classes = written(classes.where(F.size("prefix") > 0), "classes")
 
-    # Ids of words that only one class has in its prefix can join nothing.
-    tokens = written(classes.select("first", "size", F.posexplode("prefix").alias("at", "word")), "prefixes")
-    common = written(tokens.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word"), "common")
-    mine = written(tokens.join(common, "word"), "shared")
-    other = mine.select("word", F.col("first").alias("first2"), F.col("size").alias("size2"), F.col("at").alias("at2"))
+    # Words that only one class has in its prefix can join nothing: words alone are counted, and a filter of
+    # fixed size of those that several have goes over the prefixes before any row is made of them.
+    common = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
+    shared = spark.sparkContext.broadcast(bloom(common, "word", WORD_BITS))
+    mine = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "size", "prefix", *MAP).mapInArrow(_shared_words(shared), f"doc_id long, line int, size int, {', '.join(f'{m} long' for m in MAP)}, at int, seen int, word long")
+    mine = written(mine.select(F.struct("doc_id", "line").alias("first"), "size", *MAP, "at", "seen", "word"), "shared")
+    other = mine.withColumnsRenamed({c: c + "2" for c in ("first", "size", *MAP, "at", "seen")})
     need = F.ceil((F.col("size") + F.col("size2")) * SIMILARITY / (100.0 + SIMILARITY) - 1e-9)
     fits = (F.col("size") * 100 >= F.col("size2") * SIMILARITY) & (F.col("size2") * 100 >= F.col("size") * SIMILARITY)
-    # A shared word at places at and at2 leaves at most these many shared words from there on.
-    left = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) + F.least("at", "at2")
+    # A word at places at and at2 leaves at most these many words to share: those behind it, and those before
+    # it that both have in their prefixes.
+    left = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) + F.least("seen", "seen2")
+    # Each bit in which two sets' bitmaps differ takes a word that only one of them has.
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(m + "2"))) for m in MAP[1:]), F.bit_count(F.col(MAP[0]).bitwiseXOR(F.col(MAP[0] + "2"))))
+    left = F.when(apart <= F.col("size") + F.col("size2") - 2 * need, left).otherwise(0)
     pairs = mine.join(other, "word").where((F.col("first") < F.col("first2")) & fits & (left >= need)).select("first", "first2").distinct()
     pairs = written(pairs, "pairs")
 
