@@ -25,6 +25,7 @@ BANDS, ROWS = 32, 4
 SURE = 0.54
 _A, _B = stream(BANDS * ROWS, 101) | U(1), stream(BANDS * ROWS, 202)
 _BLOCK = 1024
+MAP_WORDS = 16
 
 
 def minima(keys: np.ndarray) -> np.ndarray:
@@ -62,6 +63,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """MAP_WORDS words of 64 bits in which each shingle of a set sets one."""
+    bits = np.zeros(64 * MAP_WORDS, bool)
+    bits[((own >> U(40)) & U(64 * MAP_WORDS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(filtered, log2: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filtered.value
@@ -75,7 +83,7 @@ def _sets(filtered, log2: int):
             for i, j in slices(offs):
                 keys, off = shingles(words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
                 sets = [np.unique(keys[off[d] : off[d + 1]]) for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([as_long(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([as_long(s) for s in sets], pa.list_(pa.int64())), pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "keys", "map"])
 
     return run
 
@@ -96,7 +104,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     tried = pairs.join(sig.toDF("u", "one"), "u").join(sig.toDF("v", "two"), "v").select("u", "v", "one", "two")
     near = written(tried.mapInArrow(_agree, "u long, v long").distinct(), "near")
     ends = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
-    sets = _whole(ends, docs)
+    sets = _whole(ends, docs).drop("map")
     both = near.join(sets.toDF("u", "one"), "u").join(sets.toDF("v", "two"), "v")
     shared = F.size(F.array_intersect("one", "two"))
     linked = both.select("u", "v", shared.alias("n"), (F.size("one") + F.size("two")).alias("total"))
@@ -107,13 +115,13 @@ def _whole(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, keys: the sets of the documents in ids (doc_id)."""
     spark, log2 = ids.sparkSession, 22
     bits = spark.sparkContext.broadcast(bloom(ids, "doc_id", log2))
-    found = docs.select("doc_id", "text").mapInArrow(_sets(bits, log2), "doc_id long, keys array<long>")
-    return written(found.join(ids, "doc_id", "left_semi").select("doc_id", "keys"), "sets")
+    found = docs.select("doc_id", "text").mapInArrow(_sets(bits, log2), "doc_id long, keys array<long>, map array<long>")
+    return written(found.join(ids, "doc_id", "left_semi").select("doc_id", "keys", "map"), "sets")
 
 
 def _apart(open_: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (u, v) of classes in different components that can have similarity 0.75: they share a shingle
-    of their prefixes, rarest first, under length and positional filters. Passages that many documents
+    of their prefixes, rarest first, under length, positional and bitmap filters. Passages that many documents
     share are no one's rarest shingles, so documents that have only those in common are not paired."""
     sets = _whole(open_.select(F.col("cls").alias("doc_id")), docs).withColumn("n", F.size("keys"))
     held = written(sets.select(F.col("doc_id").alias("cls"), "n", F.explode("keys").alias("key")), "held")
@@ -124,11 +132,14 @@ def _apart(open_: DataFrame, docs: DataFrame) -> DataFrame:
     # A shingle that no other of these sets has is shared with none: it cannot be part of an intersection.
     ranked = ranked.withColumns({"at": at, "open": F.col("n") - F.count_if(F.col("df") == 1).over(own)})
     prefix = ranked.where("at <= n - ceil(0.75 * n) and df > 1 and 4 * open >= 3 * n").join(open_, "cls")
-    prefix = written(prefix.select("key", "cls", "component", "n", "at", "open"), "prefix")
-    other = prefix.toDF("key", "cls2", "component2", "n2", "at2", "open2")
+    prefix = prefix.join(sets.select(F.col("doc_id").alias("cls"), "map"), "cls")
+    prefix = written(prefix.select("key", "cls", "component", "n", "at", "open", "map"), "prefix")
+    other = prefix.toDF("key", "cls2", "component2", "n2", "at2", "open2", "map2")
+    # Each bit in which two sets' bitmaps differ takes a shingle that only one of them has.
+    apart = "7 * (" + " + ".join(f"bit_count(map[{i}] ^ map2[{i}])" for i in range(MAP_WORDS)) + ") <= n + n2"
     fits = "cls > cls2 and component <> component2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n"
     reach = "7 * least(open, open2, least(n - at, n2 - at2) + least(at, at2)) >= 3 * (n + n2)"
-    pairs = prefix.join(other, "key").where(f"{fits} and {reach}")
+    pairs = prefix.join(other, "key").where(f"{fits} and {reach} and {apart}")
     return written(pairs.select(F.col("cls").alias("u"), F.col("cls2").alias("v")).distinct(), "rest")
 
 
