@@ -80,20 +80,21 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, np.round(8 * np.log2(out + 1))).astype(np.uint8)
 
 
-def _prefix(size: int) -> int:
-    """Words of a set that must hold one of any matching set's prefix."""
-    return size - -(-SIMILARITY * size // 100) + 1
+def _prefix(size: np.ndarray) -> np.ndarray:
+    """Words of each set that must hold one of any matching set's prefix; 0 for a set too small (three words
+    at 80) to have a match but its equals."""
+    return np.where(size * (100 - SIMILARITY) >= SIMILARITY, size + (-SIMILARITY * size // 100) + 1, 0)
 
 
 MAP = ["map0", "map1", "map2", "map3"]
 _PREFIXED = "doc_id long, line int, k1 long, k2 long, size int, prefix array<long>, " + ", ".join(f"{m} long" for m in MAP)
 
 
-def _bitmap(own: np.ndarray) -> np.ndarray:
-    """Four words of 64 bits in which each element of a set sets one."""
-    bits = np.zeros(256, bool)
-    bits[((own >> U(40)) & U(255)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
+def _bitmaps(own: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """Four words of 64 bits for each set that begins at begin, in which each element of it sets one."""
+    bit = (own >> U(40)) & U(255)
+    one = U(1) << (bit & U(63))
+    return [np.bitwise_or.reduceat(np.where(bit >> U(6) == U(m), one, U(0)), begin) for m in range(4)]
 
 
 def _prefixed(shared):
@@ -108,25 +109,26 @@ def _prefixed(shared):
                 w = words(raw, cut, NOT_SPACE)
                 doc = np.repeat(np.arange(i, j), np.diff(first))
                 line = np.arange(len(doc)) - np.repeat(first[:-1], np.diff(first))
-                k1, k2, size, prefix, keep, maps = [], [], [], [], [], []
+                # Each line's distinct words in order of hash, all lines at once.
+                of = np.repeat(np.arange(len(doc)), np.diff(w.off))
+                own = w.hash[np.lexsort((w.hash, of))]
+                fresh = np.ones(len(own), bool)
+                fresh[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+                own, of = own[fresh], of[fresh]
+                size = np.bincount(of, minlength=len(doc))
+                keep = np.flatnonzero(size)
+                if not len(keep):
+                    continue
+                size = size[keep]
+                begin = np.cumsum(size) - size
+                row, at = np.repeat(np.arange(len(keep)), size), np.arange(len(own)) - np.repeat(begin, size)
                 with np.errstate(over="ignore"):
-                    for n, own in enumerate(_sets(w)):
-                        if not len(own):
-                            continue
-                        keep.append(n)
-                        k1.append(own.sum(dtype=U))
-                        k2.append(mix(own + U(77)).sum(dtype=U))
-                        size.append(len(own))
-                        maps.append(_bitmap(own))
-                        # No set of three words or fewer has a match but its equals.
-                        take = _prefix(len(own)) if len(own) * (100 - SIMILARITY) >= SIMILARITY else 0
-                        if take:
-                            order = np.argsort(rare[(own & _SLOT).astype(np.int64)], kind="stable")
-                            prefix.append(as_long(own[order[:take]]))
-                        else:
-                            prefix.append(np.zeros(0, np.int64))
+                    k1, k2 = np.add.reduceat(own, begin), np.add.reduceat(mix(own + U(77)), begin)
+                take = _prefix(size)
+                rarest = own[np.lexsort((rare[(own & _SLOT).astype(np.int64)], row))]
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(as_long(rarest[at < np.repeat(take, size)])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d in doc[keep]], pa.int64()), pa.array(line[keep].astype(np.int32)), pa.array(as_long(np.array(k1, U))), pa.array(as_long(np.array(k2, U))), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), *map(pa.array, np.array(maps, np.int64).reshape(-1, 4).T.copy())],
+                    [pa.array([ids[d] for d in doc[keep]], pa.int64()), pa.array(line[keep].astype(np.int32)), pa.array(as_long(k1)), pa.array(as_long(k2)), pa.array(size.astype(np.int32)), prefix, *[pa.array(as_long(m)) for m in _bitmaps(own, begin)]],
                     names=["doc_id", "line", "k1", "k2", "size", "prefix", *MAP],
                 )
 
