@@ -25,6 +25,9 @@ COUNTERS = 1 << 21
 #: Binary logarithm of the bits of the filter for shared prefix words.
 WORD_BITS = 23
 _SLOT = U(COUNTERS - 1)
+#: Earlier prefix words that a row of the join carries. A pair that has its first common word behind so many
+#: may come up more than once; none is lost.
+EARLIER = 64
 
 
 def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +147,15 @@ def _shared_words(shared):
             row = np.repeat(np.arange(batch.num_rows), have)
             at = np.arange(len(word)) - np.repeat(np.cumsum(have) - have, have)
             hit = bits[bloom_spots(word, WORD_BITS)]
-            before = np.cumsum(hit) - hit
-            first = np.cumsum(have) - have
-            seen = before - np.repeat(before[np.minimum(first, max(0, len(before) - 1))] if len(before) else first, have)
-            picked = batch.select([0, 1, 2, 4, 5, 6, 7]).take(pa.array(row[hit]))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(at[hit].astype(np.int32)), pa.array(seen[hit].astype(np.int32)), pa.array(word[hit])], names=["doc_id", "line", "size", *MAP, "at", "seen", "word"])
+            word, row, at = word[hit], row[hit], at[hit]
+            count = np.bincount(row, minlength=batch.num_rows)
+            first = (np.cumsum(count) - count)[row]
+            seen = np.arange(len(word)) - first
+            held = np.minimum(seen, EARLIER)
+            ends = np.concatenate([[0], np.cumsum(held)])
+            earlier = word[np.arange(ends[-1]) + np.repeat(first - ends[:-1], held)]
+            picked = batch.select([0, 1, 2, 4, 5, 6, 7]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(at.astype(np.int32)), pa.array(seen.astype(np.int32)), pa.array(word), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(earlier))], names=["doc_id", "line", "size", *MAP, "at", "seen", "word", "earlier"])
 
     return run
 
@@ -189,18 +196,19 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # fixed size of those that several have goes over the prefixes before any row is made of them.
     common = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
     shared = spark.sparkContext.broadcast(bloom(common, "word", WORD_BITS))
-    mine = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "size", "prefix", *MAP).mapInArrow(_shared_words(shared), f"doc_id long, line int, size int, {', '.join(f'{m} long' for m in MAP)}, at int, seen int, word long")
-    mine = written(mine.select(F.struct("doc_id", "line").alias("first"), "size", *MAP, "at", "seen", "word"), "shared")
-    other = mine.withColumnsRenamed({c: c + "2" for c in ("first", "size", *MAP, "at", "seen")})
+    mine = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "size", "prefix", *MAP).mapInArrow(_shared_words(shared), f"doc_id long, line int, size int, {', '.join(f'{m} long' for m in MAP)}, at int, seen int, word long, earlier array<long>")
+    mine = written(mine.select(F.struct("doc_id", "line").alias("first"), "size", *MAP, "at", "seen", "word", "earlier"), "shared")
+    other = mine.withColumnsRenamed({c: c + "2" for c in ("first", "size", *MAP, "at", "seen", "earlier")})
     need = F.ceil((F.col("size") + F.col("size2")) * SIMILARITY / (100.0 + SIMILARITY) - 1e-9)
     fits = (F.col("size") * 100 >= F.col("size2") * SIMILARITY) & (F.col("size2") * 100 >= F.col("size") * SIMILARITY)
-    # A word at places at and at2 leaves at most these many words to share: those behind it, and those before
-    # it that both have in their prefixes.
-    left = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) + F.least("seen", "seen2")
+    # A pair comes up at its first common word alone: words stand in one order, so none before it is common
+    # and at most these many are left to share, with those beyond what is carried.
+    again = F.arrays_overlap("earlier", "earlier2")
+    left = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) + F.greatest(F.lit(0), F.least("seen", "seen2") - EARLIER)
     # Each bit in which two sets' bitmaps differ takes a word that only one of them has.
     apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(m + "2"))) for m in MAP[1:]), F.bit_count(F.col(MAP[0]).bitwiseXOR(F.col(MAP[0] + "2"))))
-    left = F.when(apart <= F.col("size") + F.col("size2") - 2 * need, left).otherwise(0)
-    pairs = mine.join(other, "word").where((F.col("first") < F.col("first2")) & fits & (left >= need)).select("first", "first2").distinct()
+    close = apart <= F.col("size") + F.col("size2") - 2 * need
+    pairs = mine.join(other, "word").where((F.col("first") < F.col("first2")) & fits & (left >= need) & close & ~again).select("first", "first2")
     pairs = written(pairs, "pairs")
 
     ends = pairs.select(F.col("first").alias("e")).union(pairs.select("first2")).distinct()
