@@ -197,19 +197,21 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
     shared = spark.sparkContext.broadcast(bloom(common, "word", WORD_BITS))
     mine = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "size", "prefix", *MAP).mapInArrow(_shared_words(shared), f"doc_id long, line int, size int, {', '.join(f'{m} long' for m in MAP)}, at int, seen int, word long, earlier array<long>")
-    mine = written(mine.select(F.struct("doc_id", "line").alias("first"), "size", *MAP, "at", "seen", "word", "earlier"), "shared")
-    other = mine.withColumnsRenamed({c: c + "2" for c in ("first", "size", *MAP, "at", "seen", "earlier")})
-    need = F.ceil((F.col("size") + F.col("size2")) * SIMILARITY / (100.0 + SIMILARITY) - 1e-9)
-    fits = (F.col("size") * 100 >= F.col("size2") * SIMILARITY) & (F.col("size2") * 100 >= F.col("size") * SIMILARITY)
+    mine = mine.select(F.struct("doc_id", "line").alias("first"), "size", *MAP, "at", "seen", "word", "earlier")
+    # One table under two names, so that both sides of the join read one shuffle.
+    one, two = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"two.{c}"))
+    need = F.ceil((one("size") + two("size")) * SIMILARITY / (100.0 + SIMILARITY) - 1e-9)
+    fits = (one("size") * 100 >= two("size") * SIMILARITY) & (two("size") * 100 >= one("size") * SIMILARITY)
     # A pair comes up at its first common word alone: words stand in one order, so none before it is common
     # and at most these many are left to share, with those beyond what is carried.
-    again = F.arrays_overlap("earlier", "earlier2")
-    left = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) + F.greatest(F.lit(0), F.least("seen", "seen2") - EARLIER)
+    again = F.arrays_overlap(one("earlier"), two("earlier"))
+    left = F.least(one("size") - one("at"), two("size") - two("at")) + F.greatest(F.lit(0), F.least(one("seen"), two("seen")) - EARLIER)
     # Each bit in which two sets' bitmaps differ takes a word that only one of them has.
-    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(m + "2"))) for m in MAP[1:]), F.bit_count(F.col(MAP[0]).bitwiseXOR(F.col(MAP[0] + "2"))))
-    close = apart <= F.col("size") + F.col("size2") - 2 * need
-    pairs = mine.join(other, "word").where((F.col("first") < F.col("first2")) & fits & (left >= need) & close & ~again).select("first", "first2")
-    pairs = written(pairs, "pairs")
+    apart = sum((F.bit_count(one(m).bitwiseXOR(two(m))) for m in MAP[1:]), F.bit_count(one(MAP[0]).bitwiseXOR(two(MAP[0]))))
+    close = apart <= one("size") + two("size") - 2 * need
+    same = (one("word") == two("word")) & (one("first") < two("first"))
+    pairs = mine.alias("one").join(mine.alias("two"), same & fits & (left >= need) & close & ~again)
+    pairs = written(pairs.select(one("first").alias("first"), two("first").alias("first2")), "pairs")
 
     ends = pairs.select(F.col("first").alias("e")).union(pairs.select("first2")).distinct()
     ends = written(ends.select(F.col("e.doc_id").alias("doc_id"), F.col("e.line").alias("line"), F.col("e.doc_id").bitwiseXOR(F.shiftleft(F.col("e.line").cast("long"), 40)).alias("name")), "ends")
