@@ -182,6 +182,23 @@ def test_line_dedup_against_brute_force(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+def test_line_dedup_link_counts(spark):
+    # Lines 1 and 2 share no word but behind 105 of their own, each of which line 3 or 4 has too: more than
+    # a row of the join carries. Lines 10 to 29 are changed copies of one text, many of them linked.
+    common, one, two = ([f"{k}{i}" for i in range(n)] for k, n in (("c", 895), ("a", 105), ("b", 105)))
+    rows = [(1, " ".join(common + one)), (2, " ".join(common + two)), (3, " ".join([*one, *common, *(f"d{i}" for i in range(300))])), (4, " ".join(two + [f"e{i}" for i in range(20)]))]
+    rows += [(10 + i, " ".join(f"{'z' * (j % (i + 2) == 0 and j < 12)}t{j}" for j in range(40))) for i in range(20)]
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    want = {}
+    for i, a in sets.items():
+        links = {b for b in sets.values() if b != a and 5 * len(a & b) >= 4 * len(a | b)}
+        if any(sets[j] == a or sets[j] in links for j in sets if j < i):
+            want[i] = len(links)
+    assert want[2] == 1 and len(want) > 10
+    got = {r["doc_id"]: r["n_links"] for r in line_dedup.repeated_lines(documents(spark, rows)).collect()}
+    assert got == want
+
+
 def test_mixing(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     cells = mixing.topics(d).groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
