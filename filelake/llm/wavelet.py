@@ -9,9 +9,10 @@ work on the planes alone. A block closes at the first document's end past BLOCK_
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ BLOCK_TOKENS = 1 << 20
 #: Bits between two stored counts of ones.
 STRIDE = 512
 #: Distinct pieces of text whose ids a worker keeps, in each of two generations.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, start long, n_tokens long, bits int, doc_ids array<long>, starts array<long>, "
@@ -139,6 +140,23 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+#: Fixed pattern: the words that a byte-level pre-tokenizer finds in ASCII text.
+ASCII_WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+
+class Untrusted(Exception):
+    """A piece of text that could be joined to its neighbours."""
+
+
+class Pieces(dict):
+    """Ids of pieces of text; a piece that is not held yet is learnt."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
 
 
 class Encoder:
@@ -158,61 +176,65 @@ class Encoder:
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
         # A run of letters is one word to such a pre-tokenizer, so the library's model can take it as it is.
         plain = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
-        self.word = self.tokenizer.model.tokenize if plain and not any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()) else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        if self.word:
-            easy = [x for x in pieces if x.removeprefix(" ").isalpha()]
-            if easy:
-                own = {x: array("I", [t.id for t in self.word(x.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes() for x in easy}
-                rest = [x for x in pieces if x not in own]
-                own.update(zip(rest, self._by_library(rest), strict=True))
-                return [own[x] for x in pieces]
-        return self._by_library(pieces)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.word = self.tokenizer.model.tokenize if plain and not any(x.isalpha() for x in self.added) else None
+        self.stops = dict(zip(".,", self._by_library([".", ","]), strict=True))
+        self.young, self.old = Pieces(self._learn), {}
 
     def _by_library(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, each without white space at its ends but the one space before it."""
-        found, old, todo = self.young, self.old, []
-        for x in pieces:
-            ids = old.get(x)
-            if ids is None:
-                todo.append(x)
-            else:
-                found[x] = ids
-        ended = [x for x in todo if x[-1] in ".," and x[-2:-1].isalpha()]
-        fresh = {x[:-1] for x in ended if x[:-1] not in found}.union(x for x in todo if not (x[-1] in ".," and x[-2:-1].isalpha())) | {".", ","}
-        fresh = list(fresh)
-        found.update(zip(fresh, self._encode(fresh), strict=True))
-        for x in ended:
-            found[x] = found[x[:-1]] + found[x[-1]]
+    def _by_model(self, run: str) -> bytes:
+        """Ids of one word of the pre-tokenizer."""
+        letters = (run if run.isascii() else run.encode().decode("latin-1")).translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.word(letters)]).tobytes()
+
+    def _parts(self, piece: str) -> bytes | None:
+        """Ids of a piece of ASCII text, word by word; None where only the library's own cuts are trusted."""
+        if not piece.isascii() or any(x in piece for x in self.added):
+            return None
+        ids, held = [], self.young
+        for run in ASCII_WORDS.findall(piece):
+            own = held.get(run)
+            if own is None:
+                held[run] = own = self._by_model(run)
+            ids.append(own)
+        return b"".join(ids)
+
+    def _learn(self, x: str) -> bytes:
+        """Ids of a piece that has no white space at its ends but the one space before it."""
+        ids = self.old.get(x)
+        if ids is not None:
+            return ids
+        if not x or x == " " or x[1:2].isspace() or x[-1].isspace():
+            raise Untrusted
+        if not self.word:
+            return self._by_library([x])[0]
+        stop = self.stops.get(x[-1])
+        body = x[:-1] if stop else x
+        if not body.removeprefix(" ").isalpha():
+            ids = self._parts(x)
+            return self._by_library([x])[0] if ids is None else ids
+        return self.young[body] + stop if stop else self._by_model(x)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut, tails = [], []
+        if len(self.young) > KEPT_PIECES:
+            self.old, self.young = self.young, Pieces(self._learn)
+        get, out = self.young.__getitem__, []
         for x in texts:
             body = x.rstrip(" \t\n\r")
-            first, *rest = body.split(" ")
-            cut.append([first, *[" " + p for p in rest]] if body else [])
-            tails.append(x[len(body) :])
-        every = set().union(*cut)
-        if len(self.young) + len(every) > KEPT_PIECES:
-            self.old, self.young = self.young, {}
-        new = every - self.young.keys()
-        odd = {x for x in new if not x or x == " " or x[1:2].isspace() or x[-1].isspace()}
-        self._learn(new - odd)
-        get, out = self.young.__getitem__, []
-        for x, parts, tail in zip(texts, cut, tails, strict=True):
-            if odd and not odd.isdisjoint(parts):
-                first, *rest = self.cut.split(x)
-                raw = b"".join(self._encode([first, *[" " + p for p in rest]]))
+            if "\0" in body:
+                first, *rest = body.split(" ")
+                parts = [first, *[" " + p for p in rest]]
             else:
+                parts = body.replace(" ", "\0 ").split("\0") if body else []
+            try:
                 raw = b"".join(map(get, parts))
-                if tail:
-                    raw += self._encode([tail])[0]
+                if len(body) < len(x):
+                    raw += self._by_library([x[len(body) :]])[0]
+            except Untrusted:
+                first, *rest = self.cut.split(x)
+                raw = b"".join(self._by_library([first, *[" " + p for p in rest]]))
             out.append(np.frombuffer(raw, np.uint32))
         return out
 
