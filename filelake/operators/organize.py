@@ -102,17 +102,17 @@ def resolve_collisions(wishes: DataFrame, observed: DataFrame, collision: str =
     Sequential only inside a family; each family gets the observed paths of its own. A family is bounded by
     the 10,000 names there are."""
     ship(wishes.sparkSession)
-    w = wishes.select("record_id", "relative_path", "destination", family(F.col("destination")).alias("_f"))
-    have = observed.select(F.col("relative_path").alias("p"), family(F.col("relative_path")).alias("_f")).join(w.select("_f").distinct(), "_f", "left_semi")
-    taken = have.groupBy("_f").agg(F.collect_set("p").alias("taken"))
-    fed = w.join(taken, "_f", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
-    # A family of one wish that is free needs no Python.
+    w = wishes.withColumn("_f", family(F.col("destination")))
+    have = observed.select(F.col("relative_path").alias("p"), family(F.col("relative_path")).alias("_f"))
+    # Counts first, then the observed paths: the wishes are read once for all that is known of a family.
     n = w.groupBy("_f").agg(F.count("*").alias("_n"))
-    fed = fed.join(n, "_f")
+    families = n.join(have, "_f", "left").groupBy("_f").agg(F.first("_n").alias("_n"), F.collect_set("p").alias("taken"))
+    # A family of one wish that is free needs no Python.
     easy = (F.col("_n") == 1) & ~F.array_contains("taken", F.col("destination"))
-    alone = fed.where(easy).select("record_id", F.col("destination").alias("final"))
-    crowd = fed.where(~easy).groupBy("_f").applyInPandas(_settle(collision == "skip"), "record_id string, final string")
-    return wishes.join(alone.unionByName(crowd), "record_id")
+    fed = w.join(families, "_f").withColumn("_easy", easy)
+    crowd = fed.where("not _easy").select("_f", "record_id", "relative_path", "destination", "taken").groupBy("_f").applyInPandas(_settle(collision == "skip"), "record_id string, final string")
+    settled = fed.drop("_f", "_n", "taken").join(crowd, "record_id", "left")
+    return settled.withColumn("final", F.when(F.col("_easy"), F.col("destination")).otherwise(F.col("final"))).drop("_easy")
 
 
 def rationale(options: PlanOptions = PlanOptions()) -> Column:
