@@ -230,6 +230,18 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame(rows, "path string, text string").limit(0)).count() == 0
 
 
+def test_license_headers_and_files(spark):
+    gnu = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version {} of the License, or", "(at your option) any later version."]
+    mit = licenses.HEADERS["MIT"][0]
+    rows = [(f"gpl{v}.py", "\n".join("# " + x for x in ["Copyright 2020 A. Body"] + gnu).format(v) + "\nx = 1") for v in (2, 3)]
+    rows += [(f"plain{v}.txt", "\n".join(gnu).format(v)) for v in (2, 3)]
+    rows += [("wrap.c", "// Copyright 2020 A. Body\n// This work is licensed under the GNU General Public\n// License, version 3.\nint x;")]
+    rows += [("spdx1.c", "/* SPDX-License-Identifier: MIT */\nint x;"), ("spdx2.c", "// SPDX-License-Identifier: GPL-3.0-only"), ("spdx3.c", "// SPDX-License-Identifier: EPL-2.0")]
+    rows += [("m/LICENSE", "Copyright (c) 2020 A. Body. All rights reserved.\n\n" + mit.replace(" the ", " the\n")), ("g/COPYING", "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\nEveryone may copy."), ("p.c", "// Copyright Foo. All rights reserved.")]
+    got = {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"gpl2.py": "GPL-2.0", "gpl3.py": "GPL-3.0", "plain2.txt": "GPL-2.0", "plain3.txt": "GPL-3.0", "wrap.c": "GPL-3.0", "spdx1.c": "MIT", "spdx2.c": "GPL-3.0", "spdx3.c": None, "m/LICENSE": "MIT", "g/COPYING": "GPL-2.0", "p.c": "Proprietary"}
+
+
 def test_warc(spark):
     trap = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nx"
     rows = [(1, "http://a/x", "same"), (5, "http://a/y", "same"), (3, None, "same"), (2, "http://a/z", trap), (4, "http://a/ b\n", None), (6, "http://e", ""), (None, "http://n", "same"), (7, "u", "é" * 5000), (7, "u", "é" * 5000)]
