@@ -57,7 +57,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind; matches that fail their test are dropped, without another try inside them."""
     out = {"email": _emails(text), "ip": [], "card": [], "phone": []}
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split(".")):
             out["ip"].append(m.span())
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -132,7 +132,12 @@ _PLUS = re.compile(r"plus[ ,.-]{0,2}", re.IGNORECASE)
 _BRACKETS = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|@|{_DOT}|\.)[ \t]*[\])}}>]", re.IGNORECASE)
 _DOT_WORDS = [f" {x} ".encode() for x in _DOT.split("|")]
 _SPACED = bytes.maketrans(b"\t\r\n,.()-", b"        ")
-_NAME_BYTES = frozenset(x.encode() for w in SPELLED for x in (w, w.upper()))
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _lower(text: str) -> str:
+    """Lower case, by character; letters that re.IGNORECASE holds equal to i and s become these."""
+    return text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").lower()
 
 
 def _may_mail(text: str, low: bytes) -> bool:
@@ -141,21 +146,21 @@ def _may_mail(text: str, low: bytes) -> bool:
     return ("[" in text or "(" in text or "{" in text or "<" in text) and _BRACKETS.search(text) is not None
 
 
-def _may_run(low: bytes) -> bool:
-    """Four pieces in a row that are digits or their names, three of them names."""
-    pieces = low.split()
-    if _NAME_BYTES.isdisjoint(pieces):
+def _may_run(low: str) -> bool:
+    """Three names of digits with nothing but digits and marks between them; true of all that _RUN can use."""
+    pieces = _WORD.findall(low)
+    if SPELLED.keys().isdisjoint(pieces) and "plus" not in low:
         return False
-    run = names = 0
+    names = 0
     for x in pieces:
-        if x in _NAME_BYTES:
-            run, names = run + 1, names + 1
-            if run >= 4 and names >= 3:
+        if x.startswith("plus"):  # a run may begin in it
+            names, x = 0, x[4:]
+        if x in SPELLED:
+            names += 1
+            if names >= 3:
                 return True
-        elif x.isdigit():
-            run += 1
-        else:
-            run = names = 0
+        elif x and not x.isdigit():
+            names = 0
     return False
 
 
@@ -191,8 +196,8 @@ def rewrite(text: str, changes: list[tuple[int, int, str]]) -> Written:
 
 
 def _disguises(text: str) -> list[tuple[int, int, str]]:
-    found, low = [], text.encode().lower().translate(_SPACED)
-    if _may_mail(text, low):
+    found, low = [], _lower(text)
+    if _may_mail(text, low.encode().translate(_SPACED)):
         for m in _MAIL.finditer(text):
             at, domain = ("at", "domain") if m["at"] else ("at2", "domain2")
             spans = [(*m.span(at), "@")] + [(d.start() + m.start(p), d.end() + m.start(p), ".") for p in ("local", domain) for d in _DOT_IN.finditer(m[p])]
@@ -203,7 +208,7 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
             digits = sum(c.isdigit() for c in _NAME.sub("0", m[0]))
             if len(names) < 3 or digits < 8:
                 continue
-            pieces = [(n.start(), n.end(), SPELLED[n[0].lower()]) for n in names]
+            pieces = [(n.start(), n.end(), SPELLED[_lower(n[0])]) for n in names]
             if p := _PLUS.match(m[0]):
                 pieces.insert(0, (0, p.end(), "+"))
             # Between two digits of a run other marks than those the kinds allow become a space.

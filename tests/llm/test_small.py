@@ -134,6 +134,15 @@ def test_deobfuscation():
         assert not any(pii.all_spans(clean)[1].values())
 
 
+def test_spelled_digits_between_any_marks():
+    for text in ("call +49 five five five 1234567; thanks", "PLUS VIER NEUN FÜNF DREI ZWEI 1234567", "“+49 five five five 1234567”", "x/+49 five five five 1234567!", "+49 fıve ſix five 1234567"):
+        assert pii.all_spans(text)[1]["phone"], text
+        low = pii._lower(text)
+        assert pii._RUN.search(text) and pii._may_run(low), text
+    assert pii._may_run("plusfive, 1 five_five") and not pii._may_run("five five, x five")
+    assert pii.find("0" * 5000 + "1.2.3.4")["ip"] == [(0, 5007)]
+
+
 def test_personal_data_rows(spark, docs):
     got = pii.personal_data(docs)
     assert got.count() == len(ROWS) and got.where("spans <> ''").count() == 0
