@@ -14,14 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filelake.llm.common import table, written
 from filelake.llm.decontam import decontaminate
-from filelake.llm.langid import UNKNOWN, identify
+from filelake.llm.langid import foreign, inferred
 from filelake.llm.mixing import mix
 from filelake.llm.near_dup import near_duplicates
 from filelake.llm.wavelet import token_documents
 
-#: Least share of a document that its main language must have.
-MIN_SHARE = 0.4
-
 
 def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     gone = written(gone.select("doc_id").where("doc_id is not null").distinct(), name)
@@ -29,9 +26,9 @@ def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language or with none of MIN_SHARE."""
-    found = identify(docs)
-    return _without(docs, found.where((found["lang_pred"] == UNKNOWN) | (found["score"] < MIN_SHARE)), "rejected")
+    """Rejects documents without a language or in none that was learnt; mixtures of languages stay."""
+    found = written(inferred(docs), "languages")
+    return _without(docs, found.where(foreign(found)), "rejected")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ BUCKETS, SAMPLE = 1 << 15, 4000
 LANGUAGES, SET = 256, 4
 STEPS, SMOOTH = 12, 0.5
 UNKNOWN = "und"
+#: Quartile ranges below the median fit from which a text is held to be in no learnt language.
+FAR = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,6 +135,7 @@ def _predict(shared):
         for batch in batches:
             lang = np.full(batch.num_rows, UNKNOWN, object)
             score, fit_, mixed = np.zeros(batch.num_rows), np.zeros(batch.num_rows), [""] * batch.num_rows
+            spread, n_bytes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             data, offs = text_bytes(batch.column(1))
             values = batch.column(1)
             for i, j in slices(offs):
@@ -144,7 +147,8 @@ def _predict(shared):
                         k = int(s.argmax())
                         lang[i + t], score[i + t], fit_[i + t] = model.languages[k], min(1.0, float(s[k])), x
                         mixed[i + t] = ",".join(model.languages[m] for m in np.flatnonzero(s > 0.01))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(fit_), pa.array(mixed, pa.string())], names=["doc_id", "lang_pred", "score", "log_likelihood", "languages"])
+                        spread[i + t], n_bytes[i + t] = -float((s * np.log(np.maximum(s, 1e-12))).sum()), len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score), pa.array(fit_), pa.array(mixed, pa.string()), pa.array(spread), pa.array(n_bytes)], names=["doc_id", "lang", "lang_pred", "score", "log_likelihood", "languages", "spread", "n_bytes"])
 
     return run
 
@@ -154,6 +158,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def inferred(docs: DataFrame) -> DataFrame:
+    """doc_id, lang (as given), lang_pred, score, log_likelihood, languages, spread (entropy of the
+    proportions in nats), n_bytes; see identify()."""
+    spark = docs.sparkSession
+    prepare(spark)
+    marked = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    shared = spark.sparkContext.broadcast(fit(marked.where("not held_out").select("doc_id", "lang", "text")))
+    return marked.select("doc_id", "text", "lang").mapInArrow(_predict(shared), "doc_id long, lang string, lang_pred string, score double, log_likelihood double, languages string, spread double, n_bytes long")
+
+
+def foreign(found: DataFrame) -> Column:
+    """Of rows of inferred(), which are in no learnt language: none found, or a fit far below that of the
+    documents that are found in the language that they are labelled with.
+
+    A mixture of languages loses up to the entropy of its proportions a gram against its languages alone,
+    so that is given back. The range has two parts, FAR quartile ranges each: that of the fits, and that of
+    their deviations times the root of the length, for short texts scatter more. A range over all such
+    documents, in one row; they themselves are never foreign, and without any only texts without a language are."""
+    fit_ = F.col("log_likelihood") + F.col("spread")
+    own = found.where((F.col("lang") == F.col("lang_pred")) & (F.col("lang_pred") != UNKNOWN)).select(fit_.alias("fit"), F.sqrt("n_bytes").alias("root"))
+    q = F.percentile_approx("fit", [0.25, 0.5, 0.75], 10000)
+    low, mid, high = own.agg(q.alias("q")).first()["q"] or (0.0, 0.0, float("inf"))
+    scaled = (F.col("fit") - mid) * F.col("root")
+    a, b = own.agg(F.percentile_approx(scaled, [0.25, 0.75], 10000).alias("q")).first()["q"] or (0.0, 0.0)
+    learnt = F.coalesce(F.col("lang") == F.col("lang_pred"), F.lit(False))
+    return (F.col("lang_pred") == UNKNOWN) | ~learnt & (fit_ < mid - FAR * ((high - low) + (b - a) / F.sqrt(F.greatest("n_bytes", F.lit(1)))))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, log_likelihood, languages for each row of docs (doc_id, text, lang).
 
@@ -161,9 +193,4 @@ def identify(docs: DataFrame) -> DataFrame:
     are used); see fit(). lang_pred is the language of largest proportion in the document's chosen set,
     score that proportion, languages the set. A text that is null or has no letter, or any if there is
     nothing to learn from: und, 0. Repeated rows are each predicted alike; other columns are not read."""
-    spark = docs.sparkSession
-    prepare(spark)
-    marked = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    shared = spark.sparkContext.broadcast(fit(marked.where("not held_out").select("doc_id", "lang", "text")))
-    out = marked.select("doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, log_likelihood double, languages string")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "log_likelihood", "languages")
+    return inferred(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "log_likelihood", "languages")

@@ -19,3 +19,18 @@ def test_stages(spark):
             assert not gone
     out = corpus_pipeline.run(spark, SF).orderBy("start").collect()
     assert len(out) > 20 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:], strict=False))
+
+
+def test_mixtures_stay_and_languages_not_learnt_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {}
+    for r in docs.orderBy("doc_id").where("n_chars > 1000").collect():
+        text.setdefault(r["lang"], r["text"][:1000])
+    assert len(text) == 4
+    langs = sorted(text)
+    rows = [(-1, " ".join(text[x] for x in langs[:3])), (-2, " ".join(text[x] for x in langs)), (-3, "Быстрая коричневая лиса прыгает через ленивую собаку у реки. " * 20), (-5, "12 ..")]
+    rows += [(-6, text[langs[0]][:40]), (-7, text[langs[1]][500:520])]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language_id(spark, docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more), SF)
+    assert {r["doc_id"] for r in out.where("doc_id < 0").collect()} == {-1, -2, -6, -7}
+    assert out.where("doc_id >= 0").count() == docs.count()
