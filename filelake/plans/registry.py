@@ -285,12 +285,20 @@ def _r3(spark, d):
 _RAW = """WITH raw AS (SELECT doc_id, 'p' || (doc_id % 7) AS parent_path, 'x' || doc_id AS stem, unnest(CASE WHEN doc_id % 80 = 0 THEN ['nef', 'jpg', 'xmp'] ELSE ['nef', 'jpg'] END) AS ext FROM documents WHERE doc_id % 40 = 0)"""
 
 
+def _media_listing(spark, d):
+    """Files of every document: one in 40 has a RAW and its rendering, every other of these a sidecar too; the
+    others are RAW, rendered, sidecar and plain files without a partner."""
+    k = F.col("doc_id")
+    lone = F.element_at(F.array(*map(F.lit, ("txt", "nef", "jpg", "xmp"))), (F.abs(k) % 4 + 1).cast("int"))
+    exts = F.when(k % 80 == 0, F.array(*map(F.lit, ("nef", "jpg", "xmp")))).when(k % 40 == 0, F.array(F.lit("nef"), F.lit("jpg"))).otherwise(F.array(lone))
+    docs = table(spark, d, "documents").select("doc_id", F.explode(exts).alias("ext"))
+    name = F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit("."), "ext")
+    return docs.select(F.lit("r").alias("root_id"), F.lit("s").alias("scan_id"), F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string")).alias("parent_path"), F.concat_ws("/", F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string")), name).alias("relative_path"), name.alias("record_id"))
+
+
 @query("r4_media_pairs", _RAW + " SELECT stem || '.nef' AS source_id, stem || '.' || ext AS target_id, CASE WHEN ext = 'xmp' THEN 'sidecar-of' ELSE 'derived-version' END AS relationship FROM raw WHERE ext <> 'nef'")
 def _r4(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 40 = 0").select("doc_id", F.explode(F.when(F.col("doc_id") % 80 == 0, F.array(F.lit("nef"), F.lit("jpg"), F.lit("xmp"))).otherwise(F.array(F.lit("nef"), F.lit("jpg")))).alias("ext"))
-    name = F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit("."), "ext")
-    listing = docs.select(F.lit("r").alias("root_id"), F.lit("s").alias("scan_id"), F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string")).alias("parent_path"), F.concat_ws("/", F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string")), name).alias("relative_path"), name.alias("record_id"))
-    return R.media_pairs(L.from_manifest(listing)).select("source_id", "target_id", "relationship")
+    return R.media_pairs(L.from_manifest(_media_listing(spark, d))).select("source_id", "target_id", "relationship")
 
 
 @query("r6_album_groups", U + " SELECT root_id, parent_path, count(*) FILTER (category = 'Audio') AS tracks, count(*) FILTER (category = 'Images') AS artwork, count(*) AS members FROM und GROUP BY 1, 2 HAVING count(*) FILTER (category = 'Audio') >= 2 AND count(*) FILTER (category = 'Images') >= 1")

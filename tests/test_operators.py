@@ -14,6 +14,7 @@ from filelake.operators import organize as O
 from filelake.operators import reconcile as N
 from filelake.operators import search as Q
 from filelake.operators import transfer as T
+from filelake.plans import registry
 from filelake.sources.listing import read_tree
 from filelake.sources.tables import export_manifest, import_manifest, read_event_log
 
@@ -82,6 +83,15 @@ def test_collisions_match_a_sequential_pass(spark):
     assert {r["record_id"]: r["final"] for r in O.resolve_collisions(w, o).collect()} == want
 
 
+def test_media_listing_holds_every_document(spark):
+    sf = "/root/testdata/sf0.001"
+    listing = registry._media_listing(spark, sf)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    stems = listing.groupBy(F.substring_index("record_id", ".", 1).alias("stem")).agg(F.count("*").alias("n"))
+    assert stems.count() == n and stems.where("n = 1").count() > n / 2
+    assert {r["ext"] for r in listing.select(F.substring_index("record_id", ".", -1).alias("ext")).distinct().collect()} == {"txt", "nef", "jpg", "xmp"}
+
+
 def test_audit_chain(spark):
     events = spark.createDataFrame([("c", i, f"e{i}") for i in range(4)] + [("d", 0, "x")], "k string, o int, b string")
     chain = E.append_chain(events, "k", "o", "b")
