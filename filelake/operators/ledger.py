@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship
 from .duplicates import newest_per_key
 
 # Which job statuses may follow which.
@@ -19,15 +25,34 @@ def entry_hash(previous: Column, *fields: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, order, body, bytes of the body) in order of key and place; holds one key's place and last hash."""
+    key, n, last = None, 0, None
+    for batch in batches:
+        sequence, previous, own = [], [], []
+        for k, body in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if k != key:
+                key, n, last = k, 0, None
+            n += 1
+            sequence.append(n)
+            previous.append(last)
+            last = hashlib.sha256((last or GENESIS).encode() + b"\0" + (body or b"")).hexdigest()
+            own.append(last)
+        made = [pa.array(sequence, pa.int32()), *batch.columns[1:3], pa.array(previous, pa.string()), pa.array(own, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["k", "sequence", "o", "b", "previous_hash", "entry_hash"])
+
+
 def append_chain(events: DataFrame, key: str, order: str, body: str) -> DataFrame:
     """Events with sequence (from 1 per key), previous_hash and entry_hash, each hash over the one before.
 
-    A chain is sequential by nature: one key's batch is folded as one array."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("b")))).alias("rows"))
-    step = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), F.lit("\0"), F.coalesce(x["b"], F.lit(""))), 256)))
-    chained = rows.withColumn("h", F.aggregate("rows", F.array(F.lit(GENESIS)), step))
-    cut = chained.select(key, F.posexplode("rows").alias("i", "row"), "h")
-    return cut.select(key, (F.col("i") + 1).alias("sequence"), F.col("row.o").alias(order), F.col("row.b").alias(body), F.when(F.col("i") > 0, F.col("h")[F.col("i")]).alias("previous_hash"), F.col("h")[F.col("i") + 1].alias("entry_hash"))
+    A chain is sequential by nature: one task runs through a key's rows, sorted, and holds none of them."""
+    ship(events.sparkSession)
+    rows = events.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(body).alias("b"))
+    rows = rows.repartition("k").sortWithinPartitions("k", "o", "b").withColumn("d", F.col("b").cast("string").cast("binary"))
+    k, o, b = (T.StructField(f.name, f.dataType) for f in rows.schema.fields[:3])
+    made = T.StructType([k, T.StructField("sequence", T.IntegerType()), o, b, T.StructField("previous_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    out = rows.mapInArrow(_chained, made)
+    return out.select(F.col("k").alias(key), "sequence", F.col("o").alias(order), F.col("b").alias(body), "previous_hash", "entry_hash")
 
 
 def with_previous(chain: DataFrame, key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Literal cases of single operators."""
 
+import hashlib
 import random
 import struct
 
@@ -104,6 +105,21 @@ def test_audit_chain(spark):
     assert (got["entries_checked"], got["first_invalid"], got["reason"]) == (1, 3, "sequence")
 
 
+def test_long_chain_is_not_held_as_an_array(spark):
+    n = 20_000
+    events = spark.range(n).select(F.when(F.col("id") % 2 == 0, "hot").alias("k"), (-F.col("id")).alias("o"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("ü"), F.col("id").cast("string"))).alias("b"))
+    chain = E.append_chain(events, "k", "o", "b")
+    assert "collect_list" not in chain._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for odd, key in ((0, "hot"), (1, None)):
+        last = None
+        for s, i in enumerate(range(n - 2 + odd, -1, -2), 1):
+            h = hashlib.sha256(f"{last or E.GENESIS}\0{f'ü{i}' if i % 5 else ''}".encode()).hexdigest()
+            want[key, s] = (-i, last, h)
+            last = h
+    assert {(r["k"], r["sequence"]): (r["o"], r["previous_hash"], r["entry_hash"]) for r in chain.collect()} == want
+
+
 def test_reuse_prefers_the_file_over_the_path(spark):
     ddl = "record_id string, root_id string, relative_path string, byte_length long, modified_at string, device_id string, filesystem_record_id string"
     tasks = spark.createDataFrame([("t", "r", "p", 1, "2024", "d", "7"), ("u", "r", "q", 1, None, "d", "8")], ddl)
