@@ -14,16 +14,24 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Rows in an Arrow batch handed to Python; with slices() this bounds a task's memory.
+#: Rows of an Arrow batch that Python works on at once; with slices() this bounds a task's memory.
 BATCH_ROWS = 512
 #: Bytes of text that are worked on at once; a longer text forms a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Binary logarithms of the least and most bits of a filter.
+LEAST_LOG2, MOST_LOG2 = 16, 26
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session and hand the package to its Python workers."""
+    """Hand the package to the session's Python workers. No setting of the session is changed."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def bounded(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in slices of at most so many rows. Spark bounds a batch's bytes by itself."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,18 +96,21 @@ def xxhash64(x: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def bloom_spots(ids: np.ndarray, log2: int) -> np.ndarray:
-    """Spot of each id in a filter of 2**log2 bits; the same rule as bloom_column()."""
-    return (xxhash64(ids) & np.uint64((1 << log2) - 1)).astype(np.int64)
+def bloom_hits(bits: np.ndarray, log2: int, ids: np.ndarray) -> np.ndarray:
+    """Which ids fall on a set bit of a filter of bloom(); their spots are those of bloom_column()."""
+    spot = (xxhash64(ids) & np.uint64((1 << log2) - 1)).astype(np.int64)
+    return (bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).view(bool)
 
 
 def bloom_column(c: Column, log2: int) -> Column:
     return F.xxhash64(c).bitwiseAND(F.lit((1 << log2) - 1).cast("long"))
 
 
-def bloom(ids: DataFrame, column: str, log2: int = 22) -> np.ndarray:
-    """One bit for each spot that an id of ids falls on. At most 2**log2 / 64 rows of 64 bits reach the
-    driver, whatever the input; a full filter lets more rows through and loses none."""
+def bloom(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """(bits, log2): one bit for each spot that an id of ids falls on, of 2**log2. The filter has eight bits or more
+    for each row of ids within LEAST_LOG2 and MOST_LOG2, so at most 2**MOST_LOG2 / 64 rows of 64 bits reach the
+    driver; beyond that it lets more rows through, which a join then sorts out, and loses none."""
+    log2 = min(MOST_LOG2, max(LEAST_LOG2, (8 * ids.count()).bit_length()))
     spot = bloom_column(F.col(column), log2)
     words = (
         ids.where(F.col(column).isNotNull())
@@ -110,4 +121,4 @@ def bloom(ids: DataFrame, column: str, log2: int = 22) -> np.ndarray:
     )
     out = np.zeros((1 << log2) // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8), log2

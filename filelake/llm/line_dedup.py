@@ -15,15 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_spots, prepare, slices, text_bytes, written
+from .common import bloom, bloom_hits, bounded, prepare, slices, text_bytes, written
 from .words import NOT_SPACE, U, Words, as_long, mix, words
 
 #: Jaccard similarity in hundredths from which lines match.
 SIMILARITY = 80
 #: Counters that rarity is read from: words share them by hash, so the table has one fixed size.
 COUNTERS = 1 << 21
-#: Binary logarithm of the bits of the filter for shared prefix words.
-WORD_BITS = 23
 _SLOT = U(COUNTERS - 1)
 #: Earlier prefix words that a row of the join carries. A pair that has its first common word behind so many
 #: may come up more than once; none is lost.
@@ -140,13 +138,13 @@ def _prefixed(shared):
 
 def _shared_words(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
+        bits, log2 = shared.value
+        for batch in bounded(batches):
             lists = batch.column(3)
             word, have = lists.flatten().to_numpy(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), have)
             at = np.arange(len(word)) - np.repeat(np.cumsum(have) - have, have)
-            hit = bits[bloom_spots(word, WORD_BITS)]
+            hit = bloom_hits(bits, log2, word)
             word, row, at = word[hit], row[hit], at[hit]
             count = np.bincount(row, minlength=batch.num_rows)
             first = (np.cumsum(count) - count)[row]
@@ -160,10 +158,10 @@ def _shared_words(shared):
     return run
 
 
-def _whole_sets(shared, log2: int):
+def _whole_sets(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
+        bits, log2 = shared.value
+        for batch in bounded(batches):
             data, offs = text_bytes(batch.column(1))
             ids = batch.column(0).to_pylist()
             for i, j in slices(offs):
@@ -173,7 +171,7 @@ def _whole_sets(shared, log2: int):
                 doc = np.repeat(np.arange(i, j), np.diff(first))
                 line = np.arange(len(doc)) - np.repeat(first[:-1], np.diff(first))
                 name = np.array([-1 if x is None else x for x in ids], np.int64)[doc] ^ (line << 40)
-                hit = np.flatnonzero(bits[bloom_spots(name, log2)] & (np.diff(w.off) > 0))
+                hit = np.flatnonzero(bloom_hits(bits, log2, name) & (np.diff(w.off) > 0))
                 sets = [as_long(np.unique(w.hash[w.off[n] : w.off[n + 1]])) for n in hit]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc[hit]], pa.int64()), pa.array(line[hit].astype(np.int32)), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "line", "words"])
 
@@ -184,7 +182,7 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, links): every line with words as (doc_id, line, k1, k2), k1 and k2 naming its class, and the
     links of classes that match without being equal, each way round, as (k1, k2, first, least) with first
     the class's own first line and least the first line of the other."""
-    spark, log2 = docs.sparkSession, 22
+    spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     shared = spark.sparkContext.broadcast(rarity(docs))
@@ -195,7 +193,7 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Words that only one class has in its prefix can join nothing: words alone are counted, and a filter of
     # fixed size of those that several have goes over the prefixes before any row is made of them.
     common = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
-    shared = spark.sparkContext.broadcast(bloom(common, "word", WORD_BITS))
+    shared = spark.sparkContext.broadcast(bloom(common, "word"))
     mine = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "size", "prefix", *MAP).mapInArrow(_shared_words(shared), f"doc_id long, line int, size int, {', '.join(f'{m} long' for m in MAP)}, at int, seen int, word long, earlier array<long>")
     mine = mine.select(F.struct("doc_id", "line").alias("first"), "size", *MAP, "at", "seen", "word", "earlier")
     # One table under two names, so that both sides of the join read one shuffle.
@@ -215,8 +213,8 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ends = pairs.select(F.col("first").alias("e")).union(pairs.select("first2")).distinct()
     ends = written(ends.select(F.col("e.doc_id").alias("doc_id"), F.col("e.line").alias("line"), F.col("e.doc_id").bitwiseXOR(F.shiftleft(F.col("e.line").cast("long"), 40)).alias("name")), "ends")
-    bits = spark.sparkContext.broadcast(bloom(ends, "name", log2))
-    found = docs.mapInArrow(_whole_sets(bits, log2), "doc_id long, line int, words array<long>")
+    bits = spark.sparkContext.broadcast(bloom(ends, "name"))
+    found = docs.mapInArrow(_whole_sets(bits), "doc_id long, line int, words array<long>")
     sets = written(found.join(ends.drop("name"), ["doc_id", "line"], "left_semi").select(F.struct("doc_id", "line").alias("e"), "words"), "sets")
     both = pairs.join(sets.toDF("first", "one"), "first").join(sets.toDF("first2", "two"), "first2")
     n = F.size(F.array_intersect("one", "two"))

@@ -2,8 +2,8 @@
 
 Work on classes of equal shingle sets, so thousands of exact copies cost one class. Within a band's
 bucket every member is first tried against the bucket's hub; members that this leaves in different
-components are joined exactly, by the prefixes of their sets. So a bucket of n near copies costs n pairs,
-and no link between different sets of a shared bucket is lost.
+components are then tried against each other, where sizes and bitmaps of their sets allow a link. So a bucket
+of n near copies costs about n pairs, and no link between different sets of a shared bucket that joins components is lost.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_spots, prepare, slices, text_bytes, written
+from .common import bloom, bloom_hits, bounded, prepare, slices, text_bytes, written
 from .components import components
 from .words import STEP, U, as_long, mix, shingles, stream, words
 
@@ -37,10 +37,17 @@ def minima(keys: np.ndarray) -> np.ndarray:
     return least
 
 
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """MAP_WORDS words of 64 bits in which each shingle of a set sets one."""
+    bits = np.zeros(64 * MAP_WORDS, bool)
+    bits[((own >> U(40)) & U(64 * MAP_WORDS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches):
         data, offs = text_bytes(batch.column(1))
-        count, k1, k2, sums = [], [], [], []
+        count, k1, k2, sums, maps = [], [], [], [], []
         for i, j in slices(offs):
             keys, off = shingles(words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
             for d in range(j - i):
@@ -50,6 +57,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k2.append(mix(own + U(77)).sum(dtype=U))
                 count.append(len(own))
                 sums.append(minima(own))
+                maps.append(_bitmap(own))
         m = np.array(sums, U).reshape(len(count), BANDS * ROWS)
         with np.errstate(over="ignore"):
             cut = m.reshape(-1, BANDS, ROWS)
@@ -58,32 +66,25 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = pa.array(as_long(band.reshape(-1)))
         ends = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.array(count, np.int64)), pa.array(as_long(np.array(k1, U))), pa.array(as_long(np.array(k2, U))), pa.ListArray.from_arrays(ends, flat), pa.array([x.tobytes() for x in sig], pa.binary())],
-            names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
+            [batch.column(0), pa.array(np.array(count, np.int64)), pa.array(as_long(np.array(k1, U))), pa.array(as_long(np.array(k2, U))), pa.ListArray.from_arrays(ends, flat), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(maps, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig", "map"],
         )
 
 
-def _bitmap(own: np.ndarray) -> np.ndarray:
-    """MAP_WORDS words of 64 bits in which each shingle of a set sets one."""
-    bits = np.zeros(64 * MAP_WORDS, bool)
-    bits[((own >> U(40)) & U(64 * MAP_WORDS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
-
-
 def _sets(filtered, log2: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filtered.value
-        for batch in batches:
+        for batch in bounded(batches):
             ids = batch.column(0).drop_null().to_numpy() if batch.column(0).null_count else batch.column(0).to_numpy()
             hit = np.zeros(batch.num_rows, bool)
             valid = ~np.asarray(batch.column(0).is_null())
-            hit[valid] = bits[bloom_spots(ids, log2)]
+            hit[valid] = bloom_hits(bits, log2, ids)
             batch = batch.filter(pa.array(hit))
             data, offs = text_bytes(batch.column(1))
             for i, j in slices(offs):
                 keys, off = shingles(words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-                sets = [np.unique(keys[off[d] : off[d + 1]]) for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([as_long(s) for s in sets], pa.list_(pa.int64())), pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "keys", "map"])
+                sets = [as_long(np.unique(keys[off[d] : off[d + 1]])) for d in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "keys"])
 
     return run
 
@@ -104,7 +105,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     tried = pairs.join(sig.toDF("u", "one"), "u").join(sig.toDF("v", "two"), "v").select("u", "v", "one", "two")
     near = written(tried.mapInArrow(_agree, "u long, v long").distinct(), "near")
     ends = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
-    sets = _whole(ends, docs).drop("map")
+    sets = _whole(ends, docs)
     both = near.join(sets.toDF("u", "one"), "u").join(sets.toDF("v", "two"), "v")
     shared = F.size(F.array_intersect("one", "two"))
     linked = both.select("u", "v", shared.alias("n"), (F.size("one") + F.size("two")).alias("total"))
@@ -113,34 +114,32 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _whole(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, keys: the sets of the documents in ids (doc_id)."""
-    spark, log2 = ids.sparkSession, 22
-    bits = spark.sparkContext.broadcast(bloom(ids, "doc_id", log2))
-    found = docs.select("doc_id", "text").mapInArrow(_sets(bits, log2), "doc_id long, keys array<long>, map array<long>")
-    return written(found.join(ids, "doc_id", "left_semi").select("doc_id", "keys", "map"), "sets")
-
-
-def _apart(open_: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (u, v) of classes in different components that can have similarity 0.75: they share a shingle
-    of their prefixes, rarest first, under length, positional and bitmap filters. Passages that many documents
-    share are no one's rarest shingles, so documents that have only those in common are not paired."""
-    sets = _whole(open_.select(F.col("cls").alias("doc_id")), docs).withColumn("n", F.size("keys"))
-    held = written(sets.select(F.col("doc_id").alias("cls"), "n", F.explode("keys").alias("key")), "held")
-    df = written(held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "df")
-    ranked = held.join(df, "key", "left").select("cls", "n", "key", F.coalesce("df", F.lit(1)).alias("df"))
-    own = Window.partitionBy("cls", "n")
-    at = F.row_number().over(own.orderBy("df", "key")) - 1
-    # A shingle that no other of these sets has is shared with none: it cannot be part of an intersection.
-    ranked = ranked.withColumns({"at": at, "open": F.col("n") - F.count_if(F.col("df") == 1).over(own)})
-    prefix = ranked.where("at <= n - ceil(0.75 * n) and df > 1 and 4 * open >= 3 * n").join(open_, "cls")
-    prefix = prefix.join(sets.select(F.col("doc_id").alias("cls"), "map"), "cls")
-    prefix = written(prefix.select("key", "cls", "component", "n", "at", "open", "map"), "prefix")
-    other = prefix.toDF("key", "cls2", "component2", "n2", "at2", "open2", "map2")
-    # Each bit in which two sets' bitmaps differ takes a shingle that only one of them has.
-    apart = "7 * (" + " + ".join(f"bit_count(map[{i}] ^ map2[{i}])" for i in range(MAP_WORDS)) + ") <= n + n2"
+    spark = ids.sparkSession
+    bits, log2 = bloom(ids, "doc_id")
+    found = docs.select("doc_id", "text").mapInArrow(_sets(spark.sparkContext.broadcast(bits), log2), "doc_id long, keys array<long>")
+    return written(found.join(ids, "doc_id", "left_semi"), "sets")
+
+
+def _apart(shared: DataFrame, part: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes of one bucket in different components that can have similarity 0.75, each from
+    the first bucket that it shares.
+
+    Only buckets whose members the stars left in several components are looked at. Sizes and bitmaps are bounds
+    on the sets themselves, so no link is lost: each bit in which two bitmaps differ takes a shingle that only
+    one of the sets has. They leave few pairs of a crowded bucket, for members that pass them are nearly all
+    linked and so in one component already."""
+    placed = shared.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
+    placed = written(placed, "placed")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = written(placed.join(split, "bucket", "left_semi"), "open")
+    held = classes.select("cls", F.col("n_shingles").alias("n"), "map", "bands")
+    earlier = F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1)
+    one = open_.join(held, "cls").select("bucket", "cls", "component", "n", "map", earlier.alias("earlier"))
+    two = one.toDF("bucket", "cls2", "component2", "n2", "map2", "earlier2")
     fits = "cls > cls2 and component <> component2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n"
-    reach = "7 * least(open, open2, least(n - at, n2 - at2) + least(at, at2)) >= 3 * (n + n2)"
-    pairs = prefix.join(other, "key").where(f"{fits} and {reach} and {apart}")
-    return written(pairs.select(F.col("cls").alias("u"), F.col("cls2").alias("v")).distinct(), "rest")
+    apart = "7 * (" + " + ".join(f"bit_count(map[{i}] ^ map2[{i}])" for i in range(MAP_WORDS)) + ") <= n + n2"
+    pairs = one.join(two, "bucket").where(f"{fits} and {apart} and not arrays_overlap(earlier, earlier2)")
+    return written(pairs.select(F.col("cls").alias("u"), F.col("cls2").alias("v")), "rest")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -155,9 +154,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text")
-    base = written(docs.mapInArrow(_signed, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"), "signed")
+    base = written(docs.mapInArrow(_signed, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary, map array<long>"), "signed")
     some = base.where("n_shingles > 0 and doc_id is not null")
-    classes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    classes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("map").alias("map"), F.first("n_shingles").alias("n_shingles")), "classes")
     copies = some.select("k1", "k2", "doc_id").join(classes.select("k1", "k2", "cls"), ["k1", "k2"]).where("doc_id <> cls").select(F.col("doc_id").alias("u"), F.col("cls").alias("v"))
 
     members = written(classes.select("cls", F.explode("bands").alias("bucket")).distinct(), "members")
@@ -172,13 +171,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = shared.where("cls <> hub").select(F.col("cls").alias("u"), F.col("hub").alias("v")).distinct()
     first = written(_links(star, classes, docs), "links")
 
-    # Members of buckets that the stars leave in several components.
-    part = written(components(first), "part")
-    placed = shared.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "hub", F.coalesce("component", "cls").alias("component"))
-    placed = written(placed, "placed")
-    split = written(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket"), "split")
-    open_ = written(placed.join(split, "bucket", "left_semi").select("cls", "component").distinct(), "open")
-    second = _links(_apart(open_, docs), classes, docs)
+    second = _links(_apart(shared, written(components(first), "part"), classes), classes, docs)
 
     found = written(components(copies.union(first).union(second)), "components")
     out = base.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
