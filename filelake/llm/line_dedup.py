@@ -1,8 +1,12 @@
 """Line dedup as an exact set-similarity join.
 
-Lines of equal word sets form a class; classes are joined by the words of their prefixes, rarest first,
-under length, positional and bitmap filters, and verified on whole sets. A line goes if an earlier one, in order
-of (doc_id, line number), has a set of similarity SIMILARITY or more.
+Lines of equal word sets form a class, led by its first line. Classes meet by the words of their prefixes,
+rarest first, under length, positional and bitmap filters. That is a semi join: it passes on the rows of
+(word, class) that have any partner, not the pairs. The rows that are left of a word are dealt out in tiles of a
+bounded number of whole sets; a product of 0/1 matrices gives all intersections of a tile, and for each class it
+passes on its number of links and the earliest line among them. So a line of thousands of changed copies makes
+rows in proportion to its copies, and no link is lost. A line goes if an earlier one, in order of
+(doc_id, line number), has a set of similarity SIMILARITY or more.
 """
 
 from __future__ import annotations
@@ -11,21 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom, bloom_hits, bounded, prepare, slices, text_bytes, written
-from .words import NOT_SPACE, U, Words, as_long, mix, words
+from .words import NOT_SPACE, U, as_long, mix, words
 
 #: Jaccard similarity in hundredths from which lines match.
 SIMILARITY = 80
 #: Counters that rarity is read from: words share them by hash, so the table has one fixed size.
 COUNTERS = 1 << 21
 _SLOT = U(COUNTERS - 1)
-#: Earlier prefix words that a row of the join carries. A pair that has its first common word behind so many
-#: may come up more than once; none is lost.
-EARLIER = 64
+#: What rarity() says of a counter of one word.
+_ONCE = 8
+#: Sets on each side of a tile, and words that one matrix product takes.
+TILE, COLUMNS = 512, 4096
 
 
 def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,15 +43,9 @@ def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends]).astype(np.int64), first
 
 
-def _sets(w: Words) -> Iterator[np.ndarray]:
-    off = w.off.tolist()
-    for a, b in zip(off[:-1], off[1:], strict=True):
-        yield np.unique(w.hash[a:b])
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
+    for batch in bounded(batches):
         data, offs = text_bytes(batch.column(0))
         for i, j in slices(offs):
             w = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], NOT_SPACE)
@@ -87,23 +85,23 @@ def _prefix(size: np.ndarray) -> np.ndarray:
     return np.where(size * (100 - SIMILARITY) >= SIMILARITY, size + (-SIMILARITY * size // 100) + 1, 0)
 
 
-MAP = ["map0", "map1", "map2", "map3"]
-_PREFIXED = "doc_id long, line int, k1 long, k2 long, size int, prefix array<long>, " + ", ".join(f"{m} long" for m in MAP)
+MAP = ["map0", "map1"]
+_PREFIXED = "doc_id long, line int, k1 long, k2 long, size int, prefix array<long>, map0 long, map1 long"
 
 
 def _bitmaps(own: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-    """Four words of 64 bits for each set that begins at begin, in which each element of it sets one."""
-    bit = (own >> U(40)) & U(255)
+    """Words of 64 bits for each set that begins at begin, in which each element of it sets one bit."""
+    bit = (own >> U(40)) & U(64 * len(MAP) - 1)
     one = U(1) << (bit & U(63))
-    return [np.bitwise_or.reduceat(np.where(bit >> U(6) == U(m), one, U(0)), begin) for m in range(4)]
+    return [np.bitwise_or.reduceat(np.where(bit >> U(6) == U(m), one, U(0)), begin) for m in range(len(MAP))]
 
 
 def _prefixed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             data, offs = text_bytes(batch.column(1))
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0).to_numpy()
             for i, j in slices(offs):
                 raw = data[offs[i] : offs[j]]
                 cut, first = _lines(raw, offs[i : j + 1] - offs[i])
@@ -126,103 +124,149 @@ def _prefixed(shared):
                 with np.errstate(over="ignore"):
                     k1, k2 = np.add.reduceat(own, begin), np.add.reduceat(mix(own + U(77)), begin)
                 take = _prefix(size)
-                rarest = own[np.lexsort((rare[(own & _SLOT).astype(np.int64)], row))]
+                rarity_of = rare[(own & _SLOT).astype(np.int64)]
+                order = np.lexsort((rarity_of, row))
+                # A word that stands once in all documents joins nothing: 0 holds its place.
+                rarest = np.where(rarity_of[order] <= _ONCE, U(0), own[order])
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(as_long(rarest[at < np.repeat(take, size)])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d in doc[keep]], pa.int64()), pa.array(line[keep].astype(np.int32)), pa.array(as_long(k1)), pa.array(as_long(k2)), pa.array(size.astype(np.int32)), prefix, *[pa.array(as_long(m)) for m in _bitmaps(own, begin)]],
+                    [pa.array(ids[doc[keep]], pa.int64()), pa.array(line[keep].astype(np.int32)), pa.array(as_long(k1)), pa.array(as_long(k2)), pa.array(size.astype(np.int32)), prefix, *[pa.array(as_long(m)) for m in _bitmaps(own, begin)]],
                     names=["doc_id", "line", "k1", "k2", "size", "prefix", *MAP],
                 )
 
     return run
 
 
-def _shared_words(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, log2 = shared.value
-        for batch in bounded(batches):
-            lists = batch.column(3)
-            word, have = lists.flatten().to_numpy(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), have)
-            at = np.arange(len(word)) - np.repeat(np.cumsum(have) - have, have)
-            hit = bloom_hits(bits, log2, word)
-            word, row, at = word[hit], row[hit], at[hit]
-            count = np.bincount(row, minlength=batch.num_rows)
-            first = (np.cumsum(count) - count)[row]
-            seen = np.arange(len(word)) - first
-            held = np.minimum(seen, EARLIER)
-            ends = np.concatenate([[0], np.cumsum(held)])
-            earlier = word[np.arange(ends[-1]) + np.repeat(first - ends[:-1], held)]
-            picked = batch.select([0, 1, 2, 4, 5, 6, 7]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(at.astype(np.int32)), pa.array(seen.astype(np.int32)), pa.array(word), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(earlier))], names=["doc_id", "line", "size", *MAP, "at", "seen", "word", "earlier"])
-
-    return run
-
-
 def _whole_sets(shared):
+    """Sets, rarest word first, of the lines whose name is in a filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, log2 = shared.value
+        rare, bits, log2 = shared.value
         for batch in bounded(batches):
             data, offs = text_bytes(batch.column(1))
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0).to_numpy()
             for i, j in slices(offs):
                 raw = data[offs[i] : offs[j]]
                 cut, first = _lines(raw, offs[i : j + 1] - offs[i])
-                w = words(raw, cut, NOT_SPACE)
                 doc = np.repeat(np.arange(i, j), np.diff(first))
                 line = np.arange(len(doc)) - np.repeat(first[:-1], np.diff(first))
-                name = np.array([-1 if x is None else x for x in ids], np.int64)[doc] ^ (line << 40)
-                hit = np.flatnonzero(bloom_hits(bits, log2, name) & (np.diff(w.off) > 0))
-                sets = [as_long(np.unique(w.hash[w.off[n] : w.off[n + 1]])) for n in hit]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc[hit]], pa.int64()), pa.array(line[hit].astype(np.int32)), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "line", "words"])
+                name = ids[doc] ^ (line << 40)
+                hit = np.flatnonzero(bloom_hits(bits, log2, name))
+                if not len(hit):
+                    continue
+                # Only the lines that are hit are cut into words.
+                own_cut = np.concatenate([[0], np.cumsum(cut[hit + 1] - cut[hit])])
+                picked = raw[np.repeat(cut[hit] - own_cut[:-1], np.diff(own_cut)) + np.arange(own_cut[-1])]
+                w = words(picked, own_cut, NOT_SPACE)
+                sets = [np.unique(w.hash[a:b]) for a, b in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True)]
+                sets = [as_long(x[np.argsort(rare[(x & _SLOT).astype(np.int64)], kind="stable")]) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[hit]], pa.int64()), pa.array(line[hit].astype(np.int32)), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "line", "words"])
 
     return run
 
 
+def linked(sets: list[np.ndarray], word: int) -> np.ndarray:
+    """Which sets (ordered lists that all hold word) match, as far as word is the first that two have in common."""
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    early = at < at[flat == word][row]
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[code]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    before = np.zeros_like(common)
+    for low in range(0, int(column.max()) + 1, COLUMNS):
+        for out, chosen in ((common, True), (before, early)):
+            k = np.flatnonzero((column >= low) & (column < low + COLUMNS) & chosen)
+            if len(k):
+                used, place = np.unique(column[k], return_inverse=True)
+                held = np.zeros((len(sets), len(used)), np.float32)
+                held[row[k], place] = 1
+                out += held @ held.T
+    link = (100 * common >= SIMILARITY * (size[:, None] + size[None, :] - common)) & (before == 0)
+    np.fill_diagonal(link, False)
+    return link
+
+
+_FOUND = "doc_id long, line int, n_links long, other_id long, other_line int"
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each class in a tile: rows (word, lo, hi, side, doc_id, line, words), those of a tile together.
+    Tiles of two sides hold the pairs between these alone."""
+    key, rows = None, []
+
+    def close():
+        rows.sort(key=lambda r: r[1:3])
+        side, doc, line = (np.array([r[c] for r in rows]) for c in range(3))
+        link = linked([r[3] for r in rows], key[0]) & ((doc[:, None] != doc) | (line[:, None] != line))
+        if key[1] != key[2]:
+            link &= side[:, None] != side
+        n, least = link.sum(axis=1), link.argmax(axis=1)
+        return [(rows[i][1], rows[i][2], int(n[i]), rows[least[i]][1], rows[least[i]][2]) for i in np.flatnonzero(n)]
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "line", "n_links", "other_id", "other_line"])
+
+    held: list[tuple] = []
+    for batch in bounded(batches):
+        word, lo, hi, side, doc, line = (batch.column(c).to_numpy().tolist() for c in range(6))
+        offs, flat = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
+        for i in range(batch.num_rows):
+            now = (word[i], lo[i], hi[i])
+            if now != key:
+                if len(rows) > 1:
+                    held += close()
+                    if len(held) > 4096:
+                        yield out(held)
+                        held = []
+                key, rows = now, []
+            rows.append((side[i], doc[i], line[i], flat[offs[i] : offs[i + 1]].copy()))
+    if len(rows) > 1:
+        held += close()
+    if held:
+        yield out(held)
+
+
 def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, links): every line with words as (doc_id, line, k1, k2), k1 and k2 naming its class, and the
-    links of classes that match without being equal, each way round, as (k1, k2, first, least) with first
-    the class's own first line and least the first line of the other."""
+    """(lines, links): every line with words as (doc_id, line, k1, k2), k1 and k2 naming its class, and for each
+    class that matches others without being equal (first, least, n_links): its own first line, the least first
+    line of the others, and their number."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    shared = spark.sparkContext.broadcast(rarity(docs))
-    base = written(docs.mapInArrow(_prefixed(shared), _PREFIXED), "lines")
-    classes = base.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *[F.first(m).alias(m) for m in MAP])
-    classes = written(classes.where(F.size("prefix") > 0), "classes")
-
-    # Words that only one class has in its prefix can join nothing: words alone are counted, and a filter of
-    # fixed size of those that several have goes over the prefixes before any row is made of them.
-    common = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
-    shared = spark.sparkContext.broadcast(bloom(common, "word"))
-    mine = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "size", "prefix", *MAP).mapInArrow(_shared_words(shared), f"doc_id long, line int, size int, {', '.join(f'{m} long' for m in MAP)}, at int, seen int, word long, earlier array<long>")
-    mine = mine.select(F.struct("doc_id", "line").alias("first"), "size", *MAP, "at", "seen", "word", "earlier")
+    rare = rarity(docs)
+    base = written(docs.mapInArrow(_prefixed(spark.sparkContext.broadcast(rare)), _PREFIXED), "lines")
+    classes = base.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", *MAP)])
+    mine = classes.select("first.doc_id", "first.line", "size", *MAP, F.posexplode("prefix").alias("at", "word")).where("word <> 0")
+
     # One table under two names, so that both sides of the join read one shuffle.
     one, two = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"two.{c}"))
     need = F.ceil((one("size") + two("size")) * SIMILARITY / (100.0 + SIMILARITY) - 1e-9)
     fits = (one("size") * 100 >= two("size") * SIMILARITY) & (two("size") * 100 >= one("size") * SIMILARITY)
-    # A pair comes up at its first common word alone: words stand in one order, so none before it is common
-    # and at most these many are left to share, with those beyond what is carried.
-    again = F.arrays_overlap(one("earlier"), two("earlier"))
-    left = F.least(one("size") - one("at"), two("size") - two("at")) + F.greatest(F.lit(0), F.least(one("seen"), two("seen")) - EARLIER)
+    # At a pair's first common word at most these many are left to share, for words stand in one order.
+    left = F.least(one("size") - one("at"), two("size") - two("at"))
     # Each bit in which two sets' bitmaps differ takes a word that only one of them has.
     apart = sum((F.bit_count(one(m).bitwiseXOR(two(m))) for m in MAP[1:]), F.bit_count(one(MAP[0]).bitwiseXOR(two(MAP[0]))))
     close = apart <= one("size") + two("size") - 2 * need
-    same = (one("word") == two("word")) & (one("first") < two("first"))
-    pairs = mine.alias("one").join(mine.alias("two"), same & fits & (left >= need) & close & ~again)
-    pairs = written(pairs.select(one("first").alias("first"), two("first").alias("first2")), "pairs")
-
-    ends = pairs.select(F.col("first").alias("e")).union(pairs.select("first2")).distinct()
-    ends = written(ends.select(F.col("e.doc_id").alias("doc_id"), F.col("e.line").alias("line"), F.col("e.doc_id").bitwiseXOR(F.shiftleft(F.col("e.line").cast("long"), 40)).alias("name")), "ends")
-    bits = spark.sparkContext.broadcast(bloom(ends, "name"))
-    found = docs.mapInArrow(_whole_sets(bits), "doc_id long, line int, words array<long>")
-    sets = written(found.join(ends.drop("name"), ["doc_id", "line"], "left_semi").select(F.struct("doc_id", "line").alias("e"), "words"), "sets")
-    both = pairs.join(sets.toDF("first", "one"), "first").join(sets.toDF("first2", "two"), "first2")
-    n = F.size(F.array_intersect("one", "two"))
-    both = both.select("first", "first2", n.alias("n"), (F.size("one") + F.size("two")).alias("total")).where(f"100L * n >= {SIMILARITY}L * (total - n)")
-    links = written(both.select("first", F.col("first2").alias("other")).distinct(), "links")
-    links = links.union(links.select("other", "first"))
-    named = classes.select("k1", "k2", "first")
-    return base.select("doc_id", "line", "k1", "k2"), links.groupBy("first").agg(F.min("other").alias("least"), F.count("*").alias("n_links")).join(named, "first")
+    other = (one("word") == two("word")) & ((one("doc_id") != two("doc_id")) | (one("line") != two("line")))
+    open_ = mine.alias("one").join(mine.alias("two"), other & fits & (left >= need) & close, "left_semi")
+    open_ = written(open_.select("word", "doc_id", "line").distinct(), "open")
+
+    name = F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 40))
+    ends = written(open_.select("doc_id", "line", name.alias("name")).distinct(), "ends")
+    found = docs.mapInArrow(_whole_sets(spark.sparkContext.broadcast((rare, *bloom(ends, "name")))), "doc_id long, line int, words array<long>")
+    # Rows that repeat a doc_id may put several sets behind one line: each is judged, but not against the other.
+    sets = written(found.join(ends.drop("name"), ["doc_id", "line"], "left_semi").dropDuplicates(["doc_id", "line", "words"]), "sets")
+    crowded = open_.groupBy("word").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    dealt = open_.join(crowded, "word", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    side = F.pmod(F.xxhash64("doc_id", "line"), F.col("tiles")).cast("int")
+    dealt = dealt.select("word", "doc_id", "line", side.alias("side"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("facing"))
+    dealt = dealt.select("word", F.least("side", "facing").alias("lo"), F.greatest("side", "facing").alias("hi"), "side", "doc_id", "line")
+    dealt = dealt.join(sets, ["doc_id", "line"]).where(F.array_contains("words", F.col("word"))).select("word", "lo", "hi", "side", "doc_id", "line", "words")
+    tiles = dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi")
+    links = tiles.mapInArrow(_tiles, _FOUND).groupBy("doc_id", "line").agg(F.min(F.struct(F.col("other_id").alias("doc_id"), F.col("other_line").alias("line"))).alias("least"), F.sum("n_links").alias("n_links"))
+    return base.select("doc_id", "line", "k1", "k2"), written(links.select(F.struct("doc_id", "line").alias("first"), "least", "n_links"), "links")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -230,9 +274,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     class that has; n_links counts the linked classes."""
     lines, links = matching_lines(docs)
     firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    known = firsts.join(links.select("k1", "k2", "least", "n_links"), ["k1", "k2"], "left")
-    known = known.where("n > 1 or least is not null").select("k1", "k2", F.least("first", F.coalesce("least", "first")).alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    known = written(known, "known")
+    known = firsts.join(links, "first", "left").where("n > 1 or least is not null")
+    known = written(known.select("k1", "k2", F.least("first", F.coalesce("least", "first")).alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     gone = lines.join(known, ["k1", "k2"]).where(F.struct("doc_id", "line") > F.col("least"))
     return gone.select("doc_id", "line", "n_links")
 
