@@ -12,13 +12,14 @@ rows in proportion to its copies, and no link is lost. A line goes if an earlier
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_hits, bounded, prepare, slices, text_bytes, written
+from .common import BATCH_ROWS, bloom, bloom_hits, bounded, prepare, slices, text_bytes, written
 from .words import NOT_SPACE, U, as_long, mix, words
 
 #: Jaccard similarity in hundredths from which lines match.
@@ -30,6 +31,8 @@ _SLOT = U(COUNTERS - 1)
 _ONCE = 8
 #: Sets on each side of a tile, and words that one matrix product takes.
 TILE, COLUMNS = 512, 4096
+#: Sets of a tile from which a matrix product is cheaper than counting its common words one by one.
+DENSE = 48
 
 
 def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,41 +194,118 @@ def linked(sets: list[np.ndarray], word: int) -> np.ndarray:
 _FOUND = "doc_id long, line int, n_links long, other_id long, other_line int"
 
 
+@dataclass
+class Tiles:
+    """Rows of whole tiles, in order of (tile, doc_id, line)."""
+
+    tile: np.ndarray
+    word: np.ndarray
+    cross: np.ndarray  # whether the row's tile has two sides
+    side: np.ndarray
+    doc: np.ndarray
+    line: np.ndarray
+    size: np.ndarray
+    flat: np.ndarray  # all words, row by row
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows of two lines, on two sides where the tile has two."""
+        return ((self.doc[a] != self.doc[b]) | (self.line[a] != self.line[b])) & ~(self.cross[a] & (self.side[a] == self.side[b]))
+
+
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the runs that begin at begin."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _pairs(t: Tiles, rows: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked rows (a, b) of the tiles of `rows`, which are small: common words are counted pair by pair, all
+    tiles at once."""
+    size = t.size[rows]
+    flat, row = t.flat[_gather(begin[rows], size)], np.repeat(np.arange(len(rows)), size)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    early = at < at[flat == t.word[rows][row]][row]
+    tile = t.tile[rows]
+    count = np.bincount(tile - tile[0])
+    count = count[count > 0]
+    of = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    base = np.cumsum(count * count) - count * count
+    # Runs of equal (tile, word), rows ascending in each; every later entry of a run makes a pair with an earlier one.
+    order = np.lexsort((flat, of[row]))
+    flat, row, early = flat[order], row[order], early[order]
+    new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (of[row[1:]] != of[row[:-1]])])
+    start = np.flatnonzero(new)
+    run = np.diff(np.append(start, len(flat)))
+    later = np.repeat(start + run, run) - np.arange(len(flat)) - 1
+    one, two = np.repeat(np.arange(len(flat)), later), _gather(np.arange(len(flat)) + 1, later)
+    a, b = row[one], row[two]
+    slot = base[of[a]] + place[a] * count[of[a]] + place[b]
+    n = int((count * count).sum())
+    common, before = np.bincount(slot, minlength=n), np.bincount(slot[early[one] & early[two]], minlength=n)
+    hit = np.flatnonzero((common > 0) & (before == 0))
+    of_hit = np.searchsorted(base, hit, "right") - 1
+    first = (np.cumsum(count) - count)[of_hit]
+    a, b = first + (hit - base[of_hit]) // count[of_hit], first + (hit - base[of_hit]) % count[of_hit]
+    good = 100 * common[hit] >= SIMILARITY * (size[a] + size[b] - common[hit])
+    return rows[a[good]], rows[b[good]]
+
+
+def _links(t: Tiles) -> pa.RecordBatch | None:
+    begin = np.cumsum(t.size) - t.size
+    n = np.bincount(t.tile, minlength=t.tile[-1] + 1)
+    one, two = [], []
+    small = np.flatnonzero((n[t.tile] > 1) & (n[t.tile] < DENSE))
+    if len(small):
+        a, b = _pairs(t, small, begin)
+        one.append(a), two.append(b)
+    for g in np.flatnonzero(n >= DENSE):
+        rows = np.flatnonzero(t.tile == g)
+        a, b = np.nonzero(np.triu(linked([t.flat[begin[r] : begin[r] + t.size[r]] for r in rows], t.word[rows[0]])))
+        one.append(rows[a]), two.append(rows[b])
+    if not one:
+        return None
+    a, b = np.concatenate(one), np.concatenate(two)
+    sound = t.may_link(a, b)
+    a, b = a[sound], b[sound]
+    links = np.bincount(a, minlength=len(t.tile)) + np.bincount(b, minlength=len(t.tile))
+    least = np.full(len(t.tile), len(t.tile))
+    np.minimum.at(least, a, b)
+    np.minimum.at(least, b, a)
+    hit = np.flatnonzero(links)
+    other = least[hit]
+    return pa.RecordBatch.from_arrays([pa.array(t.doc[hit]), pa.array(t.line[hit]), pa.array(links[hit]), pa.array(t.doc[other]), pa.array(t.line[other])], names=["doc_id", "line", "n_links", "other_id", "other_line"])
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each class in a tile: rows (word, lo, hi, side, doc_id, line, words), those of a tile together.
-    Tiles of two sides hold the pairs between these alone."""
-    key, rows = None, []
-
-    def close():
-        rows.sort(key=lambda r: r[1:3])
-        side, doc, line = (np.array([r[c] for r in rows]) for c in range(3))
-        link = linked([r[3] for r in rows], key[0]) & ((doc[:, None] != doc) | (line[:, None] != line))
-        if key[1] != key[2]:
-            link &= side[:, None] != side
-        n, least = link.sum(axis=1), link.argmax(axis=1)
-        return [(rows[i][1], rows[i][2], int(n[i]), rows[least[i]][1], rows[least[i]][2]) for i in np.flatnonzero(n)]
-
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "line", "n_links", "other_id", "other_line"])
-
-    held: list[tuple] = []
-    for batch in bounded(batches):
-        word, lo, hi, side, doc, line = (batch.column(c).to_numpy().tolist() for c in range(6))
-        offs, flat = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
-        for i in range(batch.num_rows):
-            now = (word[i], lo[i], hi[i])
-            if now != key:
-                if len(rows) > 1:
-                    held += close()
-                    if len(held) > 4096:
-                        yield out(held)
-                        held = []
-                key, rows = now, []
-            rows.append((side[i], doc[i], line[i], flat[offs[i] : offs[i + 1]].copy()))
-    if len(rows) > 1:
-        held += close()
-    if held:
-        yield out(held)
+    Tiles of two sides hold the pairs between these alone. A task holds one slice of rows and an open tile."""
+    rest = None
+
+    def ready(table: pa.Table, whole: bool):
+        table = table.combine_chunks()
+        word, lo, hi, side, doc, line = (table.column(c).to_numpy() for c in range(6))
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        end = len(word) if whole else int(np.flatnonzero(new)[-1])
+        if not end:
+            return table, None
+        lists = table.column(6).chunk(0)
+        offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        tile = np.cumsum(new)[:end] - 1
+        order = np.lexsort((line[:end], doc[:end], tile))
+        size = np.diff(offs)[order].astype(np.int64)
+        held = Tiles(tile[order], word[order], (lo != hi)[order], side[order], doc[order], line[order], size, flat[_gather(offs[:-1][order].astype(np.int64), size)])
+        return table.slice(end), _links(held)
+
+    for batch in bounded(batches, 4 * BATCH_ROWS):
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            rest, out = ready(table if rest is None else pa.concat_tables([rest, table]), False)
+            if out is not None and out.num_rows:
+                yield out
+    if rest is not None and rest.num_rows:
+        out = ready(rest, True)[1]
+        if out is not None and out.num_rows:
+            yield out
 
 
 def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
