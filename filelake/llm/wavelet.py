@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, written
+from .common import bounded, prepare, written
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
 #: Bits between two stored counts of ones.
 STRIDE = 512
-#: Distinct pieces of text whose ids a worker keeps, in each of two generations.
-KEPT_PIECES = 500_000
+#: Bytes of pieces of text and their ids that a worker keeps, in each of two generations; longer pieces than
+#: LONG_PIECE are not kept.
+KEPT_BYTES, LONG_PIECE = 128 << 20, 256
+#: What an entry costs besides its text and ids.
+_ENTRY = 180
 
 BLOCK_SCHEMA = (
     "shard int, block int, start long, n_tokens long, bits int, doc_ids array<long>, starts array<long>, "
@@ -47,16 +51,16 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         now, planes, zeros, ones = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], [], []
         for level in range(bits - 1, -1, -1):
-            bit = ((now >> now.dtype.type(level)) & now.dtype.type(1)).astype(bool)
+            bit = (now & now.dtype.type(1 << level)) != 0
             packed = np.packbits(bit, bitorder="little")
             rest = np.zeros(-(-len(packed) // (STRIDE // 8)) * (STRIDE // 8), np.uint8)
             rest[: len(packed)] = np.bitwise_count(packed)
             counts = np.concatenate([[0], np.cumsum(rest.reshape(-1, STRIDE // 8).sum(axis=1, dtype=np.uint32))])
-            low = now[~bit]
+            low = np.compress(~bit, now)
             planes.append(packed.tobytes())
             zeros.append(len(low))
             ones.append(counts.astype(np.uint32).tobytes())
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, np.compress(bit, now)])
         return cls(len(ids), planes, zeros, ones)
 
     def _bit(self, level: int, i: int) -> int:
@@ -126,8 +130,11 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above, zeros = np.empty_like(now), self.zeros[level]
-            above[~bit] = now[:zeros]
-            above[bit] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - level))
+            # Places by number are faster than by mask, but for planes of nearly one value.
+            mixed = self.n < 16 * min(zeros, self.n - zeros)
+            off, on = (np.flatnonzero(~bit), np.flatnonzero(bit)) if mixed else (~bit, bit)
+            above[off] = now[:zeros]
+            above[on] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - level))
             now = above
         return now
 
@@ -140,6 +147,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+_SPACE, _ID = BYTE_LETTERS[32], attrgetter("id")
 #: Fixed pattern: the words that a byte-level pre-tokenizer finds in ASCII text.
 ASCII_WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
@@ -153,9 +161,13 @@ class Pieces(dict):
 
     def __init__(self, learn: Callable[[str], bytes]):
         self.learn = learn
+        self.bytes = 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.learn(piece)
+        ids = self.learn(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+            self.bytes += 4 * len(piece) + len(ids) + _ENTRY
         return ids
 
 
@@ -163,8 +175,8 @@ class Encoder:
     """Ids of whole texts by a tokenizers file, encoding each distinct piece of text once.
 
     A byte-level pre-tokenizer never joins text across a single space between two other characters (the
-    space begins the next word), nor a letter and a stop or comma, nor white space that ends a text and what
-    stands before it. So a text's ids are those of its pieces, one after the other. Pieces that touch other
+    space begins the next word), nor a single line feed between two and either of them, nor a letter and a stop
+    or comma, nor white space that ends a text and what stands before it. So a text's ids are those of its pieces, one after the other. Pieces that touch other
     white space at a cut are not trusted: their texts are cut only at single spaces and not remembered."""
 
     def __init__(self, path: str):
@@ -174,11 +186,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
+        self.feed = re.compile(r"(?<=\S)\n(?=\S)")
         # A run of letters is one word to such a pre-tokenizer, so the library's model can take it as it is.
         plain = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.word = self.tokenizer.model.tokenize if plain and not any(x.isalpha() for x in self.added) else None
         self.stops = dict(zip(".,", self._by_library([".", ","]), strict=True))
+        self.line_end = self._by_library(["\n"])[0]
         self.young, self.old = Pieces(self._learn), {}
 
     def _by_library(self, pieces: list[str]) -> list[bytes]:
@@ -187,7 +201,7 @@ class Encoder:
     def _by_model(self, run: str) -> bytes:
         """Ids of one word of the pre-tokenizer."""
         letters = (run if run.isascii() else run.encode().decode("latin-1")).translate(BYTE_LETTERS)
-        return array("I", [t.id for t in self.word(letters)]).tobytes()
+        return array("I", map(_ID, self.word(letters))).tobytes()
 
     def _parts(self, piece: str) -> bytes | None:
         """Ids of a piece of ASCII text, word by word; None where only the library's own cuts are trusted."""
@@ -206,6 +220,14 @@ class Encoder:
         ids = self.old.get(x)
         if ids is not None:
             return ids
+        if self.word and x[:1] == " " and x.isascii():
+            # The usual pieces: a space and letters, which stand for themselves, and maybe a stop.
+            if x[1:].isalpha():
+                return array("I", map(_ID, self.word(_SPACE + x[1:]))).tobytes()
+            if x[-1] in self.stops and x[1:-1].isalpha():
+                return self.young[x[:-1]] + self.stops[x[-1]]
+        if x == "\n":
+            return self.line_end
         if not x or x == " " or x[1:2].isspace() or x[-1].isspace():
             raise Untrusted
         if not self.word:
@@ -217,25 +239,29 @@ class Encoder:
             return self._by_library([x])[0] if ids is None else ids
         return self.young[body] + stop if stop else self._by_model(x)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.young) > KEPT_PIECES:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        if self.young.bytes > KEPT_BYTES:
             self.old, self.young = self.young, Pieces(self._learn)
         get, out = self.young.__getitem__, []
         for x in texts:
             body = x.rstrip(" \t\n\r")
+            size = len(body)
             if "\0" in body:
                 first, *rest = body.split(" ")
                 parts = [first, *[" " + p for p in rest]]
             else:
+                if "\n" in body:
+                    body = self.feed.sub("\0\n\0", body)
                 parts = body.replace(" ", "\0 ").split("\0") if body else []
             try:
                 raw = b"".join(map(get, parts))
-                if len(body) < len(x):
-                    raw += self._by_library([x[len(body) :]])[0]
+                if size < len(x):
+                    raw += self._by_library([x[size:]])[0]
             except Untrusted:
                 first, *rest = self.cut.split(x)
                 raw = b"".join(self._by_library([first, *[" " + p for p in rest]]))
-            out.append(np.frombuffer(raw, np.uint32))
+            out.append(raw)
         return out
 
 
@@ -258,25 +284,25 @@ def _pack(path: str | None, end_id: int):
         coder, shard = encoder(path), TaskContext.get().partitionId()
         bits = max(coder.vocabulary - 1, end_id, 1).bit_length()
         held, ids, lengths, size, block, start = [], [], [], 0, 0, 0
+        end = np.uint32(end_id).tobytes()
 
         def close():
-            matrix = WaveletMatrix.build(np.concatenate(ids), bits)
+            matrix = WaveletMatrix.build(np.frombuffer(b"".join(ids), np.uint32), bits)
             ends = np.cumsum(lengths)
             row = [shard, block, start, size, bits, held, list(ends - lengths), lengths, matrix.zeros, [p.tobytes() for p in matrix.planes], [o.tobytes() for o in matrix.ones]]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                for doc, own in zip(batch.column(0).slice(i, 64).to_pylist(), coder.encode([x or "" for x in texts[i : i + 64]]), strict=True):
-                    held.append(doc)
-                    ids.append(np.append(own, np.uint32(end_id)))
-                    lengths.append(len(own) + 1)
-                    size += len(own) + 1
-                    if size >= BLOCK_TOKENS:
-                        yield close()
-                        block, start = block + 1, start + size
-                        held, ids, lengths, size = [], [], [], 0
+        for batch in bounded(batches, 64):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for doc, own in zip(batch.column(0).to_pylist(), coder.encode(texts), strict=True):
+                held.append(doc)
+                ids += (own, end)
+                lengths.append(len(own) // 4 + 1)
+                size += lengths[-1]
+                if size >= BLOCK_TOKENS:
+                    yield close()
+                    block, start = block + 1, start + size
+                    held, ids, lengths, size = [], [], [], 0
         if held:
             yield close()
 
@@ -326,8 +352,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone. start adds the tokens of
     earlier files to the place in its own; that running sum is over one row per file."""
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     size = files.groupBy("shard").agg(F.sum("n_tokens").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = size.select("shard", before.alias("first"))
@@ -345,6 +369,43 @@ def count_token(files: DataFrame, token: int) -> DataFrame:
     return files.mapInArrow(run, "shard int, block int, n long")
 
 
+def find_token(files: DataFrame, token: int) -> DataFrame:
+    """doc_id, at: every occurrence of a token id, at counted from its document's first token; by select on the
+    planes, without decoding a block."""
+
+    def run(batches):
+        for row, matrix in matrices(batches):
+            starts = np.array(row["starts"], np.int64)
+            place = np.array([matrix.select(token, k) for k in range(matrix.count(token))], np.int64)
+            for i in range(0, len(place), 1 << 16):
+                own = place[i : i + (1 << 16)]
+                doc = np.searchsorted(starts, own, "right") - 1
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([row["doc_ids"][d] for d in doc], pa.int64()), "at": pa.array(own - starts[doc])})
+
+    return files.mapInArrow(run, "doc_id long, at long")
+
+
+def tokens_at(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, at, token for each row of wanted (doc_id, at) that a document has, by access on the planes.
+
+    Places are gathered per block: a block meets only those of its own documents."""
+    places = files.select("shard", "block", F.explode(F.arrays_zip("doc_ids", "starts", "lengths")).alias("d"))
+    places = places.select("shard", "block", F.col("d.doc_ids").alias("doc_id"), F.col("d.starts").alias("first"), F.col("d.lengths").alias("length"))
+    asked = wanted.select("doc_id", "at").join(places, "doc_id").where("at >= 0 and at < length")
+    asked = asked.groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "at", (F.col("first") + F.col("at")).alias("place"))).alias("asked"))
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                _, matrix = next(matrices(iter([one.select(names[:-1])])))
+                rows = one.column(len(names) - 1)[0].as_py()
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"] for r in rows], pa.int64()), "at": pa.array([r["at"] for r in rows], pa.int64()), "token": pa.array([matrix.access(r["place"]) for r in rows], pa.int64())})
+
+    return files.join(asked, ["shard", "block"]).mapInArrow(run, "doc_id long, at long, token long")
+
+
 def token_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode docs into token files and return what read_documents() finds in them."""
     files = write_tokens(docs, tokenizer, end_id)
