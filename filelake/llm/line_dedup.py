@@ -27,8 +27,8 @@ SIMILARITY = 80
 #: Counters that rarity is read from: words share them by hash, so the table has one fixed size.
 COUNTERS = 1 << 21
 _SLOT = U(COUNTERS - 1)
-#: What rarity() says of a counter of one word.
-_ONCE = 8
+#: Marks that tell words which stand once in all documents from others; words share them by hash too.
+MARKS = 1 << 25
 #: Sets on each side of a tile, and words that one matrix product takes.
 TILE, COLUMNS = 512, 4096
 #: Sets of a tile from which a matrix product is cheaper than counting its common words one by one.
@@ -47,39 +47,72 @@ def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
+    """A task's counters and marks, by parts: (part, n) with part from 0 for counters and below 0 for marks."""
+    total, seen = np.zeros(COUNTERS, np.int64), np.zeros(MARKS, np.uint8)
     for batch in bounded(batches):
         data, offs = text_bytes(batch.column(0))
         for i, j in slices(offs):
             w = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], NOT_SPACE)
             total += np.bincount((w.hash & _SLOT).astype(np.int64), minlength=COUNTERS)
-    for i in range(0, COUNTERS, 4096):
-        if total[i : i + 4096].any():
-            yield pa.RecordBatch.from_arrays([pa.array([i // 4096], pa.int32()), pa.array([total[i : i + 4096].astype(np.uint32).tobytes()], pa.binary())], names=["part", "n"])
+            mark, times = np.unique(_mark(w.hash), return_counts=True)
+            seen[mark] = np.minimum(2, seen[mark] + times)
+    for i in range(0, COUNTERS, _PART):
+        if total[i : i + _PART].any():
+            yield _counted(i // _PART, total[i : i + _PART].astype(np.uint32))
+    for i in range(0, MARKS, 4 * _PART):
+        if seen[i : i + 4 * _PART].any():
+            yield _counted(-1 - i // (4 * _PART), seen[i : i + 4 * _PART])
+
+
+_PART = 1 << 16
+
+
+def _mark(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> U(24)) & U(MARKS - 1)).astype(np.int32)
+
+
+def _counted(part: int, n: np.ndarray) -> pa.RecordBatch:
+    """Marks are 0 to 2, so four share a byte."""
+    if part < 0:
+        n = n.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["part", "n"])
+
+
+def _counts(part: int, n: bytes) -> np.ndarray:
+    if part >= 0:
+        return np.frombuffer(n, np.uint32).astype(np.int64)
+    packed = np.frombuffer(n, np.uint8)
+    return np.stack([packed >> 2 * k & 3 for k in range(4)], axis=1).reshape(-1).astype(np.int64)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the counters that a task has for each part."""
+    """Sum of the counters, or marks, that a task has for each part."""
     total: dict[int, np.ndarray] = {}
-    for batch in batches:
+    for batch in bounded(batches, 16):
         for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(n, np.uint32).astype(np.int64)
+            own = _counts(part, n)
+            total[part] = total[part] + own if part in total else own
     for part, n in sorted(total.items()):
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "n"])
+        yield _counted(part, np.minimum(n, 2**32 - 1).astype(np.uint32) if part >= 0 else np.minimum(n, 2).astype(np.uint8))
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """For each counter the binary logarithm, in eighths, of the words of all documents that fall on it.
+def rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(rare, often): for each counter the binary logarithm, in eighths, of the words of all documents that fall on
+    it; and a bit for each mark that words fall on twice or more.
 
-    Sums meet in two steps (a task's, then those of 16 salts); COUNTERS bytes reach the driver."""
+    Sums meet in two steps (a task's, then those of 16 salts). COUNTERS words and MARKS quarter bytes reach the driver."""
     ddl = "part int, n binary"
     own = docs.select("text").mapInArrow(_count, ddl)
     half = own.withColumn("salt", F.spark_partition_id() % 16).repartition(F.col("part"), F.col("salt")).select("part", "n").mapInArrow(_add, ddl)
     rows = half.repartition(F.col("part")).mapInArrow(_add, ddl).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
+    out, often = np.zeros(COUNTERS, np.int64), np.zeros(MARKS, bool)
     for part, n in zip(rows["part"], rows["n"], strict=True):
-        out[part * 4096 : (part + 1) * 4096] += np.frombuffer(n, np.uint32)
-    return np.minimum(255, np.round(8 * np.log2(out + 1))).astype(np.uint8)
+        if part >= 0:
+            out[part * _PART : (part + 1) * _PART] = _counts(part, n)
+        else:
+            at = (-1 - part) * 4 * _PART
+            often[at : at + 4 * _PART] = _counts(part, n) > 1
+    return np.minimum(255, np.round(8 * np.log2(out + 1))).astype(np.uint8), np.packbits(often, bitorder="little")
 
 
 def _prefix(size: np.ndarray) -> np.ndarray:
@@ -101,7 +134,7 @@ def _bitmaps(own: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
 
 def _prefixed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = shared.value
+        rare, often = shared.value
         for batch in bounded(batches):
             data, offs = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
@@ -130,7 +163,8 @@ def _prefixed(shared):
                 rarity_of = rare[(own & _SLOT).astype(np.int64)]
                 order = np.lexsort((rarity_of, row))
                 # A word that stands once in all documents joins nothing: 0 holds its place.
-                rarest = np.where(rarity_of[order] <= _ONCE, U(0), own[order])
+                rarest, mark = own[order], _mark(own[order])
+                rarest = np.where(often[mark >> 3] >> (mark & 7).astype(np.uint8) & 1, rarest, U(0))
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(as_long(rarest[at < np.repeat(take, size)])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[doc[keep]], pa.int64()), pa.array(line[keep].astype(np.int32)), pa.array(as_long(k1)), pa.array(as_long(k2)), pa.array(size.astype(np.int32)), prefix, *[pa.array(as_long(m)) for m in _bitmaps(own, begin)]],
@@ -315,8 +349,8 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    rare = rarity(docs)
-    base = written(docs.mapInArrow(_prefixed(spark.sparkContext.broadcast(rare)), _PREFIXED), "lines")
+    rare, often = rarity(docs)
+    base = written(docs.mapInArrow(_prefixed(spark.sparkContext.broadcast((rare, often))), _PREFIXED), "lines")
     classes = base.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", *MAP)])
     mine = classes.select("first.doc_id", "first.line", "size", *MAP, F.posexplode("prefix").alias("at", "word")).where("word <> 0")
 
