@@ -9,23 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, text_bytes, written
+from .common import bounded, prepare, slices, text_bytes, written
 from .words import NOT_SPACE, U, words
 
-#: Topics, each a fixed share of the vocabulary; a document's is the one it leans to most.
+#: Topics, each a fixed share of the vocabulary; a document's is the one it leans to most. They stand in where
+#: documents carry no topic of their own.
 TOPICS = 8
-#: Exponents that temper each margin's token shares into its targets (1: as they are, 0: all equal).
+#: Exponents that temper each margin's token shares into its targets where none are given (1: as they are, 0: all equal).
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 #: Share of all tokens that the sample is to hold.
 BUDGET = 0.6
-ROUNDS, CLOSE = 50, 1e-9
-#: Cells up to which fitting runs on the driver; more are fitted by joins.
-DRIVER_CELLS = 50_000
+#: Largest difference of a margin from its target at which fitting ends, and change of it that counts as standstill.
+CLOSE, STILL = 1e-6, 1e-9
+#: Rounds after which fitting is given up with an error.
+ROUNDS = 500
 MARGINS = ("source", "lang", "topic")
 
 
 def _topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches):
         data, offs = text_bytes(batch.column(1))
         tokens, topic = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
         for i, j in slices(offs):
@@ -40,92 +42,103 @@ def _topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3)), pa.array(topic), pa.array(tokens)], names=["doc_id", "source", "lang", "topic", "tokens"])
 
 
-def topics(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, tokens: words of each whole text and the topic most of its long words
-    fall to (ties to the smaller number; no words: 0). Null source or lang: ''."""
+def topics(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens: words of each whole text and its topic: column `topic` of docs, if that
+    is named, else the one that most of its long words fall to (ties to the smaller number; no words: 0).
+    Null source or lang: ''; null topic: -1."""
     prepare(docs.sparkSession)
-    named = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
-    return named.mapInArrow(_topics, "doc_id long, source string, lang string, topic int, tokens long")
+    named = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), *([F.coalesce(F.col(topic).cast("int"), F.lit(-1)).alias("own")] if topic else []))
+    ddl = "doc_id long, source string, lang string, topic int, tokens long"
+    if not topic:
+        return named.mapInArrow(_topics, ddl)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            made = next(_topics(iter([batch.select([0, 1, 2, 3])])))
+            yield made.set_column(3, "topic", batch.column(4))
+
+    return named.mapInArrow(counted, ddl)
 
 
 def targets(cells: DataFrame, margin: str) -> DataFrame:
-    """The margin's target shares: its token shares, tempered."""
-    own = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").withColumn("t", F.pow("t", F.lit(TEMPER[margin])))
-    total = own.agg(F.sum("t")).first()[0] or 1.0
-    return own.select(margin, (F.col("t") / F.lit(total)).alias("target"))
+    """The margin's target shares where none are given: its token shares, tempered."""
+    own = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+    return own.select(margin, F.pow("t", F.lit(TEMPER[margin])).alias("target"))
 
 
-def _rake_on_driver(cells: DataFrame) -> DataFrame:
-    pdf = cells.toPandas().sort_values(list(MARGINS)).reset_index(drop=True)
-    weight = pdf["tokens"].to_numpy(float) / max(1, pdf["tokens"].sum())
-    sides = []
-    for m in MARGINS:
-        code = pdf[m].astype("category").cat.codes.to_numpy()
-        t = np.bincount(code, weights=pdf["tokens"]) ** TEMPER[m] if len(pdf) else np.zeros(0)
-        sides.append((code, t / max(t.sum(), 1e-300)))
-    for _ in range(ROUNDS):
-        off = 0.0
-        for code, target in sides:
-            have = np.bincount(code, weights=weight)
-            off = max(off, np.abs(have - target).max(initial=0))
-            weight = weight * (target / np.where(have > 0, have, 1))[code]
-        if off < CLOSE:
-            break
-    pdf["weight"] = weight
-    return cells.sparkSession.createDataFrame(pdf, "source string, lang string, topic int, tokens long, weight double")
+def _shares(wanted: DataFrame, cells: DataFrame, margin: str) -> DataFrame:
+    """Targets of the values that cells have, summing to 1; a value without a target has 0."""
+    have = cells.select(margin).distinct()
+    kept = have.join(wanted.groupBy(margin).agg(F.sum("target").alias("target")), margin, "left").select(margin, F.greatest(F.coalesce("target", F.lit(0.0)), F.lit(0.0)).alias("target"))
+    total = kept.agg(F.sum("target")).first()[0]
+    if total == 0:
+        raise ValueError(f"no {margin} of the documents has a target")
+    return kept.withColumn("target", F.col("target") / F.lit(total or 1.0))
+
 
+def rake(cells: DataFrame, wanted: dict[str, DataFrame] | None = None) -> tuple[DataFrame, float]:
+    """(cells with weight, error). Cells: source, lang, topic, tokens; weights are the shares nearest to the token
+    shares, in relative entropy, whose margins are the targets, and error is the largest difference that is left.
+    Margins that no weights can meet together (cells without tokens stay empty) leave an error above CLOSE.
 
-def _rake_by_joins(cells: DataFrame) -> DataFrame:
+    wanted: for a margin its targets (value, target), in any scale; a margin without is tempered. Cells of no
+    tokens are left out. Cells are joined with each margin's factors and written once a round, whatever their number."""
+    cells = written(cells.where("tokens > 0"), "sums")
     total = cells.agg(F.sum("tokens")).first()[0]
-    now = written(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), "cells")
-    aim = {m: written(targets(cells, m), "targets") for m in MARGINS}
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+    if not total:
+        return now, 0.0
+    aim = {m: written(_shares((wanted or {}).get(m, targets(cells, m)), cells, m), "targets") for m in MARGINS}
+    last = None
     for _ in range(ROUNDS):
-        off = 0.0
         for m in MARGINS:
             have = now.groupBy(m).agg(F.sum("weight").alias("have")).join(aim[m], m)
-            factor = written(have.select(m, (F.col("target") / F.col("have")).alias("factor"), F.abs(F.col("target") - F.col("have")).alias("off")), "factors")
-            off = max(off, factor.agg(F.max("off")).first()[0] or 0.0)
-            now = written(now.join(factor.drop("off"), m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "cells")
-        if off < CLOSE:
-            break
-    return now
-
-
-def rake(cells: DataFrame, limit: int = DRIVER_CELLS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with weight: the shares nearest to the token shares, in relative
-    entropy, whose margins are the targets. Cells of no tokens are left out. Up to `limit` cells, which are
-    sums, are fitted in memory; more by joins that write each round."""
-    cells = written(cells.where("tokens > 0"), "sums")
-    return _rake_on_driver(cells) if cells.limit(limit + 1).count() <= limit else _rake_by_joins(cells)
+            factor = have.select(m, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0).alias("factor"), F.abs(F.col("target") - F.col("have")).alias(f"off_{m}"))
+            now = now.drop(f"off_{m}").join(factor, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        now = written(now, "cells")
+        off = now.agg(F.max(F.greatest(*[f"off_{m}" for m in MARGINS]))).first()[0]
+        if off < CLOSE or last is not None and abs(off - last) < STILL:
+            return now.drop(*[f"off_{m}" for m in MARGINS]), off
+        last = off
+    raise RuntimeError(f"rake: margins are still {off} from their targets after {ROUNDS} rounds")
 
 
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Cells with prob: weight over token share, scaled so that the expected tokens are the budget's share of
-    all, where that is above 1 cut to 1 and the rest raised in turn."""
+    all, where that is above 1 cut to 1 and the rest raised in turn, until no more cells are cut. What is cut
+    shifts the sample's margins from the targets; margins() tells by how much."""
     cells = written(cells, "weights")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    scale, full = 1.0, F.col("weight") * total / F.col("tokens")
-    for _ in range(40):
-        row = cells.agg(F.sum(F.when(full * scale >= 1, F.col("tokens"))), F.sum(F.when(full * scale < 1, F.col("weight")))).first()
-        kept, open_ = (row[0] or 0) / max(total, 1), row[1] or 0.0
-        if not open_:
-            break
-        new = (budget - kept) / open_
-        if abs(new - scale) < 1e-12 * max(1.0, abs(scale)):
+    scale, cut, full = budget, -1, F.col("weight") * total / F.col("tokens")
+    while True:  # the scale only rises, so a cell that is cut stays so and the loop ends
+        row = cells.agg(F.sum(F.when(full * scale >= 1, F.col("tokens"))), F.sum(F.when(full * scale < 1, F.col("weight"))), F.count_if(full * scale >= 1)).first()
+        if not row[1] or row[2] <= cut:
             break
-        scale = new
+        cut, scale = row[2], max(scale, (budget - (row[0] or 0) / max(total, 1)) / row[1])
     return cells.withColumn("prob", F.least(F.lit(1.0), full * scale))
 
 
-def mix(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, prob, kept for each row of docs (doc_id, text, source, lang).
+def margins(cells: DataFrame) -> DataFrame:
+    """margin, value, weight, expected: of each value the share that was aimed at and that of the tokens which
+    sampling by prob is expected to keep. cells: those of calibrated()."""
+    out = None
+    for m in MARGINS:
+        own = cells.select(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value"), "weight", (F.col("tokens") * F.col("prob")).alias("kept"))
+        out = own if out is None else out.unionByName(own)
+    total = cells.agg(F.sum(F.col("tokens") * F.col("prob"))).first()[0] or 1.0
+    return out.groupBy("margin", "value").agg(F.sum("weight").alias("weight"), (F.sum("kept") / F.lit(total)).alias("expected"))
+
+
+def mix(docs: DataFrame, budget: float = BUDGET, wanted: dict[str, DataFrame] | None = None, topic: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, prob, kept, margin_error for each row of docs (doc_id, text, source, lang).
 
     kept: a hash of doc_id, spread over [0, 1), is below prob, so a run repeats itself and rows of one
     doc_id and cell go together. A document without tokens (null or empty text) has prob 1: it costs
-    nothing. Null doc_ids draw alike. Topic, if docs has such a column, is not read."""
-    rows = written(topics(docs), "topics")
-    cells = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    prob = written(calibrated(rake(cells), budget).select(*MARGINS, "prob"), "probs")
+    nothing. Null doc_ids draw alike. wanted and margin_error: see rake(). Topic, if docs has such a column, is
+    read only where it is named; other columns are not read."""
+    rows = written(topics(docs, topic), "topics")
+    cells, error = rake(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), wanted)
+    prob = written(calibrated(cells, budget).select(*MARGINS, "prob"), "probs")
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
     out = rows.join(prob, list(MARGINS), "left").withColumn("prob", F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("prob")))
-    return out.select("doc_id", *MARGINS, "tokens", "prob", (draw < F.col("prob")).alias("kept"))
+    return out.select("doc_id", *MARGINS, "tokens", "prob", (draw < F.col("prob")).alias("kept"), F.lit(error).alias("margin_error"))
