@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, text_bytes
+from .common import bounded, prepare, slices, text_bytes
 from .words import ALNUM, U, as_long, words
 
 WINDOW = 10
 #: Characters of items that one pass over the documents carries; a larger set takes several passes.
-PASS_CHARS = 16_000_000
+PASS_CHARS = 8_000_000
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -40,21 +40,23 @@ class Items:
 
 
 def _windows(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    ids = sorted({str(r[0]) for r in rows if r[0] is not None})
+    """(item, words, row of word hashes, names) of the distinct windows of items; all in arrays."""
+    rows = [(str(r[0]), r[1]) for r in rows if r[0] is not None and r[1]]
+    ids = sorted({r[0] for r in rows})
+    raw = [r[1].encode() for r in rows]
+    w = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), ALNUM)
+    have = np.diff(w.off)
+    count = np.where(have > 0, np.maximum(have - WINDOW, 0) + 1, 0)
+    text = np.repeat(np.arange(len(rows)), count)
+    start = np.arange(count.sum()) + np.repeat(w.off[:-1] - (np.cumsum(count) - count), count)
+    size = np.minimum(have, WINDOW)[text]
+    padded = np.concatenate([w.hash, np.zeros(WINDOW, U)])
+    row = np.stack([np.where(size > j, padded[start + j], U(0)) for j in range(WINDOW)], axis=1) if len(start) else np.zeros((0, WINDOW), U)
     place = {x: i for i, x in enumerate(ids)}
-    found: set[tuple[int, int, bytes]] = set()
-    for r in rows:
-        if r[0] is not None and r[1]:
-            data = np.frombuffer(r[1].encode(), np.uint8)
-            h = words(data, np.array([0, len(data)]), ALNUM).hash
-            n = min(WINDOW, len(h))
-            for i in range(max(0, len(h) - WINDOW) + (n > 0)):
-                found.add((place[str(r[0])], n, h[i : i + n].tobytes()))
-    order = sorted(found)
-    row = np.zeros((len(order), WINDOW), U)
-    for i, (_, n, raw) in enumerate(order):
-        row[i, :n] = np.frombuffer(raw, U)
-    return np.array([x[0] for x in order], np.int64), np.array([x[1] for x in order], np.int64), row, ids
+    item = np.array([place[r[0]] for r in rows], np.int64)[text]
+    keyed = np.column_stack([item.astype(U), size.astype(U), row])
+    kept = np.unique(keyed, axis=0, return_index=True)[1] if len(keyed) else np.zeros(0, np.int64)
+    return item[kept], size[kept], row[kept], ids
 
 
 def _tally(vocabulary):
@@ -63,7 +65,7 @@ def _tally(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
         total = np.zeros(len(known), np.int64)
-        for batch in batches:
+        for batch in bounded(batches):
             data, offs = text_bytes(batch.column(0))
             for i, j in slices(offs):
                 h = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM).hash
@@ -106,7 +108,7 @@ def _find(w, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _scan(shared, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             hits, found = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             count = np.zeros(batch.num_rows, np.int64)
             data, offs = text_bytes(batch.column(1))
@@ -164,10 +166,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rarity = np.zeros(len(known), np.int64)
         if tallied is not None and len(tallied):
             rarity[np.searchsorted(known, tallied["word"].to_numpy(np.int64).view(U))] = tallied["n"]
-        at = np.zeros(len(row), np.int64)
-        for i in range(len(row)):
-            place = np.searchsorted(known, row[i, : n[i]])
-            at[i] = np.lexsort((place, rarity[place]))[0]
+        # The rarest word of each window; ties go to the lesser hash. Places behind a short window never win.
+        place = np.minimum(np.searchsorted(known, row), max(0, len(known) - 1))
+        behind = np.arange(WINDOW) >= n[:, None]
+        cost = np.where(behind, np.iinfo(np.int64).max, rarity[place]) if len(row) else np.zeros((0, WINDOW), np.int64)
+        least = cost == cost.min(axis=1, keepdims=True) if len(row) else cost.astype(bool)
+        at = np.where(least & ~behind, place, len(known)).argmin(axis=1) if len(row) else np.zeros(0, np.int64)
         anchor = row[np.arange(len(row)), at]
         order = np.argsort(anchor, kind="stable")
         shared = spark.sparkContext.broadcast(Items(anchor[order], at[order], n[order], row[order], item[order], ids, _spots(anchor)))
