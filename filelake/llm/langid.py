@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, text_bytes, written
+from .common import SLICE_BYTES, bounded, prepare, slices, text_bytes, written
 
 #: Hashed trigrams; labelled documents of each language that the model is fitted on (a hash-chosen sample).
 BUCKETS, SAMPLE = 1 << 15, 4000
-#: Languages that the model can hold, most frequent first, and those that a document's set can hold.
-LANGUAGES, SET = 256, 4
+#: Sizes up to which sets of languages are tried in any case; larger ones only while some text gains by them.
+SET = 4
+#: Languages for which a slice of SLICE_BYTES is meant: with more of them slices are shorter, so that grams times
+#: languages, and with them a task's memory, stay the same.
+SLICE_LANGUAGES = 4
 STEPS, SMOOTH = 12, 0.5
 UNKNOWN = "und"
 #: Quartile ranges below the median fit from which a text is held to be in no learnt language.
@@ -58,7 +61,7 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in bounded(batches):
         langs = batch.column(0).to_pylist()
         data, offs = text_bytes(batch.column(1))
         for i, j in slices(offs):
@@ -75,15 +78,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame) -> Model:
     """Fit on SAMPLE rows or so of each language of labelled (doc_id, lang, text), chosen by a hash of
-    doc_id and text; at most LANGUAGES languages. Rows of null lang are not used. What reaches the driver
-    has at most LANGUAGES * BUCKETS rows."""
+    doc_id and the text's length. Rows of null lang are not used; every other label is a language. What reaches
+    the driver has at most BUCKETS rows for each language, as the model itself."""
     labelled = labelled.where("lang is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = labelled.where(F.col("lang").isin([r["lang"] for r in sizes]) & (draw < F.element_at(share, F.col("lang"))))
+    chosen = labelled.where(draw < F.element_at(share, F.col("lang")))
     counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(r["lang"] for r in sizes)
     n = np.zeros((BUCKETS, len(languages)))
@@ -119,10 +122,12 @@ def infer(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
     full, like = _em(log_p, count, first, np.ones((len(texts), n)))
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     best = best_cost = None
-    for size in range(1, min(SET, n) + 1):
+    for size in range(1, n + 1):
         share, like_now = (full, like) if size == n else _em(log_p, count, first, np.where(rank < size, 1.0, 1e-12))
         cost = -2 * like_now + (size - 1) * np.log(total + 1)
         better = np.ones(len(texts), bool) if best is None else cost < best_cost
+        if size > SET and not better.any():
+            break
         best = share if best is None else np.where(better[:, None], share, best)
         like = like_now if best_cost is None else np.where(better, like_now, like)
         best_cost = cost if best_cost is None else np.minimum(cost, best_cost)
@@ -132,13 +137,13 @@ def infer(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             lang = np.full(batch.num_rows, UNKNOWN, object)
             score, fit_, mixed = np.zeros(batch.num_rows), np.zeros(batch.num_rows), [""] * batch.num_rows
             spread, n_bytes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             data, offs = text_bytes(batch.column(1))
             values = batch.column(1)
-            for i, j in slices(offs):
+            for i, j in slices(offs, max(1, SLICE_BYTES * SLICE_LANGUAGES // max(SLICE_LANGUAGES, len(model.languages)))):
                 texts, share, like = infer(model, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 for t, s, x in zip(texts.tolist(), share, like.tolist(), strict=True):
                     own = data[offs[i + t] : offs[i + t + 1]]
