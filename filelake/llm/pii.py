@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import bounded, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -133,6 +133,8 @@ _BRACKETS = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|@|{_DOT}|\.)[ \t]*[\])}}>]", re
 _DOT_WORDS = [f" {x} ".encode() for x in _DOT.split("|")]
 _SPACED = bytes.maketrans(b"\t\r\n,.()-", b"        ")
 _WORD = re.compile(r"[^\W_]+")
+#: Four numbers with a dot, bare or disguised, between each two.
+_NUMBERS = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.|{_SPACED_DOT})[0-9]{{1,3}}){{3}}(?![\w])", re.IGNORECASE)
 
 
 def _lower(text: str) -> str:
@@ -202,6 +204,8 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
             at, domain = ("at", "domain") if m["at"] else ("at2", "domain2")
             spans = [(*m.span(at), "@")] + [(d.start() + m.start(p), d.end() + m.start(p), ".") for p in ("local", domain) for d in _DOT_IN.finditer(m[p])]
             found += spans
+        for m in _NUMBERS.finditer(text):
+            found += [(d.start() + m.start(), d.end() + m.start(), ".") for d in _DOT_IN.finditer(m[0])]
     if _may_run(low):
         for m in _RUN.finditer(text):
             names = list(_NAME.finditer(m[0]))
@@ -254,7 +258,7 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches):
         both = [all_spans(x or "") for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_pydict(
             {"doc_id": batch.column(0)}
