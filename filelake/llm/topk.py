@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import bounded, prepare, written
 
 #: Vectors of a candidate block and of a query block; lists merged by one step of the tree.
 CANDIDATES, QUERIES, FAN = 4096, 2048, 16
@@ -47,7 +47,7 @@ def _tile(k: int):
     """Of each query of a tile the k best candidates by (score descending, vec_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):  # a row is a tile
             for row in batch.to_pylist():
                 q, c = (np.frombuffer(row[x], np.float64).reshape(len(row[y]), row["dim"]) for x, y in (("q_data", "q_ids"), ("c_data", "c_ids")))
                 q_ids, c_ids = np.array(row["q_ids"]), np.array(row["c_ids"])
@@ -95,11 +95,9 @@ def top_k(vectors: DataFrame, k: int = 5, scale: float = 256.0, every: int = 50,
     slots = max(1, q.select("block").distinct().count())
     numbered = q.selectExpr("dim", "block", "ids as q_ids", "data as q_data", f"pmod(xxhash64(block), {slots}) as slot")
     spread = c.selectExpr("dim", "block as node", "ids as c_ids", "data as c_data").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     tiles = spread.join(numbered.drop("block"), ["dim", "slot"])
     lists = tiles.select("dim", "node", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(_tile(k), "query_id long, node long, neg long, vec_id long")
     lists = written(lists.groupBy("query_id", "node").agg(F.array_sort(F.collect_list(F.struct("neg", "vec_id"))).alias("best")), "lists")
-    prepare(spark)
 
     # The tree: number the blocks, then merge FAN lists of a query at a time until one is left.
     size = max(1, c.count())

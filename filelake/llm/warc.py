@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, written
+from .common import bounded, prepare, shared_dir, written
 
 #: Records of one archive file; together with the payloads it bounds what a reading task holds.
 FILE_RECORDS = 3000
@@ -45,7 +45,7 @@ def _id(*parts) -> str:
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches):
         out = []
         for page, url, html, winner, tie in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             payload, url = (html or "").encode(), _one_line(url)
@@ -109,7 +109,7 @@ def _read(with_payload: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         number = lambda x: None if x is None else int(x)
-        for batch in batches:
+        for batch in bounded(batches, 1):  # a row is an archive
             for content in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with gzip.open(io.BytesIO(content)) as stream:
@@ -135,7 +135,6 @@ def _read(with_payload: bool):
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records of the archives under path. A response's digest and length are taken from its block."""
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(_read(with_payload), _RECORD)
 
@@ -143,21 +142,31 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: each response or revisit, with the request and the metadata that name it in
     WARC-Concurrent-To (of several the one of least identifier; their numbers are n_requests, n_metadata).
-    Records that name no capture are left out; a capture without the others has nulls and zeros."""
+    The capture is nested: request, response (null for a revisit), revisit (null for a response) and metadata are
+    structs beside the capture's own identifier. Records that name no capture, or lack their own identifier, are
+    left out; a capture without the others has nulls and zeros; records that repeat an identifier are each a capture."""
     part = lambda kind: F.min(F.when(F.col("type") == kind, F.struct("record_id", "url", "date", "payload")))
     others = records.where("type in ('request', 'metadata') and concurrent_to is not null")
     others = others.groupBy("concurrent_to").agg(part("request").alias("request"), part("metadata").alias("metadata"), F.count_if(F.col("type") == "request").alias("n_requests"), F.count_if(F.col("type") == "metadata").alias("n_metadata"))
-    main = records.where("type in ('response', 'revisit')").drop("concurrent_to")
-    out = main.join(others, main["record_id"] == others["concurrent_to"], "left").drop("concurrent_to")
+    body = F.struct("record_id", "url", "date", "refers_to", "refers_to_page", "payload_digest", "payload_bytes", "payload")
+    main = records.where("type in ('response', 'revisit') and record_id is not null")
+    main = main.select(F.col("record_id").alias("capture_id"), "page_id", "type", F.when(F.col("type") == "response", body).alias("response"), F.when(F.col("type") == "revisit", body).alias("revisit"))
+    out = main.join(others, main["capture_id"] == others["concurrent_to"], "left").drop("concurrent_to")
     return out.withColumns({x: F.coalesce(x, F.lit(0)) for x in ("n_requests", "n_metadata")})
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Write pages into archives, read them back and assemble: page_id, payload_bytes, payload_digest,
-    record_type, refers_to (page_id of the response that a revisit repeats), request, metadata and counts."""
+    """Write pages (page_id, url, html) into archives, read them back and assemble one nested row per capture:
+    page_id, payload_bytes, payload_digest, record_type, refers_to (page_id of the response that a revisit
+    repeats), then the capture's identifier, its request, response or revisit, and metadata records, and counts.
+
+    Null html is an empty payload; null page_ids are captures of their own; of rows that repeat a page_id each is
+    a capture; an empty table gives none. Other columns are not read. See write_archives() for ties."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/llm/archives-{uuid.uuid4().hex}"
     write_archives(pages, path)
     records = written(read_archives(spark, path, with_payload=False).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))
     out = assemble(records)
-    return out.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_page").alias("refers_to"), F.col("request.record_id").alias("request_id"), F.col("metadata.record_id").alias("metadata_id"), "n_requests", "n_metadata")
+    of = lambda name: F.coalesce(F.col(f"response.{name}"), F.col(f"revisit.{name}"))
+    told = [of("payload_bytes").alias("payload_bytes"), of("payload_digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("revisit.refers_to_page").alias("refers_to")]
+    return out.select("page_id", *told, "capture_id", "request", "response", "revisit", "metadata", "n_requests", "n_metadata")
