@@ -83,7 +83,7 @@ def relative_path_error(path: Column, platform: str = "posix") -> Column:
     return out.when(path.rlike(r"^(\./*)+$"), "root-itself")
 
 
-def portable_target(path: Column, control: str = ".librarian") -> Column:
+def portable_target(path: Column, control: str = ".catalogue") -> Column:
     """Struct of path, normalised, and error (one of the two is null)."""
     p = trimmed(F.trim(path))
     parts = F.split(p, "/")

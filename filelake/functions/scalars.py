@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 NUL = "\0"
 
 
@@ -98,9 +103,9 @@ def gps_altitude(metres: Column, ref: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """A flat JSON object with its keys in order; null if it isn't one. Values keep their own text."""
-    pairs = F.map_entries(F.from_json(text, "map<string,string>"))
-    return F.to_json(F.map_from_entries(F.array_sort(pairs)))
+    """JSON with the keys of every object in order, at every depth, without white space; null if it isn't JSON.
+    A variant holds an object's fields by name, so writing it out again orders them; 1 and "1" stay apart."""
+    return F.to_json(F.try_parse_json(text))
 
 
 def json_object(text: Column) -> Column:
@@ -141,6 +146,29 @@ def without_private(facts: Column) -> Column:
     return F.transform_values(F.map_filter(facts, lambda k, v: ~_private(k)), lambda k, v: F.map_filter(v, lambda a, b: ~_private(a)))
 
 
+def _strip(value):
+    if isinstance(value, dict):
+        return {k: _strip(v) for k, v in value.items() if not any(p in k.lower() for p in PRIVATE_KEYS)}
+    return [_strip(v) for v in value] if isinstance(value, list) else value
+
+
+def _without_private(texts: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return json.dumps(_strip(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except (TypeError, ValueError):
+            return None
+
+    return texts.map(one)
+
+
+def without_private_json(text: Column) -> Column:
+    """JSON without private keys at any depth, keys in order; null if it isn't JSON. Depth has no bound, so this
+    is a small function over Arrow batches."""
+    ship(SparkSession.active())
+    return F.pandas_udf(_without_private, "string")(text)
+
+
 def invalid_fields(rules: dict[str, Column]) -> Column:
     """Names of the rules that a row breaks (a rule that is null is broken)."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))

@@ -54,18 +54,37 @@ def reuse_hashes(tasks: DataFrame, prior: DataFrame) -> DataFrame:
     """Tasks with digest, verification_state: a digest known for the same file (device, inode), else for the
     same path, at equal length and known, equal time; else null."""
     known = prior.where("modified_at is not null")
-    by_file = newest_per_key(known.where("device_id is not null and filesystem_record_id is not null").select("root_id", "byte_length", "modified_at", "device_id", "filesystem_record_id", "hashed_at", "record_id", F.col("digest").alias("d1")), ["root_id", "byte_length", "modified_at", "device_id", "filesystem_record_id"], "hashed_at", "record_id").drop("hashed_at", "record_id")
-    by_path = newest_per_key(known.select("root_id", "relative_path", "byte_length", "modified_at", "hashed_at", "record_id", F.col("digest").alias("d2")), ["root_id", "relative_path", "byte_length", "modified_at"], "hashed_at", "record_id").drop("hashed_at", "record_id")
-    out = tasks.join(by_file, ["root_id", "byte_length", "modified_at", "device_id", "filesystem_record_id"], "left").join(by_path, ["root_id", "relative_path", "byte_length", "modified_at"], "left")
+    file_key = ["root_id", "byte_length", "modified_at", "device_id", "filesystem_record_id"]
+    path_key = ["root_id", "relative_path", "byte_length", "modified_at"]
+    newest = lambda df, key, name: newest_per_key(df.select(*key, "hashed_at", "record_id", F.col("digest").alias(name)), key, "hashed_at", "record_id").drop("hashed_at", "record_id")
+    by_file = newest(known.where("device_id is not null and filesystem_record_id is not null"), file_key, "d1")
+    out = tasks.join(by_file, file_key, "left").join(newest(known, path_key, "d2"), path_key, "left")
     digest = F.coalesce("d1", "d2")
     return out.withColumns({"digest": digest, "verification_state": F.when(digest.isNotNull(), "reused")}).drop("d1", "d2")
 
 
 def incremental_hash(tasks: DataFrame, prior: DataFrame, content: str = "content") -> DataFrame:
-    """Every task with digest and verification_state (reused or verified); only the rest is hashed."""
-    tried = reuse_hashes(tasks, prior)
-    fresh = F.when(F.col("digest").isNull(), F.sha2(F.col(content), 256)).otherwise(F.col("digest"))
-    return tried.withColumns({"digest": fresh, "verification_state": F.coalesce("verification_state", F.lit("verified"))}).drop(content)
+    """Every task with digest and verification_state (reused or verified); only the rest is hashed.
+
+    What is known is decided on metadata alone. Contents then go through one anti join with the files that are
+    known, which drops them map-side where those are few and before any hashing in every case."""
+    facts = [c for c in tasks.columns if c != content]
+    tried = reuse_hashes(tasks.select(*facts), prior)
+    known = tried.where("digest is not null")
+    rest = tasks.join(known.select("record_id"), "record_id", "left_anti")
+    fresh = rest.select(*facts, F.sha2(F.col(content), 256).alias("digest"), F.lit("verified").alias("verification_state"))
+    return known.select(*facts, "digest", "verification_state").unionByName(fresh)
+
+
+def stable_hashes(hashed: DataFrame, listing: DataFrame) -> DataFrame:
+    """Hashed files whose observation a second listing, taken after reading, still shows unchanged."""
+    from .snapshots import matches_observation
+
+    facts = ["byte_length", "modified_at", "device_id", "filesystem_record_id"]
+    seen = listing.where("observation_status = 'observed'").select("root_id", "relative_path", F.struct(*facts).alias("_now"))
+    out = hashed.join(seen, ["root_id", "relative_path"], "left")
+    same = F.col("_now").isNotNull() & matches_observation({f: F.col(f) for f in facts}, {f: F.col("_now")[f] for f in facts})
+    return out.withColumn("stable", same).drop("_now")
 
 
 def exact_groups(hashes: DataFrame) -> DataFrame:
@@ -99,18 +118,30 @@ def keep_decisions(members: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def apply_decisions(members: DataFrame, keepers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members with decision, violations). keepers: group_id, record_id (null: keep all). In a decided group
-    keepers keep and the rest consolidate; a keeper must be a member, and a group needs one."""
-    chosen = keepers.groupBy("group_id").agg(F.bool_or(F.col("record_id").isNull()).alias("all"), F.lit(True).alias("decided"))
-    named = keepers.where("record_id is not null").select("group_id", "record_id", F.lit(True).alias("keeper")).distinct()
-    out = members.join(chosen, "group_id", "left").join(named, ["group_id", "record_id"], "left")
+    keepers keep and the rest consolidate. A group that names a stranger, and no keep-all, is refused whole: its
+    members stay undecided, so a group with copies to consolidate always has a keeper."""
+    known = members.select("group_id", "record_id", F.lit(True).alias("member"))
+    named = keepers.distinct().join(known, ["group_id", "record_id"], "left")
+    of_group = named.groupBy("group_id").agg(F.bool_or(F.col("record_id").isNull()).alias("all"), F.bool_or(F.col("record_id").isNotNull() & F.col("member").isNull()).alias("strange"))
+    chosen = of_group.where("all or not strange").select("group_id", "all", F.lit(True).alias("decided"))
+    keep = named.where("record_id is not null and member").select("group_id", "record_id", F.lit(True).alias("keeper"))
+    out = members.join(chosen, "group_id", "left").join(keep, ["group_id", "record_id"], "left")
     decision = F.when(F.col("decided").isNull(), "undecided").when(F.col("all"), "keep-all").when(F.col("keeper"), "keep").otherwise("consolidate")
-    strangers = named.join(members.select("group_id", "record_id"), ["group_id", "record_id"], "left_anti").select("group_id", "record_id", F.lit("keeper-not-a-member").alias("violation"))
-    return out.withColumn("decision", decision).drop("all", "decided", "keeper"), strangers
+    refused = of_group.where("strange and not all").select("group_id", F.lit("keeper-not-a-member").alias("violation"))
+    return out.withColumn("decision", decision).drop("all", "decided", "keeper"), refused
 
 
 def duplicate_reviews(groups: DataFrame) -> DataFrame:
-    """One review item per exact group."""
-    return groups.select(stable_id("review", F.col("group_id"), F.lit("exact-duplicate")).alias("review_id"), "group_id", F.lit("exact-duplicate").alias("reason"), F.concat(F.col("copies").cast("string"), F.lit(" verified copies")).alias("title"), "reclaimable_bytes")
+    """One open review item per exact group."""
+    reason = F.lit("duplicate-keeper-uncertain")
+    return groups.select(stable_id("review", F.col("group_id"), reason).alias("review_id"), "group_id", reason.alias("reason"), F.concat(F.col("copies").cast("string"), F.lit(" verified copies")).alias("title"), "reclaimable_bytes", F.lit("open").alias("status"))
+
+
+def close_reviews(reviews: DataFrame, members: DataFrame) -> DataFrame:
+    """Duplicate reviews, resolved where their group is decided."""
+    done = members.where("decision <> 'undecided'").select("group_id").distinct().withColumn("_d", F.lit(True))
+    resolved = F.col("_d") & (F.col("reason") == "duplicate-keeper-uncertain") & (F.col("status") == "open")
+    return reviews.join(done, "group_id", "left").withColumn("status", F.when(resolved, "resolved").otherwise(F.col("status"))).drop("_d")
 
 
 def content_identities(hashes: DataFrame) -> DataFrame:

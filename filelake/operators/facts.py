@@ -21,26 +21,30 @@ EXTENSION_TYPES = {
 
 
 def sniff_type(content: Column, extension: Column) -> Column:
-    """Struct of mime_type and source (signature or extension)."""
-    h = F.hex(head(content, 12))
-    starts = lambda *p: [F.startswith(h, F.lit(x)) for x in p]
-    any_ = lambda xs: xs[0] if len(xs) == 1 else xs[0] | any_(xs[1:])
-    riff = F.startswith(h, F.lit("52494646"))
+    """Struct of mime_type and source (signature or extension). The head is cut out and turned to hex once: it is
+    bound as a lambda's argument, so generated code does not repeat it for each signature."""
+    seen = F.struct(F.hex(head(content, 12)).alias("h"), F.hex(F.substring(content, 258, 5)).alias("tar"), F.lower(extension).alias("ext"))
+    return F.get(F.transform(F.array(seen), _sniffed), F.lit(0))
+
+
+def _sniffed(x: Column) -> Column:
+    h = x["h"]
+    starts = lambda *p: h.rlike("^(?:" + "|".join(p) + ")")
     found = (
-        F.when(any_(starts("89504E470D0A1A0A")), "image/png")
-        .when(any_(starts("FFD8FF")), "image/jpeg")
-        .when(any_(starts("47494638")), "image/gif")
-        .when(riff & (F.substring(h, 17, 8) == "57454250"), "image/webp")
-        .when(riff & (F.substring(h, 17, 8) == "57415645"), "audio/wav")
-        .when(any_(starts("25504446")), "application/pdf")
-        .when(any_(starts("504B03", "504B05", "504B07")), "application/zip")
-        .when(any_(starts("377ABCAF271C")), "application/x-7z-compressed")
-        .when(any_(starts("1F8B")), "application/gzip")
-        .when(any_(starts("494433")), "audio/mpeg")
-        .when(F.hex(F.substring(content, 258, 5)) == "7573746172", "application/x-tar")
+        F.when(starts("89504E470D0A1A0A"), "image/png")
+        .when(starts("FFD8FF"), "image/jpeg")
+        .when(starts("47494638"), "image/gif")
+        .when(starts("52494646.{8}57454250"), "image/webp")
+        .when(starts("52494646.{8}57415645"), "audio/wav")
+        .when(starts("25504446"), "application/pdf")
+        .when(starts("504B03", "504B05", "504B07"), "application/zip")
+        .when(starts("377ABCAF271C"), "application/x-7z-compressed")
+        .when(starts("1F8B"), "application/gzip")
+        .when(starts("494433"), "audio/mpeg")
+        .when(x["tar"] == "7573746172", "application/x-tar")
     )
     table = F.create_map(*[F.lit(x) for k, v in EXTENSION_TYPES.items() for x in (k, v)])
-    by_ext = F.coalesce(F.try_element_at(table, F.lower(extension)), F.lit("application/octet-stream"))
+    by_ext = F.coalesce(F.try_element_at(table, x["ext"]), F.lit("application/octet-stream"))
     return F.struct(F.coalesce(found, by_ext).alias("mime_type"), F.when(found.isNotNull(), "signature").otherwise("extension").alias("source"))
 
 
@@ -94,15 +98,26 @@ def normalize_probe(probe: Column) -> Column:
 
 
 # The TIFF tags that are read.
-_TAGS = {0x0112: "orientation", 0x010F: "make", 0x0110: "model", 0x9003: "capture_date", 0x0100: "width", 0x0101: "height"}
+_TAGS = {0x0112: "orientation", 0x010F: "make", 0x0110: "model", 0x9003: "capture_date", 0x9004: "digitized", 0x0132: "changed", 0x0100: "width", 0x0101: "height"}
+_GPS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon", 5: "alt_ref", 6: "alt"}
+#: Directories that a tag leads to.
+_EXIF_AT, _GPS_AT = 0x8769, 0x8825
+#: JPEG markers with the frame's size.
+_FRAMES = frozenset({*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC})
 
 
 def tiff(data: bytes) -> dict:
-    """Tags of the first directory and of the EXIF directory it names."""
+    """Tags of the first directory and of the EXIF and GPS directories it names. The date of capture falls back to
+    that of digitizing, then to that of the last change."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     out: dict = {}
+    place: dict = {}
+
+    def rationals(where: int, count: int) -> list[float]:
+        pairs = struct.unpack_from(order + "II" * count, data, where)
+        return [a / b if b else 0.0 for a, b in zip(pairs[::2], pairs[1::2], strict=True)]
 
-    def directory(at: int, depth: int = 0) -> None:
+    def directory(at: int, depth: int = 0, gps: bool = False) -> None:
         (n,) = struct.unpack_from(order + "H", data, at)
         for i in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
@@ -110,8 +125,11 @@ def tiff(data: bytes) -> dict:
             size = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}.get(kind, 1) * count
             if size > 4:
                 (where,) = struct.unpack_from(order + "I", data, where)
-            if tag == 0x8769 and depth == 0:
-                directory(struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0], 1)
+            if gps:
+                if tag in _GPS:
+                    place[_GPS[tag]] = rationals(where, count) if kind == 5 else data[where] if kind == 1 else data[where : where + 1].decode("latin-1")
+            elif tag in (_EXIF_AT, _GPS_AT) and depth == 0:
+                directory(struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0], 1, tag == _GPS_AT)
             elif tag in _TAGS:
                 if kind == 2:
                     out[_TAGS[tag]] = data[where : where + count].split(b"\0")[0].decode("latin-1").strip()
@@ -119,18 +137,31 @@ def tiff(data: bytes) -> dict:
                     (out[_TAGS[tag]],) = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, where)
 
     directory(struct.unpack_from(order + "I", data, 4)[0])
+    later = out.pop("digitized", None) or out.get("changed")
+    out.pop("changed", None)
+    if later and "capture_date" not in out:
+        out["capture_date"] = later
+    for key, name in (("lat", "latitude"), ("lon", "longitude")):
+        if len(place.get(key, ())) == 3:
+            d, m, s = place[key]
+            out[name] = (d + m / 60 + s / 3600) * (-1.0 if place.get(key + "_ref", "").upper() in ("S", "W") else 1.0)
+    if place.get("alt"):
+        out["altitude"] = place["alt"][0] * (-1.0 if place.get("alt_ref") == 1 else 1.0)
     return out
 
 
 def jpeg(data: bytes) -> dict:
-    """Size from the frame header and the tags of the EXIF segment."""
+    """Size from the frame header and the tags of the EXIF segment; a broken segment leaves the rest."""
     out, at = {}, 2
     while at + 4 <= len(data) and data[at] == 0xFF:
         mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-        if mark in (0xC0, 0xC1, 0xC2, 0xC3):
+        if mark in _FRAMES:
             out["height"], out["width"] = struct.unpack_from(">HH", data, at + 5)
         elif mark == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-            out |= {k: v for k, v in tiff(data[at + 10 : at + 2 + size]).items() if k not in ("width", "height")}
+            try:
+                out |= {k: v for k, v in tiff(data[at + 10 : at + 2 + size]).items() if k not in ("width", "height")}
+            except (struct.error, KeyError, IndexError) as e:
+                out["exif_error"] = f"{type(e).__name__}: {e}"[:200]
         elif mark == 0xDA:
             break
         at += 2 + max(2, size)
@@ -152,7 +183,7 @@ def wave(data: bytes) -> dict:
 
 def id3(data: bytes) -> dict:
     """Text frames of an ID3v2.3 or 2.4 tag."""
-    names, out, at = {b"TIT2": "title", b"TPE1": "artist", b"TALB": "album"}, {}, 10
+    names, out, at = {b"TIT2": "title", b"TPE1": "artist", b"TALB": "album", b"TRCK": "track", b"TYER": "date", b"TDRC": "date"}, {}, 10
     end = 10 + sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
     while at + 10 <= min(end, len(data)) and data[at]:
         raw = data[at + 4 : at + 8]
@@ -202,12 +233,25 @@ def reuse_facts(tasks: DataFrame, prior: DataFrame) -> DataFrame:
     return out.withColumns({"facts_json": F.coalesce("f1", "f2"), "reused": F.coalesce("f1", "f2").isNotNull()}).drop("f1", "f2")
 
 
+_WALKED = "facts map<string,string>, status string, message string"
+
+
 def extract_facts(files: DataFrame) -> DataFrame:
-    """record_id, mime_type, source, width, height, pages, archive entries and the walked facts, in one pass each."""
+    """record_id, mime_type, type_source, width, height, pages, archive entries and the walked facts. Contents are
+    read once: the walk runs beside the columns, and no join brings it back."""
     c, e = F.col("content"), F.col("extension")
-    kind = sniff_type(c, e)
-    native = files.select("record_id", kind["mime_type"].alias("mime_type"), kind["source"].alias("type_source"), image_size(c)["width"].alias("width"), image_size(c)["height"].alias("height"), F.when(kind["mime_type"] == "application/pdf", pdf_facts(c)["pages"]).alias("pages"), F.when(kind["mime_type"] == "application/zip", archive_facts(c, e)["entries"]).alias("entries"))
-    return native.join(walked_facts(files), "record_id")
+    kind, size = sniff_type(c, e), image_size(c)
+    native = files.select("record_id", "content", kind["mime_type"].alias("mime_type"), kind["source"].alias("type_source"), size["width"].alias("width"), size["height"].alias("height"), F.when(kind["mime_type"] == "application/pdf", pdf_facts(c)["pages"]).alias("pages"), F.when(kind["mime_type"] == "application/zip", archive_facts(c, e)["entries"]).alias("entries"))
+    ship(files.sparkSession)
+    rest = [f for f in native.schema.fields if f.name not in ("record_id", "content")]
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            walked = next(_walk(iter([batch.select([0, 1])])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *walked.columns[1:]], names=["record_id", *[f.name for f in rest], *walked.schema.names[1:]])
+
+    return native.mapInArrow(run, f"record_id string, {ddl}, {_WALKED}")
 
 
 def assemble_facts(facts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import has_parent, is_within, split_filename
@@ -21,7 +21,7 @@ class PlanOptions:
     philosophy: str = "balanced"  # conservative, balanced, deep
     collision: str = "suffix"  # or skip
     target: str = "Organized"
-    control: str = ".librarian"
+    control: str = ".catalogue"
     include_hidden: bool = False
     maximum: int = 10_000
 
@@ -73,25 +73,29 @@ def family(path: Column) -> Column:
     return F.concat(F.regexp_replace(cut["stem"], r"( \(\d+\))+$", ""), cut["extension"])
 
 
+#: Names that a destination has: itself, then ' (2)' to ' (10000)'.
+NAMES = 10_000
+
+
 def _settle(skip: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(wishes: pd.DataFrame, observed: pd.DataFrame) -> pd.DataFrame:
         """One family in path order: the first free name, from the wish through ' (2)' to ' (10000)'."""
-        taken, out = set(pdf["taken"].iloc[0]), []
+        taken, out = set(observed["p"]), []
         free: dict[str, int] = {}
-        for wish in (pdf := pdf.sort_values("relative_path"))["destination"]:
+        for wish in (wishes := wishes.sort_values("relative_path"))["destination"]:
             got = wish if wish not in taken else None
             if got is None and not skip:
                 folder, _, name = wish.rpartition("/")
                 at = name.rfind(".")
-                stem, ext = (wish[: len(folder) + 1 + at], name[at:]) if at >= 0 and folder else ((wish[:at], name[at:]) if at >= 0 else (wish, ""))
-                for k in range(free.get(wish, 2), 10_001):
+                stem, ext = (wish[: len(wish) - len(name) + at], name[at:]) if at >= 0 else (wish, "")
+                for k in range(free.get(wish, 2), NAMES + 1):
                     if f"{stem} ({k}){ext}" not in taken:
                         got, free[wish] = f"{stem} ({k}){ext}", k + 1
                         break
-            if got is not None and got not in taken:
+            if got is not None:
                 taken.add(got)
             out.append(got)
-        return pd.DataFrame({"record_id": pdf["record_id"], "final": out})
+        return pd.DataFrame({"record_id": wishes["record_id"], "final": out})
 
     return run
 
@@ -99,20 +103,21 @@ def _settle(skip: bool):
 def resolve_collisions(wishes: DataFrame, observed: DataFrame, collision: str = "suffix") -> DataFrame:
     """wishes (record_id, relative_path, destination) with final, null where nothing is free.
 
-    Sequential only inside a family; each family gets the observed paths of its own. A family is bounded by
-    the 10,000 names there are."""
+    Sequential only inside a family. Of the wishes for one destination the first NAMES by path are all that can
+    get a name, so the others are set aside while they are counted, before any shuffle gathers them: a name that
+    a third of all files share costs each task NAMES rows. A family's observed paths come once, beside its wishes.
+    Families of one wish that is free, most of them, need no Python."""
     ship(wishes.sparkSession)
-    w = wishes.withColumn("_f", family(F.col("destination")))
-    have = observed.select(F.col("relative_path").alias("p"), family(F.col("relative_path")).alias("_f"))
-    # Counts first, then the observed paths: the wishes are read once for all that is known of a family.
-    n = w.groupBy("_f").agg(F.count("*").alias("_n"))
-    families = n.join(have, "_f", "left").groupBy("_f").agg(F.first("_n").alias("_n"), F.collect_set("p").alias("taken"))
-    # A family of one wish that is free needs no Python.
-    easy = (F.col("_n") == 1) & ~F.array_contains("taken", F.col("destination"))
-    fed = w.join(families, "_f").withColumn("_easy", easy)
-    crowd = fed.where("not _easy").select("_f", "record_id", "relative_path", "destination", "taken").groupBy("_f").applyInPandas(_settle(collision == "skip"), "record_id string, final string")
-    settled = fed.drop("_f", "_n", "taken").join(crowd, "record_id", "left")
-    return settled.withColumn("final", F.when(F.col("_easy"), F.col("destination")).otherwise(F.col("final"))).drop("_easy")
+    w = wishes.select("record_id", "relative_path", "destination", family(F.col("destination")).alias("_f"))
+    have = observed.select(F.col("relative_path").alias("p"), family(F.col("relative_path")).alias("_f")).distinct()
+    shared = w.groupBy("_f").agg(F.count("*").alias("n")).where("n > 1").select("_f")
+    barred = w.join(have.select(F.col("p").alias("destination")), "destination", "left_semi").select("_f")
+    crowded = shared.unionByName(barred).distinct()
+    first = w.withColumn("n", F.row_number().over(Window.partitionBy("destination").orderBy("relative_path", "record_id"))).where(F.col("n") <= (1 if collision == "skip" else NAMES)).drop("n")
+    fed, met = (df.join(crowded, "_f", "left_semi").groupBy("_f") for df in (first, have))
+    settled = fed.cogroup(met).applyInPandas(_settle(collision == "skip"), "record_id string, final string")
+    free = w.join(crowded, "_f", "left_anti").select("record_id", F.col("destination").alias("final"))
+    return wishes.join(settled.unionByName(free), "record_id", "left")
 
 
 def rationale(options: PlanOptions = PlanOptions()) -> Column:
@@ -127,8 +132,6 @@ def rationale(options: PlanOptions = PlanOptions()) -> Column:
 
 def ordinal(df: DataFrame, order: str, limit: int) -> DataFrame:
     """The first `limit` rows in order with their position from 0; the limit bounds the one-task numbering."""
-    from pyspark.sql import Window
-
     return df.orderBy(order).limit(limit).withColumn("ordinal", F.row_number().over(Window.orderBy(order)) - 1)
 
 

@@ -79,5 +79,14 @@ def groups_for_records(records: DataFrame, members: DataFrame, groups: DataFrame
     return named.groupBy("record_id").agg(F.array_sort(F.collect_set(F.struct("kind", "group_id"))).alias("groups"))
 
 
+def all_groups(projects: DataFrame, pairs: DataFrame, albums: DataFrame) -> DataFrame:
+    """group_id, kind, scan_id, root_id, confidence of project, media pair and album groups, in one table."""
+    out = None
+    for kind, df in (("project", projects), ("media-pair", pairs), ("album", albums)):
+        own = df.select("group_id", F.lit(kind).alias("kind"), "scan_id", "root_id", "confidence")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def list_groups(groups: DataFrame, members: DataFrame) -> DataFrame:
     return groups.join(members.groupBy("group_id").agg(F.count("*").alias("members")), "group_id", "left").na.fill(0, ["members"])

@@ -103,7 +103,8 @@ def duplicate_members(members: DataFrame, group_id: str) -> DataFrame:
 
 
 def search_reviews(reviews: DataFrame, root_id=None, scan_id=None, reason=None, status="open", text=None) -> DataFrame:
-    return _text(_equal(reviews, root_id=root_id, scan_id=scan_id, reason=reason, status=status), text, "title").orderBy("review_id")
+    searched = [c for c in ("title", "description") if c in reviews.columns]
+    return _text(_equal(reviews, root_id=root_id, scan_id=scan_id, reason=reason, status=status), text, *searched).orderBy("review_id")
 
 
 def search_deltas(deltas: DataFrame, kind=None, text=None) -> DataFrame:
@@ -122,6 +123,27 @@ def list_plans(plans: DataFrame, root_id=None, status=None) -> DataFrame:
     return _equal(plans, root_id=root_id, status=status).orderBy(F.desc("created_at"), "plan_id")
 
 
+def list_transfer_items(items: DataFrame, plan_id=None, status=None) -> DataFrame:
+    return _equal(items, plan_id=plan_id, status=status).orderBy("plan_id", "ordinal", "item_id")
+
+
+def list_operations(ops: DataFrame, plan_id, category=None) -> DataFrame:
+    return _equal(ops, plan_id=plan_id, category=category).orderBy("ordinal")
+
+
+def list_runs(runs: DataFrame, plan_id=None, mode=None, status=None) -> DataFrame:
+    return _equal(runs, plan_id=plan_id, mode=mode, status=status).orderBy(F.desc("created_at"), "run_id")
+
+
+def list_run_items(items: DataFrame, ops: DataFrame, run_id, outcome=None) -> DataFrame:
+    """A run's items beside what they were to do, in the plan's order."""
+    return _equal(items, run_id=run_id, outcome=outcome).join(ops, "operation_id").orderBy("ordinal")
+
+
+def list_audit(entries: DataFrame, run_id=None, kind=None) -> DataFrame:
+    return _equal(entries, run_id=run_id, kind=kind).orderBy("sequence")
+
+
 def list_jobs(jobs: DataFrame, statuses=None) -> DataFrame:
     return _equal(jobs, status=statuses).orderBy(F.desc("submitted_at"), "job_id")
 
@@ -139,6 +161,10 @@ def list_scans(scans: DataFrame, root_id=None) -> DataFrame:
     return _equal(scans, root_id=root_id).orderBy(F.desc("started_at"), F.desc("scan_id"))
 
 
+def list_reconciliations(runs: DataFrame, root_id=None, status=None) -> DataFrame:
+    return _equal(runs, root_id=root_id, status=status).orderBy(F.desc("created_at"), F.desc("run_id"))
+
+
 def observed_paths(files: DataFrame, paths: DataFrame, platform: str = "posix") -> DataFrame:
     """Of paths (relative_path) those that a snapshot has."""
     from ..functions.paths import path_key

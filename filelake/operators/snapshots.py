@@ -68,12 +68,27 @@ def analysis_status(files: DataFrame, hashes: DataFrame, understanding: DataFram
     return f.join(h, "scan_id", "left").join(u, "scan_id", "left").join(r, "scan_id", "left").na.fill(0)
 
 
-def intelligence_summary(files: DataFrame, hashes: DataFrame, understanding: DataFrame, scans: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per root, over its latest completed scan: files, analysed, awaiting (never negative), hashed."""
+def intelligence_summary(files: DataFrame, understanding: DataFrame, scans: DataFrame, groups: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Per root, and with root_id null over all: files (of the latest completed scan), analysed, awaiting (never
+    negative), candidate_groups, exact_groups, reclaimable_bytes, open_reviews.
+
+    groups: root_id, kind, reclaimable_bytes. Each table is summed by root first; only sums are joined."""
     latest = latest_completed_scan(scans).select("root_id", "scan_id")
-    keep = lambda df: df.join(latest, ["root_id", "scan_id"], "left_semi")
-    f = keep(files.where("observation_status = 'observed' and entry_type = 'file'")).groupBy("root_id").agg(F.count("*").alias("files"), F.sum("byte_length").alias("bytes"))
-    u = keep(understanding).groupBy("root_id").agg(F.count("*").alias("analysed"))
-    h = keep(hashes).groupBy("root_id").agg(F.count("digest").alias("hashed"))
-    out = f.join(u, "root_id", "left").join(h, "root_id", "left").na.fill(0)
+    now = files.where("observation_status = 'observed' and entry_type = 'file'").join(latest, ["root_id", "scan_id"], "left_semi")
+    one = F.lit(1).cast("long")
+    exact = F.col("kind") == "exact"
+    told = [
+        (now, "files", one),
+        (understanding.where("analysis_state in ('analyzed', 'partial')"), "analysed", one),
+        (groups.where("kind = 'candidate'"), "candidate_groups", one),
+        (groups.where(exact), "exact_groups", one),
+        (groups.where(exact), "reclaimable_bytes", F.col("reclaimable_bytes").cast("long")),
+        (reviews.where("status = 'open'"), "open_reviews", one),
+    ]
+    rows = None
+    for df, name, value in told:
+        part = df.groupBy("root_id").agg(F.sum(value).alias("v")).withColumn("name", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    names = [name for _, name, _ in told]
+    out = rows.rollup("root_id").agg(*[F.coalesce(F.sum(F.when(F.col("name") == x, F.col("v"))), F.lit(0)).alias(x) for x in names])
     return out.withColumn("awaiting", F.greatest(F.lit(0), F.col("files") - F.col("analysed")))

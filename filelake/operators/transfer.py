@@ -11,15 +11,22 @@ from .classify import REVIEW, classify_ingest
 HEAD_ROOM = 16 * 1024 * 1024
 
 
-def discover_items(listing: DataFrame, device: str, control: str = ".librarian") -> DataFrame:
-    """Regular files on the root's own device, outside the control folder, numbered by path.
+#: Bounds by which a listing is cut into ranges of paths.
+BOUNDS = 255
 
-    Numbers come from per-block counts, so no single task orders the listing."""
+
+def discover_items(listing: DataFrame, device: str, control: str = ".catalogue") -> DataFrame:
+    """Regular files on the root's own device, outside the control folder, numbered by path (equal paths by record).
+
+    Ranges of paths, cut at BOUNDS paths that a hash picks, are numbered apart and start from the counts of
+    those before, so neither one task nor one folder's task orders the listing."""
     kept = listing.where("entry_type = 'file'").where(F.col("device_id") == device).where(~F.startswith("relative_path", F.lit(control + "/")))
-    blocks = kept.withColumn("_b", F.substring("relative_path", 1, 2))
+    picked = kept.select("relative_path").distinct().orderBy(F.xxhash64("relative_path"), "relative_path").limit(BOUNDS).collect()
+    bounds = F.array(*[F.lit(x) for x in sorted(r[0] for r in picked if r[0] is not None)]).cast("array<string>")
+    blocks = kept.withColumn("_b", F.size(F.filter(bounds, lambda x: x <= F.col("relative_path"))))
     size = blocks.groupBy("_b").agg(F.count("*").alias("_n"))
     before = size.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    at = F.row_number().over(Window.partitionBy("_b").orderBy("relative_path")) - 1
+    at = F.row_number().over(Window.partitionBy("_b").orderBy("relative_path", "record_id")) - 1
     return blocks.join(before, "_b").withColumn("ordinal", (F.col("_before") + at).cast("long")).drop("_b", "_before")
 
 
@@ -29,10 +36,12 @@ def ingest_destination(category: Column, target: str = "Imported", preserve: boo
 
 
 def triage_ingest(items: DataFrame, matches: DataFrame, target: str = "Imported", preserve: bool = True) -> DataFrame:
-    """items with status (exact-duplicate, needs-review, ready), category, destination, n_matches.
+    """items with status (exact-duplicate, needs-review, ready), category, destination, n_matches and, where
+    matches has them, the matches themselves.
 
-    matches: item_id, n_matches. Duplicates are settled first and not classified."""
-    out = classify_ingest(items.join(matches.select("item_id", "n_matches"), "item_id", "left").na.fill(0, ["n_matches"]))
+    matches: item_id, n_matches, as top_matches() gives it. Duplicates are settled first and not classified."""
+    found = matches.select("item_id", "n_matches", *[c for c in matches.columns if c == "matches"])
+    out = classify_ingest(items.join(found, "item_id", "left").na.fill(0, ["n_matches"]))
     dup = F.col("n_matches") > 0
     status = F.when(dup, "exact-duplicate").when(F.col("confidence") < REVIEW, "needs-review").otherwise("ready")
     return out.withColumns({"status": status, "destination": F.when(~dup, ingest_destination(F.col("category"), target, preserve))})
@@ -59,16 +68,19 @@ def transfer_receipt(items: DataFrame) -> DataFrame:
     return c.withColumns({"receipt_id": stable_id("receipt", F.col("plan_id")), "status": status})
 
 
+# Names of strategies and of their steps.
+COPY, RENAME, MOVE = "copy-verify-preserve-source", "same-filesystem-rename", "cross-filesystem-copy-verify-quarantine-source"
+COPY_STEP, VERIFY_STEP, QUARANTINE_STEP = "copy-to-destination", "verify-content-identity", "quarantine-source"
+
+
 def transfer_strategy(intent: Column, relation: Column) -> Column:
-    """Struct of strategy and steps; a move across unknown file systems is for review."""
-    steps = lambda *s: F.array(*[F.lit(x) for x in s])
-    of = lambda name, *s: F.struct(F.lit(name).alias("strategy"), steps(*s).alias("steps"))
-    return (
-        F.when(intent == "copy", of("copy-verify-preserve-source", "copy-to-destination", "verify-content-identity"))
-        .when(relation == "same-filesystem", of("same-filesystem-rename", "same-filesystem-rename", "verify-content-identity"))
-        .when(relation == "cross-filesystem", of("cross-filesystem-copy-verify-quarantine-source", "copy-to-destination", "verify-content-identity", "quarantine-source"))
-        .otherwise(F.struct(F.lit("review-required").alias("strategy"), F.array().cast("array<string>").alias("steps")))
-    )
+    """Struct of status, strategy, steps and reason; a move across unknown file systems is for review and has a
+    reason in place of a strategy."""
+    none = F.lit(None).cast("string")
+    of = lambda name, *steps: F.struct(F.lit("planned").alias("status"), F.lit(name).alias("strategy"), F.array(*map(F.lit, steps)).alias("steps"), none.alias("reason"))
+    unknown = F.lit("how source and target file systems relate must be known before a move is planned")
+    review = F.struct(F.lit("review-required").alias("status"), none.alias("strategy"), F.array().cast("array<string>").alias("steps"), unknown.alias("reason"))
+    return F.when(intent == "copy", of(COPY, COPY_STEP, VERIFY_STEP)).when(relation == "same-filesystem", of(RENAME, RENAME, VERIFY_STEP)).when(relation == "cross-filesystem", of(MOVE, COPY_STEP, VERIFY_STEP, QUARANTINE_STEP)).otherwise(review)
 
 
 def consolidation_plan(members: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,11 +122,23 @@ def capacity_check(items: DataFrame, free: DataFrame) -> DataFrame:
     return free.join(rest, "plan_id", "left").na.fill(0, ["remaining_bytes"]).withColumn("fits", F.col("remaining_bytes") + HEAD_ROOM <= F.col("free_bytes"))
 
 
-def restore_candidates(quarantine: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Active quarantine items with restorable: their path is free. quarantine: quarantine_id, root_id, original_path, status."""
+def capacity_by_item(items: DataFrame, free: DataFrame) -> DataFrame:
+    """Open items with needed_bytes, the running sum of their plan up to them by ordinal, and fits: that sum and
+    the head room are free. A plan's items are bounded, so its window is."""
+    rest = items.where(~F.col("status").isin("completed", "skipped"))
+    needed = F.sum(F.coalesce("byte_length", F.lit(0))).over(Window.partitionBy("plan_id").orderBy("ordinal", "item_id").rowsBetween(Window.unboundedPreceding, 0))
+    return rest.withColumn("needed_bytes", needed).join(free, "plan_id", "left").withColumn("fits", F.coalesce(F.col("needed_bytes") + HEAD_ROOM <= F.col("free_bytes"), F.lit(False)))
+
+
+def restore_candidates(quarantine: DataFrame, snapshot: DataFrame, contents: DataFrame) -> DataFrame:
+    """Active quarantine items with blocked_by: missing, content-changed or path-occupied; null where the item
+    can be restored. quarantine: quarantine_id, root_id, original_path, digest, byte_length, status; contents:
+    quarantine_id, digest, byte_length of what lies in quarantine now."""
     taken = snapshot.where("observation_status = 'observed'").select("root_id", F.col("relative_path").alias("original_path"), F.lit(True).alias("_t")).distinct()
-    out = quarantine.where("status = 'active'").join(taken, ["root_id", "original_path"], "left")
-    return out.withColumn("restorable", F.col("_t").isNull()).drop("_t")
+    now = contents.select("quarantine_id", F.struct("digest", "byte_length").alias("_c"))
+    out = quarantine.where("status = 'active'").join(taken, ["root_id", "original_path"], "left").join(now, "quarantine_id", "left")
+    same = F.col("_c.digest").eqNullSafe(F.col("digest")) & F.col("_c.byte_length").eqNullSafe(F.col("byte_length"))
+    return out.withColumn("blocked_by", F.when(F.col("_c").isNull(), "missing").when(~same, "content-changed").when(F.col("_t"), "path-occupied")).drop("_t", "_c")
 
 
 def quarantine_count(quarantine: DataFrame) -> DataFrame:
@@ -137,3 +161,10 @@ def resolve_items(items: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Items with resolved status; resolutions: item_id, status, for items that need review."""
     r = resolutions.select("item_id", F.col("status").alias("_r"))
     return items.join(r, "item_id", "left").withColumn("status", F.when(F.col("status") == "needs-review", F.coalesce("_r", "status")).otherwise(F.col("status"))).drop("_r")
+
+
+def reviewed_plans(plans: DataFrame, items: DataFrame) -> DataFrame:
+    """Plans, those in review without an item left that needs it being ready-for-approval."""
+    open_ = items.where("status = 'needs-review'").select("plan_id").distinct().withColumn("_o", F.lit(True))
+    done = (F.col("status") == "needs-review") & F.col("_o").isNull()
+    return plans.join(open_, "plan_id", "left").withColumn("status", F.when(done, "ready-for-approval").otherwise(F.col("status"))).drop("_o")

@@ -40,11 +40,17 @@ def _hashed(spark, d) -> DataFrame:
     return files(spark, d).withColumns({"digest": F.sha2("content", 256), "hashed_at": F.col("modified_at"), "verification_state": F.lit("verified")})
 
 
+def _listed(spark, d) -> DataFrame:
+    """Files without their contents."""
+    return files(spark, d).drop("content")
+
+
 def _understood(spark, d) -> DataFrame:
     f = files(spark, d)
     mime = X.sniff_type(F.encode("content", "UTF-8"), F.col("extension"))["mime_type"]
     none = F.lit(0)
-    return C.classify(f.withColumns({"mime_type": mime, "n_failed": none, "n_results": none + 1, "n_unavailable": none, "captured_at": F.lit(None).cast("timestamp")}))
+    facts = f.withColumns({"mime_type": mime, "n_failed": none, "n_results": none + 1, "n_unavailable": none, "captured_at": F.lit(None).cast("timestamp")})
+    return C.classify(facts.drop("content"))
 
 
 H = FILES_SQL + ", hashes AS (SELECT *, sha256(content) AS digest FROM files)"
@@ -125,11 +131,6 @@ def _f(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.year_bucket(F.col("o_orderdate")).alias("y"), S.month_bucket(F.col("o_orderdate")).alias("m"), S.clamp01(F.col("o_totalprice") / 1000000).alias("c"), S.reclaimable(F.lit(4), k).alias("r"), S.percent(k, F.lit(60000), F.lit(True)).alias("pct"))
 
 
-@query("f11_canonical_json")
-def _f11(spark, d):
-    return table(spark, d, "events").select("event_id", S.canonical_json(F.col("props")).alias("canonical"))
-
-
 @query("a2_size_candidates", FILES_SQL + " SELECT byte_length, count(*) AS copies, count(*) * byte_length AS total_bytes, (count(*) - 1) * byte_length AS reclaimable_bytes FROM files GROUP BY byte_length HAVING count(*) > 1")
 def _a2(spark, d):
     return D.size_candidates(files(spark, d))
@@ -152,7 +153,7 @@ def _d1(spark, d):
 )
 def _d3(spark, d):
     f = files(spark, d)
-    prior = _hashed(spark, d).where("doc_id % 10 not in (1, 2)")
+    prior = _hashed(spark, d).drop("content").where("doc_id % 10 not in (1, 2)")
     moved = f.withColumn("modified_at", F.when(F.col("doc_id") % 10 == 5, F.col("modified_at") + F.expr("interval 1 day")).otherwise(F.col("modified_at")))
     return D.incremental_hash(moved, prior).select("record_id", "digest", "verification_state")
 
@@ -316,7 +317,7 @@ def _q1(spark, d):
     U + ", dup AS (SELECT sha256(content) AS h FROM files GROUP BY 1 HAVING count(*) > 1), r AS (SELECT record_id FROM und WHERE uncertainty = 'needs-review') SELECT record_id, category, CASE WHEN sha256(content) IN (SELECT h FROM dup) THEN 'exact' ELSE 'unique' END AS duplicate_state FROM und WHERE category IN ('Documents', 'Spreadsheets') AND byte_length BETWEEN 500 AND 100000 AND modified_at >= TIMESTAMP '2024-02-01' AND record_id NOT IN (SELECT record_id FROM r)",
 )
 def _q2(spark, d):
-    f, u, h = files(spark, d), _understood(spark, d), _hashed(spark, d)
+    f, u, h = _listed(spark, d), _understood(spark, d), _hashed(spark, d).drop("content")
     m = D.exact_members(h)
     empty = m.limit(0)
     reviews = Q.search_reviews(C.generate_reviews(u).withColumn("status", F.lit("open")))
@@ -352,7 +353,7 @@ _COH = " SELECT record_id, CASE WHEN hidden THEN 'hidden' WHEN parent_path LIKE
 
 
 def _evidence(spark, d):
-    f, u = files(spark, d), _understood(spark, d)
+    f, u = _listed(spark, d), _understood(spark, d)
     reviews = C.generate_reviews(u).withColumns({"status": F.lit("open"), "group_id": F.lit(None).cast("string")})
     members = R.prefix_members(f, R.project_groups(f))
     return O.planning_evidence(f, u, O.blocked_records(reviews, members), members)
@@ -371,23 +372,7 @@ def _o3(spark, d):
 
 @query("o5_plan", U + ", d AS (" + _COH + ") SELECT record_id, row_number() OVER (ORDER BY relative_path) - 1 AS ordinal, 'Organized/' || category || '/' || name AS final FROM d WHERE disposition = 'eligible' QUALIFY ordinal < 10000")
 def _o5(spark, d):
-    return O.plan(_evidence(spark, d), files(spark, d))[0].select("record_id", F.col("ordinal").cast("long").alias("ordinal"), "final")
-
-
-def _plan_files(spark, d):
-    """Files whose names collide, with and without suffixes."""
-    stem = F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 13 == 0, " (2)").otherwise(""))
-    name = F.concat(stem, F.lit("."), "extension")
-    parent = F.concat(F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"))
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return files(spark, d).join(docs, "doc_id").withColumns({"name": name, "parent_path": parent, "relative_path": F.concat_ws("/", parent, name)})
-
-
-@query("o4_resolve_collisions")
-def _o4(spark, d):
-    f = _plan_files(spark, d)
-    wishes = f.select("record_id", "relative_path", F.concat_ws("/", F.lit("Organized"), C.category_for_extension(F.col("extension")), "name").alias("destination"))
-    return O.resolve_collisions(wishes, f).select("record_id", "destination", "final")
+    return O.plan(_evidence(spark, d), _listed(spark, d))[0].select("record_id", F.col("ordinal").cast("long").alias("ordinal"), "final")
 
 
 @query(
@@ -415,19 +400,6 @@ def _a11(spark, d):
     return O.run_status(O.run_counts(i, i.groupBy("run_id").agg(F.count("*").alias("total"))))
 
 
-@query(
-    "t1_triage_ingest",
-    H + f""" SELECT record_id, CASE WHEN digest IN (SELECT digest FROM hashes WHERE doc_id % 2 = 0) THEN 'exact-duplicate' WHEN extension = 'foo' THEN 'needs-review' ELSE 'ready' END AS status,
-      CASE WHEN digest NOT IN (SELECT digest FROM hashes WHERE doc_id % 2 = 0) THEN (CASE WHEN parent_path <> '' THEN 'Imported/' || relative_path ELSE 'Imported/' || {_case(_EXT)} || '/' || name END) END AS destination FROM hashes WHERE doc_id % 2 = 1""",
-)
-def _t1(spark, d):
-    h = _hashed(spark, d)
-    items = h.where("doc_id % 2 = 1").withColumns({"item_id": F.col("record_id"), "mime_type": X.sniff_type(F.encode("content", "UTF-8"), F.col("extension"))["mime_type"], "n_failed": F.lit(0)})
-    have = h.where("doc_id % 2 = 0").select("digest", "byte_length", F.col("record_id").alias("r"))
-    n = items.select("item_id", "digest", "byte_length").join(have, ["digest", "byte_length"]).groupBy("item_id").agg(F.count("*").alias("n_matches"))
-    return T.triage_ingest(items, n).select("record_id", "status", "destination")
-
-
 _ITEMS = "WITH i AS (SELECT o_custkey AS plan_id, o_orderkey AS item_id, CASE o_orderkey % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'needs-review' END AS status, (o_totalprice * 100)::BIGINT AS byte_length FROM orders)"
 
 
@@ -445,13 +417,6 @@ def _t3(spark, d):
     return T.ingest_plan_state(T.transfer_counts(_items(spark, d))).select("plan_id", "state")
 
 
-@query("t4_strategy", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'copy-verify-preserve-source' WHEN o_orderkey % 3 = 0 THEN 'same-filesystem-rename' WHEN o_orderkey % 3 = 1 THEN 'cross-filesystem-copy-verify-quarantine-source' ELSE 'review-required' END AS strategy, (CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 3 = 1 THEN 3 ELSE 0 END)::INTEGER AS steps FROM orders")
-def _t4(spark, d):
-    k = F.col("o_orderkey")
-    s = T.transfer_strategy(F.when(k % 2 == 0, "copy").otherwise("relocate"), F.when(k % 3 == 0, "same-filesystem").when(k % 3 == 1, "cross-filesystem").otherwise("unknown"))
-    return table(spark, d, "orders").select("o_orderkey", s["strategy"].alias("strategy"), F.size(s["steps"]).alias("steps"))
-
-
 @query(
     "t7_verify_transfer",
     BOTH_SQL + ", a AS (SELECT relative_path, sha256(content) AS g, byte_length AS n, doc_id FROM files) SELECT doc_id AS item_id, CASE WHEN doc_id % 4 = 0 THEN 'verified' WHEN doc_id % 4 = 1 THEN 'collision' WHEN doc_id % 10 = 3 THEN 'missing' WHEN doc_id % 10 = 4 THEN 'stale-source' ELSE 'pending' END AS result FROM a",
@@ -512,13 +477,6 @@ def _m8(spark, d):
     return E.idempotent(s)[1]
 
 
-@query("e1_verify_chain")
-def _e1(spark, d):
-    c = E.append_chain(table(spark, d, "conversations"), "conv_id", "turn", "text")
-    broken = c.withColumn("text", F.when((F.col("conv_id") % 5 == 0) & (F.col("sequence") == 2), "altered").otherwise(F.col("text")))
-    return E.verify_chain(broken, "conv_id", "text")
-
-
 @query("e2_append_chain", """WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS sequence FROM conversations),
   c AS (SELECT conv_id, turn, sequence, sha256(repeat('0', 64) || chr(0) || t) AS entry_hash FROM o WHERE sequence = 1
    UNION ALL SELECT o.conv_id, o.turn, o.sequence, sha256(c.entry_hash || chr(0) || o.t) FROM c JOIN o ON o.conv_id = c.conv_id AND o.sequence = c.sequence + 1)
@@ -527,12 +485,21 @@ def _e2(spark, d):
     return E.append_chain(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "sequence", "turn", "entry_hash")
 
 
-@query("x1_sniff_pages", "SELECT page_id, 'text/html' AS mime_type FROM pages")
+_SIGNATURES = {"89504E470D0A1A0A": "image/png", "FFD8FFE0": "image/jpeg", "474946383961": "image/gif", "524946460000000057454250": "image/webp", "524946460000000057415645": "audio/wav", "255044462D": "application/pdf", "504B0304": "application/zip", "377ABCAF271C": "application/x-7z-compressed", "1F8B08": "application/gzip", "494433": "audio/mpeg"}
+
+
+@query(
+    "x1_sniff_pages",
+    "SELECT page_id, CASE page_id % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_SIGNATURES.values())) + " WHEN 10 THEN 'text/html' ELSE 'application/octet-stream' END AS mime_type, CASE WHEN page_id % 12 < 10 THEN 'signature' ELSE 'extension' END AS source FROM pages",
+)
 def _x1(spark, d):
-    return table(spark, d, "pages").select("page_id", X.sniff_type(F.encode("html", "UTF-8"), F.lit("html"))["mime_type"].alias("mime_type"))
+    """Pages behind the signatures of ten types, and two that only their extension tells."""
+    k = F.col("page_id") % 12
+    heads = F.array(*[F.unhex(F.lit(h)) for h in _SIGNATURES], F.unhex(F.lit("")), F.unhex(F.lit("")))
+    content = F.concat(F.get(heads, k.cast("int")), F.encode("html", "UTF-8"))
+    kind = X.sniff_type(content, F.when(k == 10, "HTML").otherwise("none"))
+    return table(spark, d, "pages").select("page_id", kind["mime_type"].alias("mime_type"), kind["source"].alias("source"))
 
 
-@query("s8_head_tail", "SELECT page_id, sha256(encode(html)[1:560]) AS h, octet_length(encode(html)) AS n FROM pages")
-def _s8(spark, d):
-    b = F.encode("html", "UTF-8")
-    return table(spark, d, "pages").select("page_id", F.sha2(S.head(b, 560), 256).alias("h"), F.octet_length(b).cast("long").alias("n"))
+# Further queries, by theme; each module registers its own.
+from . import columns, flows, listings  # noqa: E402, F401

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.paths import ancestors, encode_unsafe_name, extension, hidden, safe_entry_name
+from ..functions.paths import ancestors, encode_unsafe_name, extension, hidden, is_within, safe_entry_name
 from ..session import ship
 
-LISTED = "relative_path string, name string, entry_type string, byte_length long, modified_at double, device_id string, filesystem_record_id string, mode int"
+LISTED = "relative_path string, name string, entry_type string, byte_length long, modified_at double, device_id string, filesystem_record_id string, mode int, issue_code string"
 
 
 class TreeSource(DataSource):
     """Every entry below a folder that all executors see, hidden ones and directories too; one partition per
-    folder of the top level. Contents are never opened, links never followed."""
+    folder of the top level. Contents are never opened, links never followed. An entry or folder that is gone or
+    cannot be read is one row with an issue_code (a folder that was listed before has a row of its own besides)."""
 
     @classmethod
     def name(cls) -> str:
@@ -30,6 +31,10 @@ class TreeSource(DataSource):
         return TreeReader(self.options["path"])
 
 
+def _issue(error: OSError) -> str:
+    return "vanished" if isinstance(error, FileNotFoundError) else "inaccessible"
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
@@ -42,11 +47,20 @@ class TreeReader(DataSourceReader):
         todo = [partition.value]
         while todo:
             folder = todo.pop()
-            for e in os.scandir(os.path.join(self.root, folder)):
+            try:
+                entries = list(os.scandir(os.path.join(self.root, folder)))
+            except OSError as e:
+                yield (folder, folder.rpartition("/")[2], "directory", *[None] * 5, _issue(e))
+                continue
+            for e in entries:
                 path = f"{folder}/{e.name}" if folder else e.name
-                kind = "symlink" if e.is_symlink() else "directory" if e.is_dir() else "file" if e.is_file() else "other"
-                s = e.stat(follow_symlinks=False)
-                yield path, e.name, kind, s.st_size if kind == "file" else None, s.st_mtime, str(s.st_dev), str(s.st_ino), s.st_mode
+                try:
+                    kind = "symlink" if e.is_symlink() else "directory" if e.is_dir() else "file" if e.is_file() else "other"
+                    s = e.stat(follow_symlinks=False)
+                except OSError as error:
+                    yield (path, e.name, "unknown", *[None] * 5, _issue(error))
+                    continue
+                yield path, e.name, kind, s.st_size if kind == "file" else None, s.st_mtime, str(s.st_dev), str(s.st_ino), s.st_mode, None
                 if kind == "directory" and folder:  # a folder of the top level is a partition of its own
                     todo.append(path)
 
@@ -93,7 +107,9 @@ def from_manifest(df: DataFrame) -> DataFrame:
 
 def tag_issues(listing: DataFrame, device: str | None = None, ignored: DataFrame | None = None) -> DataFrame:
     """Rows with observation_status and issue_code, the first that applies: unsafe name, ignored prefix,
-    symlink, other device, inaccessible. ignored: prefix (folders that policy leaves out)."""
+    symlink, outside the root's boundary, other device, then what the reader said (vanished, inaccessible) or an
+    unknown type. ignored: prefix (folders that policy leaves out); boundary: a column resolved_path, if the
+    listing has one, must lie in root_path."""
     df = listing
     if ignored is not None:
         names = df.select("relative_path").withColumn("prefix", F.explode(ancestors(F.col("relative_path"), own=True))).join(ignored.select("prefix"), "prefix", "left_semi").select("relative_path").distinct()
@@ -103,6 +119,10 @@ def tag_issues(listing: DataFrame, device: str | None = None, ignored: DataFrame
     code = F.when(~safe_entry_name(F.col("name")), "unsafe-name").when(F.col("_ignored"), "policy-ignored").when(F.col("entry_type") == "symlink", "symlink-not-followed")
     if device is not None:
         code = code.when(F.col("device_id") != device, "different-device")
+    if {"resolved_path", "root_path"} <= set(df.columns):
+        code = code.when(~is_within(F.col("resolved_path"), F.col("root_path")), "outside-boundary")
+    if "issue_code" in df.columns:
+        code = code.when(F.col("issue_code").isin("vanished", "inaccessible"), F.col("issue_code"))
     code = code.when(F.col("entry_type") == "unknown", "inaccessible")
     status = F.when(F.col("issue_code") == "inaccessible", "error").when(F.col("issue_code").isNotNull(), "skipped").otherwise("observed")
     shown = F.when(F.col("issue_code") == "unsafe-name", encode_unsafe_name(F.col("name"))).otherwise(F.col("name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,10 +14,10 @@ from ..session import ship
 
 
 def arriving_files(spark: SparkSession, root: str) -> DataFrame:
-    """New files below root as they come: path, length, modified_at, digest."""
+    """New files below root as they come: path, byte_length, modified_at, digest."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
-    return raw.select("path", "length", F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("digest"))
+    return raw.select("path", F.col("length").alias("byte_length"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("digest"))
 
 
 def arrivals_against(stream: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -30,15 +31,31 @@ def first_submissions(stream: DataFrame, key: str, at: str, within: str = "1 day
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_latest(stream: DataFrame, path: str, keys: list[str], at: str, tie: str, checkpoint: str) -> StreamingQuery:
-    """Keep path as the table of each key's newest row. Every micro-batch writes the version of its own id
-    and reads the one before, so repeating a batch after a failure gives the same table."""
+def latest_version(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The table that upsert_latest() keeps: of each bucket the version of the last batch that touched it, of
+    those below `before` if that is given."""
+    paths = [f"{path}/batch=*"] if before is None else [f"{path}/batch={i}" for i in range(before)]
+    placed = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("_bucket", T.IntegerType())])
+    rows = spark.read.option("basePath", path).schema(placed).parquet(*paths)
+    last = rows.groupBy("_bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["_bucket", "batch"], "left_semi").select(*schema.names)
+
+
+def upsert_latest(stream: DataFrame, path: str, keys: list[str], at: str, tie: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep path as the table of each key's newest row, read by latest_version().
+
+    Keys are dealt into buckets; a micro-batch reads and writes only the buckets it touches, as a partition of
+    its own id, so repeating a batch after a failure gives the same table."""
 
     def merge(batch: DataFrame, n: int) -> None:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         own = newest_per_key(batch, keys, at, tie)
         if n:
-            own = newest_per_key(own.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{n - 1}")), keys, at, tie)
-        own.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{n}")
+            touched = own.select(bucket.alias("_b")).distinct()
+            old = latest_version(batch.sparkSession, path, batch.schema, n).withColumn("_b", bucket)
+            old = old.join(touched, "_b", "left_semi").drop("_b")
+            own = newest_per_key(own.unionByName(old.select(*own.columns)), keys, at, tie)
+        own.select(*batch.columns, bucket.alias("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/batch={n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -168,3 +168,74 @@ def test_tree_and_event_log(spark, tmp_path):
     assert events.count() == 2 and [r["line"] for r in bad.collect()] == ["not json"]
     lines = export_manifest({"event": events, "other": bad})
     assert sorted(map(tuple, import_manifest(lines, "event", "seq int, kind string").collect())) == [(1, "approve"), (2, "revoke")]
+
+
+def test_what_cannot_be_read_is_a_row(tmp_path):
+    from filelake.sources import listing
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_text("1")
+    reader = listing.TreeReader(str(tmp_path))
+    rows = [r for p in [*reader.partitions(), listing.InputPartition("gone")] for r in reader.read(p)]
+    assert [(r[0], r[2], r[-1]) for r in rows] == [("a", "directory", None), ("a/x", "file", None), ("gone", "directory", "vanished")]
+    assert listing._issue(PermissionError()) == "inaccessible"
+
+
+def test_corrupt_logs_are_told_by_line(spark, tmp_path):
+    (tmp_path / "one").write_text('{"seq":1}\n\nbad\n{"seq":2}\nworse')
+    (tmp_path / "two").write_text('{"seq":3}\n')
+    events, bad = read_event_log(spark, str(tmp_path), "seq int")
+    assert sorted(r["seq"] for r in events.collect()) == [1, 2, 3]
+    assert sorted((r["file"].rpartition("/")[2], r["number"], r["line"], r["reason"]) for r in bad.collect() if r["line"]) == [("one", 3, "bad", "bad-json"), ("one", 5, "worse", "bad-json")]
+    assert [(r["file"].rpartition("/")[2], r["number"]) for r in bad.where("reason = 'incomplete'").collect()] == [("one", 5)]
+
+
+def _directory(entries, at, order="<"):
+    """A TIFF directory at `at`: entries (tag, kind, count, four bytes or data that follows it)."""
+    import struct
+
+    head, tail, end = b"", b"", at + 2 + 12 * len(entries) + 4
+    for tag, kind, count, value in entries:
+        if len(value) > 4:
+            value, tail = struct.pack(order + "I", end + len(tail)), tail + value
+        head += struct.pack(order + "HHI", tag, kind, count) + value.ljust(4, b"\0")
+    return struct.pack(order + "H", len(entries)) + head + bytes(4) + tail
+
+
+def test_image_tags():
+    import struct
+
+    from filelake.operators import facts
+
+    rational = lambda *x: b"".join(struct.pack("<II", a, b) for a, b in x)
+    gps = _directory([(1, 2, 2, b"S\0"), (2, 5, 3, rational((10, 1), (30, 1), (0, 1))), (3, 2, 2, b"E\0"), (4, 5, 3, rational((20, 1), (0, 1), (36, 1))), (5, 1, 1, b"\1"), (6, 5, 1, rational((5, 2)))], 500)
+    first = _directory([(0x0112, 3, 1, struct.pack("<H", 6)), (0x010F, 2, 4, b"abc\0"), (0x0132, 2, 20, b"2024:01:02 03:04:05\0"), (0x8825, 4, 1, struct.pack("<I", 500))], 8)
+    data = (b"II*\0" + struct.pack("<I", 8) + first).ljust(500, b"\0") + gps
+    want = {"orientation": 6, "make": "abc", "capture_date": "2024:01:02 03:04:05", "latitude": -10.5, "longitude": 20.01, "altitude": -2.5}
+    assert facts.tiff(data) == want
+    frame = b"\xff\xc9\x00\x08\x08\x00\x10\x00\x20\x00"
+    exif = lambda body: b"\xff\xe1" + struct.pack(">H", len(body) + 8) + b"Exif\0\0" + body
+    assert facts.jpeg(b"\xff\xd8" + exif(data) + frame) == want | {"height": 16, "width": 32}
+    broken = facts.jpeg(b"\xff\xd8" + exif(b"II*\0" + struct.pack("<I", 9999)) + frame)
+    assert (broken["height"], broken["width"]) == (16, 32) and broken["exif_error"].startswith("error")
+
+
+def test_audio_tags():
+    from filelake.operators import facts
+
+    frame = lambda name, text: name + (len(text) + 1).to_bytes(4, "big") + b"\0\0\0" + text
+    body = frame(b"TIT2", b"Song") + frame(b"TRCK", b"3/9") + frame(b"TYER", b"1999")
+    assert facts.id3(b"ID3\3\0\0" + bytes([0, 0, 0, len(body)]) + body) == {"title": "Song", "track": "3/9", "date": "1999"}
+
+
+def test_a_name_that_everyone_wants(spark, monkeypatch):
+    from filelake.operators import organize
+
+    monkeypatch.setattr(organize, "NAMES", 40)
+    rows = [(f"r{i}", f"d{i:04d}/x.txt", "o/x.txt") for i in range(60)] + [("s", "e/x (3).txt", "o/x (3).txt"), ("t", "z/y.txt", "o/y.txt")]
+    wishes = spark.createDataFrame(rows, "record_id string, relative_path string, destination string")
+    seen = spark.createDataFrame([("o/x (2).txt",), ("a/b.txt",)], "relative_path string")
+    got = {r["record_id"]: r["final"] for r in organize.resolve_collisions(wishes, seen).collect()}
+    assert got["r0"] == "o/x.txt" and got["r1"] == "o/x (3).txt" and got["s"] == "o/x (3) (2).txt" and got["t"] == "o/y.txt"
+    names = [got[f"r{i}"] for i in range(60)]
+    assert len({n for n in names if n}) == 39 and names[39:] == [None] * 21
