@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, bloom, bloom_hits, bounded, prepare, slices, text_bytes, written
@@ -365,7 +365,12 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     close = apart <= one("size") + two("size") - 2 * need
     other = (one("word") == two("word")) & ((one("doc_id") != two("doc_id")) | (one("line") != two("line")))
     open_ = mine.alias("one").join(mine.alias("two"), other & fits & (left >= need) & close, "left_semi")
-    open_ = written(open_.select("word", "doc_id", "line").distinct(), "open")
+    # Where all classes of a word hold one and the same word before it, their pairs have that in common: the word
+    # is no pair's first. (Lines that repeat a doc_id are told apart by their sizes and bitmaps.)
+    own = Window.partitionBy("doc_id", "line", "size", *MAP).orderBy("at")
+    open_ = written(open_.select("word", "doc_id", "line", F.lag("word").over(own).alias("before")), "meeting")
+    later = open_.groupBy("word").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count_if(F.col("before").isNull()).alias("n")).where("n = 0 and lo = hi").select("word")
+    open_ = written(open_.join(later, "word", "left_anti").select("word", "doc_id", "line").distinct(), "open")
 
     name = F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 40))
     ends = written(open_.select("doc_id", "line", name.alias("name")).distinct(), "ends")
