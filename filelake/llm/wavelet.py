@@ -152,6 +152,10 @@ _SPACE, _ID = BYTE_LETTERS[32], attrgetter("id")
 ASCII_WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 
+#: Marks a word that no space stands before; texts that hold it are left to the library.
+START = "\1"
+
+
 class Untrusted(Exception):
     """A piece of text that could be joined to its neighbours."""
 
@@ -209,25 +213,29 @@ class Encoder:
             return None
         ids, held = [], self.young
         for run in ASCII_WORDS.findall(piece):
-            own = held.get(run)
+            key = run[1:] if run[0] == " " else START + run
+            own = held.get(key) if len(key) > 1 or key.isalnum() else None
             if own is None:
-                held[run] = own = self._by_model(run)
+                own = self._by_model(run)
+                if len(key) > 1:
+                    held[key] = own
             ids.append(own)
         return b"".join(ids)
 
-    def _learn(self, x: str) -> bytes:
-        """Ids of a piece that has no white space at its ends but the one space before it."""
-        ids = self.old.get(x)
+    def _learn(self, piece: str) -> bytes:
+        """Ids of a piece: a word behind a space, a word without one (marked by START), or a line feed."""
+        ids = self.old.get(piece)
         if ids is not None:
             return ids
-        if self.word and x[:1] == " " and x.isascii():
-            # The usual pieces: a space and letters, which stand for themselves, and maybe a stop.
-            if x[1:].isalpha():
-                return array("I", map(_ID, self.word(_SPACE + x[1:]))).tobytes()
-            if x[-1] in self.stops and x[1:-1].isalpha():
-                return self.young[x[:-1]] + self.stops[x[-1]]
-        if x == "\n":
+        if self.word and piece.isascii():
+            # The usual pieces: letters, which stand for themselves, and maybe a stop.
+            if piece.isalpha():
+                return array("I", map(_ID, self.word(_SPACE + piece))).tobytes()
+            if piece[-1:] in self.stops and piece[:-1].isalpha():
+                return self.young[piece[:-1]] + self.stops[piece[-1]]
+        if piece == "\n":
             return self.line_end
+        x = piece[1:] if piece[:1] == START else " " + piece
         if not x or x == " " or x[1:2].isspace() or x[-1].isspace():
             raise Untrusted
         if not self.word:
@@ -237,7 +245,7 @@ class Encoder:
         if not body.removeprefix(" ").isalpha():
             ids = self._parts(x)
             return self._by_library([x])[0] if ids is None else ids
-        return self.young[body] + stop if stop else self._by_model(x)
+        return self.young[piece[:-1]] + stop if stop else self._by_model(x)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
@@ -247,15 +255,12 @@ class Encoder:
         for x in texts:
             body = x.rstrip(" \t\n\r")
             size = len(body)
-            if "\0" in body:
-                first, *rest = body.split(" ")
-                parts = [first, *[" " + p for p in rest]]
-            else:
-                if "\n" in body:
-                    body = self.feed.sub("\0\n\0", body)
-                parts = body.replace(" ", "\0 ").split("\0") if body else []
             try:
-                raw = b"".join(map(get, parts))
+                if START in body:
+                    raise Untrusted
+                if "\n" in body:
+                    body = self.feed.sub(f" \n {START}", body)
+                raw = b"".join(map(get, (START + body).split(" "))) if body else b""
                 if size < len(x):
                     raw += self._by_library([x[size:]])[0]
             except Untrusted:
@@ -323,7 +328,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     prepare(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
+    ranged = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
     return written(ranged.mapInArrow(_pack(tokenizer, end_id), BLOCK_SCHEMA), "tokens")
 
 
@@ -337,7 +342,7 @@ def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, WaveletM
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row, matrix in matrices(batches):
         ids = matrix.decode().astype("<u4")
-        crc = [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(row["starts"], row["lengths"], strict=True)]
+        crc = [zlib.crc32(ids[s : s + n]) for s, n in zip(row["starts"], row["lengths"], strict=True)]
         yield pa.RecordBatch.from_pydict(
             {
                 "shard": pa.array([row["shard"]] * len(crc), pa.int32()),
