@@ -142,7 +142,10 @@ def scan(files: DataFrame, *carry: str) -> DataFrame:
     origin: own (a text of the file matches, see candidates()), inherited (from the licence file in the nearest directory at
     or above the file's; of several there the least path), or none. Null text has no candidates; a null path has
     no directory and no match: none. Rows that repeat a path share what any of them matches. Columns
-    other than those of `carry`, which come back unchanged, are not read."""
+    other than those of `carry`, which come back unchanged, are not read; a name of the result's own among them is
+    a ValueError."""
+    if clash := {"path", "license", "score", "origin", "origin_path"} & set(carry):
+        raise ValueError(f"columns of the result cannot be carried: {sorted(clash)}")
     files = files.select("path", "text", F.struct(F.lit(1).alias("_"), *carry).alias("carried"))
     own = written(match(candidates(files)), "own")
     holds = own.where(F.lower(F.substring_index("path", "/", -1)).isin(*LICENCE_FILES))

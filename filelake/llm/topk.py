@@ -15,8 +15,14 @@ from .common import bounded, prepare, written
 
 #: Vectors of a candidate block and of a query block; lists merged by one step of the tree.
 CANDIDATES, QUERIES, FAN = 4096, 2048, 16
-_BLOCK = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
-_BLOCK_DDL = "dim int, block long, ids array<long>, data binary"
+_BLOCK = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("kind", pa.string()), ("data", pa.binary())])
+_BLOCK_DDL = "dim int, block long, ids array<long>, kind string, data binary"
+
+
+def _narrow(rows: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    top = np.abs(rows).max(initial=0)
+    return rows.astype("<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<f8")
 
 
 def _pack(most: int):
@@ -30,7 +36,9 @@ def _pack(most: int):
             nonlocal n
             ids, rows = zip(*held.pop(dim), strict=True)
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((dim, base + n, list(ids), np.array(rows, np.float64).tobytes()), _BLOCK, strict=True)], schema=_BLOCK)
+            data = _narrow(np.array(rows, np.float64))
+            row = (dim, base + n, list(ids), data.dtype.str, data.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
             for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
@@ -49,7 +57,7 @@ def _tile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):  # a row is a tile
             for row in batch.to_pylist():
-                q, c = (np.frombuffer(row[x], np.float64).reshape(len(row[y]), row["dim"]) for x, y in (("q_data", "q_ids"), ("c_data", "c_ids")))
+                q, c = (np.frombuffer(row[f"{x}_data"], row[f"{x}_kind"]).reshape(len(row[f"{x}_ids"]), row["dim"]).astype(np.float64) for x in "qc")
                 q_ids, c_ids = np.array(row["q_ids"]), np.array(row["c_ids"])
                 order = np.argsort(c_ids, kind="stable")
                 c, c_ids = c[order], c_ids[order]
@@ -93,10 +101,10 @@ def top_k(vectors: DataFrame, k: int = 5, scale: float = 256.0, every: int = 50,
 
     # Every candidate block meets every query block of its dimension: rows here are blocks, keyed by number.
     slots = max(1, q.select("block").distinct().count())
-    numbered = q.selectExpr("dim", "block", "ids as q_ids", "data as q_data", f"pmod(xxhash64(block), {slots}) as slot")
-    spread = c.selectExpr("dim", "block as node", "ids as c_ids", "data as c_data").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    numbered = q.selectExpr("dim", "block", "ids as q_ids", "kind as q_kind", "data as q_data", f"pmod(xxhash64(block), {slots}) as slot")
+    spread = c.selectExpr("dim", "block as node", "ids as c_ids", "kind as c_kind", "data as c_data").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
     tiles = spread.join(numbered.drop("block"), ["dim", "slot"])
-    lists = tiles.select("dim", "node", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(_tile(k), "query_id long, node long, neg long, vec_id long")
+    lists = tiles.select("dim", "node", "q_ids", "q_kind", "q_data", "c_ids", "c_kind", "c_data").mapInArrow(_tile(k), "query_id long, node long, neg long, vec_id long")
     lists = written(lists.groupBy("query_id", "node").agg(F.array_sort(F.collect_list(F.struct("neg", "vec_id"))).alias("best")), "lists")
 
     # The tree: number the blocks, then merge FAN lists of a query at a time until one is left.

@@ -75,7 +75,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     big = F.octet_length("html") >= REVISIT_BYTES
-    win = rows.where(big).groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"))
+    # Payloads of one page need no winner: what is joined to the pages is small unless most pages repeat.
+    win = rows.where(big).groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1")
     win = written(win.select("sha", F.col("top.page_id").alias("winner"), F.col("top.url").alias("tie")), "winners")
     marked = rows.join(win, "sha", "left").select("page_id", "url", "html", F.when(big, F.col("winner")).alias("winner"), "tie")
     records = marked.mapInArrow(_write, "value binary").select(F.col("value").cast("string"))

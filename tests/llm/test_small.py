@@ -378,6 +378,13 @@ def test_license_scores_against_brute_force(spark):
     assert all(abs(got[p] + want[p][0][2]) < 2e-6 for p in got)
 
 
+def test_carried_columns_do_not_clash(spark):
+    files = spark.createDataFrame([("a/LICENSE", "MIT License", 1, "c")], "path string, text string, license int, below string")
+    with pytest.raises(ValueError):
+        licenses.scan(files, "license")
+    assert licenses.scan(files, "below").columns == ["below", "path", "license", "score", "origin", "origin_path"]
+
+
 def test_captures_against_brute_force(spark):
     import base64
     import hashlib
