@@ -66,12 +66,12 @@ def reuse_hashes(tasks: DataFrame, prior: DataFrame) -> DataFrame:
 def incremental_hash(tasks: DataFrame, prior: DataFrame, content: str = "content") -> DataFrame:
     """Every task with digest and verification_state (reused or verified); only the rest is hashed.
 
-    What is known is decided on metadata alone. Contents then go through one anti join with the files that are
-    known, which drops them map-side where those are few and before any hashing in every case."""
+    What is known is decided on metadata alone. Contents then meet only the ids of the rest, usually few: such a
+    semi join is broadcast, or filtered before its shuffle, so contents of known files stay where they are."""
     facts = [c for c in tasks.columns if c != content]
     tried = reuse_hashes(tasks.select(*facts), prior)
     known = tried.where("digest is not null")
-    rest = tasks.join(known.select("record_id"), "record_id", "left_anti")
+    rest = tasks.join(tried.where("digest is null").select("record_id"), "record_id", "left_semi")
     fresh = rest.select(*facts, F.sha2(F.col(content), 256).alias("digest"), F.lit("verified").alias("verification_state"))
     return known.select(*facts, "digest", "verification_state").unionByName(fresh)
 

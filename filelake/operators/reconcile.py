@@ -14,7 +14,7 @@ def check_reconcilable(scans: DataFrame, baseline: str, comparison: str) -> str:
     """The run's id; a ValueError unless the two are distinct, completed scans of one root."""
     if baseline == comparison:
         raise ValueError("a scan cannot be compared with itself")
-    rows = scans.where(F.col("scan_id").isin(baseline, comparison)).select("scan_id", "root_id", "status").limit(3).collect()
+    rows = scans.where(F.col("scan_id").isin(baseline, comparison)).select("scan_id", "root_id", "status").distinct().limit(3).collect()
     if len({r["scan_id"] for r in rows}) < 2:
         raise ValueError("both scans must exist")
     if len({r["root_id"] for r in rows}) != 1 or any(r["status"] != "completed" for r in rows):

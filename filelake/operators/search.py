@@ -10,6 +10,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bounded_limit
+
 
 def _has(column: str, text: str) -> Column:
     return F.contains(F.lower(column), F.lit(text.lower()))
@@ -195,15 +197,21 @@ def after_key(df: DataFrame, keys: list[str], values: list) -> DataFrame:
     return df.where(hit)
 
 
-def page_keyset(df: DataFrame, keys: list[str], cursor: str | None, n: int, kind: str = "page") -> tuple[list, str | None]:
+#: Rows of a page where none are asked for, and at most.
+PAGE, LARGEST_PAGE = 50, 1000
+
+
+def page_keyset(df: DataFrame, keys: list[str], cursor: str | None, n: int | None = None, kind: str = "page") -> tuple[list, str | None]:
     """(rows, next cursor): up to n rows behind the cursor, by one top-n with look-ahead."""
+    n = bounded_limit(n, PAGE, LARGEST_PAGE)
     if cursor:
         df = after_key(df, keys, _uncursor(kind, cursor))
     rows = df.orderBy(*keys).limit(n + 1).collect()
     return rows[:n], _cursor(kind, [rows[n - 1][k] for k in keys]) if len(rows) > n else None
 
 
-def page_offset(df: DataFrame, order: list[Column], cursor: str | None, n: int, kind: str = "offset") -> tuple[list, str | None]:
+def page_offset(df: DataFrame, order: list[Column], cursor: str | None, n: int | None = None, kind: str = "offset") -> tuple[list, str | None]:
+    n = bounded_limit(n, PAGE, LARGEST_PAGE)
     k = _uncursor(kind, cursor)[0] if cursor else 0
     rows = df.orderBy(*order).offset(k).limit(n + 1).collect()
     return rows[:n], _cursor(kind, [k + n]) if len(rows) > n else None
