@@ -29,7 +29,7 @@ BLOCK_TOKENS = 1 << 20
 STRIDE = 512
 #: Bytes of pieces of text and their ids that a worker keeps, in each of two generations; longer pieces than
 #: LONG_PIECE are not kept.
-KEPT_BYTES, LONG_PIECE = 128 << 20, 256
+KEPT_BYTES, LONG_PIECE = 64 << 20, 256
 #: What an entry costs besides its text and ids.
 _ENTRY = 180
 
