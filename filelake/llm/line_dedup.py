@@ -11,12 +11,12 @@ rows in proportion to its copies, and no link is lost. A line goes if an earlier
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, bloom, bloom_hits, bounded, prepare, slices, text_bytes, written
@@ -46,11 +46,6 @@ def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends]).astype(np.int64), first
 
 
-def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices of the runs that begin at begin."""
-    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counters and marks, by parts: (part, n) with part from 0 for counters and below 0 for marks."""
     total, seen = np.zeros(COUNTERS, np.int64), np.zeros(MARKS, np.uint8)
@@ -127,8 +122,7 @@ def _prefix(size: np.ndarray) -> np.ndarray:
 
 
 MAP = ["map0", "map1"]
-_NAMED = "doc_id long, line int, k1 long, k2 long"
-_PREFIXED = "doc_id long, line int, size int, prefix array<long>, map0 long, map1 long"
+_PREFIXED = "doc_id long, line int, k1 long, k2 long, size int, prefix array<long>, map0 long, map1 long"
 
 
 def _bitmaps(own: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
@@ -138,100 +132,44 @@ def _bitmaps(own: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_or.reduceat(np.where(bit >> U(6) == U(m), one, U(0)), begin) for m in range(len(MAP))]
 
 
-def _name(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """What filters know a line by; the same as name_column()."""
-    return doc_id ^ (line << 40)
-
-
-def _name_column() -> Column:
-    return F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 40))
-
-
-@dataclass
-class Lines:
-    """Sets of lines that have words: the text and number of each, and its distinct words in order of hash."""
-
-    doc: np.ndarray
-    line: np.ndarray
-    size: np.ndarray
-    own: np.ndarray
-
-    @property
-    def begin(self) -> np.ndarray:
-        return np.cumsum(self.size) - self.size
-
-
-def _line_sets(data: np.ndarray, offs: np.ndarray, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Lines:
-    """Sets of all lines, or of those that chosen(doc, line) tells; only these are cut into words."""
-    cut, first = _lines(data, offs)
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    line = np.arange(len(doc)) - np.repeat(first[:-1], np.diff(first))
-    if chosen is not None:
-        hit = np.flatnonzero(chosen(doc, line))
-        doc, line, size = doc[hit], line[hit], cut[hit + 1] - cut[hit]
-        data, cut = data[_gather(cut[hit], size)], np.concatenate([[0], np.cumsum(size)])
-    w = words(data, cut, NOT_SPACE)
-    of = np.repeat(np.arange(len(doc)), np.diff(w.off))
-    own = w.hash[np.lexsort((w.hash, of))]
-    fresh = np.ones(len(own), bool)
-    fresh[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
-    size = np.bincount(of[fresh], minlength=len(doc))
-    keep = np.flatnonzero(size)
-    return Lines(doc[keep], line[keep], size[keep], own[fresh])
-
-
-def _sliced(batches: Iterator[pa.RecordBatch], chosen=None) -> Iterator[tuple[np.ndarray, Lines]]:
-    """(doc_ids, their lines) of rows (doc_id, text), slice by slice; slices without words are left out."""
-    for batch in bounded(batches):
-        data, offs = text_bytes(batch.column(1))
-        ids = batch.column(0).to_numpy()
-        for i, j in slices(offs):
-            pick = None if chosen is None else lambda doc, line, low=i: chosen(ids[low + doc], line)
-            found = _line_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], pick)
-            if len(found.doc):
-                yield ids[i + found.doc], found
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line's class, by two sums over its set."""
-    for ids, x in _sliced(batches):
-        with np.errstate(over="ignore"):
-            k1, k2 = np.add.reduceat(x.own, x.begin), np.add.reduceat(mix(x.own + U(77)), x.begin)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.line.astype(np.int32)), pa.array(as_long(k1)), pa.array(as_long(k2))], names=["doc_id", "line", "k1", "k2"])
-
-
-def _held(filtered):
-    """Rows (doc_id, line) whose name is in a filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bloom_hits(*filtered.value, _name(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)))))
-
-    return run
-
-
 def _prefixed(shared):
-    """Size, prefix and bitmap of lines, but for those that are in the first filter and not in the second."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, often, later, spared = shared.value
-
-        def leads(doc_id, line):
-            name = _name(doc_id, line)
-            return ~bloom_hits(*later, name) | bloom_hits(*spared, name)
-
-        for ids, x in _sliced(batches, leads):
-            row, at = np.repeat(np.arange(len(ids)), x.size), np.arange(len(x.own)) - np.repeat(x.begin, x.size)
-            take = _prefix(x.size)
-            # Rarest first. A word that stands once in all documents joins nothing: 0 holds its place.
-            rarest = x.own[np.lexsort((rare[(x.own & _SLOT).astype(np.int64)], row))]
-            mark = _mark(rarest)
-            rarest = np.where(often[mark >> 3] >> (mark & 7).astype(np.uint8) & 1, rarest, U(0))
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(as_long(rarest[at < np.repeat(take, x.size)])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(x.line.astype(np.int32)), pa.array(x.size.astype(np.int32)), prefix, *[pa.array(as_long(m)) for m in _bitmaps(x.own, x.begin)]],
-                names=["doc_id", "line", "size", "prefix", *MAP],
-            )
+        rare, often = shared.value
+        for batch in bounded(batches):
+            data, offs = text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in slices(offs):
+                raw = data[offs[i] : offs[j]]
+                cut, first = _lines(raw, offs[i : j + 1] - offs[i])
+                w = words(raw, cut, NOT_SPACE)
+                doc = np.repeat(np.arange(i, j), np.diff(first))
+                line = np.arange(len(doc)) - np.repeat(first[:-1], np.diff(first))
+                # Each line's distinct words in order of hash, all lines at once.
+                of = np.repeat(np.arange(len(doc)), np.diff(w.off))
+                own = w.hash[np.lexsort((w.hash, of))]
+                fresh = np.ones(len(own), bool)
+                fresh[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+                own, of = own[fresh], of[fresh]
+                size = np.bincount(of, minlength=len(doc))
+                keep = np.flatnonzero(size)
+                if not len(keep):
+                    continue
+                size = size[keep]
+                begin = np.cumsum(size) - size
+                row, at = np.repeat(np.arange(len(keep)), size), np.arange(len(own)) - np.repeat(begin, size)
+                with np.errstate(over="ignore"):
+                    k1, k2 = np.add.reduceat(own, begin), np.add.reduceat(mix(own + U(77)), begin)
+                take = _prefix(size)
+                rarity_of = rare[(own & _SLOT).astype(np.int64)]
+                order = np.lexsort((rarity_of, row))
+                # A word that stands once in all documents joins nothing: 0 holds its place.
+                rarest, mark = own[order], _mark(own[order])
+                rarest = np.where(often[mark >> 3] >> (mark & 7).astype(np.uint8) & 1, rarest, U(0))
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(as_long(rarest[at < np.repeat(take, size)])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[doc[keep]], pa.int64()), pa.array(line[keep].astype(np.int32)), pa.array(as_long(k1)), pa.array(as_long(k2)), pa.array(size.astype(np.int32)), prefix, *[pa.array(as_long(m)) for m in _bitmaps(own, begin)]],
+                    names=["doc_id", "line", "k1", "k2", "size", "prefix", *MAP],
+                )
 
     return run
 
@@ -241,17 +179,31 @@ def _whole_sets(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare, bits, log2 = shared.value
-        for ids, x in _sliced(batches, lambda doc_id, line: bloom_hits(bits, log2, _name(doc_id, line))):
-            own = x.own[np.lexsort((rare[(x.own & _SLOT).astype(np.int64)], np.repeat(np.arange(len(ids)), x.size)))]
-            sets = pa.ListArray.from_arrays(pa.array(np.append(x.begin, len(own)).astype(np.int32)), pa.array(as_long(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.line.astype(np.int32)), sets], names=["doc_id", "line", "words"])
+        for batch in bounded(batches):
+            data, offs = text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in slices(offs):
+                raw = data[offs[i] : offs[j]]
+                cut, first = _lines(raw, offs[i : j + 1] - offs[i])
+                doc = np.repeat(np.arange(i, j), np.diff(first))
+                line = np.arange(len(doc)) - np.repeat(first[:-1], np.diff(first))
+                name = ids[doc] ^ (line << 40)
+                hit = np.flatnonzero(bloom_hits(bits, log2, name))
+                if not len(hit):
+                    continue
+                # Only the lines that are hit are cut into words.
+                own_cut = np.concatenate([[0], np.cumsum(cut[hit + 1] - cut[hit])])
+                picked = raw[np.repeat(cut[hit] - own_cut[:-1], np.diff(own_cut)) + np.arange(own_cut[-1])]
+                w = words(picked, own_cut, NOT_SPACE)
+                sets = [np.unique(w.hash[a:b]) for a, b in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True)]
+                sets = [as_long(x[np.argsort(rare[(x & _SLOT).astype(np.int64)], kind="stable")]) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[hit]], pa.int64()), pa.array(line[hit].astype(np.int32)), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "line", "words"])
 
     return run
 
 
 def linked(sets: list[np.ndarray], word: int) -> np.ndarray:
-    """Which sets (ordered lists that all hold word) match without being equal, as far as word is the first that
-    two have in common."""
+    """Which sets (ordered lists that all hold word) match, as far as word is the first that two have in common."""
     size = np.array([len(x) for x in sets])
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
@@ -269,7 +221,8 @@ def linked(sets: list[np.ndarray], word: int) -> np.ndarray:
                 held[row[k], place] = 1
                 out += held @ held.T
     link = (100 * common >= SIMILARITY * (size[:, None] + size[None, :] - common)) & (before == 0)
-    return link & ~((common == size[:, None]) & (common == size[None, :]))
+    np.fill_diagonal(link, False)
+    return link
 
 
 _FOUND = "doc_id long, line int, n_links long, other_id long, other_line int"
@@ -293,6 +246,11 @@ class Tiles:
         return ((self.doc[a] != self.doc[b]) | (self.line[a] != self.line[b])) & ~(self.cross[a] & (self.side[a] == self.side[b]))
 
 
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the runs that begin at begin."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def _pairs(t: Tiles, rows: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linked rows (a, b) of the tiles of `rows`, which are small: common words are counted pair by pair, all
     tiles at once."""
@@ -322,8 +280,7 @@ def _pairs(t: Tiles, rows: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, n
     of_hit = np.searchsorted(base, hit, "right") - 1
     first = (np.cumsum(count) - count)[of_hit]
     a, b = first + (hit - base[of_hit]) // count[of_hit], first + (hit - base[of_hit]) % count[of_hit]
-    common = common[hit]
-    good = (100 * common >= SIMILARITY * (size[a] + size[b] - common)) & ~((common == size[a]) & (common == size[b]))
+    good = 100 * common[hit] >= SIMILARITY * (size[a] + size[b] - common[hit])
     return rows[a[good]], rows[b[good]]
 
 
@@ -385,32 +342,17 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, firsts, later): every line with words as (doc_id, line, k1, k2), k1 and k2 naming its class; the
-    classes as (k1, k2, first, n) with their first line and their lines' number; and the other lines of the
-    classes as (doc_id, line), but for those that, where rows repeat a doc_id, lead another class."""
-    lines = written(docs.mapInArrow(_named, _NAMED), "lines")
-    firsts = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "firsts")
-    several = lines.join(firsts.where("n > 1").drop("n"), ["k1", "k2"]).where(F.struct("doc_id", "line") != F.col("first"))
-    later = several.select("doc_id", "line").distinct().join(firsts.select("first.doc_id", "first.line"), ["doc_id", "line"], "left_anti")
-    return lines, firsts, written(later, "later")
-
-
-def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, firsts, links): see _classes(); links has for each class that matches others without being equal
-    (first, least, n_links): its own first line, the least first line of the others, and their number."""
+def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, links): every line with words as (doc_id, line, k1, k2), k1 and k2 naming its class, and for each
+    class that matches others without being equal (first, least, n_links): its own first line, the least first
+    line of the others, and their number."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     rare, often = rarity(docs)
-    lines, firsts, later = _classes(docs)
-    # Only first lines are joined. A filter tells the others; first lines that fall on it too are spared by a
-    # second filter, and the few other lines that this lets through are taken out of what is left of the join.
-    barred = bloom(later.select(_name_column().alias("name")), "name")
-    caught = firsts.select("first.doc_id", "first.line").mapInArrow(_held(spark.sparkContext.broadcast(barred)), "doc_id long, line int")
-    spared = bloom(written(caught.select(_name_column().alias("name")), "spared"), "name")
-    mine = docs.mapInArrow(_prefixed(spark.sparkContext.broadcast((rare, often, barred, spared))), _PREFIXED)
-    mine = mine.select("doc_id", "line", "size", *MAP, F.posexplode("prefix").alias("at", "word")).where("word <> 0")
+    base = written(docs.mapInArrow(_prefixed(spark.sparkContext.broadcast((rare, often))), _PREFIXED), "lines")
+    classes = base.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", *MAP)])
+    mine = classes.select("first.doc_id", "first.line", "size", *MAP, F.posexplode("prefix").alias("at", "word")).where("word <> 0")
 
     # One table under two names, so that both sides of the join read one shuffle.
     one, two = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"two.{c}"))
@@ -426,12 +368,12 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Where all classes of a word hold one and the same word before it, their pairs have that in common: the word
     # is no pair's first. (Lines that repeat a doc_id are told apart by their sizes and bitmaps.)
     own = Window.partitionBy("doc_id", "line", "size", *MAP).orderBy("at")
-    open_ = open_.join(later, ["doc_id", "line"], "left_anti")
     open_ = written(open_.select("word", "doc_id", "line", F.lag("word").over(own).alias("before")), "meeting")
-    behind = open_.groupBy("word").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count_if(F.col("before").isNull()).alias("n")).where("n = 0 and lo = hi").select("word")
-    open_ = written(open_.join(behind, "word", "left_anti").select("word", "doc_id", "line").distinct(), "open")
+    later = open_.groupBy("word").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count_if(F.col("before").isNull()).alias("n")).where("n = 0 and lo = hi").select("word")
+    open_ = written(open_.join(later, "word", "left_anti").select("word", "doc_id", "line").distinct(), "open")
 
-    ends = written(open_.select("doc_id", "line", _name_column().alias("name")).distinct(), "ends")
+    name = F.col("doc_id").bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 40))
+    ends = written(open_.select("doc_id", "line", name.alias("name")).distinct(), "ends")
     found = docs.mapInArrow(_whole_sets(spark.sparkContext.broadcast((rare, *bloom(ends, "name")))), "doc_id long, line int, words array<long>")
     # Rows that repeat a doc_id may put several sets behind one line: each is judged, but not against the other.
     sets = written(found.join(ends.drop("name"), ["doc_id", "line"], "left_semi").dropDuplicates(["doc_id", "line", "words"]), "sets")
@@ -443,19 +385,32 @@ def matching_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     dealt = dealt.join(sets, ["doc_id", "line"]).where(F.array_contains("words", F.col("word"))).select("word", "lo", "hi", "side", "doc_id", "line", "words")
     tiles = dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi")
     links = tiles.mapInArrow(_tiles, _FOUND).groupBy("doc_id", "line").agg(F.min(F.struct(F.col("other_id").alias("doc_id"), F.col("other_line").alias("line"))).alias("least"), F.sum("n_links").alias("n_links"))
-    return lines, firsts, written(links.select(F.struct("doc_id", "line").alias("first"), "least", "n_links"), "links")
+    return base.select("doc_id", "line", "k1", "k2"), written(links.select(F.struct("doc_id", "line").alias("first"), "least", "n_links"), "links")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line, n_links of each line that goes: one whose class has an earlier line or a link to a
     class that has; n_links counts the linked classes."""
-    lines, firsts, links = matching_lines(docs)
+    lines, links = matching_lines(docs)
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     known = firsts.join(links, "first", "left").where("n > 1 or least is not null")
     known = written(known.select("k1", "k2", F.least("first", F.coalesce("least", "first")).alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     gone = lines.join(known, ["k1", "k2"]).where(F.struct("doc_id", "line") > F.col("least"))
     return gone.select("doc_id", "line", "n_links")
 
 
+def _caught(filtered, caught: bool):
+    """Rows (doc_id, text) whose doc_id is in a filter, or those whose isn't; null is in none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            known = ~np.asarray(batch.column(0).is_null())
+            known[known] = bloom_hits(*filtered.value, batch.column(0).drop_null().to_numpy())
+            yield batch.filter(pa.array(known == caught))
+
+    return run
+
+
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links, text for each row of docs (doc_id, text).
 
@@ -465,8 +420,12 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     equal (doc_id, line) the first does not remove the other, and a line that goes from one goes from all.
     Rows of null doc_id come back whole and match nothing. Other columns are not read."""
     gone = written(repeated_lines(docs).groupBy("doc_id", "line").agg(F.max("n_links").alias("n_links")), "gone")
+    # Texts that lose nothing, most of them, stay where they are; only those that a filter of doc_ids catches are joined.
+    filtered = docs.sparkSession.sparkContext.broadcast(bloom(gone.select("doc_id").distinct(), "doc_id"))
+    part = lambda caught: docs.select("doc_id", "text").mapInArrow(_caught(filtered, caught), "doc_id long, text string")
     gone = gone.groupBy("doc_id").agg(F.collect_list("line").alias("gone"), F.sum("n_links").alias("n_links"))
-    out = docs.select("doc_id", "text").join(gone, "doc_id", "left").withColumn("all", F.split("text", "\n"))
+    whole = part(False).select("*", F.lit(None).cast("array<int>").alias("gone"), F.lit(None).cast("long").alias("n_links"))
+    out = part(True).join(gone, "doc_id", "left").unionByName(whole).withColumn("all", F.split("text", "\n"))
     gone_ = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
     kept = F.when(F.size(gone_) == 0, F.col("text")).otherwise(F.array_join(F.filter("all", lambda x, i: ~F.array_contains(gone_, i)), "\n"))
     return out.select("doc_id", F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_lines"), F.size(gone_).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("text"))
