@@ -22,7 +22,7 @@ from .common import bounded, prepare, written
 #: Vectors of a bucket, and its least number before a change of length ends it; anchors of a block; buckets of a slot.
 BUCKET, LEAST, ANCHORS, SLOT = 4096, 256, 1024, 8
 #: A bucket's lengths are within this factor of its longest. Coordinates that are looked up for an anchor.
-LENGTHS, FOCUS = 0.8, 3
+LENGTHS, FOCUS = 0.8, 5
 
 _BUCKETS = pa.schema([("dim", pa.int32()), ("bucket", pa.int64()), ("label", pa.int64()), ("longest", pa.float64()), ("ids", pa.binary()), ("data", pa.binary()), ("lists", pa.binary()), ("home", pa.binary())])
 _BUCKETS_DDL = "dim int, bucket long, label long, longest double, ids binary, data binary, lists binary, home binary"
