@@ -9,12 +9,12 @@ counts, which the base score needs, are broadcast for the at most FREQUENT commo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, prepare, slices, text_bytes, written
@@ -22,7 +22,7 @@ from .words import mix, stream, words
 
 U = np.uint64
 #: Bytes of the filter that are broadcast at a time; words whose counts are broadcast; bits for each level of an n-gram.
-PART_BYTES, FREQUENT, BITS = 1 << 27, 1 << 20, 12
+PART_BYTES, FREQUENT, BITS = 1 << 26, 1 << 20, 12
 #: n-grams of a task that are counted at once; of a bucket, about; levels, and steps of probabilities, that are told apart.
 HELD, BUCKET, LEVELS, STEPS = 1 << 22, 1 << 20, 64, 256
 #: The most that shorter n-grams leave to longer ones, so that no token is certain.
@@ -180,17 +180,17 @@ def _built(log2: int):
 
 
 class Part:
-    """Segments of consecutive buckets."""
+    """Segments of consecutive buckets. rows may be an iterator; sizes: the bytes of each bucket's segment."""
 
-    def __init__(self, log2: int, rows: list[tuple[int, bytes]]):
-        self.log2, self.first, self.last = log2, rows[0][0], rows[-1][0]
+    def __init__(self, log2: int, sizes: list[tuple[int, int]], rows: Iterable[tuple[int, bytes]]):
+        self.log2, self.first, self.last = log2, sizes[0][0], sizes[-1][0]
         self.sizes = np.zeros(self.last - self.first + 1, U)
-        self.starts = np.zeros(len(self.sizes), np.int64)
-        at = 0
+        self.sizes[[b - self.first for b, _ in sizes]] = [n // 8 for _, n in sizes]
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int64)
+        self.words = np.zeros(int(self.sizes.sum()), U)
         for bucket, data in rows:
-            self.sizes[bucket - self.first], self.starts[bucket - self.first] = len(data) // 8, at
-            at += len(data) // 8
-        self.words = np.frombuffer(b"".join(x for _, x in rows), U)
+            at = self.starts[bucket - self.first]
+            self.words[at : at + len(data) // 8] = np.frombuffer(data, U)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: 0 for one that is not of this part, or was never put in (but for false hits)."""
@@ -209,18 +209,19 @@ class Part:
         return out
 
 
-def _parts(spark: SparkSession, segments: DataFrame, log2: int, part_bytes: int) -> Iterator[Part]:
-    """The filter, part by part; a part holds at least one segment, which BUCKET bounds."""
-    sizes = sorted((r["bucket"], r["size"]) for r in segments.select("bucket", F.length("segment").alias("size")).collect())
-    i = 0
-    while i < len(sizes):
-        j, total = i, 0
-        while j < len(sizes) and (j == i or total + sizes[j][1] <= part_bytes):
-            total += sizes[j][1]
-            j += 1
-        rows = segments.where(F.col("bucket").between(sizes[i][0], sizes[j - 1][0])).select("bucket", "segment").collect()
-        yield Part(log2, sorted((r["bucket"], bytes(r["segment"])) for r in rows))
-        i = j
+def _ranges(segments: DataFrame, part_bytes: int) -> list[list[tuple[int, int]]]:
+    """(bucket, bytes) of the segments of each part; a part holds at least one segment, which BUCKET bounds."""
+    out: list[list[tuple[int, int]]] = []
+    for bucket, size in sorted((r["bucket"], r["size"]) for r in segments.select("bucket", F.length("segment").alias("size")).collect()):
+        if not out or sum(n for _, n in out[-1]) + size > part_bytes:
+            out.append([])
+        out[-1].append((bucket, size))
+    return out or [[(0, 0)]]
+
+
+def _part(segments: DataFrame, log2: int, sizes: list[tuple[int, int]]) -> Part:
+    rows = segments.where(F.col("bucket").between(sizes[0][0], sizes[-1][0])).select("bucket", "segment").toLocalIterator()
+    return Part(log2, sizes, ((r["bucket"], r["segment"]) for r in rows))
 
 
 def _probed(order: int, part, common, whole: float, last: bool):
@@ -390,22 +391,21 @@ def score_texts(docs: DataFrame, order: int = 2, fold: int = 1, part_bytes: int
     names = known["key"].to_numpy(np.int64).view(U)
     by_name = np.argsort(names)
     common = spark.sparkContext.broadcast((names[by_name], known["c"].to_numpy(np.int64)[by_name]))
+    del known, names, by_name
 
     state = plain.selectExpr("*", "0L as n_tokens", "cast(null as binary) as levels", "0D as base", "0L as known", "cast(null as array<long>) as rare")
-    parts = _parts(spark, segments, log2, part_bytes)
-    here = next(parts, None) or Part(log2, [(0, b"")])
+    ranges = _ranges(segments, part_bytes)
     ends = 0
-    end_key = mix(np.array([_END]) + _SALT[0])
-    while here is not None:
-        after = next(parts, None)
-        ends = max(ends, int(here.levels(end_key)[0]))
-        sent = spark.sparkContext.broadcast(here)
-        done = state.mapInArrow(_probed(order, sent, common, whole, after is None), _STATE)
-        if after is None:
+    for sizes in ranges:  # one part of the filter at a time is on the driver and on the workers
+        part = _part(segments, log2, sizes)
+        ends = max(ends, int(part.levels(mix(np.array([_END]) + _SALT[0]))[0]))
+        sent, last = spark.sparkContext.broadcast(part), sizes is ranges[-1]
+        del part
+        done = state.mapInArrow(_probed(order, sent, common, whole, last), _STATE)
+        if last:
             done = done.drop("text").mapInArrow(_numbered, "row long, " + _STATE.replace("text string, ", ""))
         state = written(done, "levels")
         sent.unpersist()
-        here = after
 
     even = by_level @ count_of(np.arange(LEVELS))  # all tokens, by the counts that levels stand for
     model = Model(float(even), distinct, [np.zeros(LEVELS) for _ in range(order - 1)])
