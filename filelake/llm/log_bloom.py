@@ -348,14 +348,17 @@ def _scored(order: int, model: Model, ends: int):
 
 
 def _word_counts(keep: int, below: bool):
-    """Words of a level of at least keep, or below it, with their counts."""
+    """Words of a level below keep with their counts; or those of at least keep, a bucket's as one row of arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):
             for row in batch.to_pylist():
                 keys, counts = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.int64)
                 wanted = (level_of(counts) < keep) == below
-                yield pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array(counts[wanted])], names=["key", "c"])
+                if below:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array(counts[wanted])], names=["key", "c"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[wanted].tobytes()], pa.binary()) for x in (keys, counts)], names=["key", "c"])
 
     return run
 
@@ -387,11 +390,11 @@ def score_texts(docs: DataFrame, order: int = 2, fold: int = 1, part_bytes: int
         by_level[r["level"]] = r["n"]
     at_least = np.cumsum(by_level[::-1])[::-1]
     keep = int(np.argmax(at_least <= frequent))  # the lowest level from which on there are few enough words
-    known = segments.mapInArrow(_word_counts(keep, False), "key long, c long").toPandas()
-    names = known["key"].to_numpy(np.int64).view(U)
+    arrays = list(segments.mapInArrow(_word_counts(keep, False), "key binary, c binary").toLocalIterator())
+    names, counts = (np.frombuffer(b"".join(r[x] for r in arrays), kind) for x, kind in (("key", U), ("c", np.int64)))
     by_name = np.argsort(names)
-    common = spark.sparkContext.broadcast((names[by_name], known["c"].to_numpy(np.int64)[by_name]))
-    del known, names, by_name
+    common = spark.sparkContext.broadcast((names[by_name], counts[by_name]))
+    del arrays, names, counts, by_name
 
     state = plain.selectExpr("*", "0L as n_tokens", "cast(null as binary) as levels", "0D as base", "0L as known", "cast(null as array<long>) as rare")
     ranges = _ranges(segments, part_bytes)
