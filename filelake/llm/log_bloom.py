@@ -22,9 +22,9 @@ from .words import mix, stream, words
 
 U = np.uint64
 #: Bytes of the filter that are broadcast at a time; words whose counts are broadcast; bits for each level of an n-gram.
-PART_BYTES, FREQUENT, BITS = 1 << 26, 1 << 20, 12
+PART_BYTES, FREQUENT, BITS = 48 << 20, 1 << 19, 12
 #: n-grams of a task that are counted at once; of a bucket, about; levels, and steps of probabilities, that are told apart.
-HELD, BUCKET, LEVELS, STEPS = 1 << 22, 1 << 20, 64, 256
+HELD, BUCKET, LEVELS, STEPS = 1 << 21, 1 << 20, 64, 256
 #: The most that shorter n-grams leave to longer ones, so that no token is certain.
 MOST = 0.999
 _END, _TIMES, _LEVEL, *_SALT = stream(12, 71)
@@ -192,6 +192,13 @@ class Part:
             at = self.starts[bucket - self.first]
             self.words[at : at + len(data) // 8] = np.frombuffer(data, U)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": self.words.tobytes()}
+
+    def __setstate__(self, state: dict) -> None:
+        """Workers read the words where they are, without a copy."""
+        self.__dict__ = state | {"words": np.frombuffer(state["words"], U)}
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: 0 for one that is not of this part, or was never put in (but for false hits)."""
         out = np.zeros(len(keys), np.uint8)
