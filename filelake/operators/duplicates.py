@@ -148,20 +148,45 @@ def content_identities(hashes: DataFrame) -> DataFrame:
     return hashes.where("digest is not null").groupBy("digest", "byte_length").agg(F.max("hashed_at").alias("last_seen"), F.concat(F.lit("sha256:"), F.first("digest")).alias("identity"))
 
 
-def match_catalogue(items: DataFrame, hashes: DataFrame, scans: DataFrame) -> DataFrame:
-    """item_id, record_id, root_id, relative_path: catalogue files of latest completed scans with an item's content."""
+#: Parts into which the copies of one content are dealt before the least of them are picked.
+PARTS = 64
+_PLACE = ["root_id", "relative_path", "record_id"]
+
+
+def first_copies(hashes: DataFrame, n: int = 500) -> DataFrame:
+    """digest, byte_length, matches (the n least copies by root, path, record, in order), n_matches.
+
+    Each task passes on at most n copies of a content (the limit of ranks comes before the shuffle), each of PARTS
+    parts of a content at most n more, and no more than n reach a row, whatever the number of copies."""
+    key = ["digest", "byte_length"]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*key, *by).orderBy(*_PLACE))
+    rows = hashes.where("digest is not null").select(*key, *_PLACE, F.pmod(F.xxhash64("record_id"), F.lit(PARTS)).alias("_part"))
+    rows = rows.withColumn("_n", rank("_part")).where(F.col("_n") <= n)
+    rows = rows.withColumn("_n", rank()).where(F.col("_n") <= n)
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*_PLACE))).alias("matches"), F.count("*").alias("n_matches"))
+
+
+def top_matches(items: DataFrame, hashes: DataFrame, n: int = 500) -> DataFrame:
+    """item_id, matches, n_matches of items (item_id, digest, byte_length) whose content hashes have: the n least copies
+    of each content are picked first, from contents that items have, so an item meets one row."""
+    key = ["digest", "byte_length"]
+    wanted = items.where("digest is not null").select(*key).distinct()
+    copies = first_copies(hashes.join(wanted, key, "left_semi"), n)
+    return items.select("item_id", *key).join(copies, key).select("item_id", "matches", "n_matches")
+
+
+def current_hashes(hashes: DataFrame, scans: DataFrame) -> DataFrame:
+    """Hashes of each root's latest completed scan."""
     from .snapshots import latest_completed_scan
 
-    latest = latest_completed_scan(scans).select("root_id", "scan_id")
-    current = hashes.join(latest, ["root_id", "scan_id"], "left_semi")
-    return items.select("item_id", "digest", "byte_length").join(current.select("digest", "byte_length", "record_id", "root_id", "relative_path"), ["digest", "byte_length"]).select("item_id", "record_id", "root_id", "relative_path")
+    return hashes.join(latest_completed_scan(scans).select("root_id", "scan_id"), ["root_id", "scan_id"], "left_semi")
 
 
-def top_matches(matches: DataFrame, n: int = 500) -> DataFrame:
-    """The first n matches of each item by root, path, record, as one ordered list."""
-    w = Window.partitionBy("item_id").orderBy("root_id", "relative_path", "record_id")
-    first = matches.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    return first.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("root_id", "relative_path", "record_id"))).alias("matches"), F.count("*").alias("n_matches"))
+def match_catalogue(items: DataFrame, hashes: DataFrame, scans: DataFrame, n: int = 500) -> DataFrame:
+    """item_id, record_id, root_id, relative_path: catalogue files of latest completed scans with an item's content,
+    the n least of each content."""
+    found = top_matches(items, current_hashes(hashes, scans), n)
+    return found.select("item_id", F.inline("matches")).select("item_id", "record_id", "root_id", "relative_path")
 
 
 def reclaimable_report(groups: DataFrame) -> DataFrame:

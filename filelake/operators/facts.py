@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,7 +68,11 @@ def pdf_facts(content: Column) -> Column:
     """Struct of pages, title, author, created, modified, over the first and last 2 MiB, not counted twice."""
     n = F.octet_length(content)
     rest = F.greatest(F.lit(0), F.least(F.lit(WINDOW), n - WINDOW))
-    text = F.concat(F.decode(head(content, WINDOW), "ISO-8859-1"), F.when(rest > 0, F.decode(F.substr(content, n - rest + 1, rest), "ISO-8859-1")).otherwise(""))
+    return pdf_text_facts(F.concat(F.decode(head(content, WINDOW), "ISO-8859-1"), F.when(rest > 0, F.decode(F.substr(content, n - rest + 1, rest), "ISO-8859-1")).otherwise("")))
+
+
+def pdf_text_facts(text: Column) -> Column:
+    """As pdf_facts(), from the windows' bytes as Latin-1. Values of over 2,000 characters are null."""
     value = lambda k: F.nullif(F.regexp_extract(text, rf"/{k}\s*\(([^)]{{0,2000}})\)", 1), F.lit(""))
     pages = F.nullif(F.regexp_count(text, F.lit(r"/Type\s*/Page\b")), F.lit(0))
     return F.struct(pages.alias("pages"), value("Title").alias("title"), value("Author").alias("author"), value("CreationDate").alias("created"), value("ModDate").alias("modified"))
@@ -80,13 +84,19 @@ def document_facts(extension: Column) -> Column:
 
 def archive_facts(content: Column, extension: Column) -> Column:
     """Struct of archive_type, entries, directory_bytes, spanned; ZIPs by their end record."""
-    hexed = F.hex(tail(content, 66_000))
+    end = archive_end(tail(content, 66_000))
+    kind = F.element_at(F.split(sniff_type(content, extension)["mime_type"], "/"), -1)
+    return F.struct(F.when(end.isNotNull(), "zip").otherwise(kind).alias("archive_type"), end["entries"].alias("entries"), end["directory_bytes"].alias("directory_bytes"), end["spanned"].alias("spanned"))
+
+
+def archive_end(last: Column) -> Column:
+    """Struct of entries, directory_bytes, spanned by the end record in a ZIP's last bytes; null without one."""
+    hexed = F.hex(last)
     after = F.substring_index(hexed, "504B0506", -1)
     at = F.length(hexed) - F.length(after) - 8
     found = (F.instr(hexed, "504B0506") > 0) & (at % 2 == 0) & (F.length(after) >= 36)
     le = lambda i, n: F.conv(F.concat(*[F.substring(after, 2 * (i + k) + 1, 2) for k in reversed(range(n))]), 16, 10).cast("long")
-    kind = F.element_at(F.split(sniff_type(content, extension)["mime_type"], "/"), -1)
-    return F.struct(F.when(found, "zip").otherwise(kind).alias("archive_type"), F.when(found, le(6, 2)).alias("entries"), F.when(found, le(8, 4)).alias("directory_bytes"), F.when(found, le(0, 2) != 0).alias("spanned"))
+    return F.when(found, F.struct(le(6, 2).alias("entries"), le(8, 4).alias("directory_bytes"), (le(0, 2) != 0).alias("spanned")))
 
 
 def normalize_probe(probe: Column) -> Column:
@@ -114,6 +124,8 @@ def tiff(data: bytes) -> dict:
     place: dict = {}
 
     def rationals(where: int, count: int) -> list[float]:
+        """At most three, which is all that a place needs: a tag's count may say anything."""
+        count = min(count, 3)
         pairs = struct.unpack_from(order + "II" * count, data, where)
         return [a / b if b else 0.0 for a, b in zip(pairs[::2], pairs[1::2], strict=True)]
 
@@ -196,12 +208,23 @@ def id3(data: bytes) -> dict:
     return out
 
 
+def parser_of(data: bytes) -> Callable[[bytes], dict] | None:
+    """What can walk such contents."""
+    if data[:3] == b"\xff\xd8\xff":
+        return jpeg
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return tiff
+    if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
+        return wave
+    return id3 if data[:3] == b"ID3" else None
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         facts, status, message = [], [], []
         for data in batch.column(1).to_pylist():
             data = data or b""
-            parse = jpeg if data[:3] == b"\xff\xd8\xff" else tiff if data[:4] in (b"II*\0", b"MM\0*") else wave if data[:4] == b"RIFF" and data[8:12] == b"WAVE" else id3 if data[:3] == b"ID3" else None
+            parse = parser_of(data)
             try:
                 facts.append([(k, str(v)) for k, v in (parse(data) if parse else {}).items()])
                 status.append("completed" if parse else "unavailable")

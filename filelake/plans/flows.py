@@ -150,7 +150,7 @@ def _t1(spark, d):
     items = h.where("doc_id % 2 = 1").withColumns({"item_id": F.col("record_id"), "mime_type": mime, "n_failed": F.lit(0)}).drop("content")
     have = h.where("doc_id % 2 = 0").drop("content")
     head = have.select("root_id", "scan_id").distinct().withColumns({"status": F.lit("completed"), "started_at": F.lit("2024-01-01").cast("timestamp")})
-    top = D.top_matches(D.match_catalogue(items, have, head))
+    top = D.top_matches(items, D.current_hashes(have, head))
     return T.triage_ingest(items, top).select("record_id", "status", "n_matches", F.array_join(F.transform("matches", lambda x: x["record_id"]), ",").alias("matches"), "destination")
 
 

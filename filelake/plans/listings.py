@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import analysis as Y
 from ..operators import classify as C
 from ..operators import duplicates as D
 from ..operators import facts as X
@@ -17,6 +18,7 @@ from ..operators import relate as R
 from ..operators import search as Q
 from ..operators import snapshots as A
 from ..operators import transfer as T
+from ..sources import contents as K
 from ..sources import listing as L
 from ..sources import tables as B
 from .fixtures import BOTH_SQL, FILES_SQL, SCANS_SQL, files, files2, scans, table
@@ -279,7 +281,7 @@ def _l7(spark, d):
     h = _hashed(spark, d).drop("content")
     items = h.where("doc_id % 2 = 1").select(F.col("record_id").alias("item_id"), "digest", "byte_length")
     have = h.where("doc_id % 2 = 0").select("digest", "byte_length", "record_id", "root_id", "relative_path")
-    top = D.top_matches(items.join(have, ["digest", "byte_length"]), 2)
+    top = D.top_matches(items, have, 2)
     return top.select("item_id", "n_matches", F.array_join(F.transform("matches", lambda x: x["record_id"]), ",").alias("matches"))
 
 
@@ -421,6 +423,61 @@ def _x0(spark, d):
     return X.fact_tasks(f).select("record_id")
 
 
+_ANALYSES = """, t AS (
+    SELECT record_id, root_id, doc_id, sha256(content) AS signature, 'lines' AS analyzer, '1' AS version, byte_length % 5 > 0 AS ok,
+      '{"lines":"' || (length(content) - length(replace(content, chr(10), ''))) || '"}' AS j FROM files WHERE extension <> 'zip'
+    UNION ALL SELECT record_id, root_id, doc_id, sha256(content), 'text-shape', '2', true, '{"chars":"' || length(content) || '"}' FROM files WHERE extension IN ('txt', 'md', 'csv'))
+    SELECT record_id, signature, analyzer, version, CASE WHEN ok THEN 'completed' ELSE 'failed' END AS status, CASE WHEN ok THEN j ELSE '' END AS facts_json,
+      CASE WHEN ok THEN '' ELSE 'ValueError: five' END AS message,
+      analyzer = 'lines' AND ok AND (root_id, signature) IN (SELECT (root_id, signature) FROM t WHERE analyzer = 'lines' AND doc_id % 2 = 0) AS reused FROM t"""
+
+
+@query("x9_analyses", FILES_SQL + _ANALYSES)
+def _x9(spark, d):
+    """Two analyzers, one of which fails on some files, after an earlier run over every other file, in which the other
+    had its first version: facts of that version are not reused, nor are failures."""
+
+    def count_lines(data: bytes) -> dict:
+        if len(data) % 5 == 0:
+            raise ValueError("five")
+        return {"lines": data.count(b"\n")}
+
+    f = files(spark, d).withColumns({"signature": F.sha2("content", 256), "content": F.encode("content", "UTF-8")})
+    shape = lambda version: Y.Analyzer("text-shape", version, lambda: F.col("extension").isin("txt", "md", "csv"), native=lambda c: F.create_map(F.lit("chars"), F.length(F.decode(c, "UTF-8")).cast("string")))
+    lines = Y.Analyzer("lines", "1", lambda: F.col("extension") != "zip", function=count_lines)
+    none = spark.createDataFrame([], "record_id string, root_id string, signature string, analyzer string, version string, status string, facts_json string, analyzed_at timestamp")
+    first = Y.extract_facts(f.where("doc_id % 2 = 0"), none, (shape("1"), lines)).withColumn("analyzed_at", F.lit("2024-01-01").cast("timestamp"))
+    got = Y.extract_facts(f, first.select(*none.columns), (shape("2"), lines))
+    return got.select("record_id", "signature", "analyzer", "version", "status", F.coalesce("facts_json", F.lit("")).alias("facts_json"), F.coalesce("message", F.lit("")).alias("message"), "reused")
+
+
+def _folder_files(spark, d, line) -> tuple[DataFrame, str]:
+    """One file of lines for each language and source, in order of doc_id, listed; and the folder they lie in."""
+    path = scratch(spark, "bodies")
+    rows = table(spark, d, "documents").select(line.alias("value"), "lang", "source", "doc_id").repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    rows.select("value", "lang", "source").write.partitionBy("lang", "source").text(path)
+    root = path.removeprefix("file:").replace("//", "/", 1)
+    listed = L.read_tree(spark, root).where("entry_type = 'file' and name like 'part-%'")
+    return listed.withColumns({"record_id": F.element_at(F.split("relative_path", "/part-"), 1), "extension": F.lit("txt")}), root
+
+
+_FOLDER = "'lang=' || lang || '/source=' || source"
+
+
+@query("d1_hash_files", f"SELECT {_FOLDER} AS folder, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest, 'verified' AS hash_state, sum(strlen(text) + 1)::BIGINT AS bytes_read FROM documents GROUP BY 1")
+def _d1f(spark, d):
+    """Files written from the documents, hashed where they lie."""
+    listed, root = _folder_files(spark, d, F.col("text"))
+    return K.hash_files(listed, root).select(F.col("record_id").alias("folder"), "digest", "hash_state", "bytes_read")
+
+
+@query("x3_ranged_facts", f"SELECT {_FOLDER} AS folder, 'application/pdf' AS mime_type, count(*) AS pages, 'T' AS title, sum(strlen(text) + 32)::BIGINT AS bytes_read FROM documents GROUP BY 1")
+def _x3r(spark, d):
+    """Facts from the windows of such files that begin as PDFs do; files within two windows are read whole."""
+    listed, root = _folder_files(spark, d, F.concat(F.lit("%PDF-1 /Type /Page /Title (T) "), "text", F.lit(" ")))
+    return K.ranged_facts(listed, root).select(F.col("record_id").alias("folder"), "mime_type", F.col("pages").cast("long").alias("pages"), "title", "bytes_read")
+
+
 #: Type, width, height, pages, entries and walked facts of seven kinds of made files, by doc_id.
 _MADE = FILES_SQL + """, w AS (SELECT record_id, doc_id % 8 AS k, doc_id % 251 + 1 AS a, doc_id % 13 + 1 AS b FROM files)"""
 
