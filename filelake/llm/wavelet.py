@@ -161,17 +161,29 @@ class Untrusted(Exception):
 
 
 class Pieces(dict):
-    """Ids of pieces of text; a piece that is not held yet is learnt."""
+    """Ids of pieces of text; a piece that is not held yet is learnt. All that is kept is counted: beyond `most` bytes
+    the generation before is let go, and what is held now takes its place, even within a text."""
 
-    def __init__(self, learn: Callable[[str], bytes]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[str], bytes], most: int):
+        self.learn, self.most = learn, most
+        self.old: dict[str, bytes] = {}
         self.bytes = 0
 
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) > LONG_PIECE:
+            return
+        if self.bytes > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.bytes = 0
+        self[piece] = ids
+        self.bytes += 4 * len(piece) + len(ids) + _ENTRY
+
     def __missing__(self, piece: str) -> bytes:
-        ids = self.learn(piece)
-        if len(piece) <= LONG_PIECE:
-            self[piece] = ids
-            self.bytes += 4 * len(piece) + len(ids) + _ENTRY
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        self.keep(piece, ids)
         return ids
 
 
@@ -197,7 +209,7 @@ class Encoder:
         self.word = self.tokenizer.model.tokenize if plain and not any(x.isalpha() for x in self.added) else None
         self.stops = dict(zip(".,", self._by_library([".", ","]), strict=True))
         self.line_end = self._by_library(["\n"])[0]
-        self.young, self.old = Pieces(self._learn), {}
+        self.pieces = Pieces(self._learn, KEPT_BYTES)
 
     def _by_library(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -211,28 +223,25 @@ class Encoder:
         """Ids of a piece of ASCII text, word by word; None where only the library's own cuts are trusted."""
         if not piece.isascii() or any(x in piece for x in self.added):
             return None
-        ids, held = [], self.young
+        ids, held = [], self.pieces
         for run in ASCII_WORDS.findall(piece):
             key = run[1:] if run[0] == " " else START + run
-            own = held.get(key) if len(key) > 1 or key.isalnum() else None
+            own = held.get(key, held.old.get(key)) if len(key) > 1 or key.isalnum() else None
             if own is None:
                 own = self._by_model(run)
                 if len(key) > 1:
-                    held[key] = own
+                    held.keep(key, own)
             ids.append(own)
         return b"".join(ids)
 
     def _learn(self, piece: str) -> bytes:
         """Ids of a piece: a word behind a space, a word without one (marked by START), or a line feed."""
-        ids = self.old.get(piece)
-        if ids is not None:
-            return ids
         if self.word and piece.isascii():
             # The usual pieces: letters, which stand for themselves, and maybe a stop.
             if piece.isalpha():
                 return array("I", map(_ID, self.word(_SPACE + piece))).tobytes()
             if piece[-1:] in self.stops and piece[:-1].isalpha():
-                return self.young[piece[:-1]] + self.stops[piece[-1]]
+                return self.pieces[piece[:-1]] + self.stops[piece[-1]]
         if piece == "\n":
             return self.line_end
         x = piece[1:] if piece[:1] == START else " " + piece
@@ -245,13 +254,11 @@ class Encoder:
         if not body.removeprefix(" ").isalpha():
             ids = self._parts(x)
             return self._by_library([x])[0] if ids is None else ids
-        return self.young[piece[:-1]] + stop if stop else self._by_model(x)
+        return self.pieces[piece[:-1]] + stop if stop else self._by_model(x)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
-        if self.young.bytes > KEPT_BYTES:
-            self.old, self.young = self.young, Pieces(self._learn)
-        get, out = self.young.__getitem__, []
+        get, out = self.pieces.__getitem__, []
         for x in texts:
             body = x.rstrip(" \t\n\r")
             size = len(body)

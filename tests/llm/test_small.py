@@ -53,6 +53,24 @@ def test_components(spark):
     assert components(e.limit(0)).count() == 0
 
 
+def test_kept_pieces_are_counted(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(wavelet, "KEPT_BYTES", 1 << 20)
+    coder, tok = wavelet.Encoder(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(1)
+    for i in range(40):  # a million runs, most of them new, joined by slashes; then as words, one text at a time
+        joint = "/".join(f"{x:x}" for x in rng.integers(1 << 40, size=25_000))
+        text = joint if i % 2 else joint.replace("/", " ")
+        (ids,) = coder.encode([text])
+        if i < 4:
+            assert np.frombuffer(ids, np.uint32).tolist() == tok.encode(text, add_special_tokens=False).ids
+        size = sum(4 * len(k) + len(v) for held in (coder.pieces, coder.pieces.old) for k, v in held.items())
+        assert 0 < coder.pieces.bytes < (1 << 20) + 4096 and size < (2 << 20) + 8192
+
+
 def test_tokens(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
