@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, prepare, slices, text_bytes
-from .words import ALNUM, U, as_long, words
+from .words import ALNUM, STEP, U, as_long, mix, words
 
 WINDOW = 10
 #: Characters of items that one pass over the documents carries; a larger set takes several passes.
@@ -28,11 +28,12 @@ DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 @dataclass
 class Items:
-    """Windows of one pass, ordered by their rarest word."""
+    """Windows of one pass. Groups, ordered by the rarest word, are at most WINDOW * (WINDOW + 1) / 2 of a word."""
 
-    anchor: np.ndarray  # the rarest word's hash, ascending
+    anchor: np.ndarray  # of each group the rarest word's hash, ascending
     at: np.ndarray  # its place in the window
     size: np.ndarray
+    key: np.ndarray  # of each window a hash of its group and words, ascending
     row: np.ndarray  # hashes of all words, zeros behind short windows
     item: np.ndarray  # index into ids
     ids: list[str]
@@ -85,24 +86,56 @@ def _spots(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _find(w, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the window, first word, text) of every occurrence."""
+def _find(w, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, number of words) of every occurrence of a window, and the distinct (text, item) of them. A word
+    is tried once for each place and size that windows give it, whatever number of windows it anchors."""
     none = np.zeros(0, np.int64)
     at = np.flatnonzero(items.spots[(w.hash & U(0xFFFF)).astype(np.int64)])
     low, high = np.searchsorted(items.anchor, w.hash[at], "left"), np.searchsorted(items.anchor, w.hash[at], "right")
     have = high - low
     if not have.sum():
-        return none, none, none
-    window = np.repeat(low - np.concatenate([[0], np.cumsum(have)[:-1]]), have) + np.arange(have.sum())
+        return none, none, none, none, none
+    group = np.repeat(low - np.concatenate([[0], np.cumsum(have)[:-1]]), have) + np.arange(have.sum())
     word = np.repeat(at, have)
     text = np.searchsorted(w.off, word, "right") - 1
-    start = word - items.at[window]
-    sound = (start >= w.off[text]) & (start + items.size[window] <= w.off[text + 1])
-    window, start, text = window[sound], start[sound], text[sound]
-    for j in range(WINDOW):
-        ok = (items.size[window] <= j) | (w.hash[np.minimum(start + j, len(w.hash) - 1)] == items.row[window, j])
-        window, start, text = window[ok], start[ok], text[ok]
-    return window, start, text
+    start, size = word - items.at[group], items.size[group]
+    sound = (start >= w.off[text]) & (start + size <= w.off[text + 1])
+    group, start, size, text = group[sound], start[sound], size[sound], text[sound]
+    padded = np.concatenate([w.hash, np.zeros(WINDOW, U)])
+    seen = lambda j: np.where(size > j, padded[start + j], U(0))
+    key = _key(group, [seen(j) for j in range(WINDOW)])
+    spot = np.searchsorted(items.key, key, "left")
+    ok = spot < len(items.key)
+    ok[ok] = items.key[spot[ok]] == key[ok]
+    start, size, text, spot = start[ok], size[ok], text[ok], spot[ok]
+    for j in range(WINDOW):  # each word for itself
+        ok = seen(j) == items.row[spot, j]
+        start, size, text, spot = start[ok], size[ok], text[ok], spot[ok]
+    pairs = np.unique(np.column_stack([text, spot]), axis=0)
+    many = np.searchsorted(items.key, items.key[pairs[:, 1]], "right") - pairs[:, 1]
+    held = np.repeat(pairs[:, 1] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    named = np.unique(np.column_stack([np.repeat(pairs[:, 0], many), items.item[held]]), axis=0)
+    return text, start, size, named[:, 0], named[:, 1]
+
+
+def _key(group: np.ndarray, row: list[np.ndarray]) -> np.ndarray:
+    """A window's words and its group as one hash."""
+    with np.errstate(over="ignore"):
+        total = mix(group.astype(U) + U(1))
+        for j, x in enumerate(row):
+            total = total + x * STEP[j]
+        return mix(total)
+
+
+def _grouped(anchor: np.ndarray, at: np.ndarray, n: np.ndarray, row: np.ndarray, item: np.ndarray, ids: list[str]) -> Items:
+    """Windows by (anchor, its place, number of words), each group's by the hash of their words."""
+    order = np.lexsort((n, at, anchor))
+    anchor, at, n, row, item = anchor[order], at[order], n[order], row[order], item[order]
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1]) | (n[1:] != n[:-1])
+    key = _key(np.cumsum(new) - 1, list(row.T))
+    by_key = np.argsort(key, kind="stable")
+    return Items(anchor[new], at[new], n[new], key[by_key], row[by_key], item[by_key], ids, _spots(anchor))
 
 
 def _scan(shared, last: bool):
@@ -115,12 +148,13 @@ def _scan(shared, last: bool):
             for i, j in slices(offs):
                 w = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
                 count[i:j] = np.diff(w.off)
-                window, start, text = _find(w, items)
+                text, start, size, holder, item = _find(w, items)
+                open_at = np.bincount(start, minlength=len(w.hash) + 1) - np.bincount(start + size, minlength=len(w.hash) + 1)
+                hit = np.flatnonzero(np.cumsum(open_at) > 0)  # windows stay within their text
+                owner = np.searchsorted(w.off, hit, "right") - 1
                 for d in np.unique(text):
-                    own = text == d
-                    first = start[own] - w.off[d]
-                    hits[i + d] += np.unique(np.concatenate([np.arange(a, a + n) for a, n in set(zip(first.tolist(), items.size[window[own]].tolist(), strict=True))])).tolist()
-                    found[i + d] += [items.ids[x] for x in np.unique(items.item[window[own]])]
+                    hits[i + d] += (hit[owner == d] - w.off[d]).tolist()
+                    found[i + d] += [items.ids[x] for x in item[holder == d]]
             if last:
                 yield _digest(batch.column(0), count, hits, found)
             else:
@@ -173,8 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         least = cost == cost.min(axis=1, keepdims=True) if len(row) else cost.astype(bool)
         at = np.where(least & ~behind, place, len(known)).argmin(axis=1) if len(row) else np.zeros(0, np.int64)
         anchor = row[np.arange(len(row)), at]
-        order = np.argsort(anchor, kind="stable")
-        shared = spark.sparkContext.broadcast(Items(anchor[order], at[order], n[order], row[order], item[order], ids, _spots(anchor)))
+        shared = spark.sparkContext.broadcast(_grouped(anchor, at, n, row, item, ids))
         last = k == passes - 1
         out = out.mapInArrow(_scan(shared, last), DIGEST if last else "doc_id long, text string, n_words long, hits array<long>, items array<string>")
     return out

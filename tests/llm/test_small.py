@@ -200,6 +200,27 @@ def test_decontamination(spark, docs):
     assert decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_crowded_anchor(spark):
+    """Twenty thousand windows share their rarest word; a text is full of it."""
+    import time
+
+    from filelake.llm import decontam
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join([f"c{x}" for x in rng.integers(50, size=4)] + ["frame"] + [f"c{x}" for x in rng.integers(50, size=5)]) for _ in range(20_000)]
+    item, n, row, ids = decontam._windows([(f"i{k:05d}", t) for k, t in enumerate(texts)])
+    frame = words.words(np.frombuffer(b"frame", np.uint8), np.array([0, 5]), words.ALNUM).hash[0]
+    at = (row == frame).argmax(axis=1)
+    items = decontam._grouped(np.full(len(row), frame), at, n, row, item, ids)
+    text = ("frame " * 1500 + texts[7] + " frame").encode()
+    w = words.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words.ALNUM)
+    began = time.time()
+    got = decontam._find(w, items)
+    assert time.time() - began < 1
+    same = {f"i{k:05d}" for k, t in enumerate(texts) if t == texts[7]}
+    assert set(got[1].tolist()) == {1500} and {ids[x] for x in got[4]} == same
+
+
 def test_decontamination_in_passes(spark, docs, monkeypatch):
     from filelake.llm import decontam
 
