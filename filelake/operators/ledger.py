@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import hashlib
 from collections.abc import Iterator
 
@@ -109,8 +111,25 @@ def lease_triage(jobs: DataFrame, as_of: Column) -> DataFrame:
 
 
 def dispatch_order(jobs: DataFrame) -> DataFrame:
-    """Queued jobs with their place in their kind's queue."""
-    return jobs.where("status = 'queued'").withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("priority"), "submitted_at", "job_id")))
+    """Queued jobs with their place in their kind's queue, by priority, time and id.
+
+    Jobs are numbered within the second they came in, seconds within their hour, hours within the kind's queue, and
+    the counts before are added up: no task orders more than the jobs of a second, the seconds of an hour, or the
+    hours of a kind, so one kind with nearly all jobs is numbered by many tasks."""
+    never = F.lit(-(1 << 62))
+    second = F.coalesce(F.floor(F.col("submitted_at").cast("timestamp").cast("double")), never)
+    queued = jobs.where("status = 'queued'").withColumn("_second", second).withColumn("_hour", F.floor(F.col("_second") / 3600))
+    queue = ["kind", "priority"]
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seconds = queued.groupBy(*queue, "_hour", "_second").agg(F.count("*").alias("_n"))
+    hours = seconds.groupBy(*queue, "_hour").agg(F.sum("_n").alias("_n")).withColumn("_by_hour", before(Window.partitionBy("kind").orderBy(F.desc("priority"), "_hour")))
+    seconds = seconds.withColumn("_by_second", before(Window.partitionBy(*queue, "_hour").orderBy("_second")))
+    same = lambda a, b, names: reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
+    cells = seconds.join(hours, same(seconds, hours, [*queue, "_hour"])).select(*[seconds[c] for c in (*queue, "_second")], (F.col("_by_hour") + F.col("_by_second")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*queue, "_second").orderBy("submitted_at", "job_id"))
+    numbered = queued.withColumn("_own", own)
+    placed = numbered.join(cells, same(numbered, cells, [*queue, "_second"]))
+    return placed.select(*[numbered[c] for c in jobs.columns], (F.col("_before") + F.col("_own")).cast("long").alias("place"))
 
 
 def latest_heartbeat(beats: DataFrame) -> DataFrame:

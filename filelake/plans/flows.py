@@ -313,7 +313,7 @@ def _a19(spark, d):
     return E.retry_counts(table(spark, d, "events").select(F.col("user_id").alias("job_id"), outcome.alias("outcome")))
 
 
-@query("w6_dispatch_order", f"SELECT job_id, kind, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, submitted_at, job_id)::INTEGER AS place FROM ({_JOBS}) WHERE status = 'queued'")
+@query("w6_dispatch_order", f"SELECT job_id, kind, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, submitted_at, job_id)::BIGINT AS place FROM ({_JOBS}) WHERE status = 'queued'")
 def _w6(spark, d):
     return E.dispatch_order(_jobs(spark, d)).select("job_id", "kind", "place")
 

@@ -45,6 +45,17 @@ def _s1(spark, d):
     return L.read_tree(spark, path.removeprefix("file:").replace("//", "/", 1)).where("entry_type = 'directory'").select("relative_path", "entry_type")
 
 
+@query("s1_scan_tree", "WITH f AS (SELECT DISTINCT lang, source FROM documents) SELECT 'lang=' || lang AS folder, 'directory' AS entry_type, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT '', 'directory', count(DISTINCT lang) FROM f UNION ALL SELECT 'lang=' || lang || '/source=' || source, 'file', 1 FROM f")
+def _s1s(spark, d):
+    """Entries of each folder of a tree of written documents, from a scan that is stopped after a level and goes on."""
+    _, root = _folder_files(spark, d, F.col("text"))
+    state = scratch(spark, "scan")
+    while (found := L.scan_tree(spark, root, state, levels=1)) is None:
+        pass
+    shown = found.where("entry_type = 'directory' or name like 'part-%'").withColumn("folder", F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1))
+    return shown.groupBy("folder", "entry_type").agg(F.count("*").alias("n"))
+
+
 _PROBLEMS = "CASE doc_id % 8 WHEN 0 THEN 'unsafe-name' WHEN 1 THEN 'symlink-not-followed' WHEN 2 THEN 'outside-boundary' WHEN 3 THEN 'different-device' WHEN 4 THEN 'vanished' WHEN 5 THEN 'inaccessible' WHEN 6 THEN 'inaccessible' END"
 
 

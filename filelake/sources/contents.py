@@ -91,9 +91,12 @@ def _digest(chunk: int) -> Callable[[int, int], tuple]:
     return read
 
 
-def _observations(files: DataFrame) -> DataFrame:
+def _observations(files: DataFrame, tasks: int | None) -> DataFrame:
+    """What tasks need of files, dealt by a hash of the path. Rows are a few bytes and files may be many, so the number
+    of tasks is given and not left to the size of the rows."""
     micros = F.unix_micros("modified_at").alias("modified_at")
-    return files.select("record_id", "relative_path", *[micros if c == "modified_at" else F.col(c) for c in _OBSERVED])
+    rows = files.select("record_id", "relative_path", *[micros if c == "modified_at" else F.col(c) for c in _OBSERVED])
+    return rows.repartition(tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "relative_path")
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -102,13 +105,14 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
             yield batch.slice(i, _ROWS).to_pylist()
 
 
-def hash_files(files: DataFrame, root: str, chunk: int = CHUNK) -> DataFrame:
+def hash_files(files: DataFrame, root: str, chunk: int = CHUNK, tasks: int | None = None) -> DataFrame:
     """record_id, digest (sha256, hex), hash_state, bytes_read of files below root (record_id, relative_path and what
     was observed: byte_length, modified_at, device_id, filesystem_record_id).
 
     A file is read by chunks, so its length does not matter. hash_state is verified, or, without a digest: unstable (not
     as observed, or changed meanwhile), vanished, unsafe (a path that leaves the root, a link, no regular file) or
-    inaccessible. Rows are dealt by a hash of the path, so a folder of large files is no task of its own."""
+    inaccessible. Rows are dealt over `tasks` (the session's shuffle partitions, if not given) by a hash of the path, so a
+    folder of large files is no task of its own."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +122,7 @@ def hash_files(files: DataFrame, root: str, chunk: int = CHUNK) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["record_id", "digest", "hash_state", "bytes_read"])
 
-    return _observations(files).repartition("relative_path").mapInArrow(run, "record_id string, digest string, hash_state string, bytes_read long")
+    return _observations(files, tasks).mapInArrow(run, "record_id string, digest string, hash_state string, bytes_read long")
 
 
 def _windows(fd: int, size: int) -> tuple:
@@ -135,7 +139,7 @@ def _windows(fd: int, size: int) -> tuple:
     return head, rest, tail, size, count
 
 
-def content_windows(files: DataFrame, root: str) -> DataFrame:
+def content_windows(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """record_id, read_state, head, rest, tail, size, bytes_read: of each file only the bytes that facts need. head is
     the first SIGNATURE bytes, or a PDF's first WINDOW, rest the last WINDOW of a PDF as far as head ends before it,
     tail the last ZIP_END bytes of a ZIP. States are those of hash_files()."""
@@ -149,15 +153,15 @@ def content_windows(files: DataFrame, root: str) -> DataFrame:
                 row = (r["record_id"], state, *(got or (None, None, None, None, 0)))
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-    return _observations(files).repartition("relative_path").mapInArrow(run, "record_id string, read_state string, head binary, rest binary, tail binary, size long, bytes_read long")
+    return _observations(files, tasks).mapInArrow(run, "record_id string, read_state string, head binary, rest binary, tail binary, size long, bytes_read long")
 
 
-def ranged_facts(files: DataFrame, root: str) -> DataFrame:
+def ranged_facts(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """record_id, read_state, mime_type, type_source, width, height, pages, title, entries, bytes_read: as
     facts.extract_facts() tells them of whole contents, from windows alone."""
     from ..operators.facts import archive_end, image_size, pdf_text_facts, sniff_type
 
-    w = content_windows(files, root).join(files.select("record_id", "extension"), "record_id")
+    w = content_windows(files, root, tasks).join(files.select("record_id", "extension"), "record_id")
     kind, size = sniff_type(F.col("head"), F.col("extension")), image_size(F.col("head"))
     latin = lambda c: F.decode(F.col(c), "ISO-8859-1")
     w = w.withColumns({"mime_type": kind["mime_type"], "type_source": kind["source"], "width": size["width"], "height": size["height"], "text": F.concat(latin("head"), latin("rest"))})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -47,22 +48,80 @@ class TreeReader(DataSourceReader):
         todo = [partition.value]
         while todo:
             folder = todo.pop()
-            try:
-                entries = list(os.scandir(os.path.join(self.root, folder)))
-            except OSError as e:
-                yield (folder, folder.rpartition("/")[2], "directory", *[None] * 5, _issue(e))
-                continue
-            for e in entries:
-                path = f"{folder}/{e.name}" if folder else e.name
-                try:
-                    kind = "symlink" if e.is_symlink() else "directory" if e.is_dir() else "file" if e.is_file() else "other"
-                    s = e.stat(follow_symlinks=False)
-                except OSError as error:
-                    yield (path, e.name, "unknown", *[None] * 5, _issue(error))
-                    continue
-                yield path, e.name, kind, s.st_size if kind == "file" else None, s.st_mtime, str(s.st_dev), str(s.st_ino), s.st_mode, None
-                if kind == "directory" and folder:  # a folder of the top level is a partition of its own
-                    todo.append(path)
+            for row in entries(self.root, folder):
+                yield row
+                if row[2] == "directory" and row[8] is None and folder:  # a folder of the top level is a partition of its own
+                    todo.append(row[0])
+
+
+def entries(root: str, folder: str) -> Iterator[tuple]:
+    """Rows of what lies in one folder; of a folder that cannot be read, one row of its own."""
+    try:
+        found = list(os.scandir(os.path.join(root, folder)))
+    except OSError as e:
+        yield (folder, folder.rpartition("/")[2], "directory", *[None] * 5, _issue(e))
+        return
+    for e in found:
+        path = f"{folder}/{e.name}" if folder else e.name
+        try:
+            kind = "symlink" if e.is_symlink() else "directory" if e.is_dir() else "file" if e.is_file() else "other"
+            s = e.stat(follow_symlinks=False)
+        except OSError as error:
+            yield (path, e.name, "unknown", *[None] * 5, _issue(error))
+            continue
+        yield path, e.name, kind, s.st_size if kind == "file" else None, s.st_mtime, str(s.st_dev), str(s.st_ino), s.st_mode, None
+
+
+#: Entries that a task gathers before it passes them on; folders that a task lists, if there are many.
+GATHERED, FOLDERS = 4096, 512
+_KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+_SCHEMA = pa.schema([(n, _KINDS[k]) for n, k in (x.split() for x in LISTED.split(", "))])
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def scan_tree(spark: SparkSession, root: str, state: str, levels: int | None = None) -> DataFrame | None:
+    """The rows of read_tree(), level by level: folders still to be listed are a table, dealt over the tasks by a hash
+    of their path, so neither a top-level folder nor a deep one is a task of its own.
+
+    state: a folder of this scan, shared by all executors. A level's entries are written there, whole, before the next
+    level begins; a scan that was stopped goes on behind its last whole level when it is called again, and lists no
+    folder of it twice. levels: how many levels this call may list; None is returned while folders are left."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+            held.clear()
+            return out
+
+        held: list[tuple] = []
+        for todo in batches:
+            for folder in todo.column(0).to_pylist():
+                for row in entries(root, folder):
+                    held.append(row)
+                    if len(held) >= GATHERED:
+                        yield batch()
+        if held:
+            yield batch()
+
+    paths: list[str] = []
+    pending = spark.createDataFrame([("",)], "relative_path string")
+    while not pending.isEmpty():
+        path = f"{state.rstrip('/')}/level={len(paths)}"
+        if not _finished(spark, path):
+            if levels == 0:
+                return None
+            levels = None if levels is None else levels - 1
+            tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pending.count() // FOLDERS)  # a number that is given stays: paths are few bytes
+            pending.repartition(tasks, "relative_path").mapInArrow(run, LISTED).write.mode("overwrite").parquet(path)
+        paths.append(path)
+        pending = spark.read.schema(LISTED).parquet(path).where("entry_type = 'directory' and issue_code is null").select("relative_path")
+    return spark.read.schema(LISTED).parquet(*paths).withColumn("modified_at", F.timestamp_seconds("modified_at"))
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:

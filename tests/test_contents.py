@@ -9,9 +9,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from filelake.operators import analysis, duplicates, facts
+from filelake.operators import analysis, duplicates, facts, ledger
 from filelake.sources import contents
-from filelake.sources.listing import read_tree
+from filelake.sources.listing import read_tree, scan_tree
 
 
 @pytest.fixture
@@ -160,3 +160,36 @@ def test_matches_of_a_content_with_many_copies(spark):
     got = {r["item_id"]: [tuple(m) for m in r["matches"]] for r in duplicates.top_matches(items, hashes, 50).collect()}
     assert len(got) == 3002 and all(got[f"i{i}"] == sorted(want["hot", 10])[:50] for i in (0, 1, 2999))
     assert got["j"] == sorted(want["d3", 10]) and got["k"] == sorted(want["d0", 11])
+
+
+def test_a_scan_goes_on_where_it_was_stopped(spark, tmp_path):
+    root, state = tmp_path / "tree", str(tmp_path / "state")
+    for i in range(30):
+        (root / "top" / f"d{i}" / "deep" / "er").mkdir(parents=True)
+        (root / "top" / f"d{i}" / "deep" / f"f{i}").write_bytes(b"x" * i)
+    os.symlink(root, root / "top" / "loop")
+    whole = sorted(tuple(r) for r in read_tree(spark, str(root)).collect())
+    assert scan_tree(spark, str(root), state, levels=2) is None
+    assert sorted(os.listdir(state)) == ["level=0", "level=1"]
+    os.remove(f"{state}/level=1/_SUCCESS")  # as if it had been stopped within the level
+    assert scan_tree(spark, str(root), state, levels=1) is None
+    (root / "later").mkdir()  # a level that is whole is not listed again
+    got = scan_tree(spark, str(root), state)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, whole))
+    third = spark.read.parquet(f"{state}/level=3")
+    assert len([f for f in os.listdir(f"{state}/level=3") if f.startswith("part-")]) > 1 and third.count() == 60
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert scan_tree(spark, str(empty), str(tmp_path / "other")).count() == 0
+    assert [r["issue_code"] for r in scan_tree(spark, str(tmp_path / "gone"), str(tmp_path / "third")).collect()] == ["vanished"]
+
+
+def test_places_in_a_queue(spark):
+    rows = [(f"j{i:04d}", "hot" if i % 10 else None, None if i % 17 == 0 else i % 3, None if i % 13 == 0 else 1700000000.25 + (i * 7919 % 50_000) // 3, "queued" if i % 9 else "running") for i in range(3000)]
+    df = spark.createDataFrame(rows, "job_id string, kind string, priority int, at double, status string").withColumn("submitted_at", F.timestamp_seconds("at"))
+    got = {r["job_id"]: r["place"] for r in ledger.dispatch_order(df).collect()}
+    want = {}
+    for kind in ("hot", None):
+        queue = sorted((r for r in rows if r[1] == kind and r[4] == "queued"), key=lambda r: (r[2] is None, -(r[2] or 0), r[3] is not None, r[3] or 0, r[0]))
+        want |= {r[0]: n for n, r in enumerate(queue, 1)}
+    assert got == want
