@@ -34,8 +34,8 @@ def tree(tmp_path):
 def listed(spark, root, more=()):
     rows = read_tree(spark, str(root)).where("entry_type = 'file'")
     rows = rows.select("relative_path", *contents._OBSERVED)
-    for path in more:
-        rows = rows.unionByName(rows.limit(1).select(F.lit(path).alias("relative_path"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in contents._OBSERVED]))
+    if more:
+        rows = rows.unionByName(spark.createDataFrame([(path, *[None] * 4) for path in more], rows.schema))
     return rows.withColumns({"record_id": F.col("relative_path"), "extension": F.element_at(F.split("relative_path", r"\."), -1)})
 
 
