@@ -251,9 +251,10 @@ def _c6(spark, d):
     return C.apply_resolutions(u, res).select("record_id", "category", "confidence")
 
 
-@query("c6_learned_rules", FILES_SQL + " SELECT extension, 'Design' AS category, count(*) AS use_count FROM files WHERE doc_id % 7 = 0 GROUP BY 1")
+@query("c6_learned_rules", FILES_SQL + " SELECT extension, 'Design' AS category, count(*) AS use_count FROM files WHERE doc_id % 7 <> 3 GROUP BY 1")
 def _c6r(spark, d):
-    return C.learn_rules(files(spark, d).where("doc_id % 7 = 0").select("record_id", "extension", F.lit("Design").alias("category"), F.lit(True).alias("remember"), F.col("modified_at").alias("resolved_at")))
+    """Every file is resolved; one resolution in seven is not to be remembered."""
+    return C.learn_rules(files(spark, d).select("record_id", "extension", F.lit("Design").alias("category"), (F.col("doc_id") % 7 != 3).alias("remember"), F.col("modified_at").alias("resolved_at")))
 
 
 @query(
