@@ -71,3 +71,21 @@ def test_odd_rows_in_every_stage(spark):
     assert ids.count(900) == 2 and ids.count(901) == 1 and ids.count(first) in (0, 2)
     assert not {900, 901} & {i for i, _ in texts["language_id"]}
     assert corpus_pipeline.tokens(spark, odd.limit(0), SF).count() == 0
+
+
+def test_tokens_stage_against_the_library(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    want, start = [], 0
+    for r in docs.orderBy("doc_id").collect():
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = corpus_pipeline.tokens(spark, docs, SF).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
