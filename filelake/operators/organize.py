@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import has_parent, is_within, split_filename
 from ..functions.scalars import month_bucket, stable_id, year_bucket
-from ..session import ship
+from ..session import ship, written
 from .snapshots import latest_scan, matches_observation
 
 
@@ -75,20 +75,34 @@ def family(path: Column) -> Column:
 
 #: Names that a destination has: itself, then ' (2)' to ' (10000)'.
 NAMES = 10_000
+_NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,3}|10000)\)\z"
 
 
-def _settle(skip: bool):
+def nth_name(destination: Column, slot: Column) -> Column:
+    """The name that a destination has in a slot: itself in slot 1, else with ' (slot)' before its extension."""
+    cut = split_filename(destination)
+    return F.when(slot == 1, destination).otherwise(F.concat(cut["stem"], F.lit(" ("), slot.cast("string"), F.lit(")"), cut["extension"]))
+
+
+def slot_of(path: Column) -> Column:
+    """Struct (destination, slot) of which path is a numbered name; null for names without a number from 2 to NAMES."""
+    cut = split_filename(path)
+    number = F.regexp_extract(cut["stem"], _NUMBERED, 2)
+    return F.when(number != "", F.struct(F.concat(F.regexp_extract(cut["stem"], _NUMBERED, 1), cut["extension"]).alias("destination"), number.cast("int").alias("slot")))
+
+
+def _settle(names: int):
     def run(wishes: pd.DataFrame, observed: pd.DataFrame) -> pd.DataFrame:
-        """One family in path order: the first free name, from the wish through ' (2)' to ' (10000)'."""
+        """One family in path order: the first free name, from the wish through ' (2)' to ' (names)'."""
         taken, out = set(observed["p"]), []
         free: dict[str, int] = {}
-        for wish in (wishes := wishes.sort_values("relative_path"))["destination"]:
+        for wish in (wishes := wishes.sort_values(["relative_path", "record_id"]))["destination"]:
             got = wish if wish not in taken else None
-            if got is None and not skip:
+            if got is None:
                 folder, _, name = wish.rpartition("/")
                 at = name.rfind(".")
                 stem, ext = (wish[: len(wish) - len(name) + at], name[at:]) if at >= 0 else (wish, "")
-                for k in range(free.get(wish, 2), NAMES + 1):
+                for k in range(free.get(wish, 2), names + 1):
                     if f"{stem} ({k}){ext}" not in taken:
                         got, free[wish] = f"{stem} ({k}){ext}", k + 1
                         break
@@ -103,21 +117,40 @@ def _settle(skip: bool):
 def resolve_collisions(wishes: DataFrame, observed: DataFrame, collision: str = "suffix") -> DataFrame:
     """wishes (record_id, relative_path, destination) with final, null where nothing is free.
 
-    Sequential only inside a family. Of the wishes for one destination the first NAMES by path are all that can
-    get a name, so the others are set aside while they are counted, before any shuffle gathers them: a name that
-    a third of all files share costs each task NAMES rows. A family's observed paths come once, beside its wishes.
-    Families of one wish that is free, most of them, need no Python."""
-    ship(wishes.sparkSession)
-    w = wishes.select("record_id", "relative_path", "destination", family(F.col("destination")).alias("_f"))
-    have = observed.select(F.col("relative_path").alias("p"), family(F.col("relative_path")).alias("_f")).distinct()
-    shared = w.groupBy("_f").agg(F.count("*").alias("n")).where("n > 1").select("_f")
-    barred = w.join(have.select(F.col("p").alias("destination")), "destination", "left_semi").select("_f")
-    crowded = shared.unionByName(barred).distinct()
-    first = w.withColumn("n", F.row_number().over(Window.partitionBy("destination").orderBy("relative_path", "record_id"))).where(F.col("n") <= (1 if collision == "skip" else NAMES)).drop("n")
-    fed, met = (df.join(crowded, "_f", "left_semi").groupBy("_f") for df in (first, have))
-    settled = fed.cogroup(met).applyInPandas(_settle(collision == "skip"), "record_id string, final string")
-    free = w.join(crowded, "_f", "left_anti").select("record_id", F.col("destination").alias("final"))
-    return wishes.join(settled.unionByName(free), "record_id", "left")
+    A destination's names are slots: 1 is itself, k its ' (k)'. Its k-th wish by path gets its k-th free slot, which
+    is k plus the taken slots with fewer than k free ones before them: a running count over wishes and taken slots,
+    without Python. At most NAMES wishes of a destination can get a name, so the others are set aside while they are
+    counted, before any shuffle gathers them, and at most NAMES taken slots stand beside them.
+
+    Only destinations of which one is a numbered name of another are settled one after another, by family, with
+    the slots that matter to them; with "skip" there are none. The wishes are written once and read several times."""
+    skip = collision == "skip"
+    w = written(wishes.select("record_id", "relative_path", "destination"), "wishes")
+    turn = F.row_number().over(Window.partitionBy("destination").orderBy("relative_path", "record_id"))
+    first = w.withColumn("turn", turn).where(F.col("turn") <= (1 if skip else NAMES))
+    wished = w.select("destination").distinct()
+    have = observed.select(F.col("relative_path").alias("destination"), F.lit(1).alias("slot"))
+    if not skip:
+        have = have.unionByName(observed.select(slot_of(F.col("relative_path")).alias("s")).where("s is not null").select("s.destination", "s.slot"))
+    have = have.join(wished, "destination", "left_semi").distinct()
+    later, settled = first, None
+    if not skip:
+        pairs = wished.select("destination", slot_of(F.col("destination"))["destination"].alias("base")).where("base is not null")
+        pairs = pairs.join(wished.select(F.col("destination").alias("base")), "base", "left_semi")
+        linked = pairs.select("destination").unionByName(pairs.select(F.col("base").alias("destination"))).distinct()
+        ship(w.sparkSession)
+        of = family(F.col("destination")).alias("_f")
+        fed = first.join(linked, "destination", "left_semi").select("record_id", "relative_path", "destination", of)
+        met = have.join(linked, "destination", "left_semi").select(nth_name(F.col("destination"), F.col("slot")).alias("p"), of)
+        settled = fed.groupBy("_f").cogroup(met.groupBy("_f")).applyInPandas(_settle(NAMES), "record_id string, final string")
+        later = first.join(linked, "destination", "left_anti")
+    free = F.col("slot") - F.row_number().over(Window.partitionBy("destination").orderBy("slot"))
+    taken = have.select("destination", free.alias("at"), F.lit(1).alias("taken"))
+    rows = later.select("record_id", "destination", F.col("turn").alias("at"), F.lit(0).alias("taken")).unionByName(taken, allowMissingColumns=True)
+    before = F.sum("taken").over(Window.partitionBy("destination").orderBy("at", "taken").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = rows.withColumn("slot", (F.col("at") + before).cast("int")).where(F.col("taken") == 0)
+    ranked = ranked.select("record_id", F.when(F.col("slot") <= (1 if skip else NAMES), nth_name(F.col("destination"), F.col("slot"))).alias("final"))
+    return wishes.join(ranked if settled is None else ranked.unionByName(settled), "record_id", "left")
 
 
 def rationale(options: PlanOptions = PlanOptions()) -> Column:
@@ -137,13 +170,13 @@ def ordinal(df: DataFrame, order: str, limit: int) -> DataFrame:
 
 def plan(evidence: DataFrame, observed: DataFrame, options: PlanOptions = PlanOptions()) -> tuple[DataFrame, DataFrame]:
     """(operations, fates). fates has every file's disposition, the planned ones as planned or limited-out."""
-    judged = dispositions(evidence, options)
-    wishes = judged.where("disposition = 'eligible'").withColumn("destination", desired_destination(options))
-    settled = resolve_collisions(wishes, observed, options.collision)
+    facts = ["byte_length", "modified_at", "device_id", "filesystem_record_id"]
+    judged = dispositions(evidence, options).select("record_id", "relative_path", "disposition", "category", *facts, desired_destination(options).alias("destination"), rationale(options).alias("rationale"))
+    judged = written(judged, "judged")
+    settled = resolve_collisions(judged.where("disposition = 'eligible'"), observed, options.collision)
     fate = F.when(F.col("final").isNull(), "conflict-skipped").when(F.col("final") == F.col("relative_path"), "already-organized")
-    settled = settled.withColumn("fate", fate)
-    good = settled.where("fate is null")
-    ops = ordinal(good.select("record_id", "relative_path", "final", "category", "byte_length", "modified_at", "device_id", "filesystem_record_id", rationale(options).alias("rationale")), "relative_path", options.maximum)
+    settled = written(settled.withColumn("fate", fate), "settled")
+    ops = ordinal(settled.where("fate is null").select("record_id", "relative_path", "final", "category", *facts, "rationale"), "relative_path", options.maximum)
     ops = ops.withColumn("operation_id", stable_id("operation", F.col("ordinal"), F.col("relative_path"), F.col("final")))
     planned = ops.select("record_id", F.lit("planned").alias("_p"))
     rest = settled.join(planned, "record_id", "left").select("record_id", F.coalesce("fate", "_p", F.lit("limited-out")).alias("disposition"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,20 +18,11 @@ from ..operators import transfer as T
 from ..sources import contents as K
 from ..sources import listing as L
 from ..sources import tables as B
+from ..session import scratch
 from .fixtures import BOTH_SQL, FILES_SQL, SCANS_SQL, files, files2, scans, table
 from .registry import _DIFF, _GROUPS, _RAW, H, U, _case, _EXT, _hashed, _media_listing, _understood, query
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one in a local session without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-lake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Sources and sinks: written from the given tables, read back.
 
 

@@ -213,6 +213,24 @@ def _n1(spark, d):
     return N.reconcile(files(spark, d), files2(spark, d)).select("root_id", "relative_path", "kind", F.array_join("changed_fields", ",").alias("fields"))
 
 
+@query("n1_reconcile_by_folder", _DIFF + " SELECT root_id, relative_path, kind, fields FROM k WHERE kind IS NOT NULL")
+def _n1f(spark, d):
+    got = N.reconcile_by_folder(files(spark, d), files2(spark, d))
+    return got.select("root_id", "relative_path", "kind", F.array_join("changed_fields", ",").alias("fields"))
+
+
+@query(
+    "n1_unchanged_subtrees",
+    _DIFF
+    + """, p AS (SELECT root_id, relative_path, false AS differs FROM files2 UNION ALL SELECT root_id, relative_path, true FROM k WHERE kind IS NOT NULL),
+ f AS (SELECT root_id, unnest(list_concat([''], list_transform(range(1, len(string_split(relative_path, '/'))), lambda i: array_to_string(string_split(relative_path, '/')[1:i], '/')))) AS folder, differs FROM p),
+ g AS (SELECT root_id, folder, count(*) AS n, bool_or(differs) AS differs FROM f GROUP BY 1, 2)
+ SELECT root_id, folder, n FROM g WHERE NOT differs AND (folder = '' OR (root_id, CASE WHEN contains(folder, '/') THEN regexp_extract(folder, '^(.*)/[^/]*$', 1) ELSE '' END) IN (SELECT (root_id, folder) FROM g WHERE differs))""",
+)
+def _n1u(spark, d):
+    return N.unchanged_subtrees(N.folder_digests(files(spark, d)), N.folder_digests(files2(spark, d)))
+
+
 @query("a14_delta_counts", _DIFF + " SELECT kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY 1")
 def _a14(spark, d):
     return N.delta_counts(N.reconcile(files(spark, d), files2(spark, d)))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from filelake.functions import paths as P
@@ -84,6 +85,54 @@ def test_collisions_match_a_sequential_pass(spark):
     assert {r["record_id"]: r["final"] for r in O.resolve_collisions(w, o).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ranks_of_free_slots_match_a_sequential_pass(spark, seed):
+    """Families whose wishes name each other's numbers, and families whose wishes do not, over gaps of taken ones."""
+    rng = random.Random(seed)
+    stems = ["a", "a (2)", "a (3)", "a (2) (2)", "b", "b (02)", "b (1)", "c (10000)", "c", "d (7)", "e.x", ".f"]
+    rows = [(f"r{i}", f"{i:04}", "T/" + rng.choice(stems) + rng.choice(["", ".txt"])) for i in range(300)]
+    seen = {"T/" + rng.choice(stems) + rng.choice(["", f" ({rng.randint(0, 12)})"]) + rng.choice(["", ".txt"]) for _ in range(60)}
+    taken, want = set(seen), {}
+    for r, _, wish in rows:
+        at = wish.rfind(".")
+        stem, ext = (wish[:at], wish[at:]) if at >= 0 else (wish, "")
+        want[r] = next(n for n in [wish, *[f"{stem} ({k}){ext}" for k in range(2, 999)]] if n not in taken)
+        taken.add(want[r])
+    w = spark.createDataFrame(rows, "record_id string, relative_path string, destination string")
+    o = spark.createDataFrame([(x,) for x in sorted(seen)], "relative_path string")
+    assert {r["record_id"]: r["final"] for r in O.resolve_collisions(w, o).collect()} == want
+    firsts = {}
+    for r, _, wish in rows:
+        firsts.setdefault(wish, r)
+    skipped = {r["record_id"]: r["final"] for r in O.resolve_collisions(w, o, "skip").collect()}
+    assert skipped == {r: wish if firsts[wish] == r and wish not in seen else None for r, _, wish in rows}
+
+
+def test_a_name_that_most_files_share(spark):
+    """60,000 wishes for one name with every third number taken: no Python, and the numbers end at 10,000."""
+    w = spark.range(60_000).select(F.concat(F.lit("r"), "id").alias("record_id"), F.lpad(F.col("id").cast("string"), 6, "0").alias("relative_path"), F.lit("T/x.txt").alias("destination"))
+    o = spark.range(1, 20_000).select(F.concat(F.lit("T/x ("), (3 * F.col("id")).cast("string"), F.lit(").txt")).alias("relative_path"))
+    got = [r["final"] for r in O.resolve_collisions(w, o).orderBy("relative_path").collect()]
+    free = ["T/x.txt", *[f"T/x ({k}).txt" for k in range(2, 10_001) if k % 3]]
+    assert got == free + [None] * (60_000 - len(free))
+
+
+def test_reconcile_by_folder(spark):
+    none = F.lit(None).cast("boolean")
+    base = spark.range(400).select(F.lit("r").alias("root_id"), F.concat(F.lit("top/d"), (F.col("id") % 20).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("relative_path"), F.lit("file").alias("entry_type"), F.col("id").alias("byte_length"), F.lit(None).cast("timestamp").alias("modified_at"), none.alias("hidden"), F.lit(True).alias("system"), F.lit(True).alias("read_only"), F.lit("observed").alias("observation_status"))
+    swapped = F.col("relative_path") == "top/d3/f3"
+    comp = base.where("relative_path <> 'top/d7/f7'").withColumns({"hidden": F.when(swapped, F.lit(True)), "read_only": F.when(~swapped, F.lit(True))})
+    old, new = N.folder_digests(base), N.folder_digests(comp.repartition(7))
+    assert {r["folder"] for r in N.changed_folders(old, new).collect()} == {"top/d3", "top/d7"}
+    want = sorted((r["relative_path"], r["kind"]) for r in N.reconcile(base, comp).collect())
+    assert want == [("top/d3/f3", "metadata-changed"), ("top/d7/f7", "missing")]
+    assert sorted((r["relative_path"], r["kind"]) for r in N.reconcile_by_folder(base, comp, base_digests=old).collect()) == want
+    same = {r["folder"]: r["n"] for r in N.unchanged_subtrees(old, new).collect()}
+    assert same == {f"top/d{k}": 20 for k in range(20) if k not in (3, 7)}
+    assert [(r["folder"], r["n"]) for r in N.unchanged_subtrees(old, old).collect()] == [("", 400)]
+    assert N.reconcile_by_folder(base, base).count() == 0 and N.reconcile_by_folder(base.limit(0), base).count() == 400
+
+
 def test_media_listing_holds_every_document(spark):
     sf = "/root/testdata/sf0.001"
     listing = registry._media_listing(spark, sf)
