@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -405,16 +407,27 @@ def _st4(spark, d):
     return _drained(spark, ST.live_job_state(stream), "update").groupBy("job_id").agg(F.max("events").alias("events"), F.max_by("status", "events").alias("status"))
 
 
-@query(
-    "st5_stale_workers",
-    """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 HOUR AS cut FROM events), s AS (SELECT user_id, ts, sum(coalesce(cut, true)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
- SELECT user_id AS worker_id, max(ts) AS last_beat, count(*) AS beats FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY""",
-)
+_STALE = """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 HOUR AS cut FROM events), s AS (SELECT user_id, ts, sum(coalesce(cut, true)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+ SELECT user_id AS worker_id, max(ts) AS last_beat, count(*) AS beats FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY"""
+
+
+@query("st5_stale_workers", _STALE)
 def _st5(spark, d):
     stream = _streamed(spark, table(spark, d, "events").select(F.col("user_id").alias("worker_id"), F.col("ts").cast("timestamp").alias("heartbeat_at")))
     return _drained(spark, ST.stale_workers(stream, "1 hour", "1 day")).select("worker_id", "last_beat", "beats")
 
 
+@query("st5_expired_workers", _STALE)
+def _st5e(spark, d):
+    """Timers instead of session windows, in a session of its own for RocksDB state."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    beats = table(own, d, "events").select(F.col("user_id").alias("worker_id"), F.col("ts").cast("timestamp").alias("heartbeat_at"))
+    return _drained(own, ST.expired_workers(_streamed(own, beats), timedelta(hours=1), "1 day")).select("worker_id", "last_beat", "beats")
+
+
 @query("st6_merged_streams", EVENTS_SQL + ", n AS (SELECT job_id, event_id, status FROM job_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY occurred_at DESC, event_id DESC) = 1) SELECT 'latest' AS kind, job_id, event_id FROM n UNION ALL SELECT 'new', event_id, event_id FROM job_events")
 def _st6(spark, d):
     """Two runs over the same checkpoint: files that came between them are merged into what the first left."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.duplicates import newest_per_key
 from ..session import ship
@@ -95,3 +98,69 @@ def stale_workers(stream: DataFrame, gap: str = "10 seconds", late: str = "1 min
     """Sessions of heartbeats that ended: worker_id, last_beat, beats."""
     s = stream.withWatermark("heartbeat_at", late).groupBy("worker_id", F.session_window("heartbeat_at", gap).alias("w"))
     return s.agg(F.max("heartbeat_at").alias("last_beat"), F.count("*").alias("beats")).drop("w")
+
+
+class _Heartbeats(StatefulProcessor):
+    """A worker's open sessions as a list of (first, last, beats), and an event-time timer for the end of each.
+
+    Beats join a session that they lie within gap of, and may join two into one, so arrival in any order gives the
+    same sessions. The timer of a session that has grown since is ignored: its end is no longer that time."""
+
+    def __init__(self, gap: timedelta):
+        # Sessions are held in microseconds, timers in milliseconds, rounded up: none is early.
+        self.gap = int(gap / timedelta(microseconds=1))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, beats long")
+
+    def _fires(self, last: int) -> int:
+        return -(-(last + self.gap) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = [(a, b, n) for a, b, n in self.open.get()] if self.open.exists() else []
+        before = {self._fires(b) for _, b, _ in held}
+        new = pd.concat([pdf["at"] for pdf in rows]).dropna()
+        merged: list[tuple[int, int, int]] = []
+        for a, b, n in sorted(held + [(int(x), int(x), 1) for x in new]):
+            if merged and a < merged[-1][1] + self.gap:
+                c, d, m = merged[-1]
+                merged[-1] = (c, max(b, d), m + n)
+            else:
+                merged.append((a, b, n))
+        if merged:
+            self.open.put(merged)
+        after = {self._fires(b) for _, b, _ in merged}
+        for at in before - after:
+            self.handle.deleteTimer(at)
+        for at in after - before:
+            self.handle.registerTimer(at)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        held = [(a, b, n) for a, b, n in self.open.get()] if self.open.exists() else []
+        rest = [x for x in held if self._fires(x[1]) != at]
+        if rest:
+            self.open.put(rest)
+        else:
+            self.open.clear()
+        for _, last, n in held:
+            if self._fires(last) == at:
+                yield pd.DataFrame({"worker_id": [key[0]], "last": [last], "beats": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def expired_workers(stream: DataFrame, gap: timedelta = timedelta(seconds=10), late: str = "1 minute") -> DataFrame:
+    """worker_id, last_beat, beats of each session of heartbeats, told by a timer when the watermark reaches its end.
+
+    A worker's silence is told without another beat of its own. State is what sessions are open, of a worker a row
+    each; a replayed stream gives the same rows. Beats without a worker are those of one null worker, beats without
+    a time do not count. The session needs spark.sql.streaming.stateStore.providerClass set to the RocksDB provider."""
+    ship(stream.sparkSession)
+    worker = stream.schema["worker_id"].dataType.simpleString()
+    beats = stream.withWatermark("heartbeat_at", late).select("worker_id", "heartbeat_at", F.unix_micros("heartbeat_at").alias("at"))
+    ended = beats.groupBy("worker_id").transformWithStateInPandas(_Heartbeats(gap), f"worker_id {worker}, last long, beats long", "append", "EventTime")
+    return ended.select("worker_id", F.timestamp_micros("last").alias("last_beat"), "beats")

@@ -1,7 +1,9 @@
 """A stream run to its end gives what a batch gives."""
 
+from datetime import datetime, timedelta
+
 from filelake.operators.duplicates import newest_per_key
-from filelake.streaming.streams import append_new, arriving_files, latest_version, live_job_state, upsert_latest
+from filelake.streaming.streams import append_new, arriving_files, expired_workers, latest_version, live_job_state, upsert_latest
 
 
 def test_upsert_and_append(spark, tmp_path):
@@ -32,3 +34,34 @@ def test_arriving_files(spark, tmp_path):
     q = arriving_files(spark, str(tmp_path / "f")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("arrived").first()["byte_length"] == 4
+
+
+def test_expired_workers(spark, tmp_path):
+    """Sessions told by timers: late beats join two sessions, a silent worker needs no beat of its own, nulls have a place."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    start = datetime(2024, 1, 1)
+    at = lambda s: start + timedelta(seconds=s)
+    files = [
+        [("a", at(0)), ("a", at(15)), ("b", at(0)), (None, at(3)), ("c", None)],  # two sessions of a, one of b
+        [("a", at(8)), ("z", at(30))],  # the two are one
+        [("z", at(100))],  # time goes on for a and b
+        [("b", at(101)), ("b", at(102)), ("z", at(300))],
+        [("z", at(301))],
+    ]
+    for i, rows in enumerate(files):
+        own.createDataFrame(rows, "worker_id string, heartbeat_at timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    results = []
+    for run in range(2):
+        told = []
+        for i in range(len(files)):  # files come one after another, each in a run of its own over the same checkpoint
+            target = tmp_path / f"src{run}/{i}.parquet"
+            target.parent.mkdir(exist_ok=True)
+            next((tmp_path / f"in/{i}").glob("*.parquet")).rename(target) if run else target.write_bytes(next((tmp_path / f"in/{i}").glob("*.parquet")).read_bytes())
+            stream = own.readStream.schema("worker_id string, heartbeat_at timestamp").parquet(str(target.parent))
+            keep = lambda batch, n, told=told, i=i: told.extend((i, *r) for r in batch.collect())
+            expired_workers(stream, timedelta(seconds=10), "40 seconds").writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / f"log{run}")).trigger(availableNow=True).start().awaitTermination()
+        results.append(sorted(told, key=str))
+    assert results[0] == results[1]
+    assert {x[1:] for x in results[0]} == {("a", at(15), 3), ("b", at(0), 1), (None, at(3), 1), ("z", at(30), 1), ("b", at(102), 2), ("z", at(100), 1)}
+    assert {x[0] for x in results[0] if x[1] in ("a", None)} == {2}
