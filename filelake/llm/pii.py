@@ -114,22 +114,26 @@ _DIGITS = {
 SPELLED = {w: d for d, names in _DIGITS.items() for w in names.split()}
 _NAMES = "|".join(sorted(SPELLED, key=len, reverse=True))
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-#: A disguised address: local part, "at" in brackets or between spaces, and a domain with a disguised dot or, behind brackets, a true one.
-_SPACED_DOT = rf"(?:{_OPEN}(?:{_DOT}|\.){_CLOSE}|[ \t]+(?:{_DOT})[ \t]+)"
+_SPACED_DOT = rf"(?<![ \t])(?:{_OPEN}(?:{_DOT}|\.){_CLOSE}|[ \t]+(?:{_DOT})[ \t]+)"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
-_MAIL = re.compile(
-    rf"(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_SPACED_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,8}}?)"
-    rf"(?:(?P<at>{_OPEN}(?:{_AT}|@){_CLOSE})(?P<domain>{_LABEL}(?:(?:\.|{_SPACED_DOT}){_LABEL}){{1,8}})"
-    rf"|(?P<at2>[ \t]+(?:{_AT})[ \t]+|[ \t]*@[ \t]*)(?P<domain2>{_LABEL}(?:(?:\.|{_SPACED_DOT}){_LABEL})*{_SPACED_DOT}{_LABEL}(?:(?:\.|{_SPACED_DOT}){_LABEL}){{0,8}}))",
-    re.IGNORECASE,
-)
+#: A disguised address is sought from its "at": the local part to the left, in the reversed text, and a domain to the
+#: right, with a disguised dot or, behind brackets, a true one. A local part has up to nine pieces of 64 characters.
+_AT_MARK = re.compile(rf"@|(?<=[ \t\[({{<])(?:{_AT})(?=[ \t\])}}>])", re.IGNORECASE)
+_DOT_BACK = rf"(?:{_CLOSE}(?:{'|'.join(x[::-1] for x in _DOT.split('|'))}|\.){_OPEN}|[ \t]+(?:{'|'.join(x[::-1] for x in _DOT.split('|'))})[ \t]+)"
+_LOCAL_BACK = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT_BACK})[A-Za-z0-9_%+-]{{1,64}}){{0,8}}", re.IGNORECASE)
+_BRACKET_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_SPACED_DOT}){_LABEL}){{1,8}}", re.IGNORECASE)
+_SPACED_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_SPACED_DOT}){_LABEL})*{_SPACED_DOT}{_LABEL}(?:(?:\.|{_SPACED_DOT}){_LABEL}){{0,8}}", re.IGNORECASE)
 _DOT_IN = re.compile(_SPACED_DOT, re.IGNORECASE)
-#: At least four spelled digits or pieces of digits in a row, one of them spelled.
-_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ,.-]{{0,2}})?(?:(?:{_NAMES}|[0-9]+)(?:[ ,.()-]{{1,3}}|(?!\w))){{3,40}}(?:{_NAMES}|[0-9]+)(?!\w)", re.IGNORECASE)
+#: Two to 41 spelled digits or pieces of digits in a row.
+_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ,.-]{{0,2}})?(?:(?:{_NAMES}|[0-9]+)(?:[ ,.()-]{{1,3}}|(?!\w))){{1,40}}(?:{_NAMES}|[0-9]+)(?!\w)", re.IGNORECASE)
+#: Four numbers, of which digits may be spelled, with a dot, bare or disguised, between each two.
+_PART = rf"(?:{_NAMES}|[0-9]{{1,3}})(?:[ -](?:{_NAMES}|[0-9])){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?<![\w.]){_PART}(?:(?:\.|{_SPACED_DOT}){_PART}){{3}}(?!\w|\.\w|{_SPACED_DOT}\w)", re.IGNORECASE)
 _NAME = re.compile(rf"(?<![^\W\d_])(?:{_NAMES})(?![^\W\d_])", re.IGNORECASE)
 _PLUS = re.compile(r"plus[ ,.-]{0,2}", re.IGNORECASE)
 #: Cheap tests that a text must pass before the costly patterns are tried.
 _BRACKETS = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|@|{_DOT}|\.)[ \t]*[\])}}>]", re.IGNORECASE)
+_DOTS = frozenset(_DOT.split("|"))
 _DOT_WORDS = [f" {x} ".encode() for x in _DOT.split("|")]
 _SPACED = bytes.maketrans(b"\t\r\n,.()-", b"        ")
 _WORD = re.compile(r"[^\W_]+")
@@ -148,22 +152,33 @@ def _may_mail(text: str, low: bytes) -> bool:
     return ("[" in text or "(" in text or "{" in text or "<" in text) and _BRACKETS.search(text) is not None
 
 
-def _may_run(low: str) -> bool:
-    """Three names of digits with nothing but digits and marks between them; true of all that _RUN can use."""
+def _may_spell(low: str) -> tuple[bool, bool]:
+    """Whether a text may have a run of digits, and an IP address, with spelled digits: a name of a digit, and three of
+    them or eight digits for a run, four pieces for an address, with nothing but marks (and words for dots) between."""
     pieces = _WORD.findall(low)
     if SPELLED.keys().isdisjoint(pieces) and "plus" not in low:
-        return False
-    names = 0
+        return False, False
+    run = ip = False
+    names = digits = parts = spelled = 0
     for x in pieces:
         if x.startswith("plus"):  # a run may begin in it
-            names, x = 0, x[4:]
+            names, digits, x = 0, 0, x[4:]
         if x in SPELLED:
-            names += 1
-            if names >= 3:
-                return True
-        elif x and not x.isdigit():
-            names = 0
-    return False
+            names, digits, parts, spelled = names + 1, digits + 1, parts + 1, spelled + 1
+        elif x.isdigit():
+            digits, parts = digits + len(x), parts + 1
+        elif x:
+            names = digits = 0
+            if x not in _DOTS:
+                parts = spelled = 0
+        run = run or names >= 3 or (names > 0 and digits >= 8)
+        ip = ip or (spelled > 0 and parts >= 4)
+    return run, ip
+
+
+def _may_run(low: str) -> bool:
+    """True of all texts in which _RUN finds what is used."""
+    return _may_spell(low)[0]
 
 
 @dataclass
@@ -197,27 +212,74 @@ def rewrite(text: str, changes: list[tuple[int, int, str]]) -> Written:
     return Written("".join(out), place, source)
 
 
+def _mails(text: str) -> Iterator[tuple[int, int, str]]:
+    """What to change in disguised addresses: their at, and the dots of both parts. Each mark is tried once."""
+    back, size, last = text[::-1], len(text), 0
+    for m in _AT_MARK.finditer(text):
+        a, b = m.span()
+        while a > last and text[a - 1] in " \t":
+            a -= 1
+        while b < size and text[b] in " \t":
+            b += 1
+        bracketed = a > last and text[a - 1] in "[({<" and b < size and text[b] in "])}>"
+        if bracketed:
+            a, b = a - 1, b + 1
+            while a > last and text[a - 1] in " \t":
+                a -= 1
+            while b < size and text[b] in " \t":
+                b += 1
+        elif m[0] != "@" and (a == m.start() or b == m.end()):
+            continue
+        domain = (_BRACKET_DOMAIN if bracketed else _SPACED_DOMAIN).match(text, b)
+        local = domain and _LOCAL_BACK.match(back, size - a, size - last)
+        if local:
+            start = size - local.end()
+            yield a, b, "@"
+            for i, part in ((start, text[start:a]), (b, domain[0])):
+                yield from ((d.start() + i, d.end() + i, ".") for d in _DOT_IN.finditer(part))
+            last = domain.end()
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]]:
+    """Start, end and changes of IP addresses with spelled digits; each number becomes its digits."""
+    for m in _SPELLED_IP.finditer(text):
+        if not _NAME.search(m[0]):
+            continue
+        dots = [d.span() for d in re.finditer(rf"{_SPACED_DOT}|\.", m[0], re.IGNORECASE)]
+        edges = [0, *[i for d in dots for i in d], len(m[0])]
+        parts = [(a, b, re.sub("[ -]", "", _NAME.sub(lambda n: SPELLED[_lower(n[0])], m[0][a:b]))) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        if all(p.isdecimal() and int(p) <= 255 for _, _, p in parts):
+            changes = sorted(parts + [(a, b, ".") for a, b in dots])
+            yield m.start(), m.end(), [(m.start() + a, m.start() + b, new) for a, b, new in changes]
+
+
 def _disguises(text: str) -> list[tuple[int, int, str]]:
     found, low = [], _lower(text)
+    may_run, may_ip = _may_spell(low)
     if _may_mail(text, low.encode().translate(_SPACED)):
-        for m in _MAIL.finditer(text):
-            at, domain = ("at", "domain") if m["at"] else ("at2", "domain2")
-            spans = [(*m.span(at), "@")] + [(d.start() + m.start(p), d.end() + m.start(p), ".") for p in ("local", domain) for d in _DOT_IN.finditer(m[p])]
-            found += spans
+        found += _mails(text)
         for m in _NUMBERS.finditer(text):
             found += [(d.start() + m.start(), d.end() + m.start(), ".") for d in _DOT_IN.finditer(m[0])]
-    if _may_run(low):
+    if may_run:
         for m in _RUN.finditer(text):
             names = list(_NAME.finditer(m[0]))
             digits = sum(c.isdigit() for c in _NAME.sub("0", m[0]))
-            if len(names) < 3 or digits < 8:
+            if not names or digits < 8:
                 continue
             pieces = [(n.start(), n.end(), SPELLED[_lower(n[0])]) for n in names]
             if p := _PLUS.match(m[0]):
                 pieces.insert(0, (0, p.end(), "+"))
             # Between two digits of a run other marks than those the kinds allow become a space.
             marks = [(x.start(), x.end(), " ") for x in re.finditer(r"(?<=\S)(?:[,.] ?| [,.]|[ -]{2,3})(?=\S)", m[0]) if not any(a < x.end() and x.start() < b for a, b, _ in pieces)]
-            found += [(m.start() + a, m.start() + b, new) for a, b, new in sorted(pieces + marks)]
+            changes = sorted(pieces + marks)
+            # One or two names count where only they complete a number: prose has them beside figures and numbers.
+            whole, bare = find(rewrite(m[0], changes).text), find(m[0])
+            if len(names) < 3 and (bare["card"] or bare["phone"] or not (whole["card"] or whole["phone"])):
+                continue
+            found += [(m.start() + a, m.start() + b, new) for a, b, new in changes]
+    if may_ip:
+        for start, end, changes in _addresses(text):
+            found = [c for c in found if c[1] <= start or end <= c[0]] + changes
     out, last = [], 0
     for a, b, new in sorted(found):
         if a >= last:
@@ -275,7 +337,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row of docs (doc_id, text).
 
     The counts and base_sha256 are of what stands in the text as it is; spans also has what is disguised,
-    as code points of the source, end exclusive. Null and empty texts have none; rows are independent, so
+    as code points of the source, end exclusive. A disguised local part is of at most nine pieces of 64 characters, a
+    domain behind a bracketed at of nine labels, a run of spelled digits of 41 pieces; one or two
+    spelled digits beside what is a card or phone number without them are not taken into it. Null and empty texts have none; rows are independent, so
     null or repeated doc_ids and other columns make no difference."""
     prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

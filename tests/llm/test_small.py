@@ -1,6 +1,8 @@
 """Defined results for nulls, empty texts, ties, repeated rows, empty tables and clashing columns."""
 
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -502,3 +504,41 @@ def test_words():
     assert np.diff(w.off).tolist() == [2, 0, 1, 2] and w.hash[1] == w.hash[4] and w.hash[0] != w.hash[3]
     alone = words.words(np.frombuffer(b"ab", np.uint8), np.array([0, 2]))
     assert alone.hash[0] == w.hash[0]
+
+
+def test_disguises_of_all_kinds_are_found_where_they_stand():
+    """Generated disguises between clean words: every one is told with its exact span, and nothing else."""
+    rng = random.Random(11)
+    names = "zero one two three four five six seven eight nine".split()
+    spell = lambda digits, k: " ".join(names[int(c)] if i in k else c for i, c in enumerate(digits))
+
+    def grouped(groups, n):
+        """Groups of digits of which the last n digits of one are spelled."""
+        at = rng.randrange(len(groups))
+        return " ".join((f"{g[:-n]} " if g[:-n] else "") + " ".join(names[int(c)] for c in g[-n:]) if i == at else g for i, g in enumerate(groups))
+
+    made = {
+        "email": lambda: rng.choice(["{}{}{} at mail{}example{}org", "{}{}{} [at] mail{}example{}org", "{}{}{}(at)mail{}example{}org", "{}{}{} @ mail{}example{}org", "{}{}{} arroba mail{}example{}org"]).format("jo", rng.choice([".", " dot ", " [dot] "]), "doe", rng.choice([" dot ", " (dot) ", " punkt "]), rng.choice([".", " dot "])),
+        "ip": lambda: rng.choice([" dot ", " [dot] ", ".", " punto "]).join(spell(n, {0} if i == 0 else rng.sample(range(len(n)), rng.randint(0, len(n)))) for i, n in enumerate(["192", "16", "0", "7"])),
+        "card": lambda: grouped(["4111", "1111", "1111", "1111"], rng.randint(1, 4)),
+        "phone": lambda: "+" + grouped(["49", "555", "123"], rng.randint(1, 2)) + " 4567",
+    }
+    for kind in pii.KINDS:
+        for _ in range(60):
+            hidden = made[kind]()
+            text = f"Über das; {hidden} ; and so on"
+            base, spans = pii.all_spans(text)
+            assert spans[kind] == [(10, 10 + len(hidden))], (kind, hidden, spans)
+            assert not any(base.values()) and not any(v for k, v in spans.items() if k != kind), (hidden, spans)
+    for clean in ("call +1 (948) 555-4042 ein zu", "un 4111 1111 1111 1111 un", "one two three, 12 or 2023", "three of 10 2 300 4", "look at dot", "one.two", "a at b", "v 1.2.3.four.5.6"):
+        base, spans = pii.all_spans(clean)
+        assert spans == base, (clean, spans)
+
+
+def test_long_texts_with_a_disguise_take_time_in_proportion():
+    for text in (".".join(["a" * 64] * 15000) + " dot x", "a" * 10**6 + " dot x", " " * 10**6 + " dot x @ b", "x@" * 300_000 + " dot y", "a at " * 100_000 + " dot b", "[at] " * 100_000 + "a dot b", "7" * 10**6 + " one dot two"):
+        began = time.time()
+        pii.all_spans(text)
+        assert time.time() - began < 5, text[:20]
+    text = ".".join(["a" * 64] * 15000) + " at mail dot org"
+    assert pii.all_spans(text)[1]["email"]
