@@ -542,3 +542,11 @@ def test_long_texts_with_a_disguise_take_time_in_proportion():
         assert time.time() - began < 5, text[:20]
     text = ".".join(["a" * 64] * 15000) + " at mail dot org"
     assert pii.all_spans(text)[1]["email"]
+
+
+def test_a_text_of_many_lines_of_which_half_go(spark):
+    many = "\n".join(f"only{i} here{i} so{i}" if i % 2 else f"twice{i} it{i} comes{i}" for i in range(30_000))
+    first = "\n".join(many.split("\n")[::2])
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame([(1, first), (2, many), (3, None), (4, "")], "doc_id long, text string")).collect()}
+    assert got[1]["text"] == first and got[2]["text"] == "\n".join(many.split("\n")[1::2]) and got[2]["n_removed"] == 15_000
+    assert got[3]["text"] is None and got[4]["text"] == ""
