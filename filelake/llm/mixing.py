@@ -21,8 +21,10 @@ TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 BUDGET = 0.6
 #: Largest difference of a margin from its target at which fitting ends, and change of it that counts as standstill.
 CLOSE, STILL = 1e-6, 1e-9
-#: Rounds after which fitting is given up with an error.
+#: Rounds after which fitting ends with what it has; the error that is left is told.
 ROUNDS = 500
+#: The same for bounded raking.
+BOUND_ROUNDS = 40
 MARGINS = ("source", "lang", "topic")
 
 
@@ -100,27 +102,75 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame] | None = None) -> tuple[
         if off < CLOSE or last is not None and abs(off - last) < STILL:
             return now.drop(*[f"off_{m}" for m in MARGINS]), off
         last = off
-    raise RuntimeError(f"rake: margins are still {off} from their targets after {ROUNDS} rounds")
+    return now.drop(*[f"off_{m}" for m in MARGINS]), last
+
+
+def _attainable(cells: DataFrame, margin: str) -> DataFrame:
+    """margin value, target, full: what its cells that are not full are to give together. Of the value's weight, what
+    its full cells give is taken off; no value gives more than it has, and what it lacks goes to the others in
+    proportion, in turn, until no more are cut. full: the value gives all that it has."""
+    sums = [F.sum("weight").alias("ask"), F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).alias("given"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("cap"))).alias("room")]
+    values = written(cells.groupBy(margin).agg(*sums).withColumn("base", F.greatest(F.lit(0.0), F.col("ask") - F.col("given"))), "attainable")
+    given, base = values.agg(F.sum("given"), F.sum("base")).first()
+    scale, cut = (1 - given) / base if base else 0.0, -1
+    while True:  # from here on the scale only rises, so a value that is cut stays so and the loop ends
+        over = F.col("base") * scale >= F.col("room") * (1 - 1e-12)
+        row = values.agg(F.coalesce(F.sum(F.when(over, F.col("room"))), F.lit(0.0)), F.sum(F.when(~over, F.col("base"))), F.count_if(over)).first()
+        if not row[1] or row[2] <= cut:
+            break
+        cut, scale = row[2], max(scale, (1 - given - row[0]) / row[1])
+    return values.select(margin, F.least(F.col("base") * scale, F.col("room")).alias("target"), (over & (F.col("room") > 0)).alias("now_full"))
 
 
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """Cells with prob: weight over token share, scaled so that the expected tokens are the budget's share of
-    all, where that is above 1 cut to 1 and the rest raised in turn, until no more cells are cut. What is cut
-    shifts the sample's margins from the targets; margins() tells by how much."""
+    """Cells with prob, at most 1, by bounded raking: expected tokens are the budget's share of all, and their margins
+    are those of the weights, with the cells that reach 1 held there. cells: those of rake().
+
+    A value that asks for more tokens than it has gets all of them, and the others share what is missing in
+    proportion; such cells are set apart first, as no finite factor fills them. Each step solves one margin for the
+    cells below their bound, so a round is a join with each margin's factors. Fitting ends at CLOSE / 10, at
+    standstill or after BOUND_ROUNDS; margins() tells what is left."""
     cells = written(cells, "weights")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    scale, cut, full = budget, -1, F.col("weight") * total / F.col("tokens")
-    while True:  # the scale only rises, so a cell that is cut stays so and the loop ends
-        row = cells.agg(F.sum(F.when(full * scale >= 1, F.col("tokens"))), F.sum(F.when(full * scale < 1, F.col("weight"))), F.count_if(full * scale >= 1)).first()
-        if not row[1] or row[2] <= cut:
+    if not total or budget >= 1:
+        return cells.withColumn("prob", F.lit(1.0))
+    now = cells.withColumns({"cap": F.col("tokens") / F.lit(budget * total), "free": F.col("weight"), "full": F.lit(False)})
+    prob = lambda df: df.withColumn("prob", F.when(F.col("full"), 1.0).otherwise(F.least(F.lit(1.0), F.col("free") / F.col("cap")))).drop("cap", "free", "full")
+    if not now.agg(F.count_if(F.col("free") > F.col("cap"))).first()[0]:
+        return prob(now)
+    while True:  # each turn fills cells, or is the last
+        aim = {m: written(_attainable(now, m), "targets") for m in MARGINS}
+        if not any(aim[m].where("now_full").limit(1).count() for m in MARGINS):
             break
-        cut, scale = row[2], max(scale, (budget - (row[0] or 0) / max(total, 1)) / row[1])
-    return cells.withColumn("prob", F.least(F.lit(1.0), full * scale))
+        for m in MARGINS:
+            now = now.join(aim[m].select(m, "now_full"), m).withColumn("full", F.col("full") | F.col("now_full")).drop("now_full")
+        now = written(now, "cells")
+    done, now = now.where("full"), now.where("not full")
+    aim = {m: aim[m].drop("now_full") for m in MARGINS}
+    below, last = F.col("free") < F.col("cap"), None
+    for _ in range(BOUND_ROUNDS):
+        for m in MARGINS:
+            room = F.max(F.col("cap") / F.col("free")).alias("room")
+            have = now.groupBy(m).agg(F.coalesce(F.sum(F.when(below, F.col("free"))), F.lit(0.0)).alias("free"), F.coalesce(F.sum(F.when(~below, F.col("cap"))), F.lit(0.0)).alias("held"), room).join(aim[m], m)
+            rest, whole = F.col("target") - F.col("held"), F.col("free") + F.col("held")
+            # A Newton step; kept tokens are concave in the factor, so it never passes the factor that is sought from above.
+            lower = F.when(F.col("free") > 0, F.lit(1.0)).otherwise(F.col("room")) * F.col("target") / whole
+            factor = F.when(whole <= 0, 1.0).when(rest <= 0, F.when(whole > F.col("target"), lower).otherwise(1.0)).when(F.col("free") <= 0, 1.0).otherwise(rest / F.col("free"))
+            now = now.drop(f"off_{m}").join(have.select(m, factor.alias("factor"), F.abs(F.col("target") - whole).alias(f"off_{m}")), m)
+            # A held cell's own value goes on above its bound, so that it comes back where other margins lower it.
+            now = now.withColumn("free", F.col("free") * F.col("factor")).drop("factor")
+        now = written(now, "cells")
+        off = now.agg(F.max(F.greatest(*[f"off_{m}" for m in MARGINS]))).first()[0]
+        if off is None or off < CLOSE / 10 or last is not None and abs(off - last) < STILL:
+            break
+        last = off
+    return prob(now.drop(*[f"off_{m}" for m in MARGINS]).unionByName(done))
 
 
 def margins(cells: DataFrame) -> DataFrame:
     """margin, value, weight, expected: of each value the share that was aimed at and that of the tokens which
-    sampling by prob is expected to keep. cells: those of calibrated()."""
+    sampling by prob is expected to keep; they differ where a value has fewer tokens than it is to give, and by the
+    error of fitting. cells: those of calibrated()."""
     out = None
     for m in MARGINS:
         own = cells.select(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value"), "weight", (F.col("tokens") * F.col("prob")).alias("kept"))

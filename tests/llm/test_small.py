@@ -273,6 +273,15 @@ def test_line_dedup_link_counts(spark):
     assert got == want
 
 
+def solve(kept, goal):
+    """The least factor whose kept share is the goal, or the largest tried."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if kept(mid) < goal - 1e-12 else (low, mid)
+    return high
+
+
 def test_mixing(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     cells = mixing.topics(d).groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
@@ -302,6 +311,19 @@ def test_mixing(spark):
     # Sampling: the budget holds; where no cell is cut the margins are the targets.
     loose = mixing.margins(mixing.calibrated(raked, 0.01)).collect()
     assert all(abs(r["weight"] - r["expected"]) < 1e-9 for r in loose)
+    # Bounded: cells that are full are held, and the margins are met all the same, as far as a value has tokens.
+    loads = {("a", "x", 0): (100, 0.5), ("a", "y", 1): (300, 0.1), ("b", "x", 1): (400, 0.15), ("b", "y", 0): (200, 0.25)}
+    made = spark.createDataFrame([(*k, n, w) for k, (n, w) in loads.items()], "source string, lang string, topic int, tokens long, weight double")
+    got = {tuple(r[:3]): r["prob"] for r in mixing.calibrated(made, 0.4).select(*mixing.MARGINS, "prob").collect()}
+    assert max(got.values()) <= 1.0 and abs(sum(loads[k][0] * p for k, p in got.items()) - 400) < 1e-3
+    bounded = mixing.calibrated(raked, 0.3)
+    met = mixing.margins(bounded).collect()
+    own = {(m, str(r[0])): r[1] for m in mixing.MARGINS for r in bounded.groupBy(m).agg(F.sum("tokens") / F.lit(0.3 * total)).collect()}
+    for m in mixing.MARGINS:
+        rows = [(r["weight"], own[m, r["value"]], r["expected"]) for r in met if r["margin"] == m]
+        f = solve(lambda f: sum(min(most, f * ask) for ask, most, _ in rows), 1.0)  # noqa: B023
+        assert all(abs(min(most, f * ask) - told) < 1e-5 for ask, most, told in rows)
+    assert mixing.calibrated(raked, 1.0).agg(F.min("prob")).first()[0] == 1.0
     p = mixing.mix(d).toPandas()
     assert abs((p.tokens * p.prob).sum() / p.tokens.sum() - mixing.BUDGET) < 1e-6 and p.prob.between(0, 1).all()
     odd = documents(spark, ROWS).withColumn("topic", F.lit("clash")).withColumn("source", F.lit(None).cast("string"))
