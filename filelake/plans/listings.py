@@ -14,8 +14,11 @@ from ..operators import reconcile as N
 from ..operators import relate as R
 from ..operators import search as Q
 from ..operators import snapshots as A
+from ..operators import text_index as I
 from ..operators import transfer as T
 from ..sources import contents as K
+from ..sources import entities as G
+from ..sources import layouts as Z
 from ..sources import listing as L
 from ..sources import tables as B
 from ..session import scratch
@@ -640,3 +643,53 @@ def _r8(spark, d):
     f = files(spark, d).drop("content")
     named = R.project_groups(f).select("group_id", F.concat_ws("|", "root_id", "relative_root").alias("g")).unionByName(R.album_groups(_understood(spark, d))[0].select("group_id", F.concat_ws("|", "root_id", "parent_path").alias("g")))
     return R.list_groups(groups, members).join(named, "group_id").select("kind", "g", "members")
+
+
+# Index, sorted layout, entity rules.
+
+
+_SOUGHT = ("PROJ9", "f12.", "/SRC/f1", "f1", "none such")
+
+
+@query(
+    "q1_indexed_search",
+    FILES_SQL + " SELECT sought, record_id FROM files, (SELECT unnest(['proj9', 'f12.', '/src/f1', 'f1', 'none such']) AS sought) t"
+    " WHERE contains(lower(name), sought) OR contains(lower(relative_path), sought)",
+)
+def _q1i(spark, d):
+    """Several texts sought in an index of all paths; the shortest by a scan."""
+    path = scratch(spark, "index")
+    I.build_index(files(spark, d).select("record_id", "name", "relative_path"), path)
+    out = None
+    for text in _SOUGHT:
+        found = I.search_index(spark, path, text).select(F.lit(text.lower()).alias("sought"), "record_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("l1_sorted_pages", FILES_SQL + " SELECT relative_path, record_id FROM files WHERE (relative_path, record_id) > ('en/src1', '') ORDER BY 1, 2 LIMIT 50")
+def _l1s(spark, d):
+    keys = ["relative_path", "record_id"]
+    path = Z.write_sorted(files(spark, d).select(*keys), keys, scratch(spark, "pages"))
+    return Z.rows_behind(spark, path, keys, ["en/src1", ""], 50)
+
+
+_RUNS = """SELECT cast(o_orderkey AS {string}) AS run_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE cast(o_custkey AS {string}) END AS root_id,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'waiting' END AS status, 'complete' AS phase,
+  cast(floor(o_totalprice) AS bigint) - 20000 AS processed, o_orderpriority AS baseline_scan_id, cast(year(o_orderdate) AS {string}) AS comparison_scan_id"""
+
+
+@query(
+    "s10_entity_rules",
+    "WITH r AS (" + _RUNS.format(string="varchar") + " FROM orders), k AS (SELECT root_id, baseline_scan_id, comparison_scan_id FROM r WHERE root_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1),"
+    " v AS (SELECT 'root_id is required' AS rule FROM r WHERE root_id IS NULL UNION ALL SELECT 'status is not allowed' FROM r WHERE status = 'waiting'"
+    " UNION ALL SELECT 'processed is too small' FROM r WHERE processed < 0 UNION ALL SELECT 'root_id, baseline_scan_id, comparison_scan_id is repeated' FROM r SEMI JOIN k USING (root_id, baseline_scan_id, comparison_scan_id)"
+    " UNION ALL SELECT 'root_id is unknown' FROM r WHERE root_id IS NOT NULL AND root_id NOT IN (SELECT cast(c_custkey AS varchar) FROM customer WHERE c_acctbal > 0))"
+    " SELECT rule, count(*) AS n FROM v GROUP BY 1",
+)
+def _s10e(spark, d):
+    """Rules that runs made of orders break, from the refused rows of a written entity."""
+    runs = spark.sql(_RUNS.format(string="string") + " FROM {orders}", orders=table(spark, d, "orders"))
+    roots = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("root_id"))
+    _, refused = G.write_entity(runs, scratch(spark, "entities"), "reconciliation_runs", {"root_id": (roots, "root_id")})
+    return spark.read.parquet(refused).select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
