@@ -25,6 +25,8 @@ CLOSE, STILL = 1e-6, 1e-9
 ROUNDS = 500
 #: The same for bounded raking.
 BOUND_ROUNDS = 40
+#: Share of its weight that a value asks of its other cells where its full cells give all of it already.
+LEAST = 0.01
 MARGINS = ("source", "lang", "topic")
 
 
@@ -106,11 +108,11 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame] | None = None) -> tuple[
 
 
 def _attainable(cells: DataFrame, margin: str) -> DataFrame:
-    """margin value, target, full: what its cells that are not full are to give together. Of the value's weight, what
-    its full cells give is taken off; no value gives more than it has, and what it lacks goes to the others in
-    proportion, in turn, until no more are cut. full: the value gives all that it has."""
+    """margin value, target, now_full: what its cells that are not full are to give together. Of the value's weight,
+    what its full cells give is taken off, but for LEAST of it; no value gives more than it has, and what it lacks goes to the others in
+    proportion, in turn, until no more are cut. now_full: the value gives all that it has."""
     sums = [F.sum("weight").alias("ask"), F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).alias("given"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("cap"))).alias("room")]
-    values = written(cells.groupBy(margin).agg(*sums).withColumn("base", F.greatest(F.lit(0.0), F.col("ask") - F.col("given"))), "attainable")
+    values = written(cells.groupBy(margin).agg(*sums).withColumn("base", F.greatest(F.col("ask") * LEAST, F.col("ask") - F.col("given"))), "attainable")
     given, base = values.agg(F.sum("given"), F.sum("base")).first()
     scale, cut = (1 - given) / base if base else 0.0, -1
     while True:  # from here on the scale only rises, so a value that is cut stays so and the loop ends
@@ -150,7 +152,7 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     below, last = F.col("free") < F.col("cap"), None
     for _ in range(BOUND_ROUNDS):
         for m in MARGINS:
-            room = F.max(F.col("cap") / F.col("free")).alias("room")
+            room = F.max(F.try_divide("cap", "free")).alias("room")  # a cell of no weight has none
             have = now.groupBy(m).agg(F.coalesce(F.sum(F.when(below, F.col("free"))), F.lit(0.0)).alias("free"), F.coalesce(F.sum(F.when(~below, F.col("cap"))), F.lit(0.0)).alias("held"), room).join(aim[m], m)
             rest, whole = F.col("target") - F.col("held"), F.col("free") + F.col("held")
             # A Newton step; kept tokens are concave in the factor, so it never passes the factor that is sought from above.
@@ -164,7 +166,15 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
         if off is None or off < CLOSE / 10 or last is not None and abs(off - last) < STILL:
             break
         last = off
-    return prob(now.drop(*[f"off_{m}" for m in MARGINS]).unionByName(done))
+    # The budget is held also where the margins contradict each other: one factor for all cells below their bound.
+    goal, scale = 1 - (done.agg(F.sum("cap")).first()[0] or 0.0), 1.0
+    for _ in range(BOUND_ROUNDS):
+        over = F.col("free") * scale >= F.col("cap")
+        low, held = (x or 0.0 for x in now.agg(F.sum(F.when(~over, F.col("free"))), F.sum(F.when(over, F.col("cap")))).first())
+        if not low or abs(low * scale + held - goal) < 1e-12:
+            break
+        scale = (goal - held) / low if goal > held else scale * goal / (low * scale + held)
+    return prob(now.withColumn("free", F.col("free") * scale).drop(*[f"off_{m}" for m in MARGINS]).unionByName(done))
 
 
 def margins(cells: DataFrame) -> DataFrame:

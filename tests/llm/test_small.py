@@ -282,6 +282,19 @@ def solve(kept, goal):
     return high
 
 
+def test_bounded_raking_holds_the_budget(spark, monkeypatch):
+    """Full cells of one margin leave others nothing they can meet together: the budget holds all the same."""
+    monkeypatch.setattr(mixing, "BOUND_ROUNDS", 4)
+    loads = {("a", "x", 0): (100, 0.5), ("a", "y", 1): (300, 0.1), ("b", "x", 1): (400, 0.15), ("b", "y", 0): (200, 0.25)}
+    made = spark.createDataFrame([(*k, n, w) for k, (n, w) in loads.items()], "source string, lang string, topic int, tokens long, weight double")
+    got = {tuple(r[:3]): r["prob"] for r in mixing.calibrated(made, 0.4).select(*mixing.MARGINS, "prob").collect()}
+    assert max(got.values()) == 1.0 and min(got.values()) > 0 and abs(sum(loads[k][0] * p for k, p in got.items()) - 400) < 1e-3
+    # One cell is full; the others take what it lacks, in proportion, and margins that can be met are met.
+    one = made.withColumn("lang", F.lit("x")).withColumn("topic", F.lit(0)).withColumn("source", F.concat("source", "tokens"))
+    got = {r["tokens"]: r["prob"] for r in mixing.calibrated(one, 0.4).collect()}
+    assert got[100] == 1.0 and all(abs(got[n] * n - 300 * w / 0.5) < 1e-3 for n, w in ((300, 0.1), (400, 0.15), (200, 0.25)))
+
+
 def test_mixing(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     cells = mixing.topics(d).groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
@@ -312,10 +325,6 @@ def test_mixing(spark):
     loose = mixing.margins(mixing.calibrated(raked, 0.01)).collect()
     assert all(abs(r["weight"] - r["expected"]) < 1e-9 for r in loose)
     # Bounded: cells that are full are held, and the margins are met all the same, as far as a value has tokens.
-    loads = {("a", "x", 0): (100, 0.5), ("a", "y", 1): (300, 0.1), ("b", "x", 1): (400, 0.15), ("b", "y", 0): (200, 0.25)}
-    made = spark.createDataFrame([(*k, n, w) for k, (n, w) in loads.items()], "source string, lang string, topic int, tokens long, weight double")
-    got = {tuple(r[:3]): r["prob"] for r in mixing.calibrated(made, 0.4).select(*mixing.MARGINS, "prob").collect()}
-    assert max(got.values()) <= 1.0 and abs(sum(loads[k][0] * p for k, p in got.items()) - 400) < 1e-3
     bounded = mixing.calibrated(raked, 0.3)
     met = mixing.margins(bounded).collect()
     own = {(m, str(r[0])): r[1] for m in mixing.MARGINS for r in bounded.groupBy(m).agg(F.sum("tokens") / F.lit(0.3 * total)).collect()}
