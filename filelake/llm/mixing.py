@@ -23,8 +23,8 @@ BUDGET = 0.6
 CLOSE, STILL = 1e-6, 1e-9
 #: Rounds after which fitting ends with what it has; the error that is left is told.
 ROUNDS = 500
-#: The same for bounded raking.
-BOUND_ROUNDS = 40
+#: The same for bounded raking, and the difference at which it ends.
+BOUND_ROUNDS, BOUND_CLOSE = 40, 1e-5
 #: Share of its weight that a value asks of its other cells where its full cells give all of it already.
 LEAST = 0.01
 MARGINS = ("source", "lang", "topic")
@@ -130,7 +130,7 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
 
     A value that asks for more tokens than it has gets all of them, and the others share what is missing in
     proportion; such cells are set apart first, as no finite factor fills them. Each step solves one margin for the
-    cells below their bound, so a round is a join with each margin's factors. Fitting ends at CLOSE / 10, at
+    cells below their bound, so a round is a join with each margin's factors. Fitting ends at BOUND_CLOSE, at
     standstill or after BOUND_ROUNDS; margins() tells what is left."""
     cells = written(cells, "weights")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -163,7 +163,7 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
             now = now.withColumn("free", F.col("free") * F.col("factor")).drop("factor")
         now = written(now, "cells")
         off = now.agg(F.max(F.greatest(*[f"off_{m}" for m in MARGINS]))).first()[0]
-        if off is None or off < CLOSE / 10 or last is not None and abs(off - last) < STILL:
+        if off is None or off < BOUND_CLOSE or last is not None and abs(off - last) < STILL:
             break
         last = off
     # The budget is held also where the margins contradict each other: one factor for all cells below their bound.

@@ -295,7 +295,7 @@ def test_bounded_raking_holds_the_budget(spark, monkeypatch):
     assert got[100] == 1.0 and all(abs(got[n] * n - 300 * w / 0.5) < 1e-3 for n, w in ((300, 0.1), (400, 0.15), (200, 0.25)))
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     cells = mixing.topics(d).groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
     wanted = {"lang": spark.createDataFrame([("en", 5.0), ("de", 1.0), ("es", 1.0), ("fr", 3.0), ("xx", 9.0)], "lang string, target double")}
@@ -331,8 +331,9 @@ def test_mixing(spark):
     for m in mixing.MARGINS:
         rows = [(r["weight"], own[m, r["value"]], r["expected"]) for r in met if r["margin"] == m]
         f = solve(lambda f: sum(min(most, f * ask) for ask, most, _ in rows), 1.0)  # noqa: B023
-        assert all(abs(min(most, f * ask) - told) < 1e-5 for ask, most, told in rows)
+        assert all(abs(min(most, f * ask) - told) < 10 * mixing.BOUND_CLOSE for ask, most, told in rows)
     assert mixing.calibrated(raked, 1.0).agg(F.min("prob")).first()[0] == 1.0
+    monkeypatch.setattr(mixing, "BOUND_ROUNDS", 2)  # what follows asks for the budget and odd rows alone
     p = mixing.mix(d).toPandas()
     assert abs((p.tokens * p.prob).sum() / p.tokens.sum() - mixing.BUDGET) < 1e-6 and p.prob.between(0, 1).all()
     odd = documents(spark, ROWS).withColumn("topic", F.lit("clash")).withColumn("source", F.lit(None).cast("string"))
