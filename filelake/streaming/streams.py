@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,10 +102,11 @@ def stale_workers(stream: DataFrame, gap: str = "10 seconds", late: str = "1 min
 
 
 class _Heartbeats(StatefulProcessor):
-    """A worker's open sessions as a list of (first, last, beats), and an event-time timer for the end of each.
+    """A worker's open sessions as one value of packed (first, last, beats), and one event-time timer, for the first end.
 
     Beats join a session that they lie within gap of, and may join two into one, so arrival in any order gives the
-    same sessions. The timer of a session that has grown since is ignored: its end is no longer that time."""
+    same sessions. When the timer fires, all sessions that the watermark has reached are told at once, and the timer of
+    the next is set: a worker costs one call a batch, however many sessions it has."""
 
     def __init__(self, gap: timedelta):
         # Sessions are held in microseconds, timers in milliseconds, rounded up: none is early.
@@ -112,42 +114,56 @@ class _Heartbeats(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, beats long")
+        self.open = handle.getValueState("open", "sessions binary")
+
+    def _held(self) -> list[tuple[int, int, int]]:
+        held = self.open.get()
+        return list(map(tuple, np.frombuffer(held[0], np.int64).reshape(-1, 3).tolist())) if held else []
+
+    def _hold(self, sessions: list[tuple[int, int, int]]) -> None:
+        self.open.update((np.array(sessions, np.int64).tobytes(),))
 
     def _fires(self, last: int) -> int:
         return -(-(last + self.gap) // 1000)
 
+    def _first_end(self, sessions: list[tuple[int, int, int]]) -> int | None:
+        return min((self._fires(b) for _, b, _ in sessions), default=None)
+
     def handleInputRows(self, key, rows, timerValues):
-        held = [(a, b, n) for a, b, n in self.open.get()] if self.open.exists() else []
-        before = {self._fires(b) for _, b, _ in held}
-        new = pd.concat([pdf["at"] for pdf in rows]).dropna()
+        new = np.sort(np.concatenate([pdf["at"].dropna().to_numpy(np.int64) for pdf in rows]))
+        if not len(new):
+            return
+        held = self._held()
+        cuts = np.flatnonzero(np.diff(new) >= self.gap) + 1
+        begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(new)]])
+        own = zip(new[begin].tolist(), new[end - 1].tolist(), (end - begin).tolist(), strict=True)
         merged: list[tuple[int, int, int]] = []
-        for a, b, n in sorted(held + [(int(x), int(x), 1) for x in new]):
+        for a, b, n in sorted([*held, *own]):
             if merged and a < merged[-1][1] + self.gap:
                 c, d, m = merged[-1]
                 merged[-1] = (c, max(b, d), m + n)
             else:
                 merged.append((a, b, n))
-        if merged:
-            self.open.put(merged)
-        after = {self._fires(b) for _, b, _ in merged}
-        for at in before - after:
-            self.handle.deleteTimer(at)
-        for at in after - before:
-            self.handle.registerTimer(at)
+        self._hold(merged)
+        before, after = self._first_end(held), self._first_end(merged)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(after)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        held = [(a, b, n) for a, b, n in self.open.get()] if self.open.exists() else []
-        rest = [x for x in held if self._fires(x[1]) != at]
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = self._held()
+        ended = [x for x in held if self._fires(x[1]) <= at]
+        rest = [x for x in held if self._fires(x[1]) > at]
         if rest:
-            self.open.put(rest)
+            self._hold(rest)
+            self.handle.registerTimer(self._first_end(rest))
         else:
             self.open.clear()
-        for _, last, n in held:
-            if self._fires(last) == at:
-                yield pd.DataFrame({"worker_id": [key[0]], "last": [last], "beats": [n]})
+        if ended:
+            yield pd.DataFrame({"worker_id": [key[0]] * len(ended), "last": [b for _, b, _ in ended], "beats": [n for _, _, n in ended]})
 
     def close(self) -> None:
         pass
@@ -156,8 +172,8 @@ class _Heartbeats(StatefulProcessor):
 def expired_workers(stream: DataFrame, gap: timedelta = timedelta(seconds=10), late: str = "1 minute") -> DataFrame:
     """worker_id, last_beat, beats of each session of heartbeats, told by a timer when the watermark reaches its end.
 
-    A worker's silence is told without another beat of its own. State is what sessions are open, of a worker a row
-    each; a replayed stream gives the same rows. Beats without a worker are those of one null worker, beats without
+    A worker's silence is told without another beat of its own. State is a worker's open sessions, in
+    one value; a replayed stream gives the same rows. Beats without a worker are those of one null worker, beats without
     a time do not count. The session needs spark.sql.streaming.stateStore.providerClass set to the RocksDB provider."""
     ship(stream.sparkSession)
     worker = stream.schema["worker_id"].dataType.simpleString()

@@ -2,8 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from filelake.operators.duplicates import newest_per_key
-from filelake.streaming.streams import append_new, arriving_files, expired_workers, latest_version, live_job_state, upsert_latest
+from filelake.streaming.streams import _Heartbeats, append_new, arriving_files, expired_workers, latest_version, live_job_state, upsert_latest
 
 
 def test_upsert_and_append(spark, tmp_path):
@@ -65,3 +67,49 @@ def test_expired_workers(spark, tmp_path):
     assert results[0] == results[1]
     assert {x[1:] for x in results[0]} == {("a", at(15), 3), ("b", at(0), 1), (None, at(3), 1), ("z", at(30), 1), ("b", at(102), 2), ("z", at(100), 1)}
     assert {x[0] for x in results[0] if x[1] in ("a", None)} == {2}
+
+
+def test_a_worker_has_one_timer():
+    """However many sessions a worker has, one timer stands for them, and one call tells all that ended."""
+
+    class Handle:
+        held, timers = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    h, p = Handle(), _Heartbeats(timedelta(seconds=10))
+    p.init(h)
+    beats = pd.DataFrame({"at": [60_000_000 * i for i in range(1000, 0, -1)]})
+    assert not list(p.handleInputRows(("w",), iter([beats[:400], beats[400:]]), Now(0)))
+    assert h.timers == [70_000]
+    told = list(p.handleExpiredTimer(("w",), Now(30_010_000), Now(h.timers.pop())))
+    assert len(told) == 1 and told[0]["last"].tolist() == [60_000_000 * i for i in range(1, 501)] and h.timers == [501 * 60_000 + 10_000]
+    list(p.handleInputRows(("w",), iter([pd.DataFrame({"at": [501 * 60_000_000 + 5_000_000, None]})]), Now(30_010_000)))
+    assert h.timers == [501 * 60_000 + 15_000]
+    told = list(p.handleExpiredTimer(("w",), Now(10**9), Now(h.timers.pop())))
+    assert told[0]["beats"].sum() == 501 and not h.timers and h.held is None
