@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import stat
 from collections.abc import Callable, Iterator
 
@@ -139,35 +140,91 @@ def _windows(fd: int, size: int) -> tuple:
     return head, rest, tail, size, count
 
 
-def content_windows(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
-    """record_id, read_state, head, rest, tail, size, bytes_read: of each file only the bytes that facts need. head is
+#: The end of a text within which a page or a title may have begun that goes on behind it.
+_OPEN = re.compile(rb"/(?:T(?:y(?:p(?:e(?:\s*(?:/(?:P(?:a(?:ge?)?)?)?)?)?)?)?|i(?:t(?:l(?:e(?:\s*(?:\([^)]{0,2000})?)?)?)?)?)?)?\Z")
+#: White space that no title holds: a longer run may stand before a page or a title's bracket, at any length.
+_GAP = re.compile(rb"(\s{2001})\s+")
+
+
+def _pdf_parts(fd: int, size: int, step: int) -> Iterator[tuple]:
+    """A PDF's text in parts like _windows() gives them, cut where no page and no title is cut."""
+    at, text = 0, b""
+    while at < size:
+        data = os.pread(fd, min(step, size - at), at)
+        if not data:
+            raise OSError("the file ended early")
+        at, text = at + len(data), text + data
+        cut = len(text) if at == size or not (found := _OPEN.search(text)) else found.start()
+        yield text[:cut], b"", b"", size, len(data)
+        text = _GAP.sub(rb"\1", text[cut:])
+
+
+def _by_parts(root: str, row: dict, step: int) -> Iterator[tuple]:
+    """(state, window) as _steadily() gives them, a PDF's as parts without a state and a last row with it."""
+    try:
+        fd = opened(root, row["relative_path"])
+    except Refused as e:
+        yield str(e), None
+        return
+    try:
+        before = os.fstat(fd)
+        if not same_file(before, row):
+            yield "unstable", None
+            return
+        if os.pread(fd, 4, 0) == b"%PDF":
+            for part in _pdf_parts(fd, before.st_size, step):
+                yield None, part
+            got = (b"", b"", b"", before.st_size, 0)
+        else:
+            got = _windows(fd, before.st_size)
+        yield ("verified", got) if _unchanged(before, os.fstat(fd)) else ("unstable", None)
+    except OSError:
+        yield "inaccessible", None
+    finally:
+        os.close(fd)
+
+
+def content_windows(files: DataFrame, root: str, tasks: int | None = None, whole: bool = False, step: int = WINDOW) -> DataFrame:
+    """record_id, read_state, head, rest, tail, size, bytes_read, part: of each file only the bytes that facts need. head is
     the first SIGNATURE bytes, or a PDF's first WINDOW, rest the last WINDOW of a PDF as far as head ends before it,
-    tail the last ZIP_END bytes of a ZIP. States are those of hash_files()."""
+    tail the last ZIP_END bytes of a ZIP. States are those of hash_files().
+
+    whole: a PDF is read to its end, `step` bytes at a time. It has a row for each part (from 0), whose text is head, and the last
+    row alone has a state. No page or title is cut by parts."""
     ship(files.sparkSession)
-    schema = pa.schema([("record_id", pa.string()), ("read_state", pa.string()), ("head", pa.binary()), ("rest", pa.binary()), ("tail", pa.binary()), ("size", pa.int64()), ("bytes_read", pa.int64())])
+    schema = pa.schema([("record_id", pa.string()), ("read_state", pa.string()), ("head", pa.binary()), ("rest", pa.binary()), ("tail", pa.binary()), ("size", pa.int64()), ("bytes_read", pa.int64()), ("part", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _each(batches):
             for r in rows:  # a row may hold two windows: one at a time
-                state, got = _steadily(root, r, _windows)
-                row = (r["record_id"], state, *(got or (None, None, None, None, 0)))
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+                for part, (state, got) in enumerate(_by_parts(root, r, step) if whole else [_steadily(root, r, _windows)]):
+                    row = (r["record_id"], state, *(got or (None, None, None, None, 0)), part)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-    return _observations(files, tasks).mapInArrow(run, "record_id string, read_state string, head binary, rest binary, tail binary, size long, bytes_read long")
+    return _observations(files, tasks).mapInArrow(run, "record_id string, read_state string, head binary, rest binary, tail binary, size long, bytes_read long, part long")
 
 
-def ranged_facts(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+def ranged_facts(files: DataFrame, root: str, tasks: int | None = None, whole: bool = False, step: int = WINDOW) -> DataFrame:
     """record_id, read_state, mime_type, type_source, width, height, pages, title, entries, bytes_read: as
-    facts.extract_facts() tells them of whole contents, from windows alone."""
+    facts.extract_facts() tells them of whole contents, from windows alone.
+
+    whole: pages and title of a PDF are those of all its text, not of its windows (see content_windows()); a record_id is one file's."""
     from ..operators.facts import archive_end, image_size, pdf_text_facts, sniff_type
 
-    w = content_windows(files, root, tasks).join(files.select("record_id", "extension"), "record_id")
+    w = content_windows(files, root, tasks, whole, step).join(files.select("record_id", "extension"), "record_id")
     kind, size = sniff_type(F.col("head"), F.col("extension")), image_size(F.col("head"))
     latin = lambda c: F.decode(F.col(c), "ISO-8859-1")
     w = w.withColumns({"mime_type": kind["mime_type"], "type_source": kind["source"], "width": size["width"], "height": size["height"], "text": F.concat(latin("head"), latin("rest"))})
-    read = F.col("read_state") == "verified"
-    of = lambda mime, x: F.when(F.col("mime_type") == mime, x)
     pdf = pdf_text_facts(F.col("text"))
-    shown = {"mime_type": F.col("mime_type"), "type_source": F.col("type_source"), "width": F.col("width"), "height": F.col("height"), "pages": of("application/pdf", pdf["pages"]), "title": of("application/pdf", pdf["title"]), "entries": of("application/zip", archive_end(F.col("tail"))["entries"])}
+    w = w.withColumns({"pages": pdf["pages"], "title": pdf["title"], "entries": archive_end(F.col("tail"))["entries"]})
+    if whole:
+        # The first title counts, as in a text of one part, be it empty.
+        titled = F.when(F.col("text").rlike(r"/Title\s*\([^)]{0,2000}\)"), F.col("part"))
+        of_first = [F.min_by(c, "part").alias(c) for c in ("mime_type", "type_source", "width", "height", "entries")]
+        w = w.groupBy("record_id").agg(F.max_by("read_state", "part").alias("read_state"), *of_first, F.sum("pages").alias("pages"), F.min_by("title", titled).alias("title"), F.sum("bytes_read").alias("bytes_read"))
+        w = w.withColumns({"pages": F.col("pages").cast("int"), "bytes_read": F.when(F.col("read_state") == "verified", F.col("bytes_read")).otherwise(F.lit(0))})
+    read = F.col("read_state") == "verified"
+    of = lambda mime, c: F.when(F.col("mime_type") == mime, F.col(c))
+    shown = {"mime_type": F.col("mime_type"), "type_source": F.col("type_source"), "width": F.col("width"), "height": F.col("height"), "pages": of("application/pdf", "pages"), "title": of("application/pdf", "title"), "entries": of("application/zip", "entries")}
     told: list[Column] = [F.when(read, c).alias(name) for name, c in shown.items()]
     return w.select("record_id", "read_state", *told, "bytes_read")
