@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import bounded, prepare, slices, text_bytes, written
@@ -80,6 +80,20 @@ def _shares(wanted: DataFrame, cells: DataFrame, margin: str) -> DataFrame:
     return kept.withColumn("target", F.col("target") / F.lit(total or 1.0))
 
 
+def _aimed(cells: DataFrame, aim: dict[str, DataFrame], name: str) -> DataFrame:
+    """Cells with the target of each of their values, aim_<margin>, so that a round joins nothing but its factors."""
+    for m in MARGINS:
+        cells = cells.join(aim[m].select(m, F.col("target").alias(f"aim_{m}")), m)
+    return written(cells, name)
+
+
+def _round(now: DataFrame) -> tuple[DataFrame, float | None]:
+    """(the cells of a round, written; the largest difference from a target, seen as they are written)."""
+    seen = Observation()
+    now = written(now.observe(seen, F.max(F.greatest(*[f"off_{m}" for m in MARGINS])).alias("off")), "cells")
+    return now, seen.get["off"]
+
+
 def rake(cells: DataFrame, wanted: dict[str, DataFrame] | None = None) -> tuple[DataFrame, float]:
     """(cells with weight, error). Cells: source, lang, topic, tokens; weights are the shares nearest to the token
     shares, in relative entropy, whose margins are the targets, and error is the largest difference that is left.
@@ -92,19 +106,18 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame] | None = None) -> tuple[
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     if not total:
         return now, 0.0
-    aim = {m: written(_shares((wanted or {}).get(m, targets(cells, m)), cells, m), "targets") for m in MARGINS}
-    last = None
+    now = _aimed(now, {m: _shares((wanted or {}).get(m, targets(cells, m)), cells, m) for m in MARGINS}, "cells")
+    last, own = None, [f"{x}_{m}" for x in ("off", "aim") for m in MARGINS]
     for _ in range(ROUNDS):
         for m in MARGINS:
-            have = now.groupBy(m).agg(F.sum("weight").alias("have")).join(aim[m], m)
+            have = now.groupBy(m).agg(F.sum("weight").alias("have"), F.first(f"aim_{m}").alias("target"))
             factor = have.select(m, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0).alias("factor"), F.abs(F.col("target") - F.col("have")).alias(f"off_{m}"))
             now = now.drop(f"off_{m}").join(factor, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = written(now, "cells")
-        off = now.agg(F.max(F.greatest(*[f"off_{m}" for m in MARGINS]))).first()[0]
+        now, off = _round(now)
         if off < CLOSE or last is not None and abs(off - last) < STILL:
-            return now.drop(*[f"off_{m}" for m in MARGINS]), off
+            return now.drop(*own), off
         last = off
-    return now.drop(*[f"off_{m}" for m in MARGINS]), last
+    return now.drop(*own), last
 
 
 def _attainable(cells: DataFrame, margin: str) -> DataFrame:
@@ -148,12 +161,12 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
             now = now.join(aim[m].select(m, "now_full"), m).withColumn("full", F.col("full") | F.col("now_full")).drop("now_full")
         now = written(now, "cells")
     done, now = now.where("full"), now.where("not full")
-    aim = {m: aim[m].drop("now_full") for m in MARGINS}
     below, last = F.col("free") < F.col("cap"), None
-    for _ in range(BOUND_ROUNDS):
+    now = _aimed(now, aim, "cells")
+    for _ in range(BOUND_ROUNDS if now.limit(1).count() else 0):
         for m in MARGINS:
             room = F.max(F.try_divide("cap", "free")).alias("room")  # a cell of no weight has none
-            have = now.groupBy(m).agg(F.coalesce(F.sum(F.when(below, F.col("free"))), F.lit(0.0)).alias("free"), F.coalesce(F.sum(F.when(~below, F.col("cap"))), F.lit(0.0)).alias("held"), room).join(aim[m], m)
+            have = now.groupBy(m).agg(F.coalesce(F.sum(F.when(below, F.col("free"))), F.lit(0.0)).alias("free"), F.coalesce(F.sum(F.when(~below, F.col("cap"))), F.lit(0.0)).alias("held"), room, F.first(f"aim_{m}").alias("target"))
             rest, whole = F.col("target") - F.col("held"), F.col("free") + F.col("held")
             # A Newton step; kept tokens are concave in the factor, so it never passes the factor that is sought from above.
             lower = F.when(F.col("free") > 0, F.lit(1.0)).otherwise(F.col("room")) * F.col("target") / whole
@@ -161,9 +174,8 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
             now = now.drop(f"off_{m}").join(have.select(m, factor.alias("factor"), F.abs(F.col("target") - whole).alias(f"off_{m}")), m)
             # A held cell's own value goes on above its bound, so that it comes back where other margins lower it.
             now = now.withColumn("free", F.col("free") * F.col("factor")).drop("factor")
-        now = written(now, "cells")
-        off = now.agg(F.max(F.greatest(*[f"off_{m}" for m in MARGINS]))).first()[0]
-        if off is None or off < BOUND_CLOSE or last is not None and abs(off - last) < STILL:
+        now, off = _round(now)
+        if off < BOUND_CLOSE or last is not None and abs(off - last) < STILL:
             break
         last = off
     # The budget is held also where the margins contradict each other: one factor for all cells below their bound.
@@ -174,7 +186,7 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
         if not low or abs(low * scale + held - goal) < 1e-12:
             break
         scale = (goal - held) / low if goal > held else scale * goal / (low * scale + held)
-    return prob(now.withColumn("free", F.col("free") * scale).drop(*[f"off_{m}" for m in MARGINS]).unionByName(done))
+    return prob(now.withColumn("free", F.col("free") * scale).drop(*[f"{x}_{m}" for x in ("off", "aim") for m in MARGINS]).unionByName(done))
 
 
 def margins(cells: DataFrame) -> DataFrame:

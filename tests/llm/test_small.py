@@ -582,3 +582,14 @@ def test_a_text_of_many_lines_of_which_half_go(spark):
     got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame([(1, first), (2, many), (3, None), (4, "")], "doc_id long, text string")).collect()}
     assert got[1]["text"] == first and got[2]["text"] == "\n".join(many.split("\n")[1::2]) and got[2]["n_removed"] == 15_000
     assert got[3]["text"] is None and got[4]["text"] == ""
+
+
+def test_a_round_joins_only_factors(spark, monkeypatch):
+    """A round of fitting is one written table of three broadcast factors; its error is seen while it is written."""
+    seen, write = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    cells = spark.createDataFrame([("a", "x", 0, 5), ("b", "x", 1, 7), ("b", "y", 0, 11)], "source string, lang string, topic int, tokens long")
+    _, error = mixing.rake(cells)
+    plan = [p for n, p in seen if n == "cells"][-1]
+    assert error > 0 and len(seen) == 3 and plan.count("Join Inner") == 7
