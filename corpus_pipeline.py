@@ -61,7 +61,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the sample; one row per document, read back from them. Null doc_ids come first, as null;
     a null or empty text has the end id alone."""
-    return token_documents(docs)
+    return token_documents(docs, lean=True)  # workers still hold memory of the stages before
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -30,6 +30,9 @@ STRIDE = 512
 #: Bytes of pieces of text and their ids that a worker keeps, in each of two generations; longer pieces than
 #: LONG_PIECE are not kept.
 KEPT_BYTES, LONG_PIECE = 128 << 20, 256
+#: The same bytes where other stages have used the worker's memory (lean), and the binary logarithm of the bits that tell
+#: whether a piece was met before: there one that is met once is not kept.
+LEAN_BYTES, MET_LOG2 = 64 << 20, 23
 #: What an entry costs besides its text and ids.
 _ENTRY = 180
 
@@ -161,21 +164,27 @@ class Untrusted(Exception):
 
 
 class Pieces(dict):
-    """Ids of pieces of text; a piece that is not held yet is learnt. All that is kept is counted: beyond `most` bytes
+    """Ids of pieces of text; a piece that is not held yet is learnt, and kept, or if lean, kept when it
+    is met again. All that is kept is counted: beyond `most` bytes
     the generation before is let go, and what is held now takes its place, even within a text."""
 
-    def __init__(self, learn: Callable[[str], bytes], most: int):
+    def __init__(self, learn: Callable[[str], bytes], most: int, lean: bool = False):
         self.learn, self.most = learn, most
         self.old: dict[str, bytes] = {}
-        self.bytes = 0
+        self.bytes, self.met = 0, bytearray(1 << (MET_LOG2 - 3)) if lean else None
 
     def keep(self, piece: str, ids: bytes) -> None:
         if len(piece) > LONG_PIECE:
             return
+        if self.met is not None and piece not in self.old:
+            spot = hash(piece) & ((1 << MET_LOG2) - 1)
+            if not self.met[spot >> 3] >> (spot & 7) & 1:
+                self.met[spot >> 3] |= 1 << (spot & 7)
+                return
         if self.bytes > self.most:
             self.old = dict(self)
             self.clear()
-            self.bytes = 0
+            self.bytes, self.met = 0, self.met and bytearray(len(self.met))
         self[piece] = ids
         self.bytes += 4 * len(piece) + len(ids) + _ENTRY
 
@@ -195,7 +204,7 @@ class Encoder:
     or comma, nor white space that ends a text and what stands before it. So a text's ids are those of its pieces, one after the other. Pieces that touch other
     white space at a cut are not trusted: their texts are cut only at single spaces and not remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lean: bool = False):
         import regex
         from tokenizers import Tokenizer
 
@@ -209,7 +218,7 @@ class Encoder:
         self.word = self.tokenizer.model.tokenize if plain and not any(x.isalpha() for x in self.added) else None
         self.stops = dict(zip(".,", self._by_library([".", ","]), strict=True))
         self.line_end = self._by_library(["\n"])[0]
-        self.pieces = Pieces(self._learn, KEPT_BYTES)
+        self.pieces = Pieces(self._learn, LEAN_BYTES if lean else KEPT_BYTES, lean)
 
     def _by_library(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -277,23 +286,23 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str | None) -> Encoder:
+def encoder(path: str | None, lean: bool = False) -> Encoder:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _encoders:
+    if (path, lean) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, lean] = Encoder(path, lean)
+    return _encoders[path, lean]
 
 
-def _pack(path: str | None, end_id: int):
+def _pack(path: str | None, end_id: int, lean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = encoder(path), TaskContext.get().partitionId()
+        coder, shard = encoder(path, lean), TaskContext.get().partitionId()
         bits = max(coder.vocabulary - 1, end_id, 1).bit_length()
         held, ids, lengths, size, block, start = [], [], [], 0, 0, 0
         end = np.uint32(end_id).tobytes()
@@ -326,17 +335,18 @@ _ARROW = pa.schema(
 )
 
 
-def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, lean: bool = False) -> DataFrame:
     """Write docs (doc_id, text) as token files in ascending doc_id order; the files, as blocks.
 
     One file per range of doc_ids. Null text: no ids but the end id. Null doc_ids come first; rows of one
-    doc_id are ordered by their text. tokenizer: a file that the tokenizers library reads."""
+    doc_id are ordered by their text. tokenizer: a file that the tokenizers library reads. lean: workers
+    keep fewer pieces of text, so they take less memory and more time."""
     spark = docs.sparkSession
     prepare(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ranged = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
-    return written(ranged.mapInArrow(_pack(tokenizer, end_id), BLOCK_SCHEMA), "tokens")
+    return written(ranged.mapInArrow(_pack(tokenizer, end_id, lean), BLOCK_SCHEMA), "tokens")
 
 
 def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, WaveletMatrix]]:
@@ -418,7 +428,7 @@ def tokens_at(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return files.join(asked, ["shard", "block"]).mapInArrow(run, "doc_id long, at long, token long")
 
 
-def token_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, lean: bool = False) -> DataFrame:
     """Encode docs into token files and return what read_documents() finds in them."""
-    files = write_tokens(docs, tokenizer, end_id)
+    files = write_tokens(docs, tokenizer, end_id, lean)
     return read_documents(files)

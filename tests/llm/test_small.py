@@ -584,6 +584,18 @@ def test_a_text_of_many_lines_of_which_half_go(spark):
     assert got[3]["text"] is None and got[4]["text"] == ""
 
 
+def test_lean_pieces():
+    """Pieces that are met once are not kept, and the ids are the same."""
+    import public_tokenizers
+
+    plain, lean = (wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"), x) for x in (False, True))
+    texts = [f"word once{i}x, again{i % 50} 12-{i}.\n end" for i in range(2000)]
+    assert plain.encode(texts) == lean.encode(texts) == plain.encode(texts) == lean.encode(texts[:1000]) + lean.encode(texts[1000:])
+    lean, kept = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True), len(plain.pieces)
+    lean.encode(texts)
+    assert "again7" in lean.pieces and "once7x" not in lean.pieces and 10 * len(lean.pieces) < kept
+
+
 def test_a_round_joins_only_factors(spark, monkeypatch):
     """A round of fitting is one written table of three broadcast factors; its error is seen while it is written."""
     seen, write = [], mixing.written
