@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filelake.llm import licenses, line_dedup, mixing, pii, topk, warc, wavelet, words
+from filelake.llm import common, licenses, line_dedup, mixing, pii, topk, warc, wavelet, words
 from filelake.llm.components import components
 from filelake.llm.decontam import decontaminate
 from filelake.llm.langid import identify
@@ -273,6 +273,37 @@ def test_line_dedup_link_counts(spark):
     assert got == want
 
 
+def test_line_dedup_rows_meet_at_their_first_word(spark, monkeypatch):
+    """Ten pairs of changed copies share one word behind a rarer one of their own: only that one's rows go on."""
+    tables = {}
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    own = [[f"o{i}x{j}" for j in range(15)] for i in range(10)]
+    rows = [(2 * i + k, " ".join([f"s{i}", "shared", *own[i], *[f"once{i}"] * k])) for i in range(10) for k in (0, 1)]
+    rows.append((99, " ".join(w for o in own for w in o for _ in range(30))))
+    got = {r["doc_id"]: r["n_links"] for r in line_dedup.repeated_lines(documents(spark, rows)).collect()}
+    assert got == {2 * i + 1: 1 for i in range(10)}
+    assert tables["open"].count() == 20
+
+
+def test_line_dedup_sets_and_bitmaps():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    hashes[1::2] = hashes[::2] ^ np.uint64(1 << 22)  # equal in all that the short key has of them
+    off = np.concatenate([[0], np.sort(rng.integers(0, 4000, 60)), [4000]])
+    hashes[off[3] : off[4]] = hashes[off[3]] if off[4] > off[3] else 0
+    rare = rng.integers(0, 3, line_dedup.COUNTERS).astype(np.uint8)
+    own, size = line_dedup._sets(words.Words(off, off, hashes, off), rare)
+    want = [sorted(set(hashes[a:b].tolist()), key=lambda h: (rare[h % line_dedup.COUNTERS], h)) for a, b in zip(off[:-1], off[1:], strict=True)]
+    assert size.tolist() == [len(x) for x in want] and own.tolist() == [h for x in want for h in x]
+    # No bitmap tells two sets further apart than they are, folded or not.
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    for one, two in ((base[:60], base[3:68]), (base[:150], base[9:160]), (base[:64], base[:65])):
+        (a0, b0), (a1, b1) = line_dedup._bitmaps(np.concatenate([one, two]), np.array([0, len(one)]), np.array([len(one), len(two)]))
+        folded = min(len(one), len(two)) <= line_dedup.FOLDED
+        apart = bin(int(a0 ^ a1 ^ b0 ^ b1)).count("1") if folded else bin(int(a0 ^ b0)).count("1") + bin(int(a1 ^ b1)).count("1")
+        assert apart <= len(set(one.tolist()) ^ set(two.tolist()))
+
+
 def solve(kept, goal):
     """The least factor whose kept share is the goal, or the largest tried."""
     low, high = 0.0, 1e6
