@@ -2,9 +2,10 @@
 
 An n-gram of count c has level 1 + floor(log2 c) and is put in once for each level up to its own; its level is read
 by probing level after level until a miss. The filter is made of segments, one for each bucket of hashes, each
-built by one task from that bucket's exact counts, so it grows with the corpus. Workers get it in parts of at most
-PART_BYTES, one after another: each pass over the texts notes the levels of the n-grams of its part. Exact word
-counts, which the base score needs, are broadcast for the at most FREQUENT commonest words; the others are joined.
+built from that bucket's exact counts, so it grows with the corpus. No task and no driver holds all of it: texts are
+written in chunks once, each distinct n-gram of a chunk is sent to its segment, and the segment's answers, levels and
+the exact counts of words that the base score needs, are sent back to the chunk. So every text is read twice and every
+key is sent once, however many segments there are.
 """
 
 from __future__ import annotations
@@ -18,21 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, prepare, slices, text_bytes, written
-from .words import mix, stream, words
+from .words import SPACES, mix, stream, words
 
 U = np.uint64
-#: Bytes of the filter that are broadcast at a time; words whose counts are broadcast; bits for each level of an n-gram.
-PART_BYTES, FREQUENT, BITS = 48 << 20, 1 << 19, 12
-#: n-grams of a task that are counted at once; of a bucket, about; levels, and steps of probabilities, that are told apart.
-HELD, BUCKET, LEVELS, STEPS = 1 << 21, 1 << 20, 64, 256
+#: Bytes of a chunk's texts, and its n-grams, at most but for one longer text; bits for each level of an n-gram.
+PART_BYTES, HELD, BITS = 8 << 20, 1 << 21, 12
+#: n-grams of a bucket, about; levels, and steps of probabilities, that are told apart.
+BUCKET, LEVELS, STEPS = 1 << 20, 64, 256
+#: Binary logarithm of the buckets whose keys are sent as one row; answers that are passed on at once; how hard texts are compressed.
+CELL, ANSWERS, ZSTD = 2, 512, 6
 #: The most that shorter n-grams leave to longer ones, so that no token is certain.
 MOST = 0.999
 _END, _TIMES, _LEVEL, *_SALT = stream(12, 71)
 _TIMES |= U(1)
 
+_CHUNKS = "chunk long, held_out boolean, ids array<long>, sizes array<long>, texts binary"
 _BLOCKS = "bucket int, words boolean, n long, keys binary, counts binary"
-_SEGMENTS = "bucket int, segment binary, keys binary, counts binary, n_words long, n_tokens long, by_level array<long>"
-_STATE = "doc_id long, held_out boolean, text string, n_tokens long, levels binary, base double, known long, rare array<long>"
+_SENT = "chunk long, " + _BLOCKS
+_SEGMENTS = "bucket int, segment binary, n_words long, n_tokens long, by_level array<long>, chunk long, words boolean, levels binary, counts binary"
+_STATE = "doc_id long, held_out boolean, n_tokens long, levels binary, base double, known long"
 
 
 def _batch(ddl: str, columns: list) -> pa.RecordBatch:
@@ -84,40 +89,77 @@ def _numbers(data: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def _counted(order: int, log2: int):
-    """Texts to counts of their n-grams: rows of a bucket, sorted keys as differences."""
+def _chunked(order: int, part_bytes: int):
+    """Texts to chunks, either all learnt from or all held out, each one compressed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
+        codec, number = pa.Codec("zstd", compression_level=ZSTD), TaskContext.get().partitionId() << 40
+        held: dict[bool, tuple[list, list, list, list]] = {x: ([], [], [], [0]) for x in (False, True)}
 
-        def rows():
+        def row(out: bool):
+            nonlocal number
+            ids, sizes, texts, n = held[out]
+            chunk = (number, out, pa.concat_arrays(ids).to_pylist(), np.concatenate(sizes).tolist(), codec.compress(b"".join(texts), asbytes=True))
+            held[out], number = ([], [], [], [0]), number + 1
+            return _batch(_CHUNKS, [[x] for x in chunk])
+
+        for batch in bounded(batches):
+            outs = batch.column("held_out").to_numpy(zero_copy_only=False)
+            for out in (False, True):
+                own = batch.filter(pa.array(outs == out))
+                data, offs = text_bytes(own.column("text"))
+                for i, j in slices(offs):
+                    part = data[offs[i] : offs[j]]
+                    size = max((np.count_nonzero(SPACES[part]) + j - i) * order / HELD, len(part) / part_bytes)  # a text has at most a word more than spaces
+                    if held[out][0] and held[out][3][0] + size > 1:
+                        yield row(out)
+                    ids, sizes, texts, n = held[out]
+                    ids.append(own.column("doc_id").slice(i, j - i))
+                    sizes.append(np.diff(offs[i : j + 1]))
+                    texts.append(part.tobytes())
+                    n[0] += size
+        for out in (False, True):
+            if held[out][0]:
+                yield row(out)
+
+    return run
+
+
+def _chunk_keys(row: dict, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets of the tokens of a chunk's texts, and the keys of the n-grams that end at each token."""
+    offs = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
+    data = np.frombuffer(pa.decompress(row["texts"], int(offs[-1]), "zstd"), np.uint8)
+    off, keys = [np.zeros(1, np.int64)], []
+    for i, j in slices(offs):
+        h, own = tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        off.append(own[1:] + off[-1][-1])
+        keys.append(ngrams(h, own, order))
+    return np.concatenate(off), [np.concatenate(x) for x in zip(*keys, strict=True)]
+
+
+def _counted(order: int, log2: int, cell: int):
+    """Chunks to their distinct n-grams: rows of a cell of 2**cell buckets, sorted keys as differences. Those of held-out
+    chunks, which are asked for only, have no counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 1):
+            row = batch.to_pylist()[0]
+            first, *more = _chunk_keys(row, order)[1]
             out = []
-            for is_words, part in zip((True, False), held, strict=True):
+            for is_words, part in ((True, [first]), (False, more)):
                 if not part:
                     continue
                 keys, counts = np.unique(np.concatenate(part), return_counts=True)
-                part.clear()
                 keys, counts = keys[keys > 0], counts[keys > 0]
-                bucket = (keys >> U(64 - log2)).astype(np.int64)
-                cuts = np.searchsorted(bucket, np.arange((1 << log2) + 1))
+                at = (keys >> U(64 - log2 + cell)).astype(np.int64)
+                cuts = np.searchsorted(at, np.arange((1 << (log2 - cell)) + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
                     i, j = cuts[b], cuts[b + 1]
-                    out.append((int(b), is_words, int(j - i), _planes(np.diff(keys[i:j], prepend=U(b) << U(64 - log2))), _planes(counts[i:j])))
-            return _batch(_BLOCKS, list(zip(*out, strict=True)))
-
-        size = 0
-        for batch in bounded(batches):
-            data, offs = text_bytes(batch.column(0))
-            for i, j in slices(offs):
-                first, *more = ngrams(*tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), order)
-                held[0].append(first)
-                held[1].extend(more)
-                size += len(first) * order
-                if size >= HELD:
-                    yield rows()
-                    size = 0
-        if size:
-            yield rows()
+                    bucket = int(b) << cell
+                    planes = _planes(np.diff(keys[i:j], prepend=U(bucket) << U(64 - log2)))
+                    out.append((row["chunk"], bucket, is_words, int(j - i), planes, None if row["held_out"] else _planes(counts[i:j])))
+            if out:
+                yield _batch(_SENT, list(zip(*out, strict=True)))
 
     return run
 
@@ -141,40 +183,59 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * np.exp2(levels - 1.0) - 0.5, 0.0)
 
 
-def _built(log2: int):
-    """Sorted rows of buckets to a segment of the filter each, and the exact counts of the bucket's words."""
+def _built(log2: int, cell: int = 0):
+    """Sorted rows of cells to the segments of their buckets, and to the answers to each chunk: the levels that its keys
+    have in the filter, in their order, and the exact counts of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
-        def summed(rows: list[dict], start: U) -> tuple[np.ndarray, np.ndarray]:
+        def summed(rows: list[dict], start: U) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if not rows:
-                return np.zeros(0, U), np.zeros(0, np.int64)
+                return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
             keys = np.concatenate([np.cumsum(_numbers(r["keys"]), dtype=U) + start for r in rows])
-            counts = np.concatenate([_numbers(r["counts"]) for r in rows]).astype(np.int64)
+            counts = np.concatenate([np.zeros(r["n"], U) if r["counts"] is None else _numbers(r["counts"]) for r in rows]).astype(np.int64)
             keys, inverse = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64)
-
-        def segment():
-            start = U(held[0]["bucket"]) << U(64 - log2)
-            plain, more = (summed([r for r in held if r["words"] == x], start) for x in (True, False))
-            keys, levels = np.concatenate([plain[0], more[0]]), level_of(np.concatenate([plain[1], more[1]]))
-            out = np.zeros(max(1, -(-int(levels.sum()) * BITS // 64)), U)
-            for level in range(1, int(levels.max(initial=0)) + 1):
-                word, bits = _spots(keys[levels >= level], level, U(len(out)))
-                np.bitwise_or.at(out, word, bits)
-            by_level = np.bincount(level_of(plain[1]), minlength=LEVELS)
-            row = (held[0]["bucket"], out.tobytes(), plain[0].tobytes(), plain[1].tobytes(), len(plain[0]), int(plain[1].sum()), by_level.tolist())
+            return keys, np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64), inverse
+
+        def segments():
+            first = held[0]["bucket"]
+            start = U(first) << U(64 - log2)
+            asked = {x: [r for r in held if r["words"] == x] for x in (True, False)}
             held.clear()
-            return _batch(_SEGMENTS, [[x] for x in row])
+            found = {x: summed(rows, start) for x, rows in asked.items()}
+            buckets = {x: (keys >> U(64 - log2)).astype(np.int64) - first for x, (keys, _, _) in found.items()}
+            made, out = [], []
+            for b in range(1 << cell):
+                plain, more = (tuple(c[(buckets[x] == b) & (found[x][1] > 0)] for c in found[x][:2]) for x in (True, False))
+                keys, levels = np.concatenate([plain[0], more[0]]), level_of(np.concatenate([plain[1], more[1]]))
+                if not len(keys):
+                    continue
+                bits_of = np.zeros(max(1, -(-int(levels.sum()) * BITS // 64)), U)
+                for level in range(1, int(levels.max(initial=0)) + 1):
+                    word, bits = _spots(keys[levels >= level], level, U(len(bits_of)))
+                    np.bitwise_or.at(bits_of, word, bits)
+                made.append((first + b, bits_of.tobytes()))
+                out.append((*made[-1], len(plain[0]), int(plain[1].sum()), np.bincount(level_of(plain[1]), minlength=LEVELS).tolist(), None, None, None, None))
+            part = Part(log2, [(b, len(x)) for b, x in made] or [(first, 0)], made)
+            for is_words, rows in asked.items():
+                keys, counts, inverse = found[is_words]
+                levels = part.levels(keys)
+                ends = np.cumsum([r["n"] for r in rows])
+                for r, j in zip(rows, ends, strict=True):
+                    own = inverse[j - r["n"] : j]
+                    if r.get("chunk") is not None:
+                        out.append((first, None, None, None, None, r["chunk"], is_words, levels[own].tobytes(), _planes(counts[own]) if is_words else None))
+            for i in range(0, len(out), ANSWERS):
+                yield _batch(_SEGMENTS, list(zip(*out[i : i + ANSWERS], strict=True)))
 
         for batch in bounded(batches):
             for row in batch.to_pylist():
                 if held and row["bucket"] != held[0]["bucket"]:
-                    yield segment()
+                    yield from segments()
                 held.append(row)
         if held:
-            yield segment()
+            yield from segments()
 
     return run
 
@@ -192,13 +253,6 @@ class Part:
             at = self.starts[bucket - self.first]
             self.words[at : at + len(data) // 8] = np.frombuffer(data, U)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": self.words.tobytes()}
-
-    def __setstate__(self, state: dict) -> None:
-        """Workers read the words where they are, without a copy."""
-        self.__dict__ = state | {"words": np.frombuffer(state["words"], U)}
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: 0 for one that is not of this part, or was never put in (but for false hits)."""
         out = np.zeros(len(keys), np.uint8)
@@ -216,64 +270,56 @@ class Part:
         return out
 
 
-def _ranges(segments: DataFrame, part_bytes: int) -> list[list[tuple[int, int]]]:
-    """(bucket, bytes) of the segments of each part; a part holds at least one segment, which BUCKET bounds."""
-    out: list[list[tuple[int, int]]] = []
-    for bucket, size in sorted((r["bucket"], r["size"]) for r in segments.select("bucket", F.length("segment").alias("size")).collect()):
-        if not out or sum(n for _, n in out[-1]) + size > part_bytes:
-            out.append([])
-        out[-1].append((bucket, size))
-    return out or [[(0, 0)]]
-
-
-def _part(segments: DataFrame, log2: int, sizes: list[tuple[int, int]]) -> Part:
-    rows = segments.where(F.col("bucket").between(sizes[0][0], sizes[-1][0])).select("bucket", "segment").toLocalIterator()
-    return Part(log2, sizes, ((r["bucket"], r["segment"]) for r in rows))
+def _answered(order: int, whole: float):
+    """A chunk's texts, and behind them its answers by bucket, to the levels of each text's n-grams and its base score
+    without unknown words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
 
-def _probed(order: int, part, common, whole: float, last: bool):
-    """Notes the levels of a part's n-grams, and what the part's words give to the base score."""
+        def placed(keys: np.ndarray, *answers: np.ndarray) -> list[np.ndarray]:
+            """Answers to the chunk's distinct keys in their order, as answers to each key; 0 for key 0, that of none."""
+            by_key = np.argsort(keys)
+            in_order = keys[by_key]
+            own = np.cumsum(np.diff(in_order, prepend=U(0)) > 0, dtype=np.int32)
+            if len(own) and own[-1] != len(answers[0]):
+                raise ValueError(f"{own[-1]} n-grams of a chunk have {len(answers[0])} answers")
+            out = [np.empty(len(keys), x.dtype) for x in answers]
+            for x, values in zip(out, answers, strict=True):
+                x[by_key] = np.concatenate([np.zeros(1, values.dtype), values])[own]
+            return out
+
+        def texts():
+            chunk, *answers = held
+            held.clear()
+            off, keys = _chunk_keys(chunk, order)
+            asked = {x: [r for r in answers if r["words"] == x] for x in (True, False)}
+            levels = {x: np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(r["levels"], np.uint8) for r in rows]]) for x, rows in asked.items()}
+            counts = np.concatenate([_numbers(r["counts"]) for r in asked[True]]).astype(np.int64)
+            worth = np.where(counts > 0, np.log10((counts + 0.5) / whole), np.nan)  # none for an unknown word
+            found, worth = placed(keys.pop(0), levels[True], worth)
+            is_known = ~np.isnan(worth)
+            base, known = np.add.reduceat(np.where(is_known, worth, 0.0), off[:-1]), np.add.reduceat(is_known, off[:-1], dtype=np.int64)
+            del worth, is_known, answers, asked
+            found = [found, *(np.split(placed(np.concatenate(keys), levels[False])[0], order - 1) if order > 1 else [])]
+            del keys
+            ids, n = chunk["ids"], np.diff(off)
+            for i in range(0, len(n), ANSWERS):
+                own = slice(i, i + ANSWERS)  # a text's levels: all of its words, then of its bigrams, and so on
+                flat = [b"".join(x[j:k].tobytes() for x in found) for j, k in zip(off[:-1][own], off[1:][own], strict=True)]
+                yield _batch(_STATE, [ids[own], [chunk["held_out"]] * len(flat), n[own], flat, base[own], known[own]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_part, (names, counts) = part.value, common.value
         for batch in bounded(batches):
-            data, offs = text_bytes(batch.column("text"))
-            for i, j in slices(offs):
-                own = batch.slice(i, j - i)
-                h, off = tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                keys = ngrams(h, off, order)
-                levels = np.stack([filter_part.levels(k) for k in keys])
-                cuts = off * order
-                flat = np.empty(cuts[-1], np.uint8)  # a text's levels: all of its words, then of its bigrams, and so on
-                n = np.diff(off)
-                place = np.arange(len(h)) - np.repeat(off[:-1], n) + np.repeat(cuts[:-1], n)
-                for k in range(order):
-                    flat[place + k * np.repeat(n, n)] = levels[k]
-                spot = np.minimum(np.searchsorted(names, keys[0]), len(names) - 1) if len(names) else np.zeros(len(h), np.int64)
-                is_common = (levels[0] > 0) & (names[spot] == keys[0]) if len(names) else np.zeros(len(h), bool)
-                worth = np.where(is_common, np.log10((counts[spot] + 0.5) / whole) if len(names) else 0.0, 0.0)
-                base, known = np.add.reduceat(worth, off[:-1]), np.add.reduceat(is_common.astype(np.int64), off[:-1])
-                rare = (levels[0] > 0) & ~is_common
-                held = np.concatenate([[0], np.cumsum(rare)])[off]
-                listed = pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(keys[0][rare].view(np.int64)))
-                found = [flat[cuts[x] : cuts[x + 1]] for x in range(len(n))]
-                if own.column("levels").null_count < len(n):  # a part has been noted before: an n-gram is of one part
-                    found = [np.maximum(x, np.frombuffer(y, np.uint8)) for x, y in zip(found, own.column("levels").to_pylist(), strict=True)]
-                    base, known = base + own.column("base").to_numpy(), known + own.column("known").to_numpy()
-                    listed = pa.array([x + y for x, y in zip(listed.to_pylist(), own.column("rare").to_pylist(), strict=True)], pa.list_(pa.int64()))
-                text = pa.nulls(len(n), pa.string()) if last else own.column("text").cast(pa.string())
-                yield _batch(_STATE, [own.column("doc_id"), own.column("held_out"), text, n, pa.array([x.tobytes() for x in found], pa.binary()), base, known, listed])
+            for row in batch.to_pylist():
+                if held and row["chunk"] != held[0]["chunk"]:
+                    yield from texts()
+                held.append(row)
+        if held:
+            yield from texts()
 
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + batch.num_rows)), *batch.columns], names=["row", *batch.schema.names])
-        n += batch.num_rows
-
-
 class Model:
     """Interpolated probabilities from levels. shares[k][l]: the weight of n-grams of k + 2 words after a context of
     level l; what is left goes to the next shorter ones."""
@@ -348,29 +394,13 @@ def _scored(order: int, model: Model, ends: int):
         for batch in bounded(batches):
             levels, contexts, off = _levels(batch, order, ends)
             score = np.add.reduceat(np.log10(model.probability(levels, contexts, order)), off[:-1]) if batch.num_rows else np.zeros(0)
-            kept = [batch.column(x) for x in ("row", "doc_id", "held_out", "n_tokens", "known", "base")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+            kept = [batch.column(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score"])
 
     return run
 
 
-def _word_counts(keep: int, below: bool):
-    """Words of a level below keep with their counts; or those of at least keep, a bucket's as one row of arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 1):
-            for row in batch.to_pylist():
-                keys, counts = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.int64)
-                wanted = (level_of(counts) < keep) == below
-                if below:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array(counts[wanted])], names=["key", "c"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[wanted].tobytes()], pa.binary()) for x in (keys, counts)], names=["key", "c"])
-
-    return run
-
-
-def score_texts(docs: DataFrame, order: int = 2, fold: int = 1, part_bytes: int = PART_BYTES, frequent: int = FREQUENT, bucket: int = BUCKET) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 2, fold: int = 1, part_bytes: int = PART_BYTES, frequent: int = 0, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, text).
 
     The model is learnt from all rows but those whose crc32(doc_id as text) modulo 5 is `fold`, the held-out ones; a
@@ -379,43 +409,33 @@ def score_texts(docs: DataFrame, order: int = 2, fold: int = 1, part_bytes: int
     base_score is that of exact word counts with half a count added. score is the log10 probability of the text by
     interpolated n-grams of up to `order` words, from levels of the filter: counts are known to within their level,
     and an n-gram that was never seen is taken for a seen one in about one case of fifty. Without training texts
-    every word has the same probability. No text is cut; the filter's size follows the corpus."""
+    every word has the same probability. No text is cut; the filter's size follows the corpus. part_bytes:
+    of a chunk's texts. frequent bounded a broadcast that is gone; it is taken still and changes nothing."""
     spark = docs.sparkSession
     prepare(spark)
     out_of = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == fold
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out_of.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     size = plain.where("not held_out").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log2 = max(2, (int(size) * order // (5 * bucket)).bit_length())
+    cell = min(CELL, log2 - 2)
 
-    counted = plain.where("not held_out").select("text").mapInArrow(_counted(order, log2), _BLOCKS)
-    segments = written(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_built(log2), _SEGMENTS), "filter")
+    chunks = written(plain.mapInArrow(_chunked(order, part_bytes), _CHUNKS), "chunks")
+    sent = chunks.mapInArrow(_counted(order, log2, cell), _SENT)
+    segments = written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_built(log2, cell), _SEGMENTS), "filter")
     sums = segments.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     distinct, total = sums[0] or 0, sums[1] or 0
     whole = total + 0.5 * (distinct + 1)
     by_level = np.zeros(LEVELS, np.int64)
     for r in segments.select(F.posexplode("by_level").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
         by_level[r["level"]] = r["n"]
-    at_least = np.cumsum(by_level[::-1])[::-1]
-    keep = int(np.argmax(at_least <= frequent))  # the lowest level from which on there are few enough words
-    arrays = list(segments.mapInArrow(_word_counts(keep, False), "key binary, c binary").toLocalIterator())
-    names, counts = (np.frombuffer(b"".join(r[x] for r in arrays), kind) for x, kind in (("key", U), ("c", np.int64)))
-    by_name = np.argsort(names)
-    common = spark.sparkContext.broadcast((names[by_name], counts[by_name]))
-    del arrays, names, counts, by_name
-
-    state = plain.selectExpr("*", "0L as n_tokens", "cast(null as binary) as levels", "0D as base", "0L as known", "cast(null as array<long>) as rare")
-    ranges = _ranges(segments, part_bytes)
-    ends = 0
-    for sizes in ranges:  # one part of the filter at a time is on the driver and on the workers
-        part = _part(segments, log2, sizes)
-        ends = max(ends, int(part.levels(mix(np.array([_END]) + _SALT[0]))[0]))
-        sent, last = spark.sparkContext.broadcast(part), sizes is ranges[-1]
-        del part
-        done = state.mapInArrow(_probed(order, sent, common, whole, last), _STATE)
-        if last:
-            done = done.drop("text").mapInArrow(_numbered, "row long, " + _STATE.replace("text string, ", ""))
-        state = written(done, "levels")
-        sent.unpersist()
+    end = mix(np.array([_END]) + _SALT[0])
+    at = int(end[0] >> U(64 - log2))
+    own = segments.where((F.col("bucket") == at) & F.col("segment").isNotNull()).select("segment").first()
+    ends = int(Part(log2, [(at, len(own[0]))], [(at, own[0])]).levels(end)[0]) if own else 0
+
+    answers = segments.where("chunk is not null").select("chunk", "bucket", "words", "levels", "counts")
+    asked = chunks.unionByName(answers, allowMissingColumns=True)  # a chunk itself has no bucket, so it comes first
+    state = written(asked.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_answered(order, whole), _STATE), "levels")
 
     even = by_level @ count_of(np.arange(LEVELS))  # all tokens, by the counts that levels stand for
     model = Model(float(even), distinct, [np.zeros(LEVELS) for _ in range(order - 1)])
@@ -423,16 +443,13 @@ def score_texts(docs: DataFrame, order: int = 2, fold: int = 1, part_bytes: int
         cells = state.where("not held_out").mapInArrow(_cells(k, model, ends), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         model.shares[k - 2] = fitted(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), model)
 
-    scored = state.mapInArrow(_scored(order, model, ends), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
-    rare = segments.mapInArrow(_word_counts(keep, True), "key long, c long")
-    added = state.select("row", F.explode("rare").alias("key")).join(rare, "key").groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / whole)).alias("more"), F.count("*").alias("found"))
-    seen = F.col("known") + F.coalesce("found", F.lit(0))
-    return scored.join(added, "row", "left").select(
+    scored = state.mapInArrow(_scored(order, model, ends), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        seen.cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - seen) * F.log10(F.lit(0.5 / whole))).alias("base_score"),
+        (F.col("base") + (F.col("n_tokens") - F.col("known")) * F.log10(F.lit(0.5 / whole))).alias("base_score"),
         "score",
     )

@@ -4,12 +4,14 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from filelake.llm import lemp, log_bloom, prefix_trie
+from filelake.llm.common import shared_dir
 from filelake.llm.queries import ORACLE_SQL, QUERIES, rebuilt
 
 SF = "/root/testdata/sf0.001"
@@ -149,6 +151,21 @@ def test_parts_change_no_score(spark):
     assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 for i in one)
 
 
+def test_segments_write_no_text_again(spark):
+    """What is written must not grow with the filter's segments: before, each part of them wrote all texts once more."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "llm"
+    tables = lambda: {x: sum(f.stat().st_size for f in x.rglob("*.parquet")) for x in folder.glob("*")}
+    rows, wrote = [], []
+    for sizes in ({}, {"part_bytes": 20_000, "bucket": 3000}):
+        before = tables()
+        rows.append(based(log_bloom.score_texts(docs, **sizes)))
+        wrote.append([(x.name.split("-")[0], n) for x, n in tables().items() if x not in before])
+    assert rows[0] == rows[1] and len(rows[0]) == docs.count()
+    assert sorted(x for x, _ in wrote[0]) == sorted(x for x, _ in wrote[1]) == ["chunks", "filter", "levels"]
+    assert sum(n for _, n in wrote[1]) < 3 * sum(n for _, n in wrote[0])  # small rows take more
+
+
 def test_scores_against_exact_levels(spark):
     """The model of exact levels, fitted by the same rule without a filter; false hits may move a text's score a little."""
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
