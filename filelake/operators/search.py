@@ -130,7 +130,7 @@ def list_transfer_items(items: DataFrame, plan_id=None, status=None) -> DataFram
 
 
 def list_operations(ops: DataFrame, plan_id, category=None) -> DataFrame:
-    return _equal(ops, plan_id=plan_id, category=category).orderBy("ordinal", "operation_id")
+    return _equal(ops, plan_id=plan_id, category=category).orderBy(F.asc_nulls_last("ordinal"), "operation_id")
 
 
 def list_runs(runs: DataFrame, plan_id=None, mode=None, status=None) -> DataFrame:
@@ -139,11 +139,11 @@ def list_runs(runs: DataFrame, plan_id=None, mode=None, status=None) -> DataFram
 
 def list_run_items(items: DataFrame, ops: DataFrame, run_id, outcome=None) -> DataFrame:
     """A run's items beside what they were to do, in the plan's order."""
-    return _equal(items, run_id=run_id, outcome=outcome).join(ops, "operation_id").orderBy("ordinal", "operation_id")
+    return _equal(items, run_id=run_id, outcome=outcome).join(ops, "operation_id").orderBy(F.asc_nulls_last("ordinal"), "operation_id")
 
 
 def list_audit(entries: DataFrame, run_id=None, kind=None) -> DataFrame:
-    return _equal(entries, run_id=run_id, kind=kind).orderBy("sequence")
+    return _equal(entries, run_id=run_id, kind=kind).orderBy(F.asc_nulls_last("sequence"))
 
 
 def list_jobs(jobs: DataFrame, statuses=None) -> DataFrame:

@@ -31,6 +31,22 @@ def test_runs_of_repeated_rows(spark, tmp_path):
     agrees(spark, tmp_path, "q10_list_runs", ["orders", "conversations", "lineitem"])
 
 
+@pytest.mark.parametrize("keyless", [False, True])
+def test_runs_with_nulls(spark, tmp_path, keyless):
+    """Rows without a number come last, as in the SQL; without any key there is no last conversation."""
+    for t, key, number in (("orders", None, None), ("conversations", "conv_id", "turn"), ("lineitem", "l_orderkey", "l_linenumber")):
+        rows = pq.read_table(f"{SF}/{t}.parquet")
+        if key:
+            top = max(rows[key].to_pylist())
+            first = rows[key].to_pylist().index(top)  # one row of the last key, a user's turn
+            numbers = [None if i == first else x for i, x in enumerate(rows[number].to_pylist())]
+            rows = rows.set_column(rows.schema.get_field_index(number), number, pa.array(numbers, rows.schema.field(number).type))
+            if keyless:
+                rows = rows.set_column(rows.schema.get_field_index(key), key, pa.nulls(len(rows), rows.schema.field(key).type))
+        pq.write_table(rows, tmp_path / f"{t}.parquet")
+    agrees(spark, tmp_path, "q10_list_runs", ["orders", "conversations", "lineitem"])
+
+
 def test_files_of_more_than_two_windows(spark, tmp_path):
     docs = pq.read_table(f"{SF}/documents.parquet").slice(0, 60)
     long = pa.array([(x or "") + " word" * 150_000 for x in docs["text"].to_pylist()])
